@@ -93,7 +93,8 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", normal
     edges = edges.select(F.explode("all").alias("at"), "group").select("at._part", "at._run", "group")
     placed = runs.join(F.broadcast(edges), ["_part", "_run"], "left").withColumn("_group", F.coalesce("group", member))
     placed = placed.withColumn("_kept", F.col("_lead") & (F.col("_group") == member))
-    groups = placed.groupBy("_group").agg(F.count(F.lit(1)).alias("group_size"), F.max_by("_id", "_kept").alias("keep_id"))
+    # Written, so that adaptive execution sees two plain shuffles and splits the rows of a hot group.
+    groups = written(placed.groupBy("_group").agg(F.count(F.lit(1)).alias("group_size"), F.max_by("_id", "_kept").alias("keep_id")), "groups")
     return placed.join(groups, "_group").select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_kept").alias("kept"), F.col("_digest").alias("text_sha256"))
 
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selectra.llm import content_sort, interleave, mixture
+from selectra.llm import content_sort, interleave, line_crf, mixture, nb_hinge, packing
 from selectra.llm.common import n_words
 
 SHARDS = 24
 SEED = 17
+CAPACITY = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +45,11 @@ src AS (
   FROM sized GROUP BY source),
 ordered AS (
   SELECT *, 1.5 * sum(source_size) OVER () AS total,
+         row_number() OVER (ORDER BY source_size / w, source NULLS LAST) AS place,
          coalesce(sum(2.0 * source_size) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
          sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w
   FROM src),
-lev AS (SELECT min((total - full_before) / rest_w) FILTER ((total - full_before) / rest_w * w <= 2.0 * source_size) AS lvl FROM ordered),
+lev AS (SELECT arg_min((total - full_before) / rest_w, place) FILTER ((total - full_before) / rest_w * w <= 2.0 * source_size) AS lvl FROM ordered),
 tgt AS (
   SELECT source, source_size, least(2.0 * source_size, coalesce(lvl * w, 2.0 * source_size))::DOUBLE AS target FROM src, lev),
 cum AS (
@@ -75,10 +78,32 @@ FROM documents
 """
 
 
+def op7_nb_hinge_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    fold = lambda c: F.crc32(c.cast("string").cast("binary")) % 5
+    model = nb_hinge.train(docs, labels, fold(F.col("_id")) != 0, seed=SEED)
+    rows = nb_hinge.scored(docs, model)
+    return rows.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_line_crf_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    judged = line_crf.judge(docs, line_crf.train(docs, labels, seed=SEED))
+    return judged.drop("text")
+
+
+def op10_large_item_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), CAPACITY)
+    return packing.pack(cut, CAPACITY, seed=SEED)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_interleave_shards,
         op5_hash_threshold_mix,
+        op7_nb_hinge_quality,
+        op9_line_crf_rules,
+        op10_large_item_packing,
         op8_content_sort_dedup,
     ]
     return {f.__name__: f for f in found}
