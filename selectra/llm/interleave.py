@@ -37,7 +37,7 @@ def leading_bits(digest: Column, bits: int) -> Column:
     return F.shiftright(F.conv(F.substring(digest, 1, 4), 16, 10).cast("int"), 16 - bits)
 
 
-def interleave(df: DataFrame, n_shards: int, id_col: str = "doc_id", source_col: str = "source", seed: int = 0, rows_per_bucket: int = 20_000) -> DataFrame:
+def interleave(df: DataFrame, n_shards: int, id_col: str = "doc_id", source_col: str = "source", seed: int = 0, rows_per_bucket: int = 4_000) -> DataFrame:
     """Input columns plus shard int (0 to n_shards - 1) and slot long, gapless from 0 in each shard."""
     kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     rows = df.select(

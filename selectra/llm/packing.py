@@ -219,7 +219,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return out
 
 
-def pack(cut: DataFrame, capacity: int = 4096, rows_per_bucket: int = 20_000, seed: int = 0) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 4096, rows_per_bucket: int = 4_000, seed: int = 0) -> DataFrame:
     """Add sequence_id and offset to pieces (see ``pieces``)."""
     cut = written(cut, "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows

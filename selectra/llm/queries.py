@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selectra.llm import content_sort, interleave, line_crf, mixture, nb_hinge, packing
+from selectra.llm import content_sort, interleave, line_crf, mixture, nb_hinge, packing, repeats
 from selectra.llm.common import n_words
 
 SHARDS = 24
 SEED = 17
 CAPACITY = 4096
+WINDOW = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +79,24 @@ FROM documents
 """
 
 
+def op4_doubling_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), WINDOW, digest=True)
+
+
+OP4_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS k
+  FROM w, unnest(range(1, len(ws) - {WINDOW - 2})) AS t(i)),
+least AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+hit AS (SELECT DISTINCT win.doc_id, unnest(range(i, i + {WINDOW})) AS p FROM win JOIN least USING (k) WHERE m < win.doc_id),
+gone AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM hit GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE [ws[j] FOR j IN range(1, len(ws) + 1) IF NOT list_contains(ps, j)] END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id
+"""
+
+
 def op7_nb_hinge_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     fold = lambda c: F.crc32(c.cast("string").cast("binary")) % 5
@@ -100,6 +119,7 @@ def op10_large_item_packing(spark: SparkSession, sf_dir: str, tokenizer: str | N
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_interleave_shards,
+        op4_doubling_repeats,
         op5_hash_threshold_mix,
         op7_nb_hinge_quality,
         op9_line_crf_rules,
@@ -110,4 +130,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_hash_threshold_mix": OP5_SQL, "op8_content_sort_dedup": OP8_SQL}
+    return {"op4_doubling_repeats": OP4_SQL, "op5_hash_threshold_mix": OP5_SQL, "op8_content_sort_dedup": OP8_SQL}
