@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selectra.llm import content_sort, interleave, line_crf, mixture, nb_hinge, packing, repeats
+from selectra.llm import content_sort, interleave, line_crf, mixture, nb_hinge, odd_sketch, packing, repeats
 from selectra.llm.common import n_words
 
 SHARDS = 24
@@ -79,6 +79,10 @@ FROM documents
 """
 
 
+def op2_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op4_doubling_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"), WINDOW, digest=True)
 
@@ -119,6 +123,7 @@ def op10_large_item_packing(spark: SparkSession, sf_dir: str, tokenizer: str | N
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_interleave_shards,
+        op2_odd_sketch_near_dedup,
         op4_doubling_repeats,
         op5_hash_threshold_mix,
         op7_nb_hinge_quality,
