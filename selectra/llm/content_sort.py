@@ -132,7 +132,7 @@ def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of ``df`` that stay, all columns unchanged; see ``copies``."""
     text = F.coalesce(F.col(text_col) if normalise is None else normalise, F.lit(""))
     rows = df.select(text.alias("_text"), F.col(id_col).alias("_id"), F.struct(*[df[c] for c in df.columns]).alias("_row"))
-    schema = rows.schema.add("_part", "int").add("_run", "long").add("_border", "boolean")
+    schema = rows.schema.add("_part", "integer").add("_run", "long").add("_border", "boolean")
     leads = written(_sorted(rows, keep == "largest").mapInArrow(_lead_rows, schema), "leads")
     # Border rows, at most two a partition: of those with equal texts the earliest stays.
     border = leads.filter("_border").groupBy("_text").agg(F.min_by("_row", F.struct("_part", "_run")).alias("_row"))
