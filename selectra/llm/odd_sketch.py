@@ -9,11 +9,15 @@ XOR of two sketches estimates how many samples differ, sharply for high
 similarities, so most false candidates are dropped before their sets are read. What
 remains is confirmed on the full sets, without error.
 
-No group is expanded into pairs. In every band bucket a few pivots are compared with
-the members that are not yet in their component; found links merge components, used
-pivots leave, and buckets whose members all share a component are done. The number
-of pivots grows fourfold each round, so a bucket needs few rounds, and every two members that are not
-linked otherwise are compared in the end: no cap, no lost candidate.
+No group is expanded into pairs. In every band bucket a pivot, then four more, are
+compared with the members that are not yet in their component; found links merge
+components, used pivots leave, and buckets whose members all share a component are
+done. What is left are buckets in which many texts are alike but not linked. Their
+members are dealt into blocks, the bucket's largest component apart from the rest;
+a task takes two blocks (never two of that component), drops pairs of one component,
+pairs that an earlier band also holds, and pairs that sizes or sketches rule out, and
+confirms the others on the sets in place: only links leave it. So every candidate
+pair is decided, without a cap.
 
 Defined cases: A-Z are lower-cased; a text with fewer words than a shingle has its
 whole sequence as the one shingle; texts without words are linked with nothing; rows
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from selectra.llm.common import dropped, written
+from selectra.llm.common import written
 from selectra.llm.repeats import WordHashes, joined
 
 BANDS, ROWS = 32, 4
@@ -123,24 +127,23 @@ def xor_bits(a: Column, b: Column) -> Column:
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each linked node reaches, for edges (a, b).
 
-    Alternates large-star and small-star steps; neither gathers a node's neighbours
-    in one task beyond a minimum and a join on it.
+    Alternates large-star and small-star steps on edges from a node u to a smaller v,
+    one written table a step, until the edges no longer change.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
+    state = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Large star: neighbours above a node are joined to the least of its neighbourhood.
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(written(least, "least"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        large = written(large, "large")
-        # Small star: a node and its neighbours below are joined to the least of them.
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
-        small = written(small, "small")
-        changed = small.join(edges, ["u", "v"], "left_anti").limit(1).count() + edges.join(small, ["u", "v"], "left_anti").limit(1).count()
-        edges = small
-        if not changed:
+        # Large star: whoever points at v points at the least that v points at. One row a node on the right side.
+        least = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = edges.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        # Small star: a node and all it points at point at the least of them.
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        edges = written(small.filter("u > v").distinct(), "edges")
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
             break
+        state = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
@@ -148,51 +151,110 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
 
 
-def links_between(signed: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """Confirmed links (a, b) between classes ``signed`` (rep, n, bands, sketch) that connect each component; None if there are none."""
-    buckets = signed.select("rep", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("bucket")
-    members = written(buckets.join(written(shared, "shared"), "bucket").withColumn("label", F.col("rep")), "members")
+BLOCK = 256
+
+
+def _links_in_blocks(percent: int):
+    """Arrow function over block pairs (band, same, l_rows, r_rows): the links (a, b) between members of different components."""
+
+    def columns(rows: pa.ListScalar):
+        flat = rows.values
+        grams = flat.field("grams")
+        sizes = np.diff(grams.offsets.to_numpy())
+        number = lambda name: flat.field(name).to_numpy(zero_copy_only=False)
+        wide = lambda name, n: np.asarray(flat.field(name).flatten()).reshape(-1, n)
+        return number("rep"), number("label"), wide("bands", BANDS), wide("sketch", SKETCH_BITS // 64), sizes, grams.flatten().to_numpy().view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out_a, out_b = [], []
+            for band, same, left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                rep, label, bands_l, sketch_l, n_l, grams_l = columns(left)
+                rep_r, label_r, bands_r, sketch_r, n_r, grams_r = columns(right)
+                ends_l, ends_r = np.concatenate([[0], np.cumsum(n_l)]), np.concatenate([[0], np.cumsum(n_r)])
+                for k in range(len(rep)):
+                    shared = bands_l[k] == bands_r
+                    ok = (label[k] != label_r) & (shared.argmax(1) == band) & shared[:, band]
+                    if same:
+                        ok &= rep_r > rep[k]
+                    ok &= 100 * np.minimum(n_l[k], n_r) >= percent * np.maximum(n_l[k], n_r)
+                    at = np.flatnonzero(ok)
+                    if len(at):
+                        at = at[np.bitwise_count((sketch_l[k] ^ sketch_r[at]).view(np.uint64)).sum(1) <= MOST_BITS]
+                    if not len(at):
+                        continue
+                    own = grams_l[ends_l[k]:ends_l[k + 1]]
+                    other = np.concatenate([grams_r[ends_r[j]:ends_r[j + 1]] for j in at])
+                    place = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                    begin = np.concatenate([[0], np.cumsum(n_r[at])[:-1]])
+                    common = np.add.reduceat((own[place] == other).astype(np.int64), begin)
+                    linked = at[100 * common >= percent * (n_l[k] + n_r[at] - common)]
+                    out_a += [rep[k]] * len(linked)
+                    out_b += rep_r[linked].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _block_links(members: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links between members of one bucket and different components, each found in the first band that both share."""
+    counts = members.groupBy("bucket", "band", "label").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.groupBy("bucket", "band").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
+    payload = signed.join(sets, "rep").select("rep", "bands", "sketch", "grams")
+    rows = members.join(written(top, "tops"), ["bucket", "band"]).join(payload, "rep")
+    side = (F.col("label") != F.col("top")).cast("int")
+    salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))
+    blocks = rows.groupBy("bucket", "band", side.alias("side"), salt.alias("salt")).agg(F.collect_list(F.struct("rep", "label", "bands", "sketch", "grams")).alias("rows"))
+    blocks = written(blocks.withColumn("place", F.col("side") * 2**40 + F.col("salt")), "blocks")
+    left = blocks.select("bucket", "band", *[F.col(c).alias(f"l_{c}") for c in ("side", "place", "rows")])
+    right = blocks.select("bucket", "band", *[F.col(c).alias(f"r_{c}") for c in ("side", "place", "rows")])
+    pairs = left.join(right, ["bucket", "band"]).filter("l_place <= r_place AND r_side = 1")
+    # Dealt evenly: one hot bucket has many block pairs.
+    pairs = pairs.repartition("bucket", "l_place", "r_place")
+    return pairs.select("band", (F.col("l_place") == F.col("r_place")).alias("same"), "l_rows", "r_rows").mapInArrow(_links_in_blocks(percent), "a long, b long")
+
+
+def components_of(signed: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """(node, label) for the classes ``signed`` (rep, n, bands, sketch) that are linked; None if no two share a bucket."""
+    buckets = signed.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    shared = buckets.groupBy("band", "bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("band", "bucket")
+    members = written(buckets.join(written(shared, "shared"), ["band", "bucket"]).withColumn("label", F.col("rep")), "members")
     if members.isEmpty():
         return None
     wanted = written(members.select("rep").distinct(), "wanted")
     few = _few(wanted)
-    sketches = written(signed.join(few, "rep", "left_semi").select("rep", "n", "sketch"), "sketches")
-    sets = written(texts.join(few, "rep", "left_semi").select("rep", "_text").mapInArrow(_sets(size), "rep long, grams array<long>"), "sets")
-    links = tested = None
-    pivots_per_bucket = 1
-    while True:
+    near = written(signed.join(few, "rep", "left_semi"), "near")
+    sets = written(texts.join(few, "rep", "left_semi").select("rep", "_text").mapInArrow(_sets(size), "rep long, grams array<long>").dropDuplicates(["rep"]), "sets")
+    side = lambda t, name: t.select(F.col("rep").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in t.columns if c != "rep"])
+    sketches = near.select("rep", "n", "sketch")
+    links = tested = labels = None
+    for pivots_per_bucket in (1, 4):
         at = F.pmod(F.xxhash64("rep"), F.lit(pivots_per_bucket))
         first = F.min(F.struct(F.xxhash64(F.lit(1), "rep").alias("h"), F.col("rep").alias("pivot"), F.col("label").alias("own"))).alias("p")
-        pivots = written(members.groupBy("bucket", at.alias("salt")).agg(first).select("bucket", "p.pivot", "p.own"), "pivots")
-        near = members.join(pivots, (members["bucket"] == pivots["bucket"]) & (F.col("label") != F.col("own")))
-        pairs = near.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+        pivots = written(members.groupBy("band", "bucket", at.alias("salt")).agg(first).select("band", "bucket", "p.pivot", "p.own"), "pivots")
+        close = members.join(pivots, ["band", "bucket"]).filter("label <> own")
+        pairs = close.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        side = lambda t, name: t.select(F.col("rep").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in t.columns if c != "rep"])
-        close = pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b")
+        tested = written(pairs, "pairs")
+        close = tested.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b")
         close = close.filter(xor_bits(F.col("a_sketch"), F.col("b_sketch")) <= MOST_BITS)
         # Sizes alone rule out pairs: the smaller set is at least `percent` of the larger.
-        close = written(close.filter(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")).select("a", "b", "a_n", "b_n"), "close")
+        close = close.filter(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")).select("a", "b", "a_n", "b_n")
         both = close.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
         common = F.size(F.array_intersect("a_grams", "b_grams"))
         new = written(both.withColumn("i", common).filter(100 * F.col("i") >= percent * (F.col("a_n") + F.col("b_n") - F.col("i"))).select("a", "b"), "links")
         links = new if links is None else links.unionByName(new)
-        left = members.join(pivots.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
-        if not new.isEmpty():
-            label = written(components(links), "labels")
-            left = left.drop("label").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        left = written(left, "left")
+        labels = written(components(links), "labels")
+        left = members.join(pivots.select("band", "bucket", F.col("pivot").alias("rep")), ["band", "bucket", "rep"], "left_anti").drop("label")
+        left = written(left.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "left")
         # Only buckets that still hold two components go on.
-        mixed = written(left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket"), "mixed")
-        members = written(left.join(mixed, "bucket"), "members").select("bucket", "rep", "label")
+        mixed = left.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band", "bucket")
+        members = written(left.join(mixed, ["band", "bucket"], "left_semi").select("band", "bucket", "rep", "label"), "members")
         if members.isEmpty():
-            break
-        pivots_per_bucket *= 4
-    dropped(sets)
-    return links
+            return labels
+    new = written(_block_links(members, near, sets, percent), "links")
+    return labels if new.isEmpty() else components(links.unionByName(new))
 
 
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,12 +266,12 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     # One row per class carries the signature: that of its smallest id.
     of_class = signed.join(classes.withColumnRenamed("rep", "_id"), ["n", "high", "low", "_id"], "left_semi").dropDuplicates(["_id", "high", "low"])
     reps = written(of_class.select(F.col("_id").alias("rep"), "n", "bands", "sketch"), "reps")
-    links = links_between(reps, rows.withColumnRenamed("_id", "rep"), size, percent)
+    labels = components_of(reps, rows.withColumnRenamed("_id", "rep"), size, percent)
     member = signed.select("_id", "n", "high", "low").join(classes, ["n", "high", "low"], "left")
-    if links is None:
+    if labels is None:
         found = member.withColumn("label", F.lit(None).cast("long"))
     else:
-        found = member.join(written(components(links), "components").withColumnRenamed("node", "rep"), "rep", "left")
+        found = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("n") > 0, F.coalesce("label", "rep", "_id")).otherwise(F.col("_id"))
     component = F.when(F.col("_id").isNull(), F.lit(None).cast("long")).otherwise(component)
     out = found.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
