@@ -36,8 +36,8 @@ from selectra.llm.common import written
 
 SHORTEST = 12
 MEMORY = 500_000
-#: Per-document positions are broadcast up to so many documents and positions, shuffled beyond.
-MOST_DOCS, MOST_POSITIONS = 200_000, 4_000_000
+#: The ids of later copies are broadcast up to so many, shuffled beyond.
+MOST_DOCS = 200_000
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -123,10 +123,8 @@ def _tested(window: int, length: int, last: int | None):
 
 
 def _with_positions(docs: DataFrame, positions: DataFrame, how: str) -> DataFrame:
-    """Join (_id, _key) -> _at; broadcast only if counted small."""
-    n_docs, n_at = positions.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_at")), F.lit(0))).first()
-    small = n_docs <= MOST_DOCS and n_at <= MOST_POSITIONS
-    return docs.join(F.broadcast(positions) if small else positions, ["_id", "_key"], how)
+    """Join (_id, _key) -> _at. Shuffled at every size: positions grow with the corpus."""
+    return docs.join(positions, ["_id", "_key"], how)
 
 
 def later_copies(docs: DataFrame) -> DataFrame:
