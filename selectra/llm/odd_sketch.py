@@ -21,8 +21,8 @@ pair is decided, without a cap.
 
 Defined cases: A-Z are lower-cased; a text with fewer words than a shingle has its
 whole sequence as the one shingle; texts without words are linked with nothing; rows
-with a null id stay and are linked with nothing; rows that share an id share a
-component; an empty table gives an empty result. Other columns are not returned.
+with a null id stay and are linked with nothing; ids are integers; rows that share
+an id share a component; an empty table gives an empty result. Other columns are not returned.
 """
 
 from __future__ import annotations
@@ -151,7 +151,8 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
 
 
-BLOCK = 256
+#: Members of a block, and shingles of all its members, as expected.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 
 
 def _links_in_blocks(percent: int):
@@ -198,12 +199,14 @@ def _links_in_blocks(percent: int):
 
 def _block_links(members: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All links between members of one bucket and different components, each found in the first band that both share."""
-    counts = members.groupBy("bucket", "band", "label").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.groupBy("bucket", "band").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
+    sized = members.join(signed.select("rep", F.col("n").alias("own")), "rep")
+    counts = sized.groupBy("bucket", "band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("shingles"))
+    n_blocks = F.ceil(F.greatest(F.sum("n") / BLOCK, F.sum("shingles") / BLOCK_SHINGLES))
+    top = counts.groupBy("bucket", "band").agg(F.max_by("label", F.struct("n", "label")).alias("top"), n_blocks.alias("n_blocks"))
     payload = signed.join(sets, "rep").select("rep", "bands", "sketch", "grams")
     rows = members.join(written(top, "tops"), ["bucket", "band"]).join(payload, "rep")
     side = (F.col("label") != F.col("top")).cast("int")
-    salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))
+    salt = F.pmod(F.xxhash64("rep"), F.col("n_blocks"))
     blocks = rows.groupBy("bucket", "band", side.alias("side"), salt.alias("salt")).agg(F.collect_list(F.struct("rep", "label", "bands", "sketch", "grams")).alias("rows"))
     blocks = written(blocks.withColumn("place", F.col("side") * 2**40 + F.col("salt")), "blocks")
     left = blocks.select("bucket", "band", *[F.col(c).alias(f"l_{c}") for c in ("side", "place", "rows")])
