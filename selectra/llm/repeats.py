@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from selectra.llm.common import written
 
 SHORTEST = 12
+#: Rows of windows that a task gathers before it hands them on.
+FLUSH = 200_000
 MEMORY = 500_000
 #: The ids of later copies are broadcast up to so many, shuffled beyond.
 MOST_DOCS = 200_000
@@ -97,27 +99,29 @@ def chosen(words: np.ndarray, length: int, window: int, starts: np.ndarray | Non
 def _tested(window: int, length: int, last: int | None):
     """Arrow function: (_id, _key, _text[, _at]) -> (_id, _key, pos, h, h2)."""
 
+    def out(batch: pa.RecordBatch, found: list[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
+        take = pa.array(np.repeat([k for k, _ in found], [len(at) for _, (at, _, _) in found]))
+        pos, one, two = (np.concatenate([x[j] for _, x in found]) for j in range(3))
+        columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(pos.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, ["_id", "_key", "pos", "h", "h2"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            rows, pos, one, two = [], [], [], []
+            found, n = [], 0
             for k, text in enumerate(batch.column(2)):
-                found = (text.as_py() or "").encode().split()
-                if len(found) < window:
+                words = (text.as_py() or "").encode().split()
+                if len(words) < window:
                     continue
-                hashed = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-                starts = None if last is None else region(np.array(batch.column(3)[k].as_py(), np.int64), last, window, len(found) - window + 1)
-                at, h, h2 = chosen(hashed, length, window, starts)
-                rows.append(np.full(len(at), k))
-                pos.append(at)
-                one.append(h)
-                two.append(h2)
-            if rows:
-                take = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64))],
-                    ["_id", "_key", "pos", "h", "h2"],
-                )
+                hashed = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                starts = None if last is None else region(np.array(batch.column(3)[k].as_py(), np.int64), last, window, len(words) - window + 1)
+                found.append((k, chosen(hashed, length, window, starts)))
+                n += len(found[-1][1][0])
+                if n >= FLUSH:
+                    yield out(batch, found)
+                    found, n = [], 0
+            if n:
+                yield out(batch, found)
 
     return run
 
