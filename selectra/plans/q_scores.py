@@ -120,16 +120,16 @@ def merge_sources(spark: SparkSession, d: str) -> DataFrame:
     return io.merge_sources(docs.withColumn("ord", F.col("doc_id")), ["source"], "doc_id").select("source", F.sha2("text", 256).alias("h"), "n_sources")
 
 
-@query(with_views("v_baseline v_current", "SELECT k, metric, coalesce(c.value, b.value) AS value FROM v_baseline b FULL JOIN v_current c USING (k, metric)"))
+@query(with_views("v_baseline v_current", "SELECT k, metric, round(coalesce(c.value, b.value), 5) AS value FROM v_baseline b FULL JOIN v_current c USING (k, metric)"))
 def baseline_register(spark: SparkSession, d: str) -> DataFrame:
     old = view(spark, d, "v_baseline").withColumn("recorded_at", F.lit(1))
     new = view(spark, d, "v_current").withColumn("recorded_at", F.lit(2))
-    return registry.baseline_register(old, new, ("k", "metric")).select("k", "metric", "value")
+    return rounded(registry.baseline_register(old, new, ("k", "metric")).select("k", "metric", "value"), "value", digits=5)
 
 
-@query(with_views("v_baseline", "SELECT k, value FROM v_baseline WHERE metric LIKE '%pri%'"))
+@query(with_views("v_baseline", "SELECT k, round(value, 5) AS value FROM v_baseline WHERE metric LIKE '%pri%'"))
 def baseline_list(spark: SparkSession, d: str) -> DataFrame:
-    return registry.baseline_list(view(spark, d, "v_baseline"), "pri", "metric").select("k", "value")
+    return rounded(registry.baseline_list(view(spark, d, "v_baseline"), "pri", "metric").select("k", "value"), "value", digits=5)
 
 
 # Scalar functions
