@@ -8,10 +8,11 @@ optional; differing texts become a slot, equal texts stay constants of the templ
 Partial wrappers are folded inside each task and then merged per host in two steps,
 so a host with a third of all pages needs no task that sees all of them.
 
-The wrapper then decides which slots are main text: not below menus, headers,
-footers, sidebars, notices, adverts, forms or reader comments, not constant, not
-mostly links, and inside the host's main region. A page's text is read from those
-slots, in page order, from its whole html.
+The wrapper then decides which slots are constant and which are mostly links. A page's
+text is what is in neither, not below menus, headers, footers, sidebars, notices,
+adverts, forms or reader comments, and inside the main region of the page. The region
+is chosen page by page, so it doesn't depend on the host's other templates. The text is
+read in page order from the whole html.
 
 Defined cases: null and empty pages have an empty text; a null or odd url makes a
 host of its own (""); a host with one page has only slots; text outside any tag is a
@@ -26,6 +27,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -45,6 +47,8 @@ AFTER_P = frozenset("address article aside blockquote div dl fieldset footer for
 MAIN = re.compile(r"^(article|main)\b|[.#](main|article|content|post|entry|story)([-_ .#]|$)|@main")
 BESIDE_TAG = frozenset("head nav footer aside form button select textarea option dialog menu title fieldset figcaption".split())
 BESIDE_NAME = re.compile(r"[.#@ _-](ad|ads|adv|advert\w*|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|notice\w*|alert|comment\w*|respon[ds]\w*|disqus|sidebar\w*|side|menu\w*|nav\w*|breadcrumb\w*|footer\w*|header|masthead|share\w*|social\w*|related|recommend\w*|subscribe\w*|newsletter\w*|signup|login|popup|modal|widget\w*|pagination|pager|copyright|legal|toc|skip\w*|search)(?=[.#@ _-]|$)", re.I)
+#: Blocks of running text: no region lies inside one.
+LEAF = frozenset("p li td th dt dd tr blockquote pre h1 h2 h3 h4 h5 h6".split())
 MAX_HOSTS = 400
 
 
@@ -206,46 +210,55 @@ def tag(key: str) -> str:
     return re.split(r"[.#@]", key, maxsplit=1)[0]
 
 
-def content_paths(wrapper: list, pages: int) -> list[str]:
-    """Paths of the slots that hold main text."""
+def slot_kinds(wrapper: list, pages: int) -> tuple[list[str], list[str]]:
+    """Paths of the slots that are constant and of those that are mostly links."""
     found: dict[tuple[str, ...], list] = {}
     for path, (chars, linked, least, most) in slots(wrapper):
         old = found.get(path)
         found[path] = [chars, linked, least, most] if old is None else [old[0] + chars, old[1] + linked, min(old[2], least), max(old[3], most)]
+    constant = sorted(">".join(p) for p, s in found.items() if pages >= 3 and s[2] == s[3])
+    return constant, sorted(">".join(p) for p, s in found.items() if 2 * s[1] > s[0])
 
-    def main_at(path: tuple[str, ...]) -> int:
-        return next((k for k, key in enumerate(path) if MAIN.search(key)), -1)
 
-    def beside(path: tuple[str, ...]) -> bool:
-        main = main_at(path)
-        return any(tag(k) in BESIDE_TAG or BESIDE_NAME.search(k) or tag(k) == "header" and (main < 0 or i < main) for i, k in enumerate(path))
+@lru_cache(maxsize=50_000)
+def traits(path: tuple[str, ...]) -> tuple[str, int, bool]:
+    """The joined path, where its main region begins (-1: nowhere) and whether it is beside the text."""
+    main = next((k for k, key in enumerate(path) if MAIN.search(key)), -1)
+    beside = any(tag(k) in BESIDE_TAG or BESIDE_NAME.search(k) or tag(k) == "header" and (main < 0 or i < main) for i, k in enumerate(path))
+    return ">".join(path), main, beside
 
-    texts = {p: s for p, s in found.items() if not beside(p) and not (pages >= 3 and s[2] == s[3]) and 2 * s[1] <= s[0]}
+
+def regions(texts: list[tuple[tuple[str, ...], int]]) -> list[tuple[str, ...]]:
+    """Main regions of one page, from the paths of its texts and their characters outside links."""
     weight: dict[tuple[str, ...], int] = {}
-    for path, s in texts.items():
-        k = main_at(path)
+    for path, chars in texts:
+        k = traits(path)[1]
         if k >= 0:
-            weight[path[:k + 1]] = weight.get(path[:k + 1], 0) + s[0] - s[1]
-    total = sum(s[0] - s[1] for s in texts.values())
-    if weight and max(weight.values()) * 4 >= total:
-        regions = [p for p, w in weight.items() if w * 4 >= max(weight.values())]
-    else:  # the deepest element that still holds most of the running text
-        region: tuple[str, ...] = ()
-        while True:
-            inner: dict[tuple[str, ...], int] = {}
-            for path, s in texts.items():
-                if len(path) > len(region) and path[:len(region)] == region:
-                    inner[path[:len(region) + 1]] = inner.get(path[:len(region) + 1], 0) + s[0] - s[1]
-            top = max(inner, key=inner.get, default=None)
-            if top is None or inner[top] * 10 < total * 6 or tag(top[-1]) in ("p", "li", "td", "blockquote"):
-                break
-            region = top
-        regions = [region]
-    return sorted(">".join(p) for p in texts if any(p[:len(r)] == r for r in regions))
-
-
-def page_text(html: str | None, wanted: set[str]) -> str:
-    return "\n".join(text for kind, path, text, _ in blocks(html or "") if kind == "text" and ">".join(path) in wanted)
+            weight[path[:k + 1]] = weight.get(path[:k + 1], 0) + chars
+    total, most = sum(chars for _, chars in texts), max(weight.values(), default=0)
+    if weight and most * 4 >= total:
+        return [p for p, w in weight.items() if w * 4 >= most]
+    region: tuple[str, ...] = ()  # the deepest element that still holds most of the running text
+    while True:
+        inner: dict[tuple[str, ...], int] = {}
+        for path, chars in texts:
+            if len(path) > len(region) and path[:len(region)] == region:
+                inner[path[:len(region) + 1]] = inner.get(path[:len(region) + 1], 0) + chars
+        top = max(inner, key=inner.get, default=None)
+        if top is None or inner[top] * 10 < total * 6 or tag(top[-1]) in LEAF:
+            return [region]
+        region = top
+
+
+def page_text(html: str | None, constant: set[str], links: set[str]) -> str:
+    """Main text of a page, by its own regions; if the host's constant slots are all it has, then those."""
+    found = [(path, text, len(text) - min(linked, len(text))) for kind, path, text, linked in blocks(html or "") if kind == "text"]
+    found = [f for f in found if not traits(f[0])[2] and traits(f[0])[0] not in links]
+    for texts in ([f for f in found if traits(f[0])[0] not in constant], found):
+        if texts:
+            inside = regions([(path, chars) for path, _, chars in texts])
+            return "\n".join(text for path, text, _ in texts if any(path[:len(r)] == r for r in inside))
+    return ""
 
 
 def host(url: F.Column) -> F.Column:
@@ -296,18 +309,18 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     """Input columns plus text: the main text of every page."""
     names = [c for c in pages.columns if c.lower() != "text"]
 
-    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [content_paths(json.loads(w), n) for w, n in zip(batch.column("wrapper").to_pylist(), batch.column("pages").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.list_(pa.string()))], ["_host", "_paths"])
+            found = [slot_kinds(json.loads(w), n) for w, n in zip(batch.column("wrapper").to_pylist(), batch.column("pages").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), *(pa.array([f[k] for f in found], pa.list_(pa.string())) for k in (0, 1))], ["_host", "_constant", "_links"])
 
-    rules = written(infer(pages, url_col, html_col).mapInArrow(paths, "_host string, _paths array<string>"), "rules")
+    rules = written(infer(pages, url_col, html_col).mapInArrow(kinds, "_host string, _constant array<string>, _links array<string>"), "rules")
     rows = pages.select(*names, host(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html"))
-    rows = joined_by_size(rows, rules, ["_host"], rules.count(), "left", most=20_000).select(*names, "_html", "_paths")
+    rows = joined_by_size(rows, rules, ["_host"], rules.count(), "left", most=20_000).select(*names, "_html", "_constant", "_links")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [page_text(h, set(p or ())) for h, p in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(found, pa.string())], [*names, "text"])
+            found = [page_text(h, set(c or ()), set(k or ())) for h, c, k in zip(*(batch.column(len(names) + k).to_pylist() for k in range(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(found, pa.string())], [*names, "text"])
 
     return rows.mapInArrow(read, pages.select(*names).schema.add("text", "string"))

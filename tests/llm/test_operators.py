@@ -363,6 +363,19 @@ def test_wrappers(spark, empty):
     assert wrappers.extract(df.limit(0).select("page_id", "url", "html")).count() == 0
 
 
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(k, "https://h.example/" + str(k), html) for k, html in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    return {r["page_id"]: r["text"] for r in wrappers.extract(df).collect()}
+
+
+def test_wrappers_read_every_template_of_a_host(spark):
+    common = [f"<body><article><h1>T{k}</h1><p>{f'Long text {k} of the common kind. ' * 20}</p></article></body>" for k in range(17)]
+    rare = [f"<body><div class=content><p>Rare text {k}.</p></div></body>" for k in range(2)] + [f"<body><div><p>Plain text {k}.</p></div></body>" for k in range(2)]
+    got = texts_of(spark, common + rare)
+    assert [got[k] for k in range(17, 21)] == ["Rare text 0.", "Rare text 1.", "Plain text 0.", "Plain text 1."]
+    assert all(got[k].startswith(f"T{k}\nLong text {k} of") for k in range(17))
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     one, two = wrappers.tree("<div><p>a</p></div>"), wrappers.tree("<div><h2>t</h2><p>a</p><p>b</p></div>")
     assert wrappers.expression(wrappers.aligned(one, two)) == "<div> ( <h2> #const </h2> )? ( <p> #text </p> )+ </div>"
