@@ -45,8 +45,15 @@ ENDED_BY = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "option": "optio
 #: Blocks that end an open paragraph.
 AFTER_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 MAIN = re.compile(r"^(article|main)\b|[.#](main|article|content|post|entry|story)([-_ .#]|$)|@main")
-BESIDE_TAG = frozenset("head nav footer aside form button select textarea option dialog menu title fieldset figcaption".split())
-BESIDE_NAME = re.compile(r"[.#@ _-](ad|ads|adv|advert\w*|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|notice\w*|alert|comment\w*|respon[ds]\w*|disqus|sidebar\w*|side|menu\w*|nav\w*|breadcrumb\w*|footer\w*|header|masthead|share\w*|social\w*|related|recommend\w*|subscribe\w*|newsletter\w*|signup|login|popup|modal|widget\w*|pagination|pager|copyright|legal|toc|skip\w*|search)(?=[.#@ _-]|$)", re.I)
+BESIDE_TAG = frozenset("head nav footer aside form button select textarea option dialog menu title fieldset".split())
+#: Names of parts beside the text. Whole words: "with-sidebar" or "comments-open" say how a page looks, not what a part is.
+BESIDE_NAME = re.compile(
+    r"((site|page|main|top|bottom|left|right|primary|secondary|global|mobile|user|reader|post|entry|article|cookie|blog|google|text)[-_]?)?"
+    r"(ads?|adverts?|advertis\w+|adsense|adslot|banners?|sponsor(s|ed)?|promos?|promotions?|cookies?|consent|notices?|alerts?|comments?|respond|responses?|disqus|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?"
+    r"|footer|masthead|share|sharing|social|related|recommend(ed|ations?)|subscribe|newsletter|signup|login|popup|modal|widgets?|pagination|pager|copyright|legal|toc|search)"
+    r"([-_]?(bar|box|block|area|list|items?|wrap|wrapper|container|inner|section|slot|unit|banner|links?|buttons?|icons?|form|menu|body|content|text|title|notice|thread|posts|articles|widget))*"
+    r"|((site|page|main|top|global|mobile|blog)[-_]?)?header([-_]?(bar|inner|wrap|wrapper|container|menu|nav))?|side|skip([-_]\w+)*"
+)
 #: Blocks of running text: no region lies inside one.
 LEAF = frozenset("p li td th dt dd tr blockquote pre h1 h2 h3 h4 h5 h6".split())
 MAX_HOSTS = 400
@@ -221,11 +228,18 @@ def slot_kinds(wrapper: list, pages: int) -> tuple[list[str], list[str]]:
 
 
 @lru_cache(maxsize=50_000)
-def traits(path: tuple[str, ...]) -> tuple[str, int, bool]:
-    """The joined path, where its main region begins (-1: nowhere) and whether it is beside the text."""
-    main = next((k for k, key in enumerate(path) if MAIN.search(key)), -1)
-    beside = any(tag(k) in BESIDE_TAG or BESIDE_NAME.search(k) or tag(k) == "header" and (main < 0 or i < main) for i, k in enumerate(path))
-    return ">".join(path), main, beside
+def traits(path: tuple[str, ...]) -> tuple[str, int, bool, bool, bool]:
+    """The joined path, where its main region begins (-1: nowhere), and whether it is beside the text
+    by a tag, by a name of the main region or around it, and by a name inside the main region.
+
+    Without a main region all names are around it. Names of html and body say nothing.
+    """
+    tags = [tag(k) for k in path]
+    main = next((k for k, key in enumerate(path) if tags[k] not in ("html", "body") and MAIN.search(key)), -1)
+    by_tag = any(t in BESIDE_TAG or t == "header" and (main < 0 or i < main) for i, t in enumerate(tags))
+    named = [k for k, key in enumerate(path) if tags[k] not in ("html", "body") and any(map(BESIDE_NAME.fullmatch, re.split(r"[.#@ ]", key)[1:]))]
+    around = any(main < 0 or k <= main for k in named)
+    return ">".join(path), main, by_tag, around, any(0 <= main < k for k in named)
 
 
 def regions(texts: list[tuple[tuple[str, ...], int]]) -> list[tuple[str, ...]]:
@@ -251,13 +265,20 @@ def regions(texts: list[tuple[tuple[str, ...], int]]) -> list[tuple[str, ...]]:
 
 
 def page_text(html: str | None, constant: set[str], links: set[str]) -> str:
-    """Main text of a page, by its own regions; if the host's constant slots are all it has, then those."""
-    found = [(path, text, len(text) - min(linked, len(text))) for kind, path, text, linked in blocks(html or "") if kind == "text"]
-    found = [f for f in found if not traits(f[0])[2] and traits(f[0])[0] not in links]
-    for texts in ([f for f in found if traits(f[0])[0] not in constant], found):
-        if texts:
-            inside = regions([(path, chars) for path, _, chars in texts])
-            return "\n".join(text for path, text, _ in texts if any(path[:len(r)] == r for r in inside))
+    """Main text of a page, by its own regions. Rules that would leave none of it are not applied.
+
+    A main region with a beside name on it or around it counts if no other is there and it holds more than the rest.
+    """
+    found = [(path, text, len(text) - min(linked, len(text)), *traits(path)) for kind, path, text, linked in blocks(html or "") if kind == "text"]
+    found = [f for f in found if not f[5]]
+    kept = [f for f in found if not f[7] and f[3] not in links]
+    for texts in ([f for f in kept if f[3] not in constant], kept, [f for f in found if f[4] >= 0]):
+        clear, named = [f for f in texts if not f[6]], [f for f in texts if f[6] and f[4] >= 0]
+        if not any(f[4] >= 0 for f in clear) and sum(f[2] for f in named) > sum(f[2] for f in clear):
+            clear = named
+        if clear:
+            inside = regions([f[:3:2] for f in clear])
+            return "\n".join(f[1] for f in clear if any(f[0][:len(r)] == r for r in inside))
     return ""
 
 

@@ -376,6 +376,24 @@ def test_wrappers_read_every_template_of_a_host(spark):
     assert all(got[k].startswith(f"T{k}\nLong text {k} of") for k in range(17))
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("<body class='has-sidebar'><article><p>Text {k}</p></article></body>", "Text {k}"),
+    ("<body class='no-sidebar menu'><p>Text {k}</p></body>", "Text {k}"),
+    ("<div class='content with-sidebar'><p>Text {k}</p><div class=sidebar>Links</div></div>", "Text {k}"),
+    ("<article class='post comments-open'><h1>T {k}</h1><p>Text {k}</p><div class='comment-list'>Nice {k}</div></article>", "T {k}\nText {k}"),
+    ("<div id=page class=fixed-header><div class=ad-slot>Buy {k}</div><p>Text {k}</p></div>", "Text {k}"),
+    ("<div class=social><article><p>Text {k}</p></article></div>", "Text {k}"),
+    ("<article><p>Text {k}</p></article><section class=comments><article><p>Much longer comment of a reader {k}</p></article></section>", "Text {k}"),
+    ("<article><figure><img src=a><figcaption>Caption {k}</figcaption></figure><p>Text {k}</p></article>", "Caption {k}\nText {k}"),
+    ("<article><div class=widget><p>All the text {k}</p></div></article>", "All the text {k}"),
+    ("<nav><p>Menu {k}</p></nav><footer>Foot {k}</footer>", ""),
+])
+def test_wrappers_test_whole_names_inside_the_main_region(html, want):
+    trees = [wrappers.tree(html.format(k=k)) for k in (1, 2)]
+    constant, links = wrappers.slot_kinds(wrappers.aligned(*trees), 2)
+    assert wrappers.page_text(html.format(k=1), set(constant), set(links)) == want.format(k=1)
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     one, two = wrappers.tree("<div><p>a</p></div>"), wrappers.tree("<div><h2>t</h2><p>a</p><p>b</p></div>")
     assert wrappers.expression(wrappers.aligned(one, two)) == "<div> ( <h2> #const </h2> )? ( <p> #text </p> )+ </div>"
