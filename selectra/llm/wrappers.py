@@ -8,11 +8,12 @@ optional; differing texts become a slot, equal texts stay constants of the templ
 Partial wrappers are folded inside each task and then merged per host in two steps,
 so a host with a third of all pages needs no task that sees all of them.
 
-The wrapper then decides which slots are constant and which are mostly links. A page's
-text is what is in neither, not below menus, headers, footers, sidebars, notices,
-adverts, forms or reader comments, and inside the main region of the page. The region
-is chosen page by page, so it doesn't depend on the host's other templates. The text is
-read in page order from the whole html.
+The wrapper then decides which slots are constant over different pages and which are
+mostly links. A page's text is what is inside its main region, not mostly links, and not
+below menus, headers, footers, sidebars, notices, adverts, forms or reader comments;
+constant slots are left out outside the region only. The region is chosen page by page,
+so it doesn't depend on the host's other templates. The text is read in page order from
+the whole html.
 
 Defined cases: null and empty pages have an empty text; a null or odd url makes a
 host of its own (""); a host with one page has only slots; text outside any tag is a
@@ -57,6 +58,8 @@ BESIDE_NAME = re.compile(
 #: Blocks of running text: no region lies inside one.
 LEAF = frozenset("p li td th dt dd tr blockquote pre h1 h2 h3 h4 h5 h6".split())
 MAX_HOSTS = 400
+#: A slot is constant if so many different pages have the same text in it; copies of a page count once.
+DISTINCT = 3
 
 
 def key_of(name: str, attributes: str) -> str:
@@ -127,12 +130,13 @@ def blocks(html: str) -> Iterator[tuple[str, tuple[str, ...], str, int]]:
 
 
 # A wrapper node is [key, how often ("1", "?", "+", "*"), slot, children]. Text nodes have the
-# key "#" and the slot [characters, characters in links, least text hash, greatest text hash].
+# key "#" and the slot [characters, characters in links, least text hash, greatest text hash,
+# the least DISTINCT hashes of whole pages that have it].
 
 
 def tree(html: str) -> list:
     root = ["", "1", None, []]
-    at = [root]
+    at, page = [root], zlib.crc32(html.encode("utf-8", "replace"))
     for kind, path, text, linked in blocks(html):
         if kind == "open":
             node = [path[-1], "1", None, []]
@@ -143,7 +147,7 @@ def tree(html: str) -> list:
             closed[3] = folded(closed[3])
         else:
             h = zlib.crc32(text.encode())
-            at[-1][3].append(["#", "1", [len(text), min(linked, len(text)), h, h], []])
+            at[-1][3].append(["#", "1", [len(text), min(linked, len(text)), h, h, [page]], []])
     root[3] = folded(root[3])
     return root
 
@@ -166,11 +170,16 @@ def folded(nodes: list) -> list:
     return out
 
 
+def both(a: list, b: list) -> list:
+    """The slot that covers two."""
+    return [a[0] + b[0], a[1] + b[1], min(a[2], b[2]), max(a[3], b[3]), a[4] if a[4] == b[4] else sorted({*a[4], *b[4]})[:DISTINCT]]
+
+
 def aligned(a: list, b: list) -> list:
     """The least wrapper node that covers both (of one key)."""
     slot = a[2]
     if slot and b[2]:
-        slot = [slot[0] + b[2][0], slot[1] + b[2][1], min(slot[2], b[2][2]), max(slot[3], b[2][3])]
+        slot = both(slot, b[2])
     return [a[0], either(a[1], b[1]), slot or b[2], merged(a[3], b[3])]
 
 
@@ -217,13 +226,12 @@ def tag(key: str) -> str:
     return re.split(r"[.#@]", key, maxsplit=1)[0]
 
 
-def slot_kinds(wrapper: list, pages: int) -> tuple[list[str], list[str]]:
+def slot_kinds(wrapper: list) -> tuple[list[str], list[str]]:
     """Paths of the slots that are constant and of those that are mostly links."""
     found: dict[tuple[str, ...], list] = {}
-    for path, (chars, linked, least, most) in slots(wrapper):
-        old = found.get(path)
-        found[path] = [chars, linked, least, most] if old is None else [old[0] + chars, old[1] + linked, min(old[2], least), max(old[3], most)]
-    constant = sorted(">".join(p) for p, s in found.items() if pages >= 3 and s[2] == s[3])
+    for path, slot in slots(wrapper):
+        found[path] = both(found[path], slot) if path in found else slot
+    constant = sorted(">".join(p) for p, s in found.items() if s[2] == s[3] and len(s[4]) == DISTINCT)
     return constant, sorted(">".join(p) for p, s in found.items() if 2 * s[1] > s[0])
 
 
@@ -268,16 +276,20 @@ def page_text(html: str | None, constant: set[str], links: set[str]) -> str:
     """Main text of a page, by its own regions. Rules that would leave none of it are not applied.
 
     A main region with a beside name on it or around it counts if no other is there and it holds more than the rest.
+    Constant slots don't help to find a region that no name marks; inside a region they are text like any other.
     """
     found = [(path, text, len(text) - min(linked, len(text)), *traits(path)) for kind, path, text, linked in blocks(html or "") if kind == "text"]
     found = [f for f in found if not f[5]]
     kept = [f for f in found if not f[7] and f[3] not in links]
-    for texts in ([f for f in kept if f[3] not in constant], kept, [f for f in found if f[4] >= 0]):
+    for texts in (kept, [f for f in found if f[4] >= 0]):
         clear, named = [f for f in texts if not f[6]], [f for f in texts if f[6] and f[4] >= 0]
         if not any(f[4] >= 0 for f in clear) and sum(f[2] for f in named) > sum(f[2] for f in clear):
             clear = named
+        varied = [f for f in clear if f[4] >= 0 or f[3] not in constant]
         if clear:
-            inside = regions([f[:3:2] for f in clear])
+            inside = regions([f[:3:2] for f in varied or clear])
+            if not any(r and tag(r[-1]) not in ("html", "body") for r in inside):
+                clear = varied or clear
             return "\n".join(f[1] for f in clear if any(f[0][:len(r)] == r for r in inside))
     return ""
 
@@ -332,7 +344,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [slot_kinds(json.loads(w), n) for w, n in zip(batch.column("wrapper").to_pylist(), batch.column("pages").to_pylist(), strict=True)]
+            found = [slot_kinds(json.loads(w)) for w in batch.column("wrapper").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("host"), *(pa.array([f[k] for f in found], pa.list_(pa.string())) for k in (0, 1))], ["_host", "_constant", "_links"])
 
     rules = written(infer(pages, url_col, html_col).mapInArrow(kinds, "_host string, _constant array<string>, _links array<string>"), "rules")

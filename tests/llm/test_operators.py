@@ -390,10 +390,20 @@ def test_wrappers_read_every_template_of_a_host(spark):
 ])
 def test_wrappers_test_whole_names_inside_the_main_region(html, want):
     trees = [wrappers.tree(html.format(k=k)) for k in (1, 2)]
-    constant, links = wrappers.slot_kinds(wrappers.aligned(*trees), 2)
+    constant, links = wrappers.slot_kinds(wrappers.aligned(*trees))
     assert wrappers.page_text(html.format(k=1), set(constant), set(links)) == want.format(k=1)
 
 
+def test_wrappers_keep_constant_text_inside_the_region(spark):
+    copy = "<body><article><h1>Same</h1><p>The only paragraph.</p></article></body>"
+    assert set(texts_of(spark, [copy] * 5).values()) == {"Same\nThe only paragraph."}
+    shared = [f"<body><div class=top>Tagline</div><article><h2>Shared line</h2><p>Text {k}</p></article></body>" for k in range(4)]
+    assert texts_of(spark, shared) == {k: f"Shared line\nText {k}" for k in range(4)}
+    plain = [f"<body><div class=top>Tagline</div><p>Text {k}</p></body>" for k in range(4)]  # no region is marked: constant slots are outside
+    assert set(texts_of(spark, [plain[0]] * 4).values()) == {"Tagline\nText 0"}
+    assert texts_of(spark, plain) == {k: f"Text {k}" for k in range(4)}
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     one, two = wrappers.tree("<div><p>a</p></div>"), wrappers.tree("<div><h2>t</h2><p>a</p><p>b</p></div>")
     assert wrappers.expression(wrappers.aligned(one, two)) == "<div> ( <h2> #const </h2> )? ( <p> #text </p> )+ </div>"
