@@ -24,6 +24,8 @@ TIER_CAPS = {"elite": 10, "factory": 50, "laboratory": 100}
 INF = float("inf")
 BLOCK = 1024
 SALTS = 16
+#: Distinct vectors of a group that one task sorts into fronts; of larger groups fronts are peeled until so many are left.
+SORTED = 1_000_000
 
 
 def _signed(name: str, sense: str) -> Column:
@@ -94,13 +96,60 @@ def pareto_frontier(df: DataFrame, objectives: Mapping[str, str] = OBJECTIVES, b
     return signed.join(front, same, "left_semi").drop(*values)
 
 
-def pareto_fronts(df: DataFrame, objectives: Mapping[str, str] = OBJECTIVES, by: Sequence[str] = (), max_fronts: int = 10, id_col: str = "id", need: int | None = None) -> DataFrame:
-    """Adds front_rank by peeling frontiers; rows beyond ``max_fronts`` get null. Ids must be unique.
+def front_ranks(points: np.ndarray) -> np.ndarray:
+    """Front of every row (less is better, rows distinct).
 
-    With ``need`` the peeling ends once so many rows are ranked (for ungrouped selections).
+    In lexicographic order a row goes into the first front none of whose rows dominates it; a row that
+    front k doesn't dominate isn't dominated by a later one, so the front is found by bisection.
     """
-    rest, found, ranked = df.select(id_col, *by, *objectives), [], 0
-    for rank in range(max_fronts):
+    ranks = np.zeros(len(points), int)
+    fronts: list[np.ndarray] = []
+    sizes: list[int] = []
+    for at in np.lexsort(points.T[::-1]):
+        point, low, high = points[at], 0, len(fronts)
+        while low < high:
+            k = (low + high) // 2
+            if (fronts[k][:sizes[k]] <= point).all(1).any():
+                low = k + 1
+            else:
+                high = k
+        if low == len(fronts):
+            fronts.append(np.empty((4, points.shape[1])))
+            sizes.append(0)
+        elif sizes[low] == len(fronts[low]):
+            fronts[low] = np.concatenate([fronts[low], np.empty_like(fronts[low])])
+        fronts[low][sizes[low]] = point
+        sizes[low] += 1
+        ranks[at] = low
+    return ranks
+
+
+def _sorted_fronts(vectors: DataFrame, values: list[str], by: list[str], first: int) -> DataFrame:
+    """Distinct vectors with front_rank, counted from ``first``; a group is one task."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(front_rank=(front_ranks(rows[values].to_numpy(float)) + first).astype("int32"))
+
+    return vectors.groupBy(*by).applyInPandas(run, vectors.select("*").schema.add("front_rank", "integer"))
+
+
+def pareto_fronts(df: DataFrame, objectives: Mapping[str, str] = OBJECTIVES, by: Sequence[str] = (), max_fronts: int | None = None, id_col: str = "id", need: int | None = None) -> DataFrame:
+    """Adds front_rank to every row. Ids must be unique.
+
+    Only if ``max_fronts`` is given, the peeling ends there and rows beyond get null; with ``need`` it may end
+    once so many rows are ranked (for ungrouped selections).
+    """
+    by, values = list(by), [f"_o{i}" for i in range(len(objectives))]
+    rest, found, ranked, rank = df.select(id_col, *by, *objectives), [], 0, 0
+    while max_fronts is None or rank < max_fronts:
+        if max_fronts is None:
+            signed = rest.select(id_col, *by, *[_signed(c, s).alias(v) for v, (c, s) in zip(values, objectives.items(), strict=True)])
+            vectors = cut(signed.select(*by, *values).distinct(), f"vectors{rank}")
+            if (vectors.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= SORTED:
+                sort = cut(_sorted_fronts(vectors, values, by, rank), "sorted")
+                sort = sort.select(*[F.col(c).alias(f"_s_{c}") for c in [*by, *values]], "front_rank")
+                same = reduce(lambda x, y: x & y, [signed[c].eqNullSafe(sort[f"_s_{c}"]) for c in [*by, *values]])
+                found.append(signed.join(sort, same).select(id_col, "front_rank"))
+                break
         front = cut(pareto_frontier(rest, objectives, by).select(id_col).withColumn("front_rank", F.lit(rank)), f"front{rank}")
         found.append(front)
         if need is not None:
@@ -110,6 +159,7 @@ def pareto_fronts(df: DataFrame, objectives: Mapping[str, str] = OBJECTIVES, by:
         rest = cut(rest.join(front, id_col, "left_anti"), f"rest{rank}")
         if rest.isEmpty():
             break
+        rank += 1
     ranks = reduce(DataFrame.unionByName, found)
     return df.join(ranks, id_col, "left")
 
@@ -134,7 +184,7 @@ def crowding_distance(df: DataFrame, dims: Sequence[str] = CROWDING_DIMS, rank_c
     return df.join(distances, id_col)
 
 
-def nsga2_select(df: DataFrame, k: int, objectives: Mapping[str, str] = OBJECTIVES, dims: Sequence[str] = CROWDING_DIMS, by: Sequence[str] = (), max_fronts: int = 10, id_col: str = "id") -> DataFrame:
+def nsga2_select(df: DataFrame, k: int, objectives: Mapping[str, str] = OBJECTIVES, dims: Sequence[str] = CROWDING_DIMS, by: Sequence[str] = (), max_fronts: int | None = None, id_col: str = "id") -> DataFrame:
     """The best k rows (of each group) by front, then crowding, then id."""
     ranked = crowding_distance(pareto_fronts(df, objectives, by, max_fronts, id_col, None if by else k), dims, "front_rank", by, id_col=id_col)
     order = [F.col("front_rank").asc_nulls_last(), F.col("crowding").desc(), F.col(id_col)]

@@ -67,6 +67,26 @@ def pareto_fronts(spark: SparkSession, d: str) -> DataFrame:
     return pareto.pareto_fronts(view(spark, d, C), by=["grp"], max_fronts=3).select("id", "front_rank")
 
 
+@query()
+def all_pareto_fronts(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with its front; the SQL of pareto_fronts has the first three."""
+    return pareto.pareto_fronts(view(spark, d, C), by=["grp"]).select("id", "front_rank")
+
+
+def _all_crowded(spark: SparkSession, d: str) -> DataFrame:
+    return pareto.crowding_distance(pareto.pareto_fronts(view(spark, d, C), by=["grp"]), by=["grp"])
+
+
+@query()
+def all_crowding_distance(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_all_crowded(spark, d).select("id", "front_rank", "crowding"), "crowding")
+
+
+@query()
+def all_front_stats(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(pareto.front_stats(_all_crowded(spark, d), ["grp"]), "mean_crowding")
+
+
 def _crowded(spark: SparkSession, d: str) -> DataFrame:
     ranked = pareto.pareto_fronts(view(spark, d, C), by=["grp"], max_fronts=3).filter("front_rank IS NOT NULL")
     return pareto.crowding_distance(ranked, by=["grp"])
@@ -79,13 +99,13 @@ def crowding_distance(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_views("SELECT grp, id FROM crowded QUALIFY row_number() OVER (PARTITION BY grp ORDER BY front_rank, crowding DESC, id) <= 20", CROWDED))
 def nsga2_select(spark: SparkSession, d: str) -> DataFrame:
-    return pareto.nsga2_select(view(spark, d, C), 20, by=["grp"], max_fronts=3).select("grp", "id")
+    return pareto.nsga2_select(view(spark, d, C), 20, by=["grp"]).select("grp", "id")
 
 
 @query()
 def tournament_select(spark: SparkSession, d: str) -> DataFrame:
     """A tenth as many tournaments as there are rows."""
-    rows = pareto.crowding_distance(pareto.pareto_fronts(view(spark, d, C), max_fronts=2), dims=pareto.CROWDING_DIMS[:3])
+    rows = pareto.crowding_distance(pareto.pareto_fronts(view(spark, d, C)), dims=pareto.CROWDING_DIMS[:3])
     return pareto.tournament_select(rows, max(1, rows.count() // 10), 3, seed=7)
 
 

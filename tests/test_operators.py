@@ -73,6 +73,27 @@ def test_frontier_and_fronts(spark):
     assert pareto.pareto_frontier(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1_000_000, 40])
+def test_fronts_rank_every_row(spark, monkeypatch, most):
+    monkeypatch.setattr(pareto, "SORTED", most)
+    rng = random.Random(6)
+    data = [(i, "ab"[i % 2], *(float(rng.randrange(30)) for _ in range(2)), 1.0) for i in range(120)] + [(200 + i, "c", 0.0, float(i), 1.0) for i in range(14)] + [(300, "c", None, 1.0, 1.0)]
+    df = spark.createDataFrame(data, "id long, grp string, correctness double, latency_p50 double, memory_peak_mb double").repartition(3)
+    ranked = pareto.pareto_fronts(df, by=["grp"]).cache()
+    ranks, want, dims = dict(rows(ranked, "id", "front_rank")), {}, ["correctness", "latency_p50"]
+    for g in "abc":
+        left, k = {i: (INF if x is None else -x, y, z) for i, h, x, y, z in data if h == g}, 0
+        while left:
+            front = brute_front(left)
+            want |= dict.fromkeys(front, k)
+            left, k = {i: p for i, p in left.items() if i not in front}, k + 1
+    assert ranks == want and max(want.values()) > 10
+    stats_of = dict(rows(pareto.front_stats(pareto.crowding_distance(ranked, dims, by=["grp"]), ["grp"]), "grp", "n_fronts"))
+    assert stats_of == {g: len({want[i] for i, h, *_ in data if h == g}) for g in "abc"}
+    picked = pareto.nsga2_select(df, 13, dims=dims, by=["grp"]).filter("grp = 'c'")
+    assert rows(picked, "id") == [(200 + i,) for i in range(12)] + [(300,)]
+
+
 def test_crowding(spark):
     df = spark.createDataFrame([(i, 1.0, float(i), 10.0 - i * i) for i in range(4)], VECTOR).withColumn("front_rank", F.lit(0))
     got = dict(rows(pareto.crowding_distance(df, ["correctness", "latency_p50", "memory_peak_mb"]), "id", "crowding"))
