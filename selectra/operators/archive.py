@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -99,10 +100,11 @@ def near_duplicates_lsh(emb: DataFrame, threshold: float = 0.98, tables: int = 8
     return found.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), (1 - F.col("d") * F.col("d") / 2).alias("dot"))
 
 
-def semantic_dedupe(emb: DataFrame, pairs: DataFrame, order: str = "ord", id_col: str = "vec_id", max_rounds: int = 100) -> DataFrame:
+def semantic_dedupe(emb: DataFrame, pairs: DataFrame, order: str = "ord", id_col: str = "vec_id", max_rounds: int | None = None) -> DataFrame:
     """Adds kept and merged_into, in arrival order: a row with a kept earlier neighbour goes into the earliest such row.
 
     Rounds: a row is kept once all its earlier neighbours are settled as gone; it is gone once one of them is kept.
+    Every round settles the earliest open row at least. With ``max_rounds`` rows still open then are an error.
     """
     place = emb.select(F.col(id_col).alias("id"), F.struct(F.col(order), F.col(id_col)).alias("o"))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -111,9 +113,11 @@ def semantic_dedupe(emb: DataFrame, pairs: DataFrame, order: str = "ord", id_col
     open_ids = cut(earlier.select("id").distinct(), "open")
     kept = [emb.select(F.col(id_col).alias("id")).join(open_ids, "id", "left_anti")]
     gone = []
-    for k in range(max_rounds):
+    for k in count():
         if open_ids.isEmpty():
             break
+        if k == max_rounds:
+            raise RuntimeError(f"semantic_dedupe: rows are still open after {max_rounds} rounds")
         all_kept = reduce(DataFrame.unionByName, kept).select(F.col("id").alias("before"))
         out = cut(earlier.join(open_ids, "id", "left_semi").join(all_kept, "before", "left_semi").groupBy("id").agg(F.min_by("before", "o").alias("into")), f"gone{k}")
         gone.append(out)
@@ -122,6 +126,8 @@ def semantic_dedupe(emb: DataFrame, pairs: DataFrame, order: str = "ord", id_col
         new = cut(rest.join(waiting, "id", "left_anti"), f"kept{k}")
         kept.append(new)
         open_ids = cut(rest.join(new, "id", "left_anti"), f"open{k}")
+        if k % 16 == 15:
+            kept, gone = ([cut(reduce(DataFrame.unionByName, part), f"settled{k}")] for part in (kept, gone))
     merged = reduce(DataFrame.unionByName, gone) if gone else open_ids.withColumn("into", F.col("id")).limit(0)
     rows = emb.join(merged.select(F.col("id").alias(id_col), F.col("into").alias("merged_into")), id_col, "left")
     return rows.withColumn("kept", F.col("merged_into").isNull())

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,30 +17,39 @@ from selectra.functions.scores import clamp
 from selectra.sources.scratch import cut
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 50, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(seed, node, level): first level at which each node is reached from each seed along src -> dst; seeds not included."""
+#: So many levels are kept as tables of their own before they are written as one.
+LEVELS = 16
+
+
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(seed, node, level): first level at which each node is reached from each seed along src -> dst; seeds not included.
+
+    Runs until nothing new is reached, or for ``max_depth`` levels if that is given.
+    """
     links = cut(edges.select(F.col(src).alias("_from"), F.col(dst).alias("_to")).filter("_from IS NOT NULL AND _to IS NOT NULL").distinct(), "links")
     frontier = cut(seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct().withColumn("node", F.col("seed")), "seeds")
     visited = [frontier.withColumn("level", F.lit(0))]
-    for level in range(1, max_depth + 1):
+    for level in count(1) if max_depth is None else range(1, max_depth + 1):
         ahead = frontier.join(links, frontier["node"] == links["_from"]).select("seed", F.col("_to").alias("node")).distinct()
         seen = reduce(DataFrame.unionByName, visited).select("seed", "node")
         frontier = cut(ahead.join(seen, ["seed", "node"], "left_anti"), f"level{level}")
         if frontier.isEmpty():
             break
         visited.append(frontier.withColumn("level", F.lit(level)))
+        if len(visited) > LEVELS:
+            visited = [cut(reduce(DataFrame.unionByName, visited), f"visited{level}")]
     return reduce(DataFrame.unionByName, visited).filter("level > 0")
 
 
-def ancestors(edges: DataFrame, seeds: DataFrame, max_depth: int = 50, parent: str = "parent_id", child: str = "child_id") -> DataFrame:
+def ancestors(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, parent: str = "parent_id", child: str = "child_id") -> DataFrame:
     return reach(edges, seeds, max_depth, child, parent)
 
 
-def descendants(edges: DataFrame, seeds: DataFrame, max_depth: int = 50, parent: str = "parent_id", child: str = "child_id") -> DataFrame:
+def descendants(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, parent: str = "parent_id", child: str = "child_id") -> DataFrame:
     return reach(edges, seeds, max_depth, parent, child)
 
 
-def lineage_stats(nodes: DataFrame, edges: DataFrame, id_col: str = "id", max_depth: int = 200) -> DataFrame:
+def lineage_stats(nodes: DataFrame, edges: DataFrame, id_col: str = "id", max_depth: int | None = None) -> DataFrame:
     """Nodes, roots, generations, most and mean ancestors, true depth and resurrections."""
     up = ancestors(edges, nodes.select(id_col), max_depth).groupBy("seed").agg(F.count(F.lit(1)).alias("n_ancestors"), F.max("level").alias("depth"))
     roots = nodes.join(edges.select(F.col("child_id").alias(id_col)).distinct(), id_col, "left_anti").agg(F.count(F.lit(1)).alias("roots"))
@@ -49,8 +59,8 @@ def lineage_stats(nodes: DataFrame, edges: DataFrame, id_col: str = "id", max_de
     return out.withColumn("avg_ancestors", F.when(F.col("nodes") > 0, F.col("_sum") / F.col("nodes")).otherwise(0.0)).drop("_sum")
 
 
-def genealogical_distance(edges: DataFrame, pairs: DataFrame, max_hops: int = 20, parent: str = "parent_id", child: str = "child_id") -> DataFrame:
-    """pairs (a, b) with their undirected distance; 0 for themselves, null if not connected within max_hops."""
+def genealogical_distance(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None, parent: str = "parent_id", child: str = "child_id") -> DataFrame:
+    """pairs (a, b) with their undirected distance; 0 for themselves, null if not connected (within max_hops, if given)."""
     both = edges.select(F.col(parent).alias("src"), F.col(child).alias("dst"))
     both = both.unionByName(edges.select(F.col(child).alias("src"), F.col(parent).alias("dst")))
     found = reach(both, pairs.select("a"), max_hops)
@@ -71,7 +81,7 @@ def revival_due(series: DataFrame, by: str, waited: str, patience: int = 8, most
     return due.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(waited))).filter(F.col("_k") <= most).drop("_k")
 
 
-def discovery_score(nodes: DataFrame, edges: DataFrame, max_depth: int = 50, id_col: str = "id", score: str = "score") -> DataFrame:
+def discovery_score(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None, id_col: str = "id", score: str = "score") -> DataFrame:
     """0.7 * improved / descendants + 0.3 * tanh(sum of gains / max(1, |base| + 1)), in [0, 1]; 0 without descendants."""
     down = descendants(edges, nodes.select(id_col), max_depth)
     own, other = nodes.select(F.col(id_col).alias("seed"), F.col(score).alias("base")), nodes.select(F.col(id_col).alias("node"), F.col(score).alias("s"))
@@ -115,7 +125,7 @@ def parent_delta(nodes: DataFrame, edges: DataFrame, id_col: str = "id", score:
     return edges.join(up, "parent_id").join(down, "child_id").select("parent_id", "child_id", (F.col("_c") - F.col("_p")).alias("delta"), (F.col("_c") <= F.col("_p")).alias("regressed"))
 
 
-def cross_branch_pairs(left: DataFrame, right: DataFrame, edges: DataFrame, min_dist: int = 3, max_hops: int = 20) -> DataFrame:
+def cross_branch_pairs(left: DataFrame, right: DataFrame, edges: DataFrame, min_dist: int = 3, max_hops: int | None = None) -> DataFrame:
     """(a, b, distance) of ids from two filtered sides that are at least min_dist apart; unconnected pairs count."""
     pairs = left.select(F.col(left.columns[0]).alias("a")).join(right.select(F.col(right.columns[0]).alias("b")), F.col("a") != F.col("b"))
     near = genealogical_distance(edges, pairs, max_hops)

@@ -23,7 +23,7 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 @query(with_views(L, f"WITH {UP} SELECT seed, node, level FROM ups"))
 def ancestors(spark: SparkSession, d: str) -> DataFrame:
     edges = _edges(spark, d)
-    return lineage.ancestors(edges, edges.select("child_id"), 60)
+    return lineage.ancestors(edges, edges.select("child_id"))
 
 
 @query(with_views(L, f"WITH {UP} SELECT node AS seed, seed AS node, level FROM ups WHERE level <= 3"))
@@ -32,6 +32,13 @@ def descendants(spark: SparkSession, d: str) -> DataFrame:
     return lineage.descendants(edges, edges.select("parent_id"), 3)
 
 
+@query()
+def all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """At every level; the SQL of descendants has three."""
+    edges = _edges(spark, d)
+    return lineage.descendants(edges, edges.select("parent_id"))
+
+
 @query(with_views(f"{N} {L}", f"WITH {UP}, a AS (SELECT seed, count(*) AS n, max(level) AS l FROM ups GROUP BY seed) SELECT count(*) AS nodes, count_if(id NOT IN (SELECT child_id FROM v_lineage)) AS roots, count(DISTINCT generation) AS generations, count_if(resurrected) AS resurrected, (SELECT max(n) FROM a) AS max_ancestors, (SELECT max(l) FROM a) AS max_level, round((SELECT sum(n) FROM a) / count(*), 6) AS avg_ancestors FROM v_nodes"))
 def lineage_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lineage.lineage_stats(view(spark, d, N), _edges(spark, d)), "avg_ancestors")
@@ -45,6 +52,14 @@ def genealogical_distance(spark: SparkSession, d: str) -> DataFrame:
     return lineage.genealogical_distance(_edges(spark, d), pairs, 6)
 
 
+@query()
+def all_genealogical_distance(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of a user at any distance; the SQL of genealogical_distance has ids less than 4,000 apart and six steps."""
+    nodes = view(spark, d, N)
+    a, b = nodes.filter("grp = 'purchase'").select(F.col("id").alias("a"), "user_id"), nodes.filter("grp = 'click'").select(F.col("id").alias("b"), "user_id")
+    return lineage.genealogical_distance(_edges(spark, d), a.join(b, "user_id").select("a", "b"))
+
+
 @query(with_views(f"{N} {L}", f"WITH {UP}, best AS (SELECT id FROM v_nodes ORDER BY score DESC, id LIMIT 1) SELECT id, score FROM v_nodes WHERE NOT resurrected AND score > 0.3 * (SELECT max(score) FROM v_nodes) AND id NOT IN (SELECT id FROM best) AND id NOT IN (SELECT node FROM ups WHERE seed IN (SELECT id FROM best)) ORDER BY score DESC, id LIMIT 5"))
 def abandoned_branches(spark: SparkSession, d: str) -> DataFrame:
     nodes = view(spark, d, N)
@@ -58,13 +73,13 @@ DISCOVERY = "disc AS (SELECT b.id, least(greatest(0.7 * count_if(s.score > b.sco
 
 @query(with_views(f"{N} {L}", f"WITH {UP}, {DISCOVERY} SELECT id, round(coalesce(discovery, 0), 6)::DOUBLE AS discovery FROM v_nodes LEFT JOIN disc USING (id)"))
 def discovery_score(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(lineage.discovery_score(view(spark, d, N), _edges(spark, d), 60), "discovery")
+    return rounded(lineage.discovery_score(view(spark, d, N), _edges(spark, d)), "discovery")
 
 
 @query(with_views(f"{N} {L}", f"WITH {UP}, {DISCOVERY} SELECT id, round(score + 0.15 * (generation / 10) + 0.2 * (user_id % 7) / 7 + 0.35 * coalesce(discovery, 0), 5)::DOUBLE AS advanced FROM v_nodes LEFT JOIN disc USING (id)"))
 def advanced_score(spark: SparkSession, d: str) -> DataFrame:
     nodes = view(spark, d, N).withColumns({"novelty": F.col("generation") / 10, "entropy": (F.col("user_id") % 7) / 7})
-    rows = nodes.join(lineage.discovery_score(nodes, _edges(spark, d), 60), "id")
+    rows = nodes.join(lineage.discovery_score(nodes, _edges(spark, d)), "id")
     return rounded(lineage.advanced_score(rows).select("id", "advanced"), "advanced", digits=5)
 
 
@@ -95,7 +110,7 @@ def lineage_record(spark: SparkSession, d: str) -> DataFrame:
 @query(with_views(f"{N} {L}", f"WITH {UP}, act AS (SELECT DISTINCT node AS id FROM ups JOIN v_nodes n ON n.id = ups.seed WHERE n.score >= 30) SELECT count(*) AS total, count_if(NOT alive AND id NOT IN (SELECT id FROM act)) AS archived, round(100.0 * count_if(NOT alive AND id NOT IN (SELECT id FROM act)) / count(*), 5)::DOUBLE AS archived_pct FROM v_nodes"))
 def archive_inactive(spark: SparkSession, d: str) -> DataFrame:
     nodes = view(spark, d, N).withColumn("text", F.col("grp"))
-    active = lineage.ancestors(_edges(spark, d), nodes.filter("score >= 30").select("id"), 60).select("node")
+    active = lineage.ancestors(_edges(spark, d), nodes.filter("score >= 30").select("id")).select("node")
     return rounded(lineage.archive_summary(lineage.archive_split(nodes, active)), "archived_pct", digits=5)
 
 

@@ -231,3 +231,17 @@ def test_entropy_of_one_label_is_zero(spark):
     df = spark.createDataFrame([("g", "a"), ("g", "a"), ("h", "a"), ("h", "b")], "g string, t string")
     got = dict(rows(groups.token_entropy(df, F.col("t"), "g"), "g", "entropy"))
     assert got["g"] == pytest.approx(0.0) and got["h"] == pytest.approx(1.0) and math.isfinite(got["h"])
+
+
+def test_lineage_has_no_depth_limit(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(54)], "parent_id long, child_id long")
+    seed = spark.createDataFrame([(54,)], "id long")
+    assert rows(lineage.ancestors(edges, seed), "node", "level") == [(i, 54 - i) for i in range(54)]
+
+
+def test_semantic_dedupe_raises_if_rows_stay_open(spark):
+    emb = spark.createDataFrame([(i, i) for i in range(8)], "vec_id long, ord long")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(7)], "a long, b long")
+    assert rows(archive.semantic_dedupe(emb, pairs), "vec_id", "kept") == [(i, i % 2 == 0) for i in range(8)]
+    with pytest.raises(RuntimeError):
+        archive.semantic_dedupe(emb, pairs, max_rounds=1)
