@@ -16,8 +16,8 @@ Hot passages: rows are pre-aggregated to the least and greatest id per hash; the
 join back meets a written table, so adaptive execution splits the rows of a hot hash.
 
 Defined cases: null and empty texts have no words; rows with a null id are left as
-they are and remove nothing; rows that share an id never remove from each other;
-texts shorter than a window stay; an empty table gives an empty result. Other
+they are and remove nothing; rows that share an id never remove from each other, and
+a repeated row gives a row of its own; texts shorter than a window stay; an empty table gives an empty result. Other
 columns are not touched and not returned.
 """
 
@@ -132,10 +132,10 @@ def _with_positions(docs: DataFrame, positions: DataFrame, how: str) -> DataFram
 
 
 def later_copies(docs: DataFrame) -> DataFrame:
-    """(_id, _key) of texts that a smaller id holds in whole."""
+    """(_id, _key) of texts that a smaller id holds in whole, once however often the row comes."""
     rows = docs.select("_id", "_key", F.sha2("_text", 256).alias("_sha"))
     groups = written(rows.groupBy("_sha").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).filter("_least < _most"), "texts")
-    return written(rows.join(groups, "_sha").filter("_id > _least").select("_id", "_key"), "copies")
+    return written(rows.join(groups, "_sha").filter("_id > _least").select("_id", "_key").distinct(), "copies")
 
 
 def repeated(df: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
