@@ -18,7 +18,9 @@ no records twice. Files go through pyarrow's file systems by URI, into the share
 Defined cases: a null payload is empty; a null url is left out of the record; null
 page ids come last among equals and are read back as null; rows that share a page id
 and payload are all responses if that id is the largest of its group; an empty table
-gives no packages and no records. Other columns are ignored.
+gives no packages and no records. Other columns are ignored. A truncated package, a
+compressed member and, unless asked otherwise, a record whose payload doesn't have
+the digest it states are errors.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 MAX_PACKAGE = 256 << 20
 #: Index lines of so many consecutive bytes of a package are read by one task.
 SPLIT = 16 << 20
+#: Reading tasks at most; beyond, each gets more bytes.
+MOST_TASKS = 50_000
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, intact boolean"
 
@@ -219,10 +223,17 @@ def index_lines(packages: DataFrame) -> DataFrame:
     return packages.select("package").mapInArrow(read, "package string, offset long, length long")
 
 
-def read_records(packages: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records of the packages named in column ``package``."""
-    ranges = index_lines(packages).withColumn("_split", F.floor(F.col("offset") / SPLIT))
-    ranges = ranges.repartition("package", "_split").sortWithinPartitions("package", "offset").drop("_split")
+def read_records(packages: DataFrame, with_payload: bool = True, strict: bool = True) -> DataFrame:
+    """The records of the packages named in column ``package``, whose bytes are in column ``size``.
+
+    With ``strict`` a damaged record is an error, else its ``intact`` is false.
+    """
+    n_bytes = packages.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # Lines are small and records are not: the number of tasks comes from the bytes behind the lines.
+    tasks = min(MOST_TASKS, max(1, -(-n_bytes // SPLIT), min(packages.sparkSession.sparkContext.defaultParallelism, n_bytes >> 20)))
+    split = -(-n_bytes // (4 * tasks)) or 1  # four stretches a task, to even out
+    ranges = index_lines(packages).withColumn("_split", F.floor(F.col("offset") / split))
+    ranges = ranges.repartition(tasks, "package", "_split").sortWithinPartitions("package", "offset").drop("_split")
     names = [c.split()[0] for c in RECORDS.split(", ")] + ["payload"] * with_payload
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +252,8 @@ def read_records(packages: DataFrame, with_payload: bool = True) -> DataFrame:
                 full = int(_.rpartition(b"Content-Length:")[2]) if revisit else len(payload)
                 actual = digest if revisit else hashlib.sha1(payload).hexdigest()
                 refers_to = page_of(fields["warc-refers-to"]) if revisit else None
+                if strict and actual != digest:
+                    raise ValueError(f"{package}: the record at byte {offset} is damaged")
                 row = (page_of(fields["warc-record-id"]), fields.get("warc-target-uri"), fields["warc-type"], full, actual, refers_to, actual == digest)
                 rows.append((*row, None if revisit else payload) if with_payload else row)
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.binary()]
