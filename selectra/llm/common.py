@@ -21,9 +21,11 @@ MAX_BITS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder of the session; a temporary one only where none is set (tests)."""
+    """The shared scratch folder of the session; where none is set, a temporary one in local mode (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
