@@ -12,17 +12,21 @@ remains is confirmed on the full sets, without error.
 No group is expanded into pairs. In every band bucket a pivot, then four more, are
 compared with the members that are not yet in their component; found links merge
 components, used pivots leave, and buckets whose members all share a component are
-done. What is left are buckets in which many texts are alike but not linked. Their
-members are dealt into blocks, the bucket's largest component apart from the rest;
-a task takes two blocks (never two of that component), drops pairs of one component,
-pairs that an earlier band also holds, and pairs that sizes or sketches rule out, and
-confirms the others on the sets in place: only links leave it. So every candidate
-pair is decided, without a cap.
+done. What is left are buckets in which many texts are alike but not linked. Those of
+more than ``HOT`` members are narrowed: their members meet again only where they share
+a second and, if that is still too much, a third band (texts at a similarity of 0.8
+share 13 of 32 bands; two are missed by one pair in a million, three by one in
+80,000). The members of what is left are dealt into blocks, the bucket's largest
+component apart from the rest; a task takes two blocks (never two of that component),
+drops pairs of one component, pairs that another bucket also holds, and pairs that
+sizes or sketches rule out, and confirms the others on the sets in place: only links
+leave it. So every candidate pair is decided, without a cap.
 
 Defined cases: A-Z are lower-cased; a text with fewer words than a shingle has its
 whole sequence as the one shingle; texts without words are linked with nothing; rows
-with a null id stay and are linked with nothing; ids are integers; rows that share
-an id share a component; an empty table gives an empty result. Other columns are not returned.
+with a null id stay and are linked with nothing; ids are integers; rows that share an
+id are nodes of their own, each with the component of its own text; an empty table
+gives an empty result. Other columns are not returned.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from selectra.llm.common import written
+from selectra.llm.common import dropped, joined_by_size, written
 from selectra.llm.repeats import WordHashes, joined
 
 BANDS, ROWS = 32, 4
@@ -103,7 +107,7 @@ def _signed(size: int):
                 low.append(int.from_bytes(digest[8:], "little", signed=True))
                 band.append(bands(least))
                 sketch.append(odd_sketch(least))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), _lists(band), _lists(sketch)], ["_id", "n", "high", "low", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), _lists(band), _lists(sketch)], ["_id", "_key", "n", "high", "low", "bands", "sketch"])
 
     return run
 
@@ -139,7 +143,8 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: a node and all it points at point at the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = written(small.filter("u > v").distinct(), "edges")
+        before, edges = edges, written(small.filter("u > v").distinct(), "edges")
+        dropped(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -153,10 +158,15 @@ def _few(ids: DataFrame) -> DataFrame:
 
 #: Members of a block, and shingles of all its members, as expected.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Buckets with more open members than this are narrowed by further bands, up to DEPTH bands in all.
+HOT, DEPTH = 2048, 3
 
 
 def _links_in_blocks(percent: int):
-    """Arrow function over block pairs (band, same, l_rows, r_rows): the links (a, b) between members of different components."""
+    """Arrow function over block pairs (at, same, l_rows, r_rows): the links (a, b) between members of different components.
+
+    A pair is decided only in the bucket whose bands ``at`` are the first that it shares.
+    """
 
     def columns(rows: pa.ListScalar):
         flat = rows.values
@@ -169,27 +179,27 @@ def _links_in_blocks(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_a, out_b = [], []
-            for band, same, left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for at, same, left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 rep, label, bands_l, sketch_l, n_l, grams_l = columns(left)
                 rep_r, label_r, bands_r, sketch_r, n_r, grams_r = columns(right)
                 ends_l, ends_r = np.concatenate([[0], np.cumsum(n_l)]), np.concatenate([[0], np.cumsum(n_r)])
                 for k in range(len(rep)):
-                    shared = bands_l[k] == bands_r
-                    ok = (label[k] != label_r) & (shared.argmax(1) == band) & shared[:, band]
+                    shared = bands_l[k, :at[-1] + 1] == bands_r[:, :at[-1] + 1]
+                    ok = (label[k] != label_r) & shared[:, at].all(1) & (shared.sum(1) == len(at))
                     if same:
                         ok &= rep_r > rep[k]
                     ok &= 100 * np.minimum(n_l[k], n_r) >= percent * np.maximum(n_l[k], n_r)
-                    at = np.flatnonzero(ok)
-                    if len(at):
-                        at = at[np.bitwise_count((sketch_l[k] ^ sketch_r[at]).view(np.uint64)).sum(1) <= MOST_BITS]
-                    if not len(at):
+                    near = np.flatnonzero(ok)
+                    if len(near):
+                        near = near[np.bitwise_count((sketch_l[k] ^ sketch_r[near]).view(np.uint64)).sum(1) <= MOST_BITS]
+                    if not len(near):
                         continue
                     own = grams_l[ends_l[k]:ends_l[k + 1]]
-                    other = np.concatenate([grams_r[ends_r[j]:ends_r[j + 1]] for j in at])
+                    other = np.concatenate([grams_r[ends_r[j]:ends_r[j + 1]] for j in near])
                     place = np.minimum(np.searchsorted(own, other), len(own) - 1)
-                    begin = np.concatenate([[0], np.cumsum(n_r[at])[:-1]])
+                    begin = np.concatenate([[0], np.cumsum(n_r[near])[:-1]])
                     common = np.add.reduceat((own[place] == other).astype(np.int64), begin)
-                    linked = at[100 * common >= percent * (n_l[k] + n_r[at] - common)]
+                    linked = near[100 * common >= percent * (n_l[k] + n_r[near] - common)]
                     out_a += [rep[k]] * len(linked)
                     out_b += rep_r[linked].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
@@ -197,45 +207,71 @@ def _links_in_blocks(percent: int):
     return run
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """The buckets (at, bucket) whose members belong to two components at least, with their members' number."""
+    return members.groupBy("at", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("at", "bucket", "n")
+
+
+def _narrowed(members: DataFrame, signed: DataFrame) -> list[DataFrame]:
+    """Open members (at, bucket, rep, label) in buckets of at most HOT members, or of DEPTH bands."""
+    out, hot = [], members
+    for depth in range(1, DEPTH + 1):
+        mixed = written(_mixed(hot), "mixed")
+        out.append(hot.join(mixed.filter(F.lit(depth == DEPTH) | (F.col("n") <= HOT)).drop("n"), ["at", "bucket"], "left_semi"))
+        large = mixed.filter(F.col("n") > HOT).drop("n")
+        if depth == DEPTH or large.isEmpty():
+            return out
+        wide = hot.join(large, ["at", "bucket"], "left_semi").join(signed.select("rep", "bands"), "rep")
+        wide = wide.select("rep", "label", "at", "bucket", F.posexplode("bands").alias("band", "more")).filter(F.col("band") > F.element_at("at", -1))
+        hot = written(wide.select(F.array_append("at", F.col("band")).alias("at"), F.xxhash64("bucket", "more").alias("bucket"), "rep", "label"), f"narrow{depth}")
+    return out
+
+
 def _block_links(members: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links between members of one bucket and different components, each found in the first band that both share."""
+    """All links between members of one bucket and different components, each found in one bucket only."""
     sized = members.join(signed.select("rep", F.col("n").alias("own")), "rep")
-    counts = sized.groupBy("bucket", "band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("shingles"))
+    counts = sized.groupBy("at", "bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("shingles"))
     n_blocks = F.ceil(F.greatest(F.sum("n") / BLOCK, F.sum("shingles") / BLOCK_SHINGLES))
-    top = counts.groupBy("bucket", "band").agg(F.max_by("label", F.struct("n", "label")).alias("top"), n_blocks.alias("n_blocks"))
+    top = counts.groupBy("at", "bucket").agg(F.max_by("label", F.struct("n", "label")).alias("top"), n_blocks.alias("n_blocks"))
     payload = signed.join(sets, "rep").select("rep", "bands", "sketch", "grams")
-    rows = members.join(written(top, "tops"), ["bucket", "band"]).join(payload, "rep")
+    rows = members.join(written(top, "tops"), ["at", "bucket"]).join(payload, "rep")
     side = (F.col("label") != F.col("top")).cast("int")
     salt = F.pmod(F.xxhash64("rep"), F.col("n_blocks"))
-    blocks = rows.groupBy("bucket", "band", side.alias("side"), salt.alias("salt")).agg(F.collect_list(F.struct("rep", "label", "bands", "sketch", "grams")).alias("rows"))
+    blocks = rows.groupBy("at", "bucket", side.alias("side"), salt.alias("salt")).agg(F.collect_list(F.struct("rep", "label", "bands", "sketch", "grams")).alias("rows"))
     blocks = written(blocks.withColumn("place", F.col("side") * 2**40 + F.col("salt")), "blocks")
-    left = blocks.select("bucket", "band", *[F.col(c).alias(f"l_{c}") for c in ("side", "place", "rows")])
-    right = blocks.select("bucket", "band", *[F.col(c).alias(f"r_{c}") for c in ("side", "place", "rows")])
-    pairs = left.join(right, ["bucket", "band"]).filter("l_place <= r_place AND r_side = 1")
-    # Dealt evenly: one hot bucket has many block pairs.
+    left = blocks.select("at", "bucket", *[F.col(c).alias(f"l_{c}") for c in ("side", "place", "rows")])
+    right = blocks.select("at", "bucket", *[F.col(c).alias(f"r_{c}") for c in ("side", "place", "rows")])
+    pairs = left.join(right, ["at", "bucket"]).filter("l_place <= r_place AND r_side = 1")
+    # Dealt evenly: a bucket may have many block pairs.
     pairs = pairs.repartition("bucket", "l_place", "r_place")
-    return pairs.select("band", (F.col("l_place") == F.col("r_place")).alias("same"), "l_rows", "r_rows").mapInArrow(_links_in_blocks(percent), "a long, b long")
+    return pairs.select("at", (F.col("l_place") == F.col("r_place")).alias("same"), "l_rows", "r_rows").mapInArrow(_links_in_blocks(percent), "a long, b long")
 
 
-def components_of(signed: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """(node, label) for the classes ``signed`` (rep, n, bands, sketch) that are linked; None if no two share a bucket."""
-    buckets = signed.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    shared = buckets.groupBy("band", "bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("band", "bucket")
-    members = written(buckets.join(written(shared, "shared"), ["band", "bucket"]).withColumn("label", F.col("rep")), "members")
+def components_of(signed: DataFrame, texts: DataFrame, places: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """(node, label) for the classes ``signed`` (rep, n, bands, sketch) that are linked; None if no two share a bucket.
+
+    ``places`` (rep, _id, _key) says which row of ``texts`` (_id, _key, _text) holds the text of a class.
+    """
+    keys = ["band", "bucket"]
+    buckets = signed.select("rep", F.posexplode("bands").alias(*keys))
+    shared = written(buckets.groupBy(*keys).agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select(*keys), "shared")
+    members = written(joined_by_size(buckets, shared, keys, shared.count()).withColumn("label", F.col("rep")), "members")
     if members.isEmpty():
         return None
     wanted = written(members.select("rep").distinct(), "wanted")
     few = _few(wanted)
     near = written(signed.join(few, "rep", "left_semi"), "near")
-    sets = written(texts.join(few, "rep", "left_semi").select("rep", "_text").mapInArrow(_sets(size), "rep long, grams array<long>").dropDuplicates(["rep"]), "sets")
+    held = texts.join(_few(written(places.join(few, "rep", "left_semi"), "places")), ["_id", "_key"])
+    sets = written(held.select("rep", "_text").mapInArrow(_sets(size), "rep long, grams array<long>").dropDuplicates(["rep"]), "sets")
     side = lambda t, name: t.select(F.col("rep").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in t.columns if c != "rep"])
     sketches = near.select("rep", "n", "sketch")
     links = tested = labels = None
     for pivots_per_bucket in (1, 4):
         at = F.pmod(F.xxhash64("rep"), F.lit(pivots_per_bucket))
         first = F.min(F.struct(F.xxhash64(F.lit(1), "rep").alias("h"), F.col("rep").alias("pivot"), F.col("label").alias("own"))).alias("p")
-        pivots = written(members.groupBy("band", "bucket", at.alias("salt")).agg(first).select("band", "bucket", "p.pivot", "p.own"), "pivots")
-        close = members.join(pivots, ["band", "bucket"]).filter("label <> own")
+        pivots = written(members.groupBy(*keys, at.alias("salt")).agg(first).select(*keys, "p.pivot", "p.own"), "pivots")
+        n_pivots = pivots.count()
+        close = joined_by_size(members, pivots, keys, n_pivots).filter("label <> own")
         pairs = close.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -249,39 +285,50 @@ def components_of(signed: DataFrame, texts: DataFrame, size: int, percent: int)
         new = written(both.withColumn("i", common).filter(100 * F.col("i") >= percent * (F.col("a_n") + F.col("b_n") - F.col("i"))).select("a", "b"), "links")
         links = new if links is None else links.unionByName(new)
         labels = written(components(links), "labels")
-        left = members.join(pivots.select("band", "bucket", F.col("pivot").alias("rep")), ["band", "bucket", "rep"], "left_anti").drop("label")
+        left = joined_by_size(members, pivots.select(*keys, F.col("pivot").alias("rep")), [*keys, "rep"], n_pivots, "left_anti").drop("label")
         left = written(left.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "left")
         # Only buckets that still hold two components go on.
-        mixed = left.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band", "bucket")
-        members = written(left.join(mixed, ["band", "bucket"], "left_semi").select("band", "bucket", "rep", "label"), "members")
+        mixed = written(left.groupBy(*keys).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select(*keys), "mixed")
+        members = written(joined_by_size(left, mixed, keys, mixed.count(), "left_semi").select(*keys, "rep", "label"), "members")
         if members.isEmpty():
             return labels
-    new = written(_block_links(members, near, sets, percent), "links")
+    open_members = members.select(F.array("band").alias("at"), "bucket", "rep", "label")
+    found = [written(_block_links(part, near, sets, percent), "links") for part in _narrowed(open_members, near)]
+    new = reduce(DataFrame.unionByName, found)
     return labels if new.isEmpty() else components(links.unionByName(new))
 
 
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (least id of its component) and kept."""
-    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    signed = written(rows.mapInArrow(_signed(size), "_id long, n long, high long, low long, bands array<long>, sketch array<long>"), "signed")
-    classes = signed.filter("n > 0 AND _id IS NOT NULL").groupBy("n", "high", "low").agg(F.min("_id").alias("rep"))
-    classes = written(classes, "classes")
-    # One row per class carries the signature: that of its smallest id.
-    of_class = signed.join(classes.withColumnRenamed("rep", "_id"), ["n", "high", "low", "_id"], "left_semi").dropDuplicates(["_id", "high", "low"])
-    reps = written(of_class.select(F.col("_id").alias("rep"), "n", "bands", "sketch"), "reps")
-    labels = components_of(reps, rows.withColumnRenamed("_id", "rep"), size, percent)
-    member = signed.select("_id", "n", "high", "low").join(classes, ["n", "high", "low"], "left")
-    if labels is None:
-        found = member.withColumn("label", F.lit(None).cast("long"))
-    else:
-        found = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("label", "rep", "_id")).otherwise(F.col("_id"))
+    return _judged(df, size, percent, id_col, text_col).drop("_key")
+
+
+def _judged(df: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``near_duplicates`` with the hash _key of the text."""
+    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_key"))
+    signed = written(rows.mapInArrow(_signed(size), "_id long, _key long, n long, high long, low long, bands array<long>, sketch array<long>"), "signed")
+    named = signed.filter("n > 0 AND _id IS NOT NULL")
+    # A class is a set of shingles; its number `rep` is fixed by writing it. Its text is that of its least (id, text hash).
+    sets = ["n", "high", "low"]
+    classes = named.groupBy(*sets).agg(F.min(F.struct("_id", "_key")).alias("at"))
+    classes = written(classes.select(*sets, "at._id", "at._key", F.monotonically_increasing_id().alias("rep")), "classes")
+    of_class = named.join(classes.select(*sets, "_id", "_key", "rep"), [*sets, "_id", "_key"])
+    reps = written(of_class.select("rep", "n", "bands", "sketch").dropDuplicates(["rep"]), "reps")
+    labels = components_of(reps, rows, classes.select("rep", "_id", "_key"), size, percent)
+    least = classes.select(*sets, F.col("_id").alias("least"), "rep")
+    if labels is not None:
+        grouped = least.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        smallest = grouped.groupBy("label").agg(F.min("least").alias("smallest"))
+        least = grouped.join(smallest, "label").select(*sets, F.col("smallest").alias("least"))
+    found = signed.select("_id", "_key", *sets).join(written(least.select(*sets, "least"), "least"), sets, "left")
+    component = F.when(F.col("n") > 0, F.coalesce("least", "_id")).otherwise(F.col("_id"))
     component = F.when(F.col("_id").isNull(), F.lit(None).cast("long")).otherwise(component)
-    out = found.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = found.select(F.col("_id").alias(id_col), "_key", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
 def without_near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay: one document of each component, all columns unchanged."""
-    gone = written(near_duplicates(df, size, percent, id_col, text_col).filter("NOT kept").select(id_col), "gone")
-    return df.join(_few(gone), id_col, "left_anti")
+    gone = written(_judged(df, size, percent, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("_gone_id"), F.col("_key").alias("_gone_key")).distinct(), "gone")
+    same = (F.col(id_col).cast("long") == F.col("_gone_id")) & (F.xxhash64(text_col) == F.col("_gone_key"))
+    return df.join(_few(gone), same, "left_anti")
