@@ -149,6 +149,14 @@ def test_repeats(docs, empty):
     assert repeats.without_repeats(empty).count() == 0
 
 
+def test_repeats_keep_repeated_rows(spark):
+    """A row that comes three times comes back three times, each judged alike."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (2, text), (2, text), (2, text), (2, "x " + text), (None, text), (None, text), (3, "short"), (3, "short")]
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == [(0, 60, 0), (0, 60, 0), (1, 60, 0), (2, 60, 60), (2, 60, 60), (2, 60, 60), (2, 61, 60), (3, 1, 0), (3, 1, 0)]
+
+
 def test_window_hashes():
     w = np.arange(100, dtype=np.uint64) % np.uint64(7)
     for n in (1, 13, 25, 50):
@@ -183,31 +191,48 @@ def test_near_duplicates(docs, empty, size):
     assert odd_sketch.near_duplicates(empty, size).count() == 0
 
 
-def test_near_duplicates_of_a_crowd(spark):
+def test_near_duplicates_of_a_crowd(spark, n=400):
     """Many texts alike but below the threshold meet in blocks; those above are linked."""
     rng = random.Random(4)
     base = [f"w{k}" for k in range(100)]
     rows = []
-    for i in range(400):
+    for i in range(n):
         w = list(base)
         for _ in range(rng.choice([1, 2, 3, 6, 8])):
             w[rng.randrange(100)] = f"r{rng.randrange(10**9)}"
         rows.append((i, " ".join(w)))
     sets = {i: set(zip(t.split(), t.split()[1:])) for i, t in rows}
-    label = list(range(400))
+    label = list(range(n))
 
     def root(i):
         while label[i] != i:
             i = label[i]
         return i
 
-    for a in range(400):
+    for a in range(n):
         for b in range(a):
             if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 label[max(x, y)] = min(x, y)
     got = {r["doc_id"]: r["component_id"] for r in odd_sketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
-    assert got == {i: root(i) for i in range(400)}
+    assert got == {i: root(i) for i in range(n)}
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows that share an id are nodes of their own: no link is lost, whatever the order of the rows."""
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " y"), (4, b + " z"), (9, a), (9, a), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"] or 0), r["n_shingles"], r["component_id"] or 0) for r in odd_sketch.near_duplicates(df, 2).collect())
+    assert got == [(0, 39, 0), (4, 40, 4), (5, 39, 4), (5, 39, 5), (6, 40, 5), (7, 40, 4), (9, 39, 5), (9, 39, 5)]
+    assert sorted((r["doc_id"] or 0, r["text"][0]) for r in odd_sketch.without_near_duplicates(df, 2).collect()) == [(0, "a"), (4, "b"), (5, "a")]
+
+
+def test_near_duplicates_in_narrowed_buckets(spark, monkeypatch):
+    """Hot buckets are narrowed by a second and a third band before blocks are paired; links stay the same."""
+    monkeypatch.setattr(odd_sketch, "HOT", 12)
+    monkeypatch.setattr(odd_sketch, "BLOCK", 16)
+    test_near_duplicates_of_a_crowd(spark, 100)
 
 
 def test_odd_sketch_estimates():
@@ -322,6 +347,39 @@ def test_warc_round_trip(spark):
     assert warc_zip.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_reading_is_dealt_by_bytes_and_strict(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://h/{k}", hashlib.sha256(str(k).encode()).hexdigest() * 200) for k in range(300)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc_zip.write_packages(pages, scratch_path(spark, "warc"))
+    split, warc_zip.SPLIT = warc_zip.SPLIT, 4096
+    try:
+        read = warc_zip.read_records(manifest, with_payload=False)
+        assert read.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 4 and read.count() == 300
+    finally:
+        warc_zip.SPLIT = split
+    package, size, records = manifest.first()
+    raw = open(package.removeprefix("file://"), "rb").read()
+    short = tmp_path / "short.zip"
+    short.write_bytes(raw[:-100])
+    packed = tmp_path / "packed.zip"
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        out.writestr(warc_zip.DATA, b"x" * 1000)
+        out.writestr(warc_zip.INDEX, b"")
+    bad = tmp_path / "bad.zip"
+    with zipfile.ZipFile(package.removeprefix("file://")) as old, zipfile.ZipFile(bad, "w", zipfile.ZIP_STORED) as out:
+        import gzip
+
+        record = warc_zip.record(1, "http://h/1", b"changed", "0" * 40, 7, None, False)
+        data = gzip.compress(record)
+        out.writestr(warc_zip.DATA, data)
+        out.writestr(warc_zip.INDEX, '{"id": "<urn:page:1>", "offset": 0, "length": %d}\n' % len(data))
+        assert old.testzip() is None
+    for path, message in ((short, "directory"), (packed, "compressed"), (bad, "damaged")):
+        one = spark.createDataFrame([(str(path), path.stat().st_size)], "package string, size long")
+        with pytest.raises(Exception, match=message):
+            warc_zip.read_records(one).count()
+    assert not warc_zip.read_records(spark.createDataFrame([(str(bad), 500)], "package string, size long"), strict=False).first()["intact"]
+
+
 def test_zip64_directory(tmp_path):
     import pyarrow as pa
 
