@@ -2,23 +2,28 @@
 
 Pages of a host come from templates. A wrapper is a union-free regular expression
 over a host's token streams: tags, text slots, optional groups and repeated groups.
-It is inferred by aligning pages one after another: equal tags match; neighbours with
-equal tags on one side fold into a repeated group; what only one side has becomes
-optional; differing texts become a slot, equal texts stay constants of the template.
-Partial wrappers are folded inside each task and then merged per host in two steps,
-so a host with a third of all pages needs no task that sees all of them.
-
-The wrapper then decides which slots are constant over different pages and which are
-mostly links. A page's text is what is inside its main region, not mostly links, and not
-below menus, headers, footers, sidebars, notices, adverts, forms or reader comments;
-constant slots are left out outside the region only. The region is chosen page by page,
-so it doesn't depend on the host's other templates. The text is read in page order from
-the whole html.
+It is inferred by aligning pages one after another. As long as the pages' children of
+an element are the same tags, they are aligned by place. Where they differ, the
+mismatch is resolved: children of one tag become one, those that some pages lack are
+optional, and those that come again or in another order form a repeated group
+(``expression`` reads the groups off the orders seen). Differing texts at one place
+are a slot, equal texts a constant of the template. Aligning is commutative and
+associative, so a wrapper doesn't depend on how pages are dealt to tasks: partial
+wrappers are folded inside each task and merged per host in two steps, and a host
+with a third of all pages needs no task that sees all of them.
+
+Every page is then matched with its host's wrapper, which gives each of its texts a
+slot. Slots that are constant over different pages, and slots that are mostly links
+over all pages, are marked. A page's text is what lies inside its main region, not in
+a slot of links, and not below menus, headers, footers, sidebars, notices, adverts,
+forms or reader comments; constant slots are left out outside the region only. The
+region is chosen page by page, so it doesn't depend on the host's other templates.
+The text is read in page order from the whole html.
 
 Defined cases: null and empty pages have an empty text; a null or odd url makes a
 host of its own (""); a host with one page has only slots; text outside any tag is a
-block of the page's root; ids may be null or repeat; other columns pass through
-unless they are named like an output.
+block of the page's root; depth and number of elements have no bound; ids may be null
+or repeat; other columns pass through unless they are named like an output.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -58,6 +64,8 @@ BESIDE_NAME = re.compile(
 #: Blocks of running text: no region lies inside one.
 LEAF = frozenset("p li td th dt dd tr blockquote pre h1 h2 h3 h4 h5 h6".split())
 MAX_HOSTS = 400
+#: Pages of one host that a task reads with one copy of its wrapper, as expected.
+PAGES = 5000
 #: A slot is constant if so many different pages have the same text in it; copies of a page count once.
 DISTINCT = 3
 
@@ -73,19 +81,32 @@ def key_of(name: str, attributes: str) -> str:
     return out
 
 
-def blocks(html: str) -> Iterator[tuple[str, tuple[str, ...], str, int]]:
-    """("open", path, "", 0), ("close", path, "", 0) and ("text", path, text, characters in links) of a page."""
-    stack: list[str] = []
+# A wrapper node is [key, parents that have it, times, slot, children, orders]. Children are aligned by place while orders
+# is None; then they are one a key, and orders are the pairs of keys seen next to each other. Text nodes have the key "#"
+# and the slot [characters, characters in links, least text hash, greatest text hash, the least DISTINCT hashes of whole
+# pages that have it]; in a page's own tree the slot is the number of the text.
+KEY, PRESENT, TIMES, SLOT, CHILDREN, ORDERS = range(6)
+
+
+def parsed(html: str) -> tuple[list, list[tuple[tuple[str, ...], tuple[int, ...], str, int]]]:
+    """The tree of a page, and its texts in page order: (keys and numbers of the elements it is in, text, characters in links)."""
+    root: list = ["", 1, 1, None, [], None]
+    nodes, keys, numbers, names, texts = [root], [], [], [], []
     text: list[str] = []
-    linked = links = 0
+    linked = links = opened = 0
 
-    def flush() -> list:
+    def flush() -> None:
         nonlocal linked
         found = " ".join(entities.unescape("".join(text)).split())
         text.clear()
-        out = [("text", tuple(stack), found, linked)] if found else []
+        if found:
+            nodes[-1][CHILDREN].append(["#", 1, 1, len(texts), [], None])
+            texts.append((tuple(keys), tuple(numbers), found, min(linked, len(found))))
         linked = 0
-        return out
+
+    def close() -> None:
+        for stack in (nodes, keys, numbers, names):
+            stack.pop()
 
     for match in TOKEN.finditer(html):
         raw = match[5]
@@ -102,195 +123,285 @@ def blocks(html: str) -> Iterator[tuple[str, tuple[str, ...], str, int]]:
         if name in VOID:
             text.append(" ")
             continue
-        yield from flush()
+        flush()
         links = 0
-        bare = [k.split(".")[0].split("#")[0].split("@")[0] for k in stack]
         if closing:
-            if name in bare:
-                while stack:
-                    last = bare.pop()
-                    yield "close", tuple(stack), "", 0
-                    stack.pop()
-                    if last == name:
-                        break
+            if name in names:
+                while names[-1] != name:
+                    close()
+                close()
             continue
         ends = ENDED_BY.get(name, "").split()
-        inner = bare[-1] if bare else ""
-        while stack and (inner in ends or inner == "p" and name in AFTER_P):
-            yield "close", tuple(stack), "", 0
-            stack.pop()
-            bare.pop()
-            inner = bare[-1] if bare else ""
-        stack.append(key_of(name, match[4]))
-        yield "open", tuple(stack), "", 0
-    yield from flush()
-    while stack:
-        yield "close", tuple(stack), "", 0
-        stack.pop()
-
-
-# A wrapper node is [key, how often ("1", "?", "+", "*"), slot, children]. Text nodes have the
-# key "#" and the slot [characters, characters in links, least text hash, greatest text hash,
-# the least DISTINCT hashes of whole pages that have it].
+        while names and (names[-1] in ends or names[-1] == "p" and name in AFTER_P):
+            close()
+        node = [key_of(name, match[4]), 1, 1, None, [], None]
+        nodes[-1][CHILDREN].append(node)
+        opened += 1
+        for stack, value in ((nodes, node), (keys, node[KEY]), (numbers, opened), (names, name)):
+            stack.append(value)
+    flush()
+    return root, texts
+
+
+def each_node(root: list) -> Iterator[list]:
+    """All nodes, parents first, children in order."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo.extend(reversed(node[CHILDREN]))
 
 
 def tree(html: str) -> list:
-    root = ["", "1", None, []]
-    at, page = [root], zlib.crc32(html.encode("utf-8", "replace"))
-    for kind, path, text, linked in blocks(html):
-        if kind == "open":
-            node = [path[-1], "1", None, []]
-            at[-1][3].append(node)
-            at.append(node)
-        elif kind == "close":
-            closed = at.pop()
-            closed[3] = folded(closed[3])
-        else:
+    """The wrapper of one page."""
+    root, texts = parsed(html)
+    page = zlib.crc32(html.encode("utf-8", "replace"))
+    for node in each_node(root):
+        if node[KEY] == "#":
+            _, _, text, linked = texts[node[SLOT]]
             h = zlib.crc32(text.encode())
-            at[-1][3].append(["#", "1", [len(text), min(linked, len(text)), h, h, [page]], []])
-    root[3] = folded(root[3])
+            node[SLOT] = [len(text), linked, h, h, [page]]
     return root
 
 
-def either(a: str, b: str) -> str:
-    """How often a node comes that comes as often as ``a`` or as ``b`` says."""
-    optional, many = a in "?*" or b in "?*", a in "+*" or b in "+*"
-    return "*" if optional and many else "?" if optional else "+" if many else "1"
+def both(a: list, b: list) -> list:
+    """The slot that covers two."""
+    return [a[0] + b[0], a[1] + b[1], min(a[2], b[2]), max(a[3], b[3]), a[4] if a[4] == b[4] else sorted({*a[4], *b[4]})[:DISTINCT]]
 
 
-def folded(nodes: list) -> list:
-    """Neighbours with one key become a repeated group."""
-    out: list = []
-    for node in nodes:
-        if out and out[-1][0] == node[0]:
-            out[-1] = aligned(out[-1], node)
-            out[-1][1] = "*" if out[-1][1] in "?*" and node[1] in "?*" else "+"
-        else:
-            out.append(node)
-    return out
+def keys_of(node: list) -> list[str]:
+    return [c[KEY] for c in node[CHILDREN]]
 
 
-def both(a: list, b: list) -> list:
-    """The slot that covers two."""
-    return [a[0] + b[0], a[1] + b[1], min(a[2], b[2]), max(a[3], b[3]), a[4] if a[4] == b[4] else sorted({*a[4], *b[4]})[:DISTINCT]]
+def by_key(node: list) -> list[tuple[list, list]]:
+    """Make the children one a key; the neighbours that must still be aligned to that end."""
+    if node[ORDERS] is not None:
+        return []
+    found, first = [], {}
+    keys = keys_of(node)
+    for child in node[CHILDREN]:
+        if first.setdefault(child[KEY], child) is not child:
+            found.append((first[child[KEY]], child))
+    node[CHILDREN], node[ORDERS] = list(first.values()), set(zip(keys, keys[1:]))
+    return found
 
 
 def aligned(a: list, b: list) -> list:
-    """The least wrapper node that covers both (of one key)."""
-    slot = a[2]
-    if slot and b[2]:
-        slot = both(slot, b[2])
-    return [a[0], either(a[1], b[1]), slot or b[2], merged(a[3], b[3])]
-
-
-def merged(a: list, b: list) -> list:
-    """Align two child lists by their longest common subsequence of keys; the rest is optional."""
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [aligned(x, y) for x, y in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(aligned(a[i], b[j]))
-            i, j = i + 1, j + 1
+    """The least wrapper that covers both, made in place of ``a``."""
+    todo = [(a, b, False)]  # two nodes, and whether they have one parent
+    while todo:
+        one, two, siblings = todo.pop()
+        one[PRESENT] = max(one[PRESENT], two[PRESENT]) if siblings else one[PRESENT] + two[PRESENT]
+        one[TIMES] += two[TIMES]
+        if two[SLOT]:
+            one[SLOT] = both(one[SLOT], two[SLOT])
+        if one[ORDERS] is None and two[ORDERS] is None and keys_of(one) == keys_of(two):
+            todo.extend((x, y, False) for x, y in zip(one[CHILDREN], two[CHILDREN], strict=True))
+            continue
+        folds = by_key(one) + by_key(two)
+        own = {c[KEY]: c for c in one[CHILDREN]}
+        for child in two[CHILDREN]:
+            if child[KEY] in own:
+                todo.append((own[child[KEY]], child, False))
+            else:
+                one[CHILDREN].append(child)
+        one[ORDERS] |= two[ORDERS]
+        todo.extend((x, y, True) for x, y in folds)  # taken from the end, so before what stands below
+    return a
+
+
+def packed(root: list) -> str:
+    """A wrapper as text: its nodes, parents first. Children aligned by key are sorted, so equal wrappers have equal texts."""
+    rows = []
+    for node in each_node(root):
+        if node[ORDERS] is not None:
+            node[CHILDREN].sort(key=lambda c: c[KEY])
+        rows.append([*node[:CHILDREN], len(node[CHILDREN]), None if node[ORDERS] is None else sorted(node[ORDERS])])
+    return json.dumps(rows, separators=(",", ":"))
+
+
+def unpacked(text: str) -> list:
+    at: list[tuple[list, int]] = []
+    root: list = []
+    for *head, n, orders in json.loads(text):
+        node = [*head, [], None if orders is None else {(x, y) for x, y in orders}]
+        while at and len(at[-1][0][CHILDREN]) == at[-1][1]:
+            at.pop()
+        if at:
+            at[-1][0][CHILDREN].append(node)
         else:
-            only, side = (a, i) if j == m or i < n and best[i + 1][j] >= best[i][j + 1] else (b, j)
-            node = only[side]
-            out.append([node[0], either(node[1], "?"), node[2], node[3]])
-            i, j = (i + 1, j) if only is a else (i, j + 1)
-    return folded(out)
+            root = node
+        at.append((node, n))
+    return root
 
 
-def expression(node: list) -> str:
+def groups(keys: list[str], orders: set[tuple[str, str]]) -> list[list[str]]:
+    """Keys in an order that agrees with the pairs; keys that follow each other both ways are one group."""
+    after, before = {k: [] for k in sorted(keys)}, {k: [] for k in keys}
+    for x, y in sorted(orders):
+        after[x].append(y)
+        before[y].append(x)
+
+    def visited(start: str, ways: dict[str, list[str]], seen: set[str]) -> list[str]:
+        """Keys first reached from ``start``, in the order in which they are left."""
+        left, path = [], [(start, iter(ways[start]))]
+        seen.add(start)
+        while path:
+            for k in path[-1][1]:
+                if k not in seen:
+                    seen.add(k)
+                    path.append((k, iter(ways[k])))
+                    break
+            else:
+                left.append(path.pop()[0])
+        return left
+
+    seen: set[str] = set()
+    finished = [k for start in after if start not in seen for k in visited(start, after, seen)]
+    seen = set()
+    return [sorted(visited(k, before, seen), key=finished[::-1].index) for k in reversed(finished) if k not in seen]
+
+
+def expression(root: list) -> str:
     """The wrapper as a regular expression over tags and slots."""
-    if node[0] == "#":
-        inner = "#const" if node[2][2] == node[2][3] else "#text"
-    else:
-        inner = " ".join([f"<{node[0]}>", *map(expression, node[3]), f"</{node[0].split('.')[0].split('#')[0].split('@')[0]}>"]) if node[0] else " ".join(map(expression, node[3]))
-    return inner if node[1] == "1" else f"( {inner} ){node[1]}"
+    inner: dict[int, str] = {}
 
+    def often(text: str, optional: bool, repeated: bool) -> str:
+        return f"( {text} ){'*' if optional and repeated else '?' if optional else '+'}" if optional or repeated else text
 
-def slots(node: list, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], list]]:
-    for child in node[3]:
-        if child[0] == "#":
-            yield path, child[2]
+    for node in reversed(list(each_node(root))):
+        text = {id(c): inner.pop(id(c)) for c in node[CHILDREN]}
+        alone = {id(c): often(text[id(c)], c[PRESENT] < node[TIMES], c[TIMES] > c[PRESENT]) for c in node[CHILDREN]}
+        if node[ORDERS] is None:
+            parts = [alone[id(c)] for c in node[CHILDREN]]
         else:
-            yield from slots(child, (*path, child[0]))
+            at, parts = {c[KEY]: c for c in node[CHILDREN]}, []
+            for group in groups(keys_of(node), node[ORDERS]):
+                if len(group) == 1:
+                    parts.append(alone[id(at[group[0]])])
+                    continue
+                some = " ".join(often(text[id(at[k])], True, (k, k) in node[ORDERS]) for k in group)
+                parts.append(f"( {some} ){'*' if all(at[k][PRESENT] < node[TIMES] for k in group) else '+'}")
+        if node[KEY] == "#":
+            parts = ["#const" if node[SLOT][2] == node[SLOT][3] else "#text"]
+        elif node[KEY]:
+            parts = [f"<{node[KEY]}>", *parts, f"</{tag(node[KEY])}>"]
+        inner[id(node)] = " ".join(parts)
+    return inner[id(root)]
 
 
 def tag(key: str) -> str:
     return re.split(r"[.#@]", key, maxsplit=1)[0]
 
 
-def slot_kinds(wrapper: list) -> tuple[list[str], list[str]]:
-    """Paths of the slots that are constant and of those that are mostly links."""
-    found: dict[tuple[str, ...], list] = {}
-    for path, slot in slots(wrapper):
-        found[path] = both(found[path], slot) if path in found else slot
-    constant = sorted(">".join(p) for p, s in found.items() if s[2] == s[3] and len(s[4]) == DISTINCT)
-    return constant, sorted(">".join(p) for p, s in found.items() if 2 * s[1] > s[0])
+CONSTANT, LINKS = 1, 2
 
 
-@lru_cache(maxsize=50_000)
-def traits(path: tuple[str, ...]) -> tuple[str, int, bool, bool, bool]:
-    """The joined path, where its main region begins (-1: nowhere), and whether it is beside the text
-    by a tag, by a name of the main region or around it, and by a name inside the main region.
+def rules(wrapper: list) -> str:
+    """What pages are read with, as text: [key, marks of the slot, children, whether they are aligned by place] of each node."""
+    rows = []
+    for node in each_node(wrapper):
+        slot, marks = node[SLOT], 0
+        if slot:
+            marks = CONSTANT * (slot[2] == slot[3] and len(slot[4]) == DISTINCT) + LINKS * (2 * slot[1] > slot[0])
+        rows.append([node[KEY], 1, 1, marks, len(node[CHILDREN]), None if node[ORDERS] is None else []])
+    return json.dumps(rows, separators=(",", ":"))
 
-    Without a main region all names are around it. Names of html and body say nothing.
-    """
-    tags = [tag(k) for k in path]
-    main = next((k for k, key in enumerate(path) if tags[k] not in ("html", "body") and MAIN.search(key)), -1)
-    by_tag = any(t in BESIDE_TAG or t == "header" and (main < 0 or i < main) for i, t in enumerate(tags))
-    named = [k for k, key in enumerate(path) if tags[k] not in ("html", "body") and any(map(BESIDE_NAME.fullmatch, re.split(r"[.#@ ]", key)[1:]))]
-    around = any(main < 0 or k <= main for k in named)
-    return ">".join(path), main, by_tag, around, any(0 <= main < k for k in named)
 
-
-def regions(texts: list[tuple[tuple[str, ...], int]]) -> list[tuple[str, ...]]:
-    """Main regions of one page, from the paths of its texts and their characters outside links."""
+def marks_of(page: list, wrapper: list, n: int) -> list[int]:
+    """The marks of the slots of a page's texts, found by matching its tree with the wrapper (from ``rules``)."""
+    found, todo = [0] * n, [(page, wrapper)]
+    while todo:
+        one, slots = todo.pop()
+        if one[KEY] == "#":
+            found[one[SLOT]] = slots[SLOT]
+        elif slots[ORDERS] is None and keys_of(one) == keys_of(slots):
+            todo.extend(zip(one[CHILDREN], slots[CHILDREN], strict=True))
+        else:
+            own = {c[KEY]: c for c in slots[CHILDREN]}
+            todo.extend((c, own[c[KEY]]) for c in one[CHILDREN] if c[KEY] in own)
+    return found
+
+
+@lru_cache(maxsize=100_000)
+def key_traits(key: str) -> tuple[str, bool, bool]:
+    """The tag of a key, whether a main region begins there, and whether it is named like a part beside the text. Names of html and body say nothing."""
+    name = tag(key)
+    if name in ("html", "body"):
+        return name, False, False
+    return name, bool(MAIN.search(key)), any(map(BESIDE_NAME.fullmatch, re.split(r"[.#@ ]", key)[1:]))
+
+
+class Text(NamedTuple):
+    """A text of a page: characters outside links, where its main region begins (-1: nowhere), whether it is beside the text
+    by a name of the region or around it (without a region: by any name), or by one inside it, and the marks of its slot."""
+
+    path: tuple[str, ...]
+    elements: tuple[int, ...]
+    text: str
+    chars: int
+    main: int
+    around: bool
+    inside: bool
+    marks: int
+
+
+def placed(path: tuple[str, ...], elements: tuple[int, ...], text: str, linked: int, marks: int) -> Text | None:
+    """None if a tag says that the text is beside the main text."""
+    found = [key_traits(k) for k in path]
+    main = next((k for k, (_, begins, _) in enumerate(found) if begins), -1)
+    if any(name in BESIDE_TAG or name == "header" and (main < 0 or k < main) for k, (name, _, _) in enumerate(found)):
+        return None
+    named = [k for k, (_, _, beside) in enumerate(found) if beside]
+    return Text(path, elements, text, len(text) - linked, main, any(main < 0 or k <= main for k in named), any(0 <= main < k for k in named), marks)
+
+
+def regions(texts: list[Text]) -> list[tuple[str, ...]]:
+    """Main regions of one page."""
     weight: dict[tuple[str, ...], int] = {}
-    for path, chars in texts:
-        k = traits(path)[1]
-        if k >= 0:
-            weight[path[:k + 1]] = weight.get(path[:k + 1], 0) + chars
-    total, most = sum(chars for _, chars in texts), max(weight.values(), default=0)
+    for t in texts:
+        if t.main >= 0:
+            region = t.path[:t.main + 1]
+            weight[region] = weight.get(region, 0) + t.chars
+    total, most = sum(t.chars for t in texts), max(weight.values(), default=0)
     if weight and most * 4 >= total:
         return [p for p, w in weight.items() if w * 4 >= most]
-    region: tuple[str, ...] = ()  # the deepest element that still holds most of the running text
+    depth, rest = 0, texts  # the deepest element that still holds most of the running text
     while True:
-        inner: dict[tuple[str, ...], int] = {}
-        for path, chars in texts:
-            if len(path) > len(region) and path[:len(region)] == region:
-                inner[path[:len(region) + 1]] = inner.get(path[:len(region) + 1], 0) + chars
+        inner: dict[str, int] = {}
+        for t in rest:
+            if len(t.path) > depth:
+                inner[t.path[depth]] = inner.get(t.path[depth], 0) + t.chars
         top = max(inner, key=inner.get, default=None)
-        if top is None or inner[top] * 10 < total * 6 or tag(top[-1]) in LEAF:
-            return [region]
-        region = top
+        if top is None or inner[top] * 10 < total * 6 or tag(top) in LEAF:
+            return [rest[0].path[:depth]]
+        rest = [t for t in rest if len(t.path) > depth and t.path[depth] == top]
+        depth += 1
 
 
-def page_text(html: str | None, constant: set[str], links: set[str]) -> str:
-    """Main text of a page, by its own regions. Rules that would leave none of it are not applied.
+def page_text(html: str | None, wrapper: list) -> str:
+    """Main text of a page, by its own regions and its host's wrapper (from ``rules``). Rules that would leave none of it are not applied.
 
     A main region with a beside name on it or around it counts if no other is there and it holds more than the rest.
-    Constant slots don't help to find a region that no name marks; inside a region they are text like any other.
+    Constant slots don't help to find a region that no name marks, and such a region keeps only those that share an element
+    of it with other text; inside a marked region they are text like any other.
     """
-    found = [(path, text, len(text) - min(linked, len(text)), *traits(path)) for kind, path, text, linked in blocks(html or "") if kind == "text"]
-    found = [f for f in found if not f[5]]
-    kept = [f for f in found if not f[7] and f[3] not in links]
-    for texts in (kept, [f for f in found if f[4] >= 0]):
-        clear, named = [f for f in texts if not f[6]], [f for f in texts if f[6] and f[4] >= 0]
-        if not any(f[4] >= 0 for f in clear) and sum(f[2] for f in named) > sum(f[2] for f in clear):
+    root, texts = parsed(html or "")
+    found = [t for t in map(placed, *zip(*texts, strict=True), marks_of(root, wrapper, len(texts))) if t] if texts else []
+    kept = [t for t in found if not t.inside and not t.marks & LINKS]
+    for some in (kept, [t for t in found if t.main >= 0]):
+        clear, named = [t for t in some if not t.around], [t for t in some if t.around and t.main >= 0]
+        if not any(t.main >= 0 for t in clear) and sum(t.chars for t in named) > sum(t.chars for t in clear):
             clear = named
-        varied = [f for f in clear if f[4] >= 0 or f[3] not in constant]
+        varied = [t for t in clear if t.main >= 0 or not t.marks & CONSTANT] or clear
         if clear:
-            inside = regions([f[:3:2] for f in varied or clear])
-            if not any(r and tag(r[-1]) not in ("html", "body") for r in inside):
-                clear = varied or clear
-            return "\n".join(f[1] for f in clear if any(f[0][:len(r)] == r for r in inside))
+            out, chosen = set(), set(varied)
+            for region in regions(varied):
+                n = len(region)
+                top = not region or tag(region[-1]) in ("html", "body")
+                own = {t.elements[:n] for t in varied if t.path[:n] == region}
+                out |= {k for k, t in enumerate(clear) if t.path[:n] == region and (t in chosen if top else t.elements[:n] in own)}
+            return "\n".join(t.text for k, t in enumerate(clear) if k in out)
     return ""
 
 
@@ -301,59 +412,88 @@ def host(url: F.Column) -> F.Column:
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fold the pages of a task into one wrapper a host."""
     found: dict[str, list] = {}
+    part = TaskContext.get().partitionId()
 
     def out() -> pa.RecordBatch:
-        rows = [(h, TaskContext.get().partitionId(), n, json.dumps(w)) for h, (w, n) in found.items()]
+        rows = [(h, part, n, packed(w)) for h, (w, n) in found.items()]
         found.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string())], ["host", "part", "pages", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int64(), pa.string()))], ["host", "part", "pages", "wrapper"])
 
     for batch in batches:
-        for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            page, old = tree(html or ""), found.get(name)
-            found[name] = [page, 1] if old is None else [aligned(old[0], page), old[1] + 1]
+        for name, html in zip(batch.column(0), batch.column(1), strict=True):
+            page, old = tree(html.as_py() or ""), found.get(name.as_py())
+            found[name.as_py()] = [page, 1] if old is None else [aligned(old[0], page), old[1] + 1]
             if len(found) > MAX_HOSTS:
                 yield out()
     yield out()
 
 
-def _merge(keys: list[str]):
-    def run(rows):
-        rows = rows.sort_values("wrapper")
-        wrapper = None
-        for text in rows["wrapper"]:
-            wrapper = json.loads(text) if wrapper is None else aligned(wrapper, json.loads(text))
-        out = {k: [rows[k].iloc[0]] for k in keys}
-        return type(rows)(out | {"pages": [rows["pages"].sum()], "wrapper": [json.dumps(wrapper)]})
+def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One wrapper a key; a task holds one at a time."""
+    names, schema = [*keys, "pages", "wrapper"], rows.select(*keys, "pages", "wrapper").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pages, wrapper = None, 0, None
 
-    return run
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([v], batch.column(k).type) for k, v in enumerate(at)), pa.array([pages]), pa.array([packed(wrapper)])], names)
+
+        for batch in batches:
+            for *key, n, text in zip(*batch.columns, strict=True):
+                key, page = [k.as_py() for k in key], unpacked(text.as_py())
+                if key != at:
+                    if at is not None:
+                        yield out()
+                    at, pages, wrapper = key, n.as_py(), page
+                else:
+                    pages, wrapper = pages + n.as_py(), aligned(wrapper, page)
+        if at is not None:
+            yield out()
+
+    return rows.select(*names).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, pages, wrapper): the wrapper of each host over all its pages, as JSON."""
+    """(host, pages, wrapper): the wrapper of each host over all its pages, as ``packed`` text."""
     rows = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     parts = rows.mapInArrow(_partial, "host string, part int, pages long, wrapper string")
-    # Two steps: at most 64 tasks' wrappers a group, then one wrapper of each group.
-    parts = parts.withColumn("salt", F.floor(F.col("part") / 64).cast("int")).drop("part")
-    parts = parts.groupBy("host", "salt").applyInPandas(_merge(["host", "salt"]), "host string, salt int, pages long, wrapper string")
-    return parts.groupBy("host").applyInPandas(_merge(["host"]), "host string, pages long, wrapper string")
+    # Two steps: the wrappers of 64 tasks, then one of each host.
+    return _merged(_merged(parts.withColumn("salt", F.floor(F.col("part") / 64)), ["host", "salt"]), ["host"])
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Input columns plus text: the main text of every page."""
+    """Input columns plus text: the main text of every page.
+
+    Pages meet their host's wrapper in (host, salt) groups of about ``PAGES`` pages, each sorted behind one copy of the
+    wrapper, so a task holds one wrapper at a time whatever their number, and a hot host is split.
+    """
     names = [c for c in pages.columns if c.lower() != "text"]
 
-    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def to_rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [slot_kinds(json.loads(w)) for w in batch.column("wrapper").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), *(pa.array([f[k] for f in found], pa.list_(pa.string())) for k in (0, 1))], ["_host", "_constant", "_links"])
-
-    rules = written(infer(pages, url_col, html_col).mapInArrow(kinds, "_host string, _constant array<string>, _links array<string>"), "rules")
-    rows = pages.select(*names, host(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html"))
-    rows = joined_by_size(rows, rules, ["_host"], rules.count(), "left", most=20_000).select(*names, "_html", "_constant", "_links")
+            for name, n, wrapper in zip(*batch.columns, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([n.as_py()]), pa.array([rules(unpacked(wrapper.as_py()))])], ["_host", "_pages", "_body"])
+
+    known = written(infer(pages, url_col, html_col).mapInArrow(to_rules, "_host string, _pages long, _body string"), "rules")
+    known = known.withColumn("_salts", F.ceil(F.col("_pages") / PAGES).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")
+    hashed = [c for c in pages.columns if not any(k in pages.schema[c].dataType.simpleString() for k in ("map<", "variant"))]
+    rows = pages.select(F.struct(*names).alias("_row"), host(F.col(url_col)).alias("_host"), F.col(html_col).cast("string").alias("_body"), F.xxhash64(*hashed).alias("_spread"))
+    rows = joined_by_size(rows, known.select("_host", "_salts"), ["_host"], known.count())
+    rows = rows.select("_host", F.pmod("_spread", "_salts").cast("int").alias("_salt"), F.lit(True).alias("_page"), "_body", "_row")
+    heads = known.select("_host", salts, F.lit(False).alias("_page"), "_body", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
+    dealt = heads.unionByName(rows).repartition("_host", "_salt").sortWithinPartitions("_host", "_salt", "_page")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wrapper: list = []
         for batch in batches:
-            found = [page_text(h, set(c or ()), set(k or ())) for h, c, k in zip(*(batch.column(len(names) + k).to_pylist() for k in range(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(found, pa.string())], [*names, "text"])
-
-    return rows.mapInArrow(read, pages.select(*names).schema.add("text", "string"))
+            found = []
+            for is_page, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if is_page:
+                    found.append(page_text(body.as_py(), wrapper))
+                else:
+                    wrapper = unpacked(body.as_py())
+            out = batch.filter(batch.column(0)).column(2)
+            yield pa.RecordBatch.from_arrays([*out.flatten(), pa.array(found, pa.string())], [*names, "text"])
+
+    return dealt.select("_page", "_body", "_row").mapInArrow(read, pages.select(*names).schema.add("text", "string"))
