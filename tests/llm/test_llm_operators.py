@@ -414,11 +414,12 @@ def test_wrappers(spark, empty):
     got = {r["page_id"]: r["text"] for r in wrappers.extract(df.select("page_id", "url", "html")).collect()}
     assert got == want
     wrapper = wrappers.infer(df).filter("host = 'h.example'").first()["wrapper"]
-    import json
-
-    shape = wrappers.expression(json.loads(wrapper))
+    shape = wrappers.expression(wrappers.unpacked(wrapper))
     assert "( <aside>" in shape and ")?" in shape and "( <p> #text </p> )+" in shape
     assert wrappers.extract(df.limit(0).select("page_id", "url", "html")).count() == 0
+    clashing = wrappers.extract(df.withColumn("_page", F.col("page_id")).withColumn("_body", F.lit("b")))  # columns named like the operator's own
+    assert clashing.columns == ["page_id", "url", "html", "_host", "_page", "_body", "text"]
+    assert {r["page_id"]: (r["text"], r["_host"], r["_page"], r["_body"]) for r in clashing.collect()} == {k: (v, "h", k, "b") for k, v in want.items()}
 
 
 def texts_of(spark, pages):
@@ -447,9 +448,20 @@ def test_wrappers_read_every_template_of_a_host(spark):
     ("<nav><p>Menu {k}</p></nav><footer>Foot {k}</footer>", ""),
 ])
 def test_wrappers_test_whole_names_inside_the_main_region(html, want):
-    trees = [wrappers.tree(html.format(k=k)) for k in (1, 2)]
-    constant, links = wrappers.slot_kinds(wrappers.aligned(*trees))
-    assert wrappers.page_text(html.format(k=1), set(constant), set(links)) == want.format(k=1)
+    assert read([html.format(k=1), html.format(k=2)])[0] == want.format(k=1)
+
+
+def wrapper_of(pages):
+    found = wrappers.tree(pages[0])
+    for other in pages[1:]:
+        found = wrappers.aligned(found, wrappers.tree(other))
+    return found
+
+
+def read(pages):
+    """The texts of a host's pages, without Spark."""
+    known = wrappers.unpacked(wrappers.rules(wrapper_of(pages)))
+    return [wrappers.page_text(html, known) for html in pages]
 
 
 def test_wrappers_keep_constant_text_inside_the_region(spark):
@@ -463,8 +475,53 @@ def test_wrappers_keep_constant_text_inside_the_region(spark):
 
 
 def test_alignment_makes_optional_and_repeated_groups():
-    one, two = wrappers.tree("<div><p>a</p></div>"), wrappers.tree("<div><h2>t</h2><p>a</p><p>b</p></div>")
-    assert wrappers.expression(wrappers.aligned(one, two)) == "<div> ( <h2> #const </h2> )? ( <p> #text </p> )+ </div>"
+    shape = lambda *pages: wrappers.expression(wrapper_of(pages))
+    assert shape("<div><p>a</p></div>", "<div><h2>t</h2><p>a</p><p>b</p></div>") == "<div> ( <h2> #const </h2> )? ( <p> #text </p> )+ </div>"
+    assert shape("<dl><dt>a<dd>b<dt>c<dd>d</dl>", "<dl><dt>e<dd>f</dl>") == "<dl> ( ( <dd> #text </dd> )? ( <dt> #text </dt> )? )+ </dl>"
+    assert shape("<div><p>a</p><p>b</p></div>", "<div><p>a</p><p>c</p></div>") == "<div> <p> #const </p> <p> #text </p> </div>"  # by place
+    assert shape("<ul></ul><div></div>", "<div></div><ul></ul>", "<div></div>") == "( ( <div> </div> )? ( <ul> </ul> )? )+"
+
+
+def random_page(rng, depth=0):
+    if depth == 3 or rng.random() < 0.3:
+        return rng.choice(["", "a", "b"])
+    return "".join(f"<{t}>{random_page(rng, depth + 1)}</{t}>" for t in rng.choices(["div", "ul", "p class=x", "section"], k=rng.randrange(4))).replace("</p class=x>", "</p>")
+
+
+def test_wrappers_accept_their_pages_and_do_not_depend_on_order():
+    """Brute force on small pages: the expression, read as a pattern, matches the token stream of every page it was inferred from."""
+    import re
+
+    rng = random.Random(11)
+    for _ in range(60):
+        pages = [random_page(rng) for _ in range(rng.randrange(1, 7))]
+        whole = wrapper_of(pages)
+        pattern = "".join("(?:" if t == "(" else t if t in (")?", ")*", ")+") else "# " if t[0] == "#" else re.escape(t) + " " for t in wrappers.expression(whole).split())
+        for html in pages:
+            tokens = "".join("# " if t[0] == "#" else t + " " for t in wrappers.expression(wrappers.tree(html)).split())
+            assert re.fullmatch(pattern, tokens), (pages, pattern, tokens)
+        for _ in range(3):
+            rng.shuffle(pages)
+            cut = rng.randrange(len(pages) + 1)
+            parts = [wrapper_of(p) for p in (pages[:cut], pages[cut:]) if p]
+            again = parts[0] if len(parts) == 1 else wrappers.aligned(wrappers.unpacked(wrappers.packed(parts[0])), parts[1])
+            assert wrappers.packed(again) == wrappers.packed(whole)
+
+
+def test_alignment_decides_between_elements_of_one_path():
+    """Three plain divs are one path and three slots: a tagline, a text and a list of links."""
+    pages = [f"<body><div>Always the same tagline, and a rather long one at that</div><div>Text {k}</div><div><a href=/>Link {k} to another page of this host</a></div></body>" for k in range(4)]
+    assert read(pages) == [f"Text {k}" for k in range(4)]
+    inside = [f"<article><div>Text {k}</div><div>Read on. Every page says so.</div><div><a href=/>See also {k}, and more than that, and more</a></div></article>" for k in range(4)]
+    assert read(inside) == [f"Text {k}\nRead on. Every page says so." for k in range(4)]  # a constant line of the article stays
+
+
+@pytest.mark.parametrize("html", ["<div>t" * 2000, "<div class=x>" * 20_000 + "t", "<dl>" + "<dt>a<dd>b" * 10_000 + "</dl>", "<b>" + "<p>" * 20_000 + "t"])
+def test_wrappers_read_deep_and_long_pages(html):
+    other = "<div>u<div>v</div></div><dl><dd>c</dl>"
+    got = read([html, other, html])
+    assert got[0] == got[2] and got[0]
+    assert wrappers.packed(wrappers.unpacked(wrappers.packed(wrapper_of([html, other])))) == wrappers.packed(wrapper_of([other, html]))
 
 
 @pytest.mark.parametrize("counts", [{}, {4096: 3}, {1: 10_000}, {1365: 7, 1366: 5, 2730: 5}, {k: k % 5 for k in range(1, 4097, 37)}])
