@@ -2,10 +2,15 @@
 
 Each line of a text is content or boilerplate. A linear-chain conditional random
 field over simple line features is decoded with Viterbi; the share of a text's words
-that lie in content lines decides whether it stays. The field is trained here: lines
-take their document's quality label as a weak label, on a sample of at most
-``SAMPLE_DOCS`` labelled documents drawn by digest (a documented bound; everything
-else reads every whole text). Scoring is one pass without a shuffle.
+that lie in content lines decides whether it stays. The field is trained here, on a
+sample of at most ``SAMPLE_DOCS`` labelled documents drawn by digest and at most
+``SAMPLE_LINES`` lines in a row of each (documented bounds; everything else reads
+every whole text). Only documents are labelled, so the lines' labels are found by hard
+expectation-maximisation: lines first take their document's label and are told apart
+by their features alone; then, in turn, every sampled document is decoded under the
+condition that content holds at least ``SHARE`` of its words if it is labelled 1 and
+less if 0, and the chain is fitted to these line labels, which change inside documents.
+Scoring is one pass without a shuffle.
 
 Defined cases: a null text has no words and fails the base rules; without labelled
 rows of both classes the field is empty, every line counts as content and the base
@@ -21,10 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from selectra.llm.common import joined_by_size, written
 from selectra.llm.interleave import seeded_digest
 
 SAMPLE_DOCS = 1500
+SAMPLE_LINES = 400
 SHARE = 0.5
+#: Rounds of decoding the sample and fitting the chain to it.
+ROUNDS = 3
 SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 UPPER, LOWER, DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789"
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -125,12 +134,12 @@ class Field:
         self.gain = (emission[:, 1] - emission[:, 0]).tolist()
         (self.t00, self.t01), (self.t10, self.t11) = transition.tolist()
 
-    def content(self, lines: list[list[int]]) -> list[bool]:
-        """The likeliest labels (Viterbi); ties go to content."""
+    def content(self, lines: list[list[int]], more: list[float] | None = None) -> list[bool]:
+        """The likeliest labels (Viterbi); ties go to content. ``more`` is added to the lines' scores for content."""
         gain, back = self.gain, []
         low = high = 0.0
         for k, on in enumerate(lines):
-            g = 0.0
+            g = more[k] if more else 0.0
             for f in on:
                 g += gain[f]
             if k:
@@ -146,72 +155,103 @@ class Field:
             out.append(state)
         return out[::-1]
 
-
-def fitted(docs: list[tuple[list[list[int]], int]], rounds: int = 120, rate: float = 0.15, l2: float = 1e-3) -> Field:
-    """Maximum conditional likelihood by Adam on forward-backward expectations, all documents at once."""
-    emission, transition = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
-    docs = sorted(docs, key=lambda d: -len(d[0]))
-    if len({y for _, y in docs}) < 2:
+    def content_given(self, lines: list[list[int]], sizes: list[int], y: int, share: float = SHARE) -> list[bool]:
+        """The labels of a document labelled ``y``: decoded with the least bonus or malus a word (of the powers of two tried) at which its share agrees."""
+        total = sum(sizes)
+        for k in range(-12, 12):
+            found = self.content(lines, None if k == -12 else [(2.0**k if y else -(2.0**k)) * n for n in sizes])
+            if (sum(n for n, c in zip(sizes, found, strict=True) if c) >= share * total) == bool(y):
+                return found
+        return [bool(y)] * len(lines)
+
+
+def fitted(docs: list[tuple[list[list[int]], list[int], int]]) -> Field:
+    """Fit on documents (features of the lines, words of the lines, label); without both labels an empty field."""
+    docs = sorted((d for d in docs if sum(d[1])), key=lambda d: -len(d[0]))
+    if len({y for *_, y in docs}) < 2:
+        return Field(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
+    sample = Sample(docs)
+    field = sample.fit([[y] * len(lines) for lines, _, y in docs], chain=False)
+    for _ in range(ROUNDS):
+        field = sample.fit([field.content_given(*d) for d in docs], chain=True)
+    return field
+
+
+class Sample:
+    """Documents laid out flat and line by line: the first lines of all, then the second lines of those that have one, ..."""
+
+    def __init__(self, docs: list[tuple[list[list[int]], list[int], int]]):
+        self.counts = np.array([len(x) for x, *_ in docs])
+        self.n_at = [int((self.counts > t).sum()) for t in range(self.counts[0])]
+        self.begin = np.concatenate([[0], np.cumsum(self.n_at)])
+        self.x = np.zeros((self.begin[-1], N_FEATURES), np.float32)
+        for d, (lines, *_) in enumerate(docs):
+            for t, on in enumerate(lines):
+                self.x[self.begin[t] + d, on] = 1
+        self.doc = np.concatenate([np.arange(n) for n in self.n_at])
+        y = np.array([v for *_, v in docs])
+        # Both classes weigh alike, and so do the documents of a class.
+        self.weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean()) / self.counts / len(docs)
+        self.ends = self.begin[self.counts - 1] + np.arange(len(docs))
+        t_of = np.repeat(np.arange(self.counts[0]), self.n_at)
+        self.later = np.arange(self.begin[1], self.begin[-1])
+        self.earlier = self.begin[t_of[self.later] - 1] + self.doc[self.later]
+
+    def fit(self, labels: list[list[int]], chain: bool, rounds: int = 80, rate: float = 0.15, l2: float = 1e-3) -> Field:
+        """Maximum conditional likelihood by Adam on forward-backward expectations, all documents at once. Without ``chain`` lines are independent."""
+        emission, transition = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
+        counts, begin, n_at, doc, weight = self.counts, self.begin, self.n_at, self.doc, self.weight
+        y = np.zeros(len(self.x), int)
+        for d, own in enumerate(labels):
+            y[begin[np.arange(len(own))] + d] = own
+        truth = np.eye(2)[y]
+        moment, square = [np.zeros_like(emission), np.zeros_like(transition)], [np.zeros_like(emission), np.zeros_like(transition)]
+        for step in range(1, rounds + 1):
+            scores = self.x @ emission
+            alpha, beta = scores.copy(), np.zeros_like(scores)
+            if chain:
+                for t in range(1, counts[0]):
+                    before = alpha[begin[t - 1]:begin[t - 1] + n_at[t]]
+                    alpha[begin[t]:begin[t + 1]] += np.logaddexp(before[:, :1] + transition[0], before[:, 1:] + transition[1])
+                for t in range(counts[0] - 2, -1, -1):
+                    ahead = scores[begin[t + 1]:begin[t + 2]] + beta[begin[t + 1]:begin[t + 2]]
+                    beta[begin[t]:begin[t] + n_at[t + 1]] = np.logaddexp(transition[:, 0] + ahead[:, :1], transition[:, 1] + ahead[:, 1:])
+                z = np.logaddexp(alpha[self.ends, 0], alpha[self.ends, 1])[doc]
+            else:
+                z = np.logaddexp(scores[:, 0], scores[:, 1])
+            miss = (truth - np.exp(alpha + beta - z[:, None])) * weight[doc, None]
+            gradients = [self.x.T @ miss - 2 * l2 * emission]
+            if chain and len(self.later):
+                pair = np.exp(alpha[self.earlier][:, :, None] + transition + (scores + beta)[self.later][:, None, :] - z[self.later, None, None])
+                seen = truth[self.earlier][:, :, None] * truth[self.later][:, None, :]
+                gradients.append(((seen - pair) * weight[doc[self.later], None, None]).sum(0) - 2 * l2 * transition)
+            for k, (weights, gradient) in enumerate(zip((emission, transition), gradients)):
+                moment[k] = 0.9 * moment[k] + 0.1 * gradient
+                square[k] = 0.999 * square[k] + 0.001 * gradient**2
+                weights += rate * (moment[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)
         return Field(emission, transition)
-    counts = np.array([len(x) for x, _ in docs])
-    y = np.array([v for _, v in docs])
-    eye = np.eye(2)
-    # Flat and line by line: the first lines of all documents, then the second lines of those that have one, ...
-    n_at = [int((counts > t).sum()) for t in range(counts[0])]
-    begin = np.concatenate([[0], np.cumsum(n_at)])
-    at = [slice(begin[t], begin[t + 1]) for t in range(counts[0])]
-    x = np.zeros((begin[-1], N_FEATURES), np.float32)
-    for d, (lines, _) in enumerate(docs):
-        for t, on in enumerate(lines):
-            x[begin[t] + d, on] = 1
-    doc = np.concatenate([np.arange(n) for n in n_at])
-    weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean()) / counts / len(docs)
-    ends = begin[counts - 1] + np.arange(len(docs))
-    moment, square = [np.zeros_like(emission), np.zeros_like(transition)], [np.zeros_like(emission), np.zeros_like(transition)]
-    for step in range(1, rounds + 1):
-        scores = x @ emission
-        alpha, beta = scores.copy(), np.zeros_like(scores)
-        for t in range(1, counts[0]):
-            before = alpha[begin[t - 1]:begin[t - 1] + n_at[t]]
-            alpha[at[t]] += np.logaddexp(before[:, :1] + transition[0], before[:, 1:] + transition[1])
-        for t in range(counts[0] - 2, -1, -1):
-            ahead = scores[at[t + 1]] + beta[at[t + 1]]
-            beta[begin[t]:begin[t] + n_at[t + 1]] = np.logaddexp(transition[:, 0] + ahead[:, :1], transition[:, 1] + ahead[:, 1:])
-        z = np.logaddexp(alpha[ends, 0], alpha[ends, 1])
-        miss = (eye[y[doc]] - np.exp(alpha + beta - z[doc, None])) * weight[doc, None]
-        up = x.T @ miss - 2 * l2 * emission
-        later = np.arange(begin[1], begin[-1])
-        if len(later):
-            t_of = np.repeat(np.arange(counts[0]), n_at)[later]
-            earlier, own = begin[t_of - 1] + doc[later], doc[later]
-            pair = np.exp(alpha[earlier][:, :, None] + transition + (scores + beta)[later][:, None, :] - z[own, None, None])
-            seen = eye[y[own]][:, :, None] * eye[y[own]][:, None, :]
-            move = ((seen - pair) * weight[own, None, None]).sum(0) - 2 * l2 * transition
-        else:
-            move = -2 * l2 * transition
-        for k, (weights, gradient) in enumerate(((emission, up), (transition, move))):
-            moment[k] = 0.9 * moment[k] + 0.1 * gradient
-            square[k] = 0.999 * square[k] + 0.001 * gradient**2
-            weights += rate * (moment[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)
-    return Field(emission, transition)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_DOCS, seed: int = 0) -> Field:
-    """Fit on the ``sample`` labelled documents with the smallest digests."""
-    spark = docs.sparkSession
-    drawn = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IN (0, 1)")
-    drawn = drawn.orderBy(seeded_digest(seed, F.col("_id")), "_id", "_y").limit(sample)
-    drawn = spark.createDataFrame(drawn.collect(), "_id long, _y int") if sample <= 100_000 else drawn
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull()).join(F.broadcast(drawn), "_id")
+    """Fit on the ``sample`` labelled documents with the smallest digests, a bounded stretch of lines of each."""
+    drawn = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"), seeded_digest(seed, F.col(id_col)).alias("_draw")).filter("_id IS NOT NULL AND _y IN (0, 1)")
+    drawn = written(drawn.orderBy("_draw", "_y").limit(sample), "drawn")  # bounded by `sample`
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
+    texts = joined_by_size(texts, drawn, ["_id"], min(sample, drawn.count()))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [read_lines(t.as_py())[0] for t in batch.column("_text")]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(own, pa.list_(pa.list_(pa.int32()))), batch.column("_y")], ["_id", "lines", "y"])
-
-    rows = texts.select("_id", "_text", "_y").mapInArrow(lines, "_id long, lines array<array<int>>, y int").collect()
-    rows = sorted(rows, key=lambda r: (r["_id"], r["y"], str(r["lines"])))[: 2 * sample]
-    return fitted([(r["lines"], r["y"]) for r in rows])
+            features, words = [], []
+            for draw, text in zip(batch.column("_draw").to_pylist(), batch.column("_text"), strict=True):
+                own, sizes, *_ = read_lines(text.as_py())
+                start = int(draw[:8], 16) % max(1, len(own) - SAMPLE_LINES + 1)
+                features.append(own[start:start + SAMPLE_LINES])
+                words.append(sizes[start:start + SAMPLE_LINES])
+            yield pa.RecordBatch.from_arrays([batch.column("_draw"), pa.array(features, pa.list_(pa.list_(pa.int32()))), pa.array(words, pa.list_(pa.int32())), batch.column("_y")], ["draw", "lines", "words", "y"])
+
+    rows = texts.select("_draw", "_text", "_y").mapInArrow(lines, "draw string, lines array<array<int>>, words array<int>, y int")
+    rows = rows.orderBy("draw", "y", "lines", "words").limit(2 * sample).collect()  # at most 2 * sample * SAMPLE_LINES lines
+    return fitted([(r["lines"], r["words"], r["y"]) for r in rows])
 
 
 def judge(docs: DataFrame, field: Field, text_col: str = "text", share: float = SHARE) -> DataFrame:
