@@ -263,11 +263,40 @@ def test_lines_base_counts_and_labels(spark, docs, empty):
     assert none.content(lines) == [True] * 6
     out = {r["doc_id"]: r for r in line_crf.judge(docs, field).collect()}
     for i, t, *_ in corpus():
-        assert out[i]["n_words"] == len(words(t)) and out[i]["word_chars"] == sum(len(w.decode()) for w in words(t))
+        assert {k: out[i][k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")} == base_counts(t)
         assert not (out[i]["kept"] and out[i]["base_failed"])
     assert line_crf.judge(empty, field).count() == 0 and clean
 
 
+def base_counts(text):
+    """Brute force of the base rules."""
+    w, lines, symbols = words(text), (text or "").split("\n"), sum(c in "#*$%&|<>" for c in text or "")
+    dup = sum(bool(words(x)) and x in lines[:k] for k, x in enumerate(lines))
+    windows = Counter(tuple(w[k:k + 3]) for k in range(len(w) - 2))
+    again = len({k + j for k in range(len(w) - 2) if windows[tuple(w[k:k + 3])] > 1 for j in range(3)})
+    return {"n_words": len(w), "word_chars": sum(len(x.decode()) for x in w), "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": again, "base_failed": len(w) < 50 or 100 * again > 50 * len(w)}
+
+
+def test_line_labels_change_inside_documents(spark):
+    """Documents mix good and bad lines; the field is trained on document labels alone (of string ids) and tells the lines apart."""
+    rng = random.Random(5)
+    good = lambda: " ".join(f"{rng.choice('abcdef')}word{rng.randrange(999)}" for _ in range(12)) + "."
+    bad = lambda: " ".join(f"W{rng.randrange(99)}###" for _ in range(12))
+    rows, marks = [], {}
+    for i in range(160):
+        kinds = [rng.random() < (0.8 if i % 2 else 0.25) for _ in range(12)]
+        kinds = kinds if (sum(kinds) >= 6) == bool(i % 2) else [bool(i % 2)] * 12
+        rows.append((f"d{i}", "\n".join(good() if k else bad() for k in kinds)))
+        marks[f"d{i}"] = kinds
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(0, 120)], "doc_id string, quality int")
+    field = line_crf.train(df, labels)
+    held_out = [(i, t) for i, t in rows if int(i[1:]) >= 120]
+    assert sum(field.content(line_crf.read_lines(t)[0]) == marks[i] for i, t in held_out) >= 0.95 * len(held_out)
+    kept = {r["doc_id"]: r["kept"] for r in line_crf.judge(df, field).collect()}
+    assert all(kept[i] == (sum(marks[i]) >= 6) for i, t in held_out if not base_counts(t)["base_failed"])
+
+
 def test_viterbi_is_best():
     rng = np.random.default_rng(3)
     field = line_crf.Field(rng.normal(size=(line_crf.N_FEATURES, 2)), rng.normal(size=(2, 2)))
