@@ -318,8 +318,8 @@ def _judged(df: DataFrame, size: int, percent: int, id_col: str, text_col: str)
     least = classes.select(*sets, F.col("_id").alias("least"), "rep")
     if labels is not None:
         grouped = least.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        smallest = grouped.groupBy("label").agg(F.min("least").alias("smallest"))
-        least = grouped.join(smallest, "label").select(*sets, F.col("smallest").alias("least"))
+        smallest = written(grouped.groupBy("label").agg(F.min("least").alias("smallest")), "smallest")
+        least = joined_by_size(grouped, smallest, ["label"], smallest.count()).select(*sets, F.col("smallest").alias("least"))
     found = signed.select("_id", "_key", *sets).join(written(least.select(*sets, "least"), "least"), sets, "left")
     component = F.when(F.col("n") > 0, F.coalesce("least", "_id")).otherwise(F.col("_id"))
     component = F.when(F.col("_id").isNull(), F.lit(None).cast("long")).otherwise(component)
