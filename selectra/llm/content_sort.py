@@ -87,7 +87,7 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", normal
     rows = df.select(text.alias("_text"), F.col(id_col).alias("_id"))
     marked = written(_sorted(rows, keep == "largest").mapInArrow(_mark, f"_id {kind}, _part int, _run long, _lead boolean, _digest string, _edge string"), "runs")
     runs = marked.filter(F.col("_edge").isNull()).drop("_edge")
-    # At most two rows a partition: runs with the same border text are one group, led by the earliest.
+    # At most two rows a partition, so small enough to broadcast: runs with the same border text are one group, led by the earliest.
     member = F.struct("_part", "_run")
     edges = marked.filter(F.col("_edge").isNotNull()).groupBy("_edge").agg(F.collect_set(member).alias("all"), F.min(member).alias("group"))
     edges = edges.select(F.explode("all").alias("at"), "group").select("at._part", "at._run", "group")

@@ -8,7 +8,8 @@ row at most. Both rankings are bucketed (``with_rank``): a source with a third o
 all rows is dealt over as many tasks as its size needs.
 
 Defined cases: a null source is a source of its own; null ids and texts are ranked
-by their digest like any other; repeated rows tie and take neighbouring slots; an
+by their digest like any other; rows that share an id are ordered by a hash of all
+their columns (but maps), so reruns agree, and equal rows take neighbouring slots; an
 empty table gives an empty result. Columns named like an output are replaced.
 """
 
@@ -40,8 +41,10 @@ def leading_bits(digest: Column, bits: int) -> Column:
 def interleave(df: DataFrame, n_shards: int, id_col: str = "doc_id", source_col: str = "source", seed: int = 0, rows_per_bucket: int = 4_000) -> DataFrame:
     """Input columns plus shard int (0 to n_shards - 1) and slot long, gapless from 0 in each shard."""
     kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    hashed = [df[c] for c in kept if not any(k in df.schema[c].dataType.simpleString() for k in ("map<", "variant"))]
     rows = df.select(
         F.struct(*[df[c] for c in kept]).alias("_row"),
+        F.xxhash64(*hashed).alias("_tie"),
         F.coalesce(F.concat(F.lit("s"), df[source_col].cast("string")), F.lit("n")).alias("_src"),
         seeded_digest(seed, df[id_col]).alias("_key"),
     )
@@ -49,11 +52,11 @@ def interleave(df: DataFrame, n_shards: int, id_col: str = "doc_id", source_col:
     per_source = written(rows.groupBy("_src").agg(F.count(F.lit(1)).alias("_n")), "sources")
     n_sources, n_rows = per_source.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
     bits = bucket_bits(n_rows, rows_per_bucket)
-    ranked = with_rank(rows.withColumn("_bucket", leading_bits(F.col("_key"), bits)), ["_src"], "_bucket", [F.col("_key")], "_rank")
+    ranked = with_rank(rows.withColumn("_bucket", leading_bits(F.col("_key"), bits)), ["_src"], "_bucket", [F.col("_key"), F.col("_tie")], "_rank")
     fraction = (F.col("_rank") * 2 + 1).cast("double") / (F.col("_n") * 2).cast("double")
     spread = joined_by_size(ranked.drop("_bucket"), per_source, ["_src"], n_sources).withColumn("_at", fraction)
     spread = spread.withColumn("_bucket", F.floor(F.col("_at") * (1 << bits)).cast("int")).withColumn("_all", F.lit(0))
-    spread = written(spread.drop("_n", "_rank"), "spread")
+    spread = written(spread.drop("_n", "_rank", "_tie"), "spread")
     order = [F.col("_at"), F.md5("_src"), F.col("_src")]
     placed = with_rank(spread, ["_all"], "_bucket", order, "_global")
     shard = F.expr(f"_global * {n_shards} div {max(1, n_rows)}")

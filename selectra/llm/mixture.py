@@ -15,6 +15,7 @@ result. Columns named like an output are replaced.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -103,7 +104,8 @@ def mix(df: DataFrame, size: Column, weights: Sequence[float] = (5, 2, 1), share
     n_sources = per_source.count()
     found = thresholds(sized, source_targets(per_source, weights, share, most), n_sources)
     out = joined_by_size(rows, found, ["_src", "_null"], n_sources)
-    times = F.col("_epochs") + (F.col("_hash") < F.col("_below")).cast("int")
+    # Rows of size 0 fit everywhere, so they would come once more than the rest.
+    times = F.least(F.col("_epochs") + (F.col("_hash") < F.col("_below")).cast("int"), F.lit(math.ceil(most)))
     return out.select("_row.*", F.col("_size").alias("size"), "source_size", "target", times.alias("times"))
 
 

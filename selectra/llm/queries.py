@@ -29,6 +29,24 @@ def op1_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+OP1_SQL = f"""
+WITH RECURSIVE bits(v, c, k) AS (
+  SELECT i, i, 0 FROM range(256) t(i)
+  UNION ALL SELECT v, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY v) AS t FROM bits WHERE k = 8),
+d AS MATERIALIZED (
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS src, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h, strlen(coalesce(text, '')) + 8 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes
+  FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY h) - 1 AS r, count(*) OVER (PARTITION BY src) AS n, count(*) OVER () AS total FROM d),
+placed AS (SELECT *, row_number() OVER (ORDER BY (2 * r + 1)::DOUBLE / (2 * n)::DOUBLE, md5(src), src) - 1 AS g FROM ranked),
+sharded AS (SELECT *, (g * {SHARDS}) // total AS s FROM placed)
+SELECT doc_id, size::BIGINT AS size, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32,
+       'rows' AS law, s::INT AS shard, (g - (s * total + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard
+FROM sharded, crc
+"""
+
+
 def op5_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("words"))
     mixed = mixture.mix(docs, F.col("words"), seed=SEED)
@@ -73,7 +91,7 @@ def op8_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
        count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 """
@@ -83,6 +101,25 @@ def op2_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+grams AS MATERIALIZED (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 2 THEN array_to_string(ws, ' ') ELSE ws[i] || ' ' || ws[i + 1] END AS g
+  FROM w, unnest(range(1, greatest(len(ws), 2))) AS t(i) WHERE len(ws) > 0),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id
+  JOIN sizes sx ON sx.doc_id = x.doc_id JOIN sizes sy ON sy.doc_id = y.doc_id
+  WHERE 100 * least(sx.n, sy.n) >= 80 * greatest(sx.n, sy.n)
+  GROUP BY x.doc_id, y.doc_id, sx.n, sy.n HAVING 100 * count(*) >= 80 * (sx.n + sy.n - count(*))),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.c),
+least_of AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least_of USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+
 def op3_zip_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc_zip.round_trip(table(spark, sf_dir, "pages"), min_bytes=1000)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -156,4 +193,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_zip_warc_round_trip": OP3_SQL, "op4_doubling_repeats": OP4_SQL, "op5_hash_threshold_mix": OP5_SQL, "op8_content_sort_dedup": OP8_SQL}
+    return {"op1_interleave_shards": OP1_SQL, "op2_odd_sketch_near_dedup": OP2_SQL, "op3_zip_warc_round_trip": OP3_SQL, "op4_doubling_repeats": OP4_SQL, "op5_hash_threshold_mix": OP5_SQL, "op8_content_sort_dedup": OP8_SQL}

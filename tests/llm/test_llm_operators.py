@@ -123,7 +123,7 @@ def test_mixture(docs, empty):
         open_ -= over or open_
     taken = Counter()
     for r in mixed:
-        assert r["times"] <= 2 and abs(r["target"] - target[r["source"]]) < 1e-6
+        assert 0 <= r["times"] <= 2 and abs(r["target"] - target[r["source"]]) < 1e-6
         taken[r["source"]] += int(r["times"]) * size[r["doc_id"]]
     for s in order:
         biggest = max(size[i] for i, _, _, src, *_ in corpus() if src == s)
@@ -346,6 +346,17 @@ def test_packing(docs, empty):
     assert packing.pack(packing.pieces(empty, path, cap), cap).count() == 0
 
 
+def test_ids_of_random_texts_are_the_tokenizers():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    known, tokenizer, rng = packing.WordIds(path), Tokenizer.from_file(path), random.Random(3)
+    pools = ["abcdefghijklmnopqrstuvwxyz", "ABCXYZ", "0123456789", " \t\n\r\x0b\x0c", "'.,!?-_#|<>", "éàüßñçÉÜ", "\x00\x7f\x85\xa0\u200b\u2028\u3000", "中文字ひ한", "ʼ’“”…", "😀👍🏽", "e\u0301ﬁ½²"]
+    for _ in range(3000):
+        text = "".join(rng.choice(rng.choice(pools[:4] if rng.random() < 0.6 else pools)) for _ in range(rng.randrange(40)))
+        text = text.replace("''", rng.choice(["'s ", "<|endoftext|>", "n't"]))
+        ids = np.frombuffer(packing.document_ids(text, known), "<u4").tolist()
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids + [1], repr(text)
+
+
 @pytest.mark.parametrize("text", ["", "Don't STOP!!! it's 'start", "Ünï ΑΣ <|endoftext|>x ½ ﬁ İ 12ab34 “q”, x_y\x85z", "l'été d'ñ ªº µ ×÷ ß", "É,à. éa"])
 def test_ids_are_the_tokenizers(text):
     path = public_tokenizers.path("word_bpe_49k.json")

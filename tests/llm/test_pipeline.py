@@ -48,6 +48,17 @@ def test_run_is_all_stages(spark, sf_dir):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_stages_of_empty_tables_and_of_more_columns(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = docs.selectExpr("*", "doc_id AS _id", "text AS _text", "source AS _src", "n_chars AS kept", "lang AS size").select("_src", "kept", *COLUMNS[::-1], "_id", "_text", "size")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        out = stage(spark, more, sf_dir)
+        assert out.columns == COLUMNS and out.count() == stage(spark, docs, sf_dir).count()
+    assert corpus_pipeline.best_fit_packing(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_registry_names_every_operator():
     import __spark_entry__ as entry
 
