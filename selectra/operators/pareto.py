@@ -5,13 +5,14 @@ Objectives are given as {column: "max" or "min"}. Null objectives count as worst
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from selectra.sources.scratch import cut, numbered
 
@@ -23,7 +24,8 @@ TIER_CAPS = {"elite": 10, "factory": 50, "laboratory": 100}
 
 INF = float("inf")
 BLOCK = 1024
-SALTS = 16
+#: Vectors of a group that one task reduces to their skyline.
+MERGE = 20_000
 #: Distinct vectors of a group that one task sorts into fronts; of larger groups fronts are peeled until so many are left.
 SORTED = 1_000_000
 
@@ -56,6 +58,7 @@ def skyline(points: np.ndarray) -> np.ndarray:
 
 def _survivors(values: list[str], by: list[str]):
     def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates([*by, *values])
         return rows[skyline(rows[values].to_numpy(float))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,21 +80,65 @@ def dominance_pairs(df: DataFrame, objectives: Mapping[str, str] = OBJECTIVES, b
     return a.join(b, test).select("winner", "loser")
 
 
+def _with(schema: StructType, name: str) -> StructType:
+    return StructType([*schema.fields, StructField(name, LongType())])
+
+
+def _reduced(vectors: DataFrame, values: list[str], by: list[str]) -> DataFrame:
+    """The skyline of each group. Batches are reduced where they lie; survivors meet in tasks of about MERGE vectors until a
+    group fits one task, or until that no longer helps: then blocks of survivors are held against each other."""
+    one, run = _survivors(values, by)
+    schema, salted = vectors.schema, _with(vectors.schema, "_salt")
+    front = cut(vectors.mapInPandas(run, schema), "local")
+    size = lambda: front.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    left = size()
+    for turn in range(64):
+        if left <= MERGE:
+            return front.groupBy(*by).applyInPandas(one, schema)
+        salt = F.pmod(F.xxhash64(F.lit(turn), *values), F.lit(-(-left // MERGE)))
+        front = cut(front.withColumn("_salt", salt).groupBy(*by, "_salt").applyInPandas(one, salted).drop("_salt"), f"merged{turn}")
+        before, left = left, size()
+        if left > 0.8 * before:
+            break
+    return _held_against(front, values, by, left, one)
+
+
+def _held_against(front: DataFrame, values: list[str], by: list[str], largest: int, one: Callable) -> DataFrame:
+    """Skyline of large groups without a task that sees a whole group: a vector goes if another block holds one that dominates it."""
+    salt = F.pmod(F.xxhash64(*values), F.lit(-(-largest // MERGE)))
+    front = cut(front.withColumn("_salt", salt).groupBy(*by, "_salt").applyInPandas(one, _with(front.schema, "_salt")), "blocked")
+    blocks = front.groupBy(*by, "_salt").agg(F.collect_list(F.struct(*values)).alias("_rows"), *[F.min(v).alias(f"_min{i}") for i, v in enumerate(values)], *[F.max(v).alias(f"_max{i}") for i, v in enumerate(values)])
+    blocks = cut(blocks, "blocks")
+    names = [f"_g{i}" for i in range(len(by))]
+    others = blocks.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col("_salt").alias("_other"), F.col("_rows").alias("_rivals"), *[F.col(f"_min{i}").alias(f"_low{i}") for i in range(len(values))])
+    # Only blocks whose least corner dominates another's greatest can hold rivals.
+    able = reduce(lambda x, y: x & y, [blocks[c].eqNullSafe(others[n]) for c, n in zip(by, names, strict=True)] + [F.col(f"_low{i}") <= F.col(f"_max{i}") for i in range(len(values))])
+    pairs = blocks.join(others, able & (F.col("_salt") != F.col("_other")))
+
+    def beaten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, row in batch.iterrows():
+                mine, rivals = (np.array([[r[v] for v in values] for r in row[c]]) for c in ("_rows", "_rivals"))
+                gone = np.zeros(len(mine), bool)
+                for k in range(0, len(rivals), BLOCK):
+                    block = rivals[k:k + BLOCK, None, :]
+                    for j in range(0, len(mine), BLOCK):
+                        gone[j:j + BLOCK] |= (block <= mine[None, j:j + BLOCK]).all(2).any(0)
+                yield pd.DataFrame(mine[gone], columns=values).assign(**{c: row[c] for c in by})[[*by, *values]]
+
+    lost = pairs.select(*by, "_rows", "_rivals").mapInPandas(beaten, front.select(*by, *values).schema).distinct()
+    same = reduce(lambda x, y: x & y, [front[c].eqNullSafe(lost[c]) for c in [*by, *values]])
+    return front.drop("_salt").join(lost, same, "left_anti")
+
+
 def pareto_frontier(df: DataFrame, objectives: Mapping[str, str] = OBJECTIVES, by: Sequence[str] = ()) -> DataFrame:
     """Rows that no row (of their group) dominates; equal vectors stay together.
 
-    Equal vectors are collapsed, every Arrow batch and then every salted group keeps its local skyline,
-    and only survivors meet in the last merge.
+    Every Arrow batch is reduced to its local skyline before anything is shuffled, survivors are merged in a tree.
     """
     by, values = list(by), [f"_o{i}" for i in range(len(objectives))]
     signed = df.withColumns({v: _signed(c, s) for v, (c, s) in zip(values, objectives.items(), strict=True)})
-    vectors = signed.select(*by, *values).distinct()
-    schema = vectors.schema
-    one, run = _survivors(values, by)
-    local = vectors.mapInPandas(run, schema)
-    salted = local.withColumn("_salt", F.pmod(F.xxhash64(*values), F.lit(SALTS)))
-    merged = salted.groupBy(*by, "_salt").applyInPandas(lambda g: one(g.drop(columns="_salt")), schema)
-    front = merged.groupBy(*by).applyInPandas(one, schema)
+    front = _reduced(signed.select(*by, *values), values, by)
     same = reduce(lambda x, y: x & y, [signed[c].eqNullSafe(front[c]) for c in [*by, *values]])
     return signed.join(front, same, "left_semi").drop(*values)
 
@@ -171,15 +218,27 @@ def crowding_distance(df: DataFrame, dims: Sequence[str] = CROWDING_DIMS, rank_c
     """
     keys = [*by, rank_col]
     long = df.select(id_col, *keys, *[F.col(c).cast("double").alias(c) for c in dims]).unpivot([id_col, *keys], list(dims), "dim", "value")
-    group = Window.partitionBy(*keys, "dim")
-    order = group.orderBy("value", id_col)
-    before, after = F.lag("value").over(order), F.lead("value").over(order)
-    span = F.max("value").over(group) - F.min("value").over(group)
+    keys.append("dim")
+    # Range partitions in the order wanted: neighbours are next to each other but for the borders, which a row a partition and group tells.
+    dealt = long.repartitionByRange(*keys, "value", id_col).withColumn("_part", F.spark_partition_id())
+    dealt = cut(dealt, "dealt")
+    runs = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("value").alias("_low"), F.max("value").alias("_high"))
+    group = Window.partitionBy(*keys)
+    by_part = group.orderBy("_part")
+    runs = runs.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_at"), F.lag("_high").over(by_part).alias("_before"), F.lead("_low").over(by_part).alias("_after"),
+        F.sum("_n").over(group).alias("_all"), (F.max("_high").over(group) - F.min("_low").over(group)).alias("_span"),
+    )
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    order = Window.partitionBy("_part", *keys).orderBy("value", id_col)
+    inside = dealt.withColumns({"_lag": F.lag("value").over(order), "_lead": F.lead("value").over(order)})
+    long = inside.join(runs, same & (F.col("_part") == F.col("_at")))
+    before, after, span = F.coalesce("_lag", "_before"), F.coalesce("_lead", "_after"), F.col("_span")
     flat = span < 1e-9 if skip_flat else span == 0
     inner = F.when(flat, 0.0).otherwise((after - before) / span)
     end = F.lit(INF)
     gap = F.when(before.isNull() | after.isNull(), F.when(flat, 0.0).otherwise(end) if skip_flat else end).otherwise(inner)
-    gap = F.when(F.count(F.lit(1)).over(group) <= 2, end).otherwise(gap)
+    gap = F.when(F.col("_all") <= 2, end).otherwise(gap)
     distances = long.withColumn("gap", gap).groupBy(id_col).agg(F.sum("gap").alias("crowding"))
     return df.join(distances, id_col)
 
@@ -187,18 +246,24 @@ def crowding_distance(df: DataFrame, dims: Sequence[str] = CROWDING_DIMS, rank_c
 def nsga2_select(df: DataFrame, k: int, objectives: Mapping[str, str] = OBJECTIVES, dims: Sequence[str] = CROWDING_DIMS, by: Sequence[str] = (), max_fronts: int | None = None, id_col: str = "id") -> DataFrame:
     """The best k rows (of each group) by front, then crowding, then id."""
     ranked = crowding_distance(pareto_fronts(df, objectives, by, max_fronts, id_col, None if by else k), dims, "front_rank", by, id_col=id_col)
-    order = [F.col("front_rank").asc_nulls_last(), F.col("crowding").desc(), F.col(id_col)]
+    # Crowding is a sum whose last digits depend on the order of its terms.
+    order = [F.col("front_rank").asc_nulls_last(), F.round("crowding", 9).desc(), F.col(id_col)]
     if not by:
         return ranked.orderBy(*order).limit(k)
     return ranked.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_place") <= k).drop("_place")
 
 
 def tournament_select(df: DataFrame, n: int, size: int = 3, seed: int = 0, id_col: str = "id") -> DataFrame:
-    """Winners of n tournaments of ``size`` seeded draws with replacement, from rows with front_rank and crowding."""
+    """Winners of n tournaments of ``size`` seeded draws with replacement, from rows with front_rank and crowding.
+
+    A draw is a digest of seed and draw modulo the number of rows; crowdings that agree in nine digits are a tie, which the id decides.
+    """
     rows = cut(numbered(df.select(id_col, "front_rank", "crowding"), [F.col(id_col)]), "numbered")
     total = rows.count()
-    draws = df.sparkSession.range(n * size).withColumn("tournament", F.floor(F.col("id") / size)).withColumn("row_no", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, total)))).drop("id")
-    best = F.struct(F.coalesce("front_rank", F.lit(2**31 - 1)), -F.col("crowding"), F.col(id_col))
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"))), 1, 15), 16, 10).cast("long")
+    draws = df.sparkSession.range(n * size).withColumnRenamed("id", "draw")
+    draws = draws.select(F.floor(F.col("draw") / size).alias("tournament"), F.pmod(digest, F.lit(max(1, total))).alias("row_no"))
+    best = F.struct(F.coalesce("front_rank", F.lit(2**31 - 1)), -F.round("crowding", 9), F.col(id_col))
     return draws.join(rows, "row_no").groupBy("tournament").agg(F.min_by(id_col, best).alias("winner"))
 
 
@@ -222,29 +287,48 @@ def dedupe_best(df: DataFrame, id_col: str, score: str = "score", ties: Sequence
     return top_k(df, 1, [F.col(score).desc_nulls_last(), *map(F.col, ties)], [id_col])
 
 
-def assign_tiers(df: DataFrame, order: Sequence[Column], functional: Column, objectives: Mapping[str, str] = OBJECTIVES, caps: Mapping[str, int] = TIER_CAPS, id_col: str = "id") -> DataFrame:
-    """Adds tier: laboratory, elite or factory; every tier cut to its cap by front, crowding and id.
+def assign_tiers(
+    df: DataFrame, order: Sequence[Column], functional: Column, objectives: Mapping[str, str] = OBJECTIVES, caps: Mapping[str, int] = TIER_CAPS,
+    id_col: str = "id", prior: DataFrame | None = None, score: str = "score", code: str = "code", dims: Sequence[str] = CROWDING_DIMS,
+) -> DataFrame:
+    """Adds tier: laboratory, elite or factory; of repeated ids the best score stays in each tier; every tier is cut to its cap by front, crowding and id.
 
-    Functional rows enter the elite while it has room, in the order given; later ones enter
-    if they dominate one of those first rows (dominance is transitive, so no other elite matters).
+    Functional rows enter the elite while it has room, in the order given; later ones enter if they dominate one of those
+    first rows (dominance is transitive, so no other elite matters). With ``prior`` (the elite of the turn before: id, score
+    and code) the weakest prior elite whose code is not that of the first row admitted is demoted: it goes to the factory.
+    Adds moved: "promoted", "demoted" or null.
     """
     ok = df.withColumn("_ok", F.coalesce(functional, F.lit(False)))
-    first = cut(ok.filter("_ok").orderBy(*order, id_col).limit(caps["elite"]).select(id_col, *objectives), "first")
+    ok = ok.withColumn("_down", F.lit(False))
+    if prior is not None:
+        top = ok.filter("_ok").orderBy(*order, id_col).limit(1).select(F.col(code).alias("_top"))
+        weakest = prior.select(F.col(id_col).alias("_prior"), F.col(score).alias("_score"), F.col(code).alias("_code"))
+        weakest = weakest.join(F.broadcast(top), ~F.col("_code").eqNullSafe(F.col("_top"))).orderBy("_score", "_prior").limit(1)  # one row
+        ok = ok.join(F.broadcast(weakest.select("_prior")), F.col(id_col) == F.col("_prior"), "left").withColumn("_down", F.col("_prior").isNotNull()).drop("_prior")
+    first = cut(ok.filter("_ok AND NOT _down").orderBy(*order, id_col).limit(caps["elite"]).select(id_col, *objectives), "first")
     names = {c: f"_f{i}" for i, c in enumerate(objectives)}
     seats = first.select(*[_signed(c, s).alias(names[c]) for c, s in objectives.items()])
     mine = {c: _signed(c, s) for c, s in objectives.items()}
     beats = reduce(lambda x, y: x & y, [mine[c] <= F.col(names[c]) for c in objectives]) & reduce(lambda x, y: x | y, [mine[c] < F.col(names[c]) for c in objectives])
-    later = ok.filter("_ok").join(F.broadcast(seats), beats, "left_semi").select(id_col)  # at most caps["elite"] seats
+    later = ok.filter("_ok AND NOT _down").join(F.broadcast(seats), beats, "left_semi").select(id_col)  # at most caps["elite"] seats
     elite = first.select(id_col).unionByName(later).distinct().withColumn("_elite", F.lit(True))
-    tier = F.when(~F.col("_ok"), "laboratory").when(F.col("_elite"), "elite").otherwise("factory")
-    placed = cut(ok.join(elite, id_col, "left").withColumn("tier", tier).drop("_ok", "_elite"), "tiers")
-    kept = []
+    tier = F.when(F.col("_down"), "factory").when(~F.col("_ok"), "laboratory").when(F.col("_elite"), "elite").otherwise("factory")
+    moved = F.when(F.col("_down"), "demoted").when(F.col("_ok") & F.col("_elite"), "promoted")
+    placed = ok.join(elite, id_col, "left").withColumns({"tier": tier, "moved": moved}).drop("_ok", "_elite", "_down")
+    if score in df.columns:
+        placed = top_k(placed, 1, [F.col(score).desc_nulls_last()], ["tier", id_col])
+    placed, kept = cut(placed, "tiers"), []
     for name, cap in caps.items():
         rows = placed.filter(F.col("tier") == name)
-        kept.append(nsga2_select(rows, cap, objectives, max_fronts=cap, id_col=id_col).drop("front_rank", "crowding"))
+        kept.append(nsga2_select(rows, cap, objectives, dims, id_col=id_col).drop("front_rank", "crowding"))
     return reduce(DataFrame.unionByName, kept)
 
 
+def tier_report(tiers: DataFrame) -> DataFrame:
+    """Rows of each tier that were promoted and demoted."""
+    return tiers.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("moved") == "promoted").alias("promoted"), F.count_if(F.col("moved") == "demoted").alias("demoted"))
+
+
 def tier_snapshot(df: DataFrame, by: Sequence[str] = ("tier",), value: str = "code", score: str = "score") -> DataFrame:
     """Rows, best score and share of distinct values of each tier."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max(score).alias("best_score"), (F.countDistinct(value) / F.count(F.lit(1))).alias("diversity"))

@@ -20,76 +20,70 @@ def _front(source: str, by: str = "") -> str:
     return f"SELECT * FROM {source} a WHERE NOT EXISTS (SELECT 1 FROM {source} b WHERE {by}{BEATS})"
 
 
-FRONTS = f"""f0 AS MATERIALIZED ({_front(C, 'b.grp = a.grp AND ')}), r1 AS MATERIALIZED (SELECT * FROM v_candidates WHERE id NOT IN (SELECT id FROM f0)),
-f1 AS MATERIALIZED ({_front('r1', 'b.grp = a.grp AND ')}), r2 AS MATERIALIZED (SELECT * FROM r1 WHERE id NOT IN (SELECT id FROM f1)), f2 AS MATERIALIZED ({_front('r2', 'b.grp = a.grp AND ')}),
-fronts AS MATERIALIZED (SELECT *, 0 AS front_rank FROM f0 UNION ALL SELECT *, 1 FROM f1 UNION ALL SELECT *, 2 FROM f2)"""
-DIMS = pareto.CROWDING_DIMS
-_W = "PARTITION BY grp, front_rank ORDER BY {d}, id"
-_G = "PARTITION BY grp, front_rank"
-_GAP = f"""CASE WHEN count(*) OVER ({_G}) <= 2 THEN 'inf'::DOUBLE WHEN max({{d}}) OVER ({_G}) - min({{d}}) OVER ({_G}) < 1e-9 THEN 0
- WHEN lag({{d}}) OVER ({_W}) IS NULL OR lead({{d}}) OVER ({_W}) IS NULL THEN 'inf'::DOUBLE
- ELSE (lead({{d}}) OVER ({_W}) - lag({{d}}) OVER ({_W})) / (max({{d}}) OVER ({_G}) - min({{d}}) OVER ({_G})) END"""
-CROWDED = FRONTS + ", crowded AS MATERIALIZED (SELECT *, " + " + ".join(_GAP.format(d=x) for x in DIMS) + " AS crowding FROM fronts)"
+def fronts_sql(source: str, by: str, most: int | None = None) -> str:
+    """What is left after k fronts are peeled; a row's front is the last k at which it is there. With ``most``, fronts from there on are one."""
+    names = f"id, {by}, correctness, latency_p50, memory_peak_mb"
+    end = "" if most is None else f" AND k < {most}"
+    return f"""left_over AS (SELECT 0 AS k, {names} FROM {source}
+ UNION ALL SELECT k + 1, {names} FROM left_over a WHERE EXISTS (SELECT 1 FROM left_over b WHERE b.{by} = a.{by} AND {BEATS}){end}),
+ranks AS MATERIALIZED (SELECT id, max(k)::INT AS front_rank FROM left_over GROUP BY id),
+fronts AS MATERIALIZED (SELECT c.*, front_rank FROM {source} c JOIN ranks USING (id))"""
+
+
+def crowded_sql(source: str, by: str, most: int | None = None) -> str:
+    group, order = f"PARTITION BY {by}, front_rank", f"PARTITION BY {by}, front_rank ORDER BY {{d}}, id"
+    gap = f"""CASE WHEN count(*) OVER ({group}) <= 2 THEN 'inf'::DOUBLE WHEN max({{d}}) OVER ({group}) - min({{d}}) OVER ({group}) < 1e-9 THEN 0
+ WHEN lag({{d}}) OVER ({order}) IS NULL OR lead({{d}}) OVER ({order}) IS NULL THEN 'inf'::DOUBLE
+ ELSE (lead({{d}}) OVER ({order}) - lag({{d}}) OVER ({order})) / (max({{d}}) OVER ({group}) - min({{d}}) OVER ({group})) END"""
+    return fronts_sql(source, by, most) + ", crowded AS MATERIALIZED (SELECT *, " + " + ".join(gap.format(d=x) for x in pareto.CROWDING_DIMS) + " AS crowding FROM fronts)"
+
+
+FRONTS, CROWDED = fronts_sql(C, "grp"), crowded_sql(C, "grp")
 
 
 def _views(sql: str, head: str = FRONTS) -> str:
     return with_views(C, f"WITH {head} {sql}")
 
 
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The view written once: fronts read it several times."""
+    return cut(view(spark, d, C), "candidates")
+
+
 @query(with_views(C, f"SELECT id, grp, round({SCORE}, 6) AS score FROM ({_front(C, 'b.grp = a.grp AND ')}) f QUALIFY row_number() OVER (PARTITION BY grp ORDER BY {SCORE} DESC, id) <= 5"))
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The best non-dominated orders of each priority."""
-    front = scores.scalar_score(pareto.pareto_frontier(view(spark, d, C), by=["grp"]))
+    front = scores.scalar_score(pareto.pareto_frontier(candidates(spark, d), by=["grp"]))
     return rounded(pareto.top_k(front, 5, [F.desc("score"), F.col("id")], ["grp"]).select("id", "grp", "score"), "score")
 
 
 @query(with_views(C, f"SELECT id FROM ({_front(C)}) f"))
 def pareto_frontier(spark: SparkSession, d: str) -> DataFrame:
-    return pareto.pareto_frontier(view(spark, d, C)).select("id")
+    return pareto.pareto_frontier(candidates(spark, d)).select("id")
 
 
 @query(with_views(C, f"SELECT id, grp FROM ({_front(C, 'b.grp = a.grp AND ')}) f"))
 def pareto_frontier_by_group(spark: SparkSession, d: str) -> DataFrame:
-    return pareto.pareto_frontier(view(spark, d, C), by=["grp"]).select("id", "grp")
+    return pareto.pareto_frontier(candidates(spark, d), by=["grp"]).select("id", "grp")
 
 
 @query(with_views(C, f"WITH best AS MATERIALIZED ({_front(C, 'b.grp = a.grp AND ')}) SELECT b.id AS winner, count(*) AS beaten FROM best b JOIN v_candidates a ON a.grp = b.grp AND {BEATS} GROUP BY b.id"))
 def dominance_pairs(spark: SparkSession, d: str) -> DataFrame:
     """How many rows of its group each frontier row dominates."""
-    rows = view(spark, d, C)
+    rows = candidates(spark, d)
     best = pareto.pareto_frontier(rows, by=["grp"]).select("id")
     beaten = pareto.dominance_pairs(rows, by=["grp"]).join(F.broadcast(best.withColumnRenamed("id", "winner")) if best.count() <= 10_000 else best.withColumnRenamed("id", "winner"), "winner", "left_semi")
     return beaten.groupBy("winner").agg(F.count(F.lit(1)).alias("beaten"))
 
 
-@query(_views("SELECT id, front_rank FROM v_candidates LEFT JOIN (SELECT id, front_rank FROM fronts) f USING (id)"))
+@query(_views("SELECT id, front_rank FROM fronts"))
 def pareto_fronts(spark: SparkSession, d: str) -> DataFrame:
-    return pareto.pareto_fronts(view(spark, d, C), by=["grp"], max_fronts=3).select("id", "front_rank")
-
-
-@query()
-def all_pareto_fronts(spark: SparkSession, d: str) -> DataFrame:
-    """Every row with its front; the SQL of pareto_fronts has the first three."""
-    return pareto.pareto_fronts(view(spark, d, C), by=["grp"]).select("id", "front_rank")
-
-
-def _all_crowded(spark: SparkSession, d: str) -> DataFrame:
-    return pareto.crowding_distance(pareto.pareto_fronts(view(spark, d, C), by=["grp"]), by=["grp"])
-
-
-@query()
-def all_crowding_distance(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_all_crowded(spark, d).select("id", "front_rank", "crowding"), "crowding")
-
-
-@query()
-def all_front_stats(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(pareto.front_stats(_all_crowded(spark, d), ["grp"]), "mean_crowding")
+    """Every row with its front."""
+    return pareto.pareto_fronts(candidates(spark, d), by=["grp"]).select("id", "front_rank")
 
 
 def _crowded(spark: SparkSession, d: str) -> DataFrame:
-    ranked = pareto.pareto_fronts(view(spark, d, C), by=["grp"], max_fronts=3).filter("front_rank IS NOT NULL")
-    return pareto.crowding_distance(ranked, by=["grp"])
+    return pareto.crowding_distance(cut(pareto.pareto_fronts(candidates(spark, d), by=["grp"]), "fronts"), by=["grp"])
 
 
 @query(_views("SELECT id, front_rank, round(crowding, 6) AS crowding FROM crowded", CROWDED))
@@ -97,15 +91,19 @@ def crowding_distance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_crowded(spark, d).select("id", "front_rank", "crowding"), "crowding")
 
 
-@query(_views("SELECT grp, id FROM crowded QUALIFY row_number() OVER (PARTITION BY grp ORDER BY front_rank, crowding DESC, id) <= 20", CROWDED))
+@query(_views("SELECT grp, id FROM crowded QUALIFY row_number() OVER (PARTITION BY grp ORDER BY front_rank, round(crowding, 9) DESC, id) <= 20", CROWDED))
 def nsga2_select(spark: SparkSession, d: str) -> DataFrame:
-    return pareto.nsga2_select(view(spark, d, C), 20, by=["grp"]).select("grp", "id")
+    return pareto.nsga2_select(candidates(spark, d), 20, by=["grp"]).select("grp", "id")
 
 
-@query()
+@query(_views("""SELECT tournament, id AS winner FROM (
+  SELECT range // 3 AS tournament, ('0x' || substr(md5('7:' || range), 1, 15))::BIGINT % (SELECT count(*) FROM crowded) AS row_no
+  FROM range((SELECT greatest(1, count(*) // 10) * 3 FROM crowded))) d
+JOIN (SELECT id, front_rank, crowding, row_number() OVER (ORDER BY id) - 1 AS row_no FROM crowded) c USING (row_no)
+QUALIFY row_number() OVER (PARTITION BY tournament ORDER BY front_rank, round(crowding, 9) DESC, id) = 1""", CROWDED))
 def tournament_select(spark: SparkSession, d: str) -> DataFrame:
-    """A tenth as many tournaments as there are rows."""
-    rows = pareto.crowding_distance(pareto.pareto_fronts(view(spark, d, C)), dims=pareto.CROWDING_DIMS[:3])
+    """A tenth as many tournaments as there are rows, over ranks within each priority."""
+    rows = cut(_crowded(spark, d).select("id", "front_rank", "crowding"), "crowded")
     return pareto.tournament_select(rows, max(1, rows.count() // 10), 3, seed=7)
 
 
@@ -125,16 +123,20 @@ def dedupe_best(spark: SparkSession, d: str) -> DataFrame:
     return pareto.dedupe_best(table(spark, d, "events"), "user_id", "value", ["event_id"]).select("user_id", "event_id", "value")
 
 
-TIERED = """tiers AS MATERIALIZED (SELECT c.*, CASE WHEN correctness < 0.5 THEN 'laboratory' WHEN id IN (SELECT id FROM seats) OR EXISTS (SELECT 1 FROM seats s WHERE c.correctness >= s.correctness AND c.latency_p50 <= s.latency_p50 AND c.memory_peak_mb <= s.memory_peak_mb AND (c.correctness > s.correctness OR c.latency_p50 < s.latency_p50 OR c.memory_peak_mb < s.memory_peak_mb)) THEN 'elite' ELSE 'factory' END AS tier FROM v_candidates c)"""
-SEATS = "seats AS MATERIALIZED (SELECT id, correctness, latency_p50, memory_peak_mb FROM v_candidates WHERE correctness >= 0.5 ORDER BY id LIMIT 10)"
+# The elite before is that of correctness >= 0.5 with the ten largest ids; the weakest by memory is demoted.
+TIERS = """prior AS MATERIALIZED (SELECT id, memory_peak_mb FROM v_candidates WHERE correctness >= 0.5 ORDER BY id DESC LIMIT 10),
+down AS MATERIALIZED (SELECT id FROM prior WHERE id <> (SELECT min(id) FROM v_candidates WHERE correctness >= 0.5) ORDER BY memory_peak_mb, id LIMIT 1),
+seats AS MATERIALIZED (SELECT id, correctness, latency_p50, memory_peak_mb FROM v_candidates WHERE correctness >= 0.5 AND id NOT IN (SELECT id FROM down) ORDER BY id LIMIT 10),
+tiers AS MATERIALIZED (SELECT c.*, CASE WHEN id IN (SELECT id FROM down) THEN 'factory' WHEN correctness < 0.5 THEN 'laboratory'
+ WHEN id IN (SELECT id FROM seats) OR EXISTS (SELECT 1 FROM seats s WHERE c.correctness >= s.correctness AND c.latency_p50 <= s.latency_p50 AND c.memory_peak_mb <= s.memory_peak_mb AND (c.correctness > s.correctness OR c.latency_p50 < s.latency_p50 OR c.memory_peak_mb < s.memory_peak_mb)) THEN 'elite' ELSE 'factory' END AS tier FROM v_candidates c)"""
 
 
-@query(with_views(C, f"WITH {SEATS}, {TIERED}, f0 AS MATERIALIZED ({_front('tiers', 'b.tier = a.tier AND ')}) SELECT tier, least(count(*), CASE tier WHEN 'elite' THEN 10 WHEN 'factory' THEN 50 ELSE 100 END) AS n, least(count_if(id IN (SELECT id FROM f0)), CASE tier WHEN 'elite' THEN 10 WHEN 'factory' THEN 50 ELSE 100 END) AS n_front FROM tiers GROUP BY tier"))
+@query(with_views(C, f"WITH {TIERS}, {crowded_sql('tiers', 'tier', 12)} SELECT id, tier, CASE WHEN id IN (SELECT id FROM down) THEN 'demoted' WHEN tier = 'elite' THEN 'promoted' END AS moved FROM crowded QUALIFY row_number() OVER (PARTITION BY tier ORDER BY front_rank, round(crowding, 9) DESC, id) <= CASE tier WHEN 'elite' THEN 10 WHEN 'factory' THEN 50 ELSE 100 END"))
 def assign_tiers(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of each tier, and how many of them no row of the whole tier dominates."""
-    kept = cut(pareto.assign_tiers(view(spark, d, C), [F.col("id")], F.col("correctness") >= 0.5))
-    best = pareto.pareto_frontier(kept, by=["tier"]).select("id", F.lit(1).alias("f"))
-    return kept.join(best, "id", "left").groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.count("f").alias("n_front"))
+    """Rows of each tier; the score is memory, and every row has a code of its own."""
+    rows = candidates(spark, d).withColumns({"score": F.col("memory_peak_mb"), "code": F.col("id")})
+    prior = rows.filter("correctness >= 0.5").orderBy(F.desc("id")).limit(10).select("id", "score", "code")
+    return pareto.assign_tiers(rows, [F.col("id")], F.col("correctness") >= 0.5, prior=prior).select("id", "tier", "moved")
 
 
 @query(with_views(C, f"SELECT grp AS tier, count(*) AS n, round(max({SCORE}), 6) AS best_score, round(count(DISTINCT latency_p50) / count(*), 6) AS diversity FROM v_candidates GROUP BY grp"))
