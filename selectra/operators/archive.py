@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from selectra.sources.scratch import cut
 
 BLOCK = 2048
+PIVOTS = 64
 #: So many query vectors are broadcast as blocks; more are shuffled.
 MOST_QUERIES = 50_000
 
@@ -67,12 +68,50 @@ def novelty(emb: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     return queries.select(F.col(id_col).alias("query_id")).join(found, "query_id", "left").withColumn("novelty", F.coalesce("novelty", F.lit(1.0)))
 
 
+def copies(emb: DataFrame, id_col: str = "vec_id", vector: str = "vector", order: str | None = None) -> DataFrame:
+    """(id, rep): the first row (by ``order``, then id) that has the same vector."""
+    first = F.min(F.struct(F.col(order or id_col), F.col(id_col).alias("rep"))).alias("first")
+    classes = cut(emb.groupBy(vector).agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select(vector, "first.rep"), "classes")
+    return emb.select(F.col(id_col).alias("id"), vector).join(classes, vector, "left").select("id", F.coalesce("rep", "id").alias("rep"))
+
+
+def _dealt(emb: DataFrame, id_col: str, vector: str, theta: float) -> tuple[DataFrame, DataFrame]:
+    """Blocks (block, rows) of vectors around one of PIVOTS pivots each, and the pairs (l, r) of blocks that can hold vectors within the angle theta."""
+    rows = emb.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()  # PIVOTS vectors at most
+    m = np.array([r["v"] for r in drawn], float) if drawn else np.zeros((1, 1))
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            dots = np.stack(batch["v"].to_list()).astype(float) @ m.T if len(batch) else np.zeros((0, 1))
+            yield batch.assign(pivot=dots.argmax(1).astype("int32"), angle=np.arccos(np.clip(dots.max(1, initial=-1), -1, 1)))
+
+    kind = emb.schema[id_col].dataType.simpleString()
+    homes = cut(rows.mapInPandas(assign, f"id {kind}, v array<double>, pivot int, angle double"), "homes")
+    sizes = homes.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))  # one row a pivot
+    placed = homes.join(F.broadcast(sizes), "pivot").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
+    blocks = placed.groupBy("pivot", "salt").agg(F.collect_list(F.struct("id", "v")).alias("rows"), F.max("angle").alias("radius"))
+    blocks = cut(blocks.withColumn("block", F.col("pivot") * F.lit(2**40) + F.col("salt")), "blocks")
+    far = np.arccos(np.clip(m @ m.T, -1, 1))
+    angles = emb.sparkSession.createDataFrame([(i, j, float(far[i, j])) for i in range(len(far)) for j in range(len(far))], "pivot int, other int, far double")  # PIVOTS squared at most
+    left = blocks.select("pivot", F.col("block").alias("l"), F.col("radius").alias("l_radius")).join(F.broadcast(angles), "pivot")
+    right = blocks.select(F.col("pivot").alias("other"), F.col("block").alias("r"), F.col("radius").alias("r_radius"))
+    pairs = left.join(right, "other").filter((F.col("l") <= F.col("r")) & (F.col("far") <= F.col("l_radius") + F.col("r_radius") + theta + 1e-6))
+    return blocks.select("block", "rows"), pairs.select("l", "r")
+
+
 def near_duplicates(emb: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector: str = "vector") -> DataFrame:
-    """(a, b, dot) with a < b and dot >= threshold, by block products over the upper triangle of blocks."""
-    n = emb.count()
-    left = cut(_blocks(emb, id_col, vector, "a", n), "blocks")
-    right = left.select(F.col("a_block").alias("b_block"), F.col("a").alias("b"))
-    pairs = left.join(right, F.col("a_block") <= F.col("b_block"))
+    """(a, b, dot) with a < b and dot >= threshold between the first rows of all different vectors, and (first, copy, dot) for every further copy of one.
+
+    Exact. Vectors are dealt to blocks around pivots; block pairs too far apart for the threshold, by the triangle inequality
+    of angles, are left out, and copies are not expanded into pairs.
+    """
+    classes = copies(emb, id_col, vector)
+    member = cut(classes.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), "members")
+    distinct = emb.join(member.select(F.col("b").alias(id_col)), id_col, "left_anti")
+    blocks, pairs = _dealt(distinct, id_col, vector, math.acos(max(-1.0, min(1.0, threshold))))
+    blocks = cut(blocks, "rows")
+    pairs = pairs.join(blocks.select(F.col("block").alias("l"), F.col("rows").alias("a")), "l").join(blocks.select(F.col("block").alias("r"), F.col("rows").alias("b")), "r")
 
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -85,11 +124,13 @@ def near_duplicates(emb: DataFrame, threshold: float = 0.98, id_col: str = "vec_
                 frame = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "dot": dots[i, j]})
                 yield frame[frame["a"] < frame["b"]].drop_duplicates(["a", "b"])
 
-    return pairs.select("a", "b").mapInPandas(over, "a long, b long, dot double")
+    found = pairs.select("a", "b").mapInPandas(over, "a long, b long, dot double")
+    norm = F.aggregate(vector, F.lit(0.0), lambda x, y: x + y * y).alias("dot")
+    return found.unionByName(member.join(emb.select(F.col(id_col).alias("b"), norm), "b").filter(F.col("dot") >= threshold).select("a", "b", "dot"))
 
 
 def near_duplicates_lsh(emb: DataFrame, threshold: float = 0.98, tables: int = 8, bucket: float = 0.5, seed: int = 7, id_col: str = "vec_id", vector: str = "vector") -> DataFrame:
-    """The same by random-projection hashing: for archives too large for block products; may miss pairs."""
+    """All pairs by random-projection hashing: for archives too large for block products; may miss pairs (a test measures how many)."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
@@ -100,12 +141,19 @@ def near_duplicates_lsh(emb: DataFrame, threshold: float = 0.98, tables: int = 8
     return found.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), (1 - F.col("d") * F.col("d") / 2).alias("dot"))
 
 
-def semantic_dedupe(emb: DataFrame, pairs: DataFrame, order: str = "ord", id_col: str = "vec_id", max_rounds: int | None = None) -> DataFrame:
+def semantic_dedupe(emb: DataFrame, pairs: DataFrame, order: str = "ord", id_col: str = "vec_id", max_rounds: int | None = None, vector: str = "vector", text: str | None = None, score: str | None = None, metrics: str | None = None) -> DataFrame:
     """Adds kept and merged_into, in arrival order: a row with a kept earlier neighbour goes into the earliest such row.
 
     Rounds: a row is kept once all its earlier neighbours are settled as gone; it is gone once one of them is kept.
-    Every round settles the earliest open row at least. With ``max_rounds`` rows still open then are an error.
+    Every round settles the earliest open row at least. With ``max_rounds`` rows still open then are an error. Copies of a
+    vector share the fate of the first of them: their neighbours are its neighbours. With ``metrics`` (a map), ``text`` and
+    ``score``, kept rows get merged_metrics (later rows win), and merged_text and merged_score of the best row that went into them.
     """
+    itself = emb.select(F.col(id_col).alias("id"), F.col(id_col).alias("rep"))
+    classes = cut(copies(emb, id_col, vector, order) if vector in emb.columns else itself, "copies")
+    everything, emb = emb, emb.join(classes.filter("id <> rep").select(F.col("id").alias(id_col)), id_col, "left_anti")
+    to_first = classes.select(F.col("id").alias("a"), F.col("rep").alias("ra")), classes.select(F.col("id").alias("b"), F.col("rep").alias("rb"))
+    pairs = pairs.join(to_first[0], "a").join(to_first[1], "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
     place = emb.select(F.col(id_col).alias("id"), F.struct(F.col(order), F.col(id_col)).alias("o"))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = both.join(place.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(place.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b")
@@ -129,8 +177,20 @@ def semantic_dedupe(emb: DataFrame, pairs: DataFrame, order: str = "ord", id_col
         if k % 16 == 15:
             kept, gone = ([cut(reduce(DataFrame.unionByName, part), f"settled{k}")] for part in (kept, gone))
     merged = reduce(DataFrame.unionByName, gone) if gone else open_ids.withColumn("into", F.col("id")).limit(0)
-    rows = emb.join(merged.select(F.col("id").alias(id_col), F.col("into").alias("merged_into")), id_col, "left")
-    return rows.withColumn("kept", F.col("merged_into").isNull())
+    merged = classes.join(merged.select(F.col("id").alias("rep"), "into"), "rep", "left")
+    merged = merged.select(F.col("id").alias(id_col), F.coalesce("into", F.when(F.col("id") != F.col("rep"), F.col("rep"))).alias("merged_into"))
+    rows = everything.join(merged, id_col).withColumn("kept", F.col("merged_into").isNull())
+    if metrics is None:
+        return rows
+    rows = cut(rows, "deduped")
+    # Pre-aggregated by (kept row, key), so that a row into which many went is not one group of maps.
+    home = F.coalesce("merged_into", id_col).alias("_home")
+    entries = rows.select(home, F.col(order).alias("_o"), F.explode(metrics).alias("_k", "_v")).groupBy("_home", "_k").agg(F.max_by("_v", "_o").alias("_v"))
+    maps = entries.groupBy("_home").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("merged_metrics"))
+    # At equal scores the kept text gives way, as to a later row.
+    best = rows.groupBy(home).agg(F.max_by(F.struct(F.col(text).alias("t"), F.col(score).alias("s")), F.struct(score, order)).alias("_best"))
+    rows = rows.join(maps.withColumnRenamed("_home", id_col), id_col, "left").join(best.withColumnRenamed("_home", id_col), id_col, "left")
+    return rows.withColumns({"merged_text": F.col("_best.t"), "merged_score": F.col("_best.s")}).drop("_best")
 
 
 def diverse_sample(emb: DataFrame, k: int, order: str = "ord", id_col: str = "vec_id", vector: str = "vector", seed: int = 7) -> DataFrame:

@@ -283,7 +283,7 @@ def novelty(spark: SparkSession, d: str) -> DataFrame:
     return rounded(archive.novelty(emb, emb.filter("vec_id % 50 = 0"), 10), "novelty", digits=5)
 
 
-@query(with_views("v_embed", f"SELECT a.vec_id AS a, b.vec_id AS b, round({DOT}, 6) AS dot FROM v_embed a JOIN v_embed b ON a.vec_id < b.vec_id WHERE {DOT} >= 0.98"))
+@query(with_views("v_embed", f"WITH first AS (SELECT vector, min(vec_id) AS vec_id FROM v_embed GROUP BY vector) SELECT a.vec_id AS a, b.vec_id AS b, round({DOT}, 6) AS dot FROM first a JOIN first b ON a.vec_id < b.vec_id WHERE {DOT} >= 0.98 UNION ALL SELECT f.vec_id, e.vec_id, 1::DOUBLE FROM v_embed e JOIN first f ON f.vector = e.vector AND f.vec_id < e.vec_id"))
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return rounded(archive.near_duplicates(view(spark, d, "v_embed")), "dot")
 
