@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where none is set (tests)."""
+    """The shared folder; where none is set, a temporary one in local mode (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -29,10 +33,30 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column], totals: Mapping[str, Column] | None = None) -> DataFrame:
+    """Adds to every row, for each of ``sums``, the sum over the rows before it in its group, and each of ``totals`` over its whole group.
+
+    Rows are dealt by range of (group, order), summed up inside each partition and shifted by the sums of the partitions
+    before, so no group is one task. The order should be total, or ties may change places between runs.
+    """
+    by, totals = list(by), totals or {}
+    parts = df.withColumns({f"_s{i}": c for i, c in enumerate(sums.values())} | {f"_t{i}": c for i, c in enumerate(totals.values())})
+    parts = cut(parts.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "parts")
+    group, before = Window.partitionBy(*[f"_g{i}" for i in range(len(by))], "_one"), (Window.unboundedPreceding, -1)
+    # One row a partition and group in it.
+    runs = parts.groupBy(*by, "_part").agg(F.lit(1).alias("_one"), *[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(sums))], *[F.sum(f"_t{i}").alias(f"_t{i}") for i in range(len(totals))])
+    runs = runs.select("_one", F.col("_part").alias("_at"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], *[c for c in runs.columns if c[:2] in ("_s", "_t")])
+    shift = runs.select(
+        "_at", *[f"_g{i}" for i in range(len(by))], *[F.coalesce(F.sum(f"_s{i}").over(group.orderBy("_at").rowsBetween(*before)), F.lit(0)).alias(f"_shift{i}") for i in range(len(sums))],
+        *[F.sum(f"_t{i}").over(group).alias(f"_total{i}") for i in range(len(totals))],
+    )
+    inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(*before)
+    rows = parts.withColumns({f"_in{i}": F.coalesce(F.sum(f"_s{i}").over(inside), F.lit(0)) for i in range(len(sums))})
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)], F.col("_part") == F.col("_at"))
+    rows = rows.join(shift, same).withColumns({n: F.col(f"_in{i}") + F.col(f"_shift{i}") for i, n in enumerate(sums)} | {n: F.col(f"_total{i}") for i, n in enumerate(totals)})
+    return rows.select(*[c for c in df.columns if c not in sums and c not in totals], *sums, *totals)
+
+
 def numbered(df: DataFrame, order: list[Column], out: str = "row_no") -> DataFrame:
-    """0-based row numbers in the order given: range partitions are numbered inside and shifted by the counts before them."""
-    parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "parts")
-    counts = parts.groupBy("_part").count()  # one row per partition
-    shift = counts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return parts.withColumn(out, inside).join(F.broadcast(shift), "_part").withColumn(out, F.col(out) + F.col("_shift")).drop("_part", "_shift")
+    """0-based row numbers in the order given."""
+    return prefix_sums(df, [], order, {out: F.lit(1).cast("long")})
