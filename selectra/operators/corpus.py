@@ -32,7 +32,7 @@ def frequent_small_units(rows: DataFrame, mentions: DataFrame, key: str, length:
 def duplicate_units(rows: DataFrame, text: Column, file: str = "doc_id") -> DataFrame:
     """Content that lies in at least two files: (content_hash, first_file, file, score), each further file linked to the first.
 
-    Linking to the first keeps the result linear in the copies; ``all_duplicate_pairs`` expands it.
+    Linking to the first keeps the result linear in the copies.
     """
     placed = rows.select(F.sha2(text, 256).alias("content_hash"), F.col(file).alias("file")).distinct()
     groups = placed.groupBy("content_hash").agg(F.min("file").alias("first_file"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")

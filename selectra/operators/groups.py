@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from selectra.functions.texts import tokens
+from selectra.sources.scratch import cut, numbered
 
 
 def group_diversity(df: DataFrame, by: str, text: str, score: str) -> DataFrame:
@@ -42,12 +43,21 @@ def population_entropy(docs: DataFrame, by: str, text: str, root: str) -> DataFr
     return out.withColumn("entropy", (F.col("shape_entropy") + F.col("token_entropy") + F.col("root_entropy")) / 3)
 
 
+#: Rows of a per-group table that are broadcast; more are shuffled.
+MOST_GROUPS = 100_000
+
+
+def _small(table: DataFrame) -> DataFrame:
+    table = cut(table, "groups")
+    return F.broadcast(table) if table.count() <= MOST_GROUPS else table
+
+
 def group_jaccard(sets: DataFrame, by: str, value: str) -> DataFrame:
     """(a, b, jaccard) of the value sets of every two groups, a < b, by a join on values; pairs without a common value have 0.
 
     Groups must be few (their pairs are the result); values may be many.
     """
-    distinct = sets.select(F.col(by).alias("g"), F.col(value).alias("v")).distinct()
+    distinct = cut(sets.select(F.col(by).alias("g"), F.col(value).alias("v")).distinct(), "distinct")
     sizes = distinct.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     # Each value carries its sorted groups once; pairs are made per value, bounded by groups squared.
     shared = distinct.groupBy("v").agg(F.array_sort(F.collect_set("g")).alias("gs")).filter(F.size("gs") > 1)
@@ -67,38 +77,39 @@ def convergent_boost(df: DataFrame, similar: DataFrame, by: str, score: str = "s
     close = similar.filter(F.col("jaccard") > threshold)
     both = close.select(F.col("a").alias(by), "jaccard").unionByName(close.select(F.col("b").alias(by), "jaccard"))
     boost = both.groupBy(by).agg((factor * F.sum("jaccard")).alias("boost"))
-    return df.join(F.broadcast(boost), by, "left").withColumn("boost", F.coalesce("boost", F.lit(0.0))).withColumn("boosted", F.col(score) * (1 + F.col("boost")))
+    return df.join(_small(boost), by, "left").withColumn("boost", F.coalesce("boost", F.lit(0.0))).withColumn("boosted", F.col(score) * (1 + F.col("boost")))
 
 
 def neighbor_edges(ids: DataFrame, topology: str = "ring", id_col: str = "id", degree: int = 2, seed: int = 0) -> DataFrame:
-    """(src, dst) between group ids; the ids are few (one per group).
+    """(src, dst) between group ids, each pair once.
 
-    ring, fully_connected, mesh (4 neighbours, floor(sqrt n) columns), moore and von_neumann (ceil(sqrt n) columns), random.
+    ring, mesh (4 neighbours, floor(sqrt n) columns), moore and von_neumann (ceil(sqrt n) columns), random (``degree``
+    others by digest): the places of a row's neighbours are computed and joined, so any number of ids will do.
+    fully_connected is all pairs, so its result grows with their square: for few ids.
     """
-    n = ids.count()
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(id_col)) - 1
-    rows = ids.select(F.col(id_col).alias("id"), place.alias("p"))
-    a, b = rows.select(F.col("id").alias("src"), F.col("p").alias("pa")), rows.select(F.col("id").alias("dst"), F.col("p").alias("pb"))
-    if n < 2:
-        return a.join(b, F.lit(False)).select("src", "dst")
-    cols = max(1, math.isqrt(n)) if topology == "mesh" else math.isqrt(n - 1) + 1
-    dr = F.abs(F.floor(F.col("pa") / cols) - F.floor(F.col("pb") / cols))
-    dc = F.abs(F.col("pa") % cols - F.col("pb") % cols)
-    apart = F.col("pa") != F.col("pb")
+    rows = cut(numbered(ids.select(F.col(id_col).alias("id")), [F.col("id")], "p"), "places")
+    n = rows.count()
+    to = rows.select(F.col("id").alias("dst"), F.col("p").alias("q"))
+    if topology == "fully_connected":
+        return rows.join(to, F.col("p") != F.col("q")).select(F.col("id").alias("src"), "dst")
+    cols = max(1, math.isqrt(n)) if topology == "mesh" else math.isqrt(max(0, n - 1)) + 1
+    r, c = F.floor(F.col("p") / cols), F.col("p") % cols
+    steps = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
     if topology == "ring":
-        test = apart & ((F.pmod(F.col("pa") + 1, F.lit(n)) == F.col("pb")) | (F.pmod(F.col("pa") - 1, F.lit(n)) == F.col("pb")))
-    elif topology == "fully_connected":
-        test = apart
-    elif topology in ("mesh", "von_neumann"):
-        test = apart & (dr + dc == 1)
-    elif topology == "moore":
-        test = apart & (F.greatest(dr, dc) == 1)
+        places = F.array(F.pmod(F.col("p") + 1, F.lit(max(1, n))), F.pmod(F.col("p") - 1, F.lit(max(1, n))))
+    elif topology in ("mesh", "von_neumann", "moore"):
+        near = [(dr, dc) for dr, dc in steps if (abs(dr) + abs(dc) == 1 if topology != "moore" else (dr, dc) != (0, 0))]
+        places = F.array_compact(F.array(*[F.when((r + dr >= 0) & (c + dc >= 0) & (c + dc < cols), (r + dr) * cols + c + dc) for dr, dc in near]))
     elif topology == "random":
-        draw = F.row_number().over(Window.partitionBy("src").orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), "src", "dst"), 256)))
-        return a.join(b, apart).withColumn("k", draw).filter(F.col("k") <= degree).select("src", "dst")
+        others = max(1, n - 1)
+        draw = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), F.lit(str(k)))), 1, 15), 16, 10).cast("long")
+        # Enough draws that all but tiny sets yield `degree` different ones; the next places fill what is missing.
+        drawn = F.array(*[F.pmod(draw(k), F.lit(others)) + 1 for k in range(8 * degree)], *[F.lit(k).cast("long") for k in range(1, min(others, 9 * degree) + 1)])
+        places = F.transform(F.slice(F.array_distinct(drawn), 1, degree), lambda x: F.pmod(F.col("p") + x, F.lit(max(1, n))))
     else:
         raise ValueError(f"unknown topology {topology!r}")
-    return a.join(b, test).select("src", "dst")
+    wanted = rows.select(F.col("id").alias("src"), "p", F.explode(F.array_distinct(places)).alias("q")).filter("p <> q")
+    return wanted.join(to, "q").select("src", "dst")
 
 
 def stable_sample(df: DataFrame, key: str, n: int, seed: int, name: str = "sample", by: Sequence[str] = ()) -> DataFrame:
@@ -114,7 +125,8 @@ def route_samples(df: DataFrame, edges: DataFrame, by: str, key: str, k: int, se
     if generation % interval:
         return df.withColumn("dst", F.lit(None).cast(df.schema[by].dataType)).limit(0)
     chosen = stable_sample(df, key, k, seed, f"migration-{generation}", [by])
-    routed = chosen.join(F.broadcast(edges), chosen[by] == edges["src"]).drop("src")
+    edges = _small(edges)
+    routed = chosen.join(edges, chosen[by] == edges["src"]).drop("src")
     return routed.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in cleared})
 
 

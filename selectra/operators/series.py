@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from selectra.functions.scores import label
 from selectra.operators.stats import score_entropy, score_spread
+from selectra.sources.scratch import cut, prefix_sums
 
 
 def _median(sorted_array: Column) -> Column:
@@ -31,6 +32,7 @@ def tipping_points(series: DataFrame, by: str = "run_id", i: str = "i", v: str =
     ``i`` must count 0, 1, 2, ... in each run.
     """
     half = window // 2
+    series = cut(series.select(by, i, v), "series")  # read twice
     order = Window.partitionBy(by).orderBy(i)
     near = F.collect_list(F.col(v)).over(order.rowsBetween(-half, half))
     rows = series.select(by, F.col(i).alias("i"), F.col(v).cast("double").alias("v"), near.alias("near"), F.count(F.lit(1)).over(Window.partitionBy(by)).alias("n"))
@@ -131,9 +133,10 @@ def last_n_history(events: DataFrame, n: int = 100, name: str | None = None, by:
 
 
 def failure_streaks(calls: DataFrame, by: str, order: str, ok: str) -> DataFrame:
-    """Longest and current run of failures; a success ends a run."""
-    window = Window.partitionBy(by).orderBy(order)
-    rows = calls.withColumn("_run", F.sum(F.col(ok).cast("int")).over(window)).withColumn("_bad", (~F.col(ok)).cast("int"))
+    """Longest and current run of failures; a success ends a run. Runs are numbered over range partitions, so a hot key is no single task."""
+    good = F.col(ok).cast("long")
+    rows = prefix_sums(calls.select(by, order, ok), [by], [F.col(order)], {"_run": good})
+    rows = rows.withColumn("_run", F.col("_run") + good).withColumn("_bad", (~F.col(ok)).cast("int"))
     runs = rows.groupBy(by, "_run").agg(F.sum("_bad").alias("_len"))
     return runs.groupBy(by).agg(F.max("_len").alias("longest_streak"), F.max_by("_len", "_run").alias("current_streak"), F.sum("_len").alias("failures"))
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from selectra.functions.scores import clamp, ratio
+from selectra.sources.scratch import prefix_sums
 
 INF = float("inf")
 
@@ -16,33 +18,60 @@ def event_counts(events: DataFrame, name: str = "name") -> DataFrame:
     return events.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _ranked(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Distinct values of each group with the rows before (_i), of (_c) and in all (_n): sorted by ranges, so no group is one task."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    return prefix_sums(counts, by, [F.col(value)], {"_i": F.col("_c")}, {"_n": F.col("_c")})
+
+
+def exact_percentiles(df: DataFrame, value: str, by: Sequence[str], wanted: Mapping[str, float]) -> DataFrame:
+    """Interpolated percentiles of each group."""
+    inside = lambda place: (F.col("_i") <= place) & (place < F.col("_i") + F.col("_c"))
+    place = {k: (F.col("_n") - 1) * F.lit(float(p)) for k, p in wanted.items()}
+    ends = [F.max(F.when(inside(f(place[k])), F.col(value))).alias(f"_{e}_{k}") for k in wanted for e, f in (("low", F.floor), ("high", F.ceil))]
+    rows = _ranked(df, value, by).groupBy(*by).agg(F.max("_n").alias("_n"), *ends)
+    between = lambda k: F.when(F.ceil(place[k]) == F.floor(place[k]), F.col(f"_low_{k}")).otherwise((F.ceil(place[k]) - place[k]) * F.col(f"_low_{k}") + (place[k] - F.floor(place[k])) * F.col(f"_high_{k}"))
+    return rows.select(*by, *[between(k).alias(k) for k in wanted])
+
+
 def sample_stats(df: DataFrame, value: str, by: Sequence[str] = (), ops: int = 1, approx: bool = False) -> DataFrame:
-    """n, interpolated percentiles, mean, sample deviation (0 below two), 95 % interval and throughput = ops / p50."""
-    pick = (lambda p: F.percentile_approx(value, p)) if approx else (lambda p: F.percentile(value, p))
-    rows = df.groupBy(*by).agg(
-        F.count(value).alias("n"), pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"),
-        F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev"),
-    )
+    """n, interpolated percentiles, mean, sample deviation (0 below two), 95 % interval and throughput = ops / p50.
+
+    Exact percentiles come from ranks over range partitions; ``approx`` takes one aggregation instead.
+    """
+    wanted = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    pick = [F.percentile_approx(value, p).alias(k) for k, p in wanted.items()] if approx else []
+    rows = df.groupBy(*by).agg(F.count(value).alias("n"), *pick, F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev"))
+    if not approx:
+        ranks = exact_percentiles(df, value, by, wanted)
+        if by:
+            names = [f"_by{i}" for i in range(len(by))]
+            ranks = ranks.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], *wanted)
+            rows = rows.join(ranks, reduce(lambda x, y: x & y, [rows[c].eqNullSafe(ranks[n]) for c, n in zip(by, names, strict=True)]), "left").drop(*names)
+        else:
+            rows = rows.crossJoin(F.broadcast(ranks))  # one row each
+        rows = rows.select(*by, "n", *wanted, "mean", "stdev")
     half = F.when(F.col("n") > 1, 1.96 * F.col("stdev") / F.sqrt("n")).otherwise(0.0)
     return rows.withColumns({"ci_low": F.col("mean") - half, "ci_high": F.col("mean") + half, "throughput": F.when(F.col("p50") > 0, ops / F.col("p50")).otherwise(0.0)})
 
 
 def rank_percentiles(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Percentiles by index into the sorted values: n // 2, int(.9 n), and int(.99 n) from 100 values on (else the maximum)."""
-    order = Window.partitionBy(*by).orderBy(value)
-    rows = df.filter(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(order) - 1).alias("_i"), F.count(value).over(Window.partitionBy(*by)).alias("_n"))
-    at = lambda place: F.max(F.when(F.col("_i") == place, F.col(value)))
+    at = lambda place: F.max(F.when((F.col("_i") <= place) & (place < F.col("_i") + F.col("_c")), F.col(value)))
     p99 = F.when(F.col("_n") >= 100, F.floor(F.col("_n") * 0.99)).otherwise(F.col("_n") - 1)
-    return rows.groupBy(*by).agg(
-        at(F.floor(F.col("_n") / 2)).alias("p50"), at(F.floor(F.col("_n") * 0.9)).alias("p90"), at(p99).alias("p99"),
-        F.min(value).alias("min"), F.max(value).alias("max"), F.coalesce(F.stddev_pop(value), F.lit(0.0)).alias("std"),
-    )
+    ranks = _ranked(df, value, by).groupBy(*by).agg(at(F.floor(F.col("_n") / 2)).alias("p50"), at(F.floor(F.col("_n") * 0.9)).alias("p90"), at(p99).alias("p99"))
+    moments = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.coalesce(F.stddev_pop(value), F.lit(0.0)).alias("std"))
+    same = reduce(lambda x, y: x & y, [ranks[c].eqNullSafe(moments[c]) for c in by])
+    return ranks.join(moments, same).select(*[ranks[c] for c in by], "p50", "p90", "p99", "min", "max", "std")
 
 
 def mad(df: DataFrame, value: str, by: Sequence[str], out: str = "mad") -> DataFrame:
     """Median of absolute deviations from the median; 0 below two values."""
-    centre = df.groupBy(*by).agg(F.median(value).alias("_m"), F.count(value).alias("_n"))
-    return df.join(centre, list(by)).groupBy(*by).agg(F.when(F.max("_n") < 2, 0.0).otherwise(F.median(F.abs(F.col(value) - F.col("_m")))).alias(out))
+    counts = df.groupBy(*by).agg(F.count(value).alias("_n"))
+    centre = exact_percentiles(df, value, by, {"_m": 0.5})
+    away = df.join(centre, list(by)).withColumn("_away", F.abs(F.col(value) - F.col("_m")))
+    spread = exact_percentiles(away, "_away", by, {"_mad": 0.5})
+    return counts.join(spread, list(by), "left").select(*by, F.when(F.col("_n") < 2, 0.0).otherwise(F.col("_mad")).alias(out))
 
 
 def correctness_rate(cases: DataFrame, passed: str, elapsed: str, by: Sequence[str]) -> DataFrame:
@@ -134,19 +163,20 @@ def call_log_metrics(calls: DataFrame, by: str = "backend") -> DataFrame:
 
 
 def prompt_fitness(runs: DataFrame, by: str, success: str, quality: str, text: str, keep: float = 0.5) -> DataFrame:
-    """Consistency, diversity and fitness of each prompt; place, and whether it is in the top share."""
+    """Consistency, diversity and fitness of each prompt, its place from 0, and whether it is in the top share (at least one is)."""
     n = F.count(F.lit(1))
     consistency = F.when(n < 2, 0.5).otherwise(clamp(1 - F.var_pop(F.col(success).cast("double")) / 0.25, 0.0, 1.0))
     rows = runs.groupBy(by).agg(n.alias("n"), F.avg(F.col(quality).cast("double")).alias("quality"), (F.countDistinct(text) / n).alias("diversity"), consistency.alias("consistency"))
     rows = rows.withColumn("fitness", 0.5 * F.col("quality") + 0.3 * F.col("diversity") + 0.2 * F.col("consistency"))
-    return rows
+    one = F.lit(1).cast("long")
+    # Fitness is a sum whose last digits are not settled.
+    rows = prefix_sums(rows, [], [F.round("fitness", 9).desc_nulls_last(), F.col(by)], {"place": one}, {"_all": one})
+    return rows.withColumn("kept", F.col("place") < F.greatest(F.lit(1), F.floor(F.col("_all") * keep))).drop("_all")
 
 
-def kept_share(df: DataFrame, order: Sequence[Column], share: float, out: str = "kept") -> DataFrame:
-    """Marks the top share of all rows (at least one): the rank of the last kept row is found, then rows are compared with it."""
-    n = df.count()
-    top = df.orderBy(*order).limit(max(1, int(n * share))).withColumn(out, F.lit(True))
-    return top
+def kept_share(df: DataFrame, order: Sequence[Column], share: float) -> DataFrame:
+    """The top share of all rows, at least one."""
+    return df.orderBy(*order).limit(max(1, int(df.count() * share)))
 
 
 def gate_metrics(traces: DataFrame) -> DataFrame:
@@ -193,7 +223,7 @@ def invariant_score(df: DataFrame, invariants: Sequence[Invariant], penalty: flo
 
 
 def profile_table(df: DataFrame) -> DataFrame:
-    """One row per column: type, counts, distinct values (approximate), minimum, maximum, mean and deviation; one pass."""
+    """One row per column: type, counts, minimum, maximum, mean and deviation; one pass."""
     numeric = {f.name for f in df.schema if f.dataType.typeName() in ("integer", "long", "double", "float", "short", "byte", "decimal")}
     one = []
     for f in df.schema:

@@ -160,7 +160,10 @@ def extension_hooks(spark: SparkSession, d: str) -> DataFrame:
     return hooks.apply(table(spark, d, "events")).select("event_id")
 
 
-@query()
+@query("""WITH n AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS p, count(*) OVER () AS n FROM customer),
+draws AS (SELECT id, p, n, k, ('0x' || substr(md5('3:' || id || ':' || k), 1, 15))::BIGINT % (n - 1) + 1 AS off FROM n, range(16) t(k)),
+firsts AS (SELECT * FROM (SELECT id, p, n, off, min(k) AS k FROM draws GROUP BY id, p, n, off) d QUALIFY row_number() OVER (PARTITION BY id ORDER BY k) <= 2)
+SELECT f.id AS src, n.id AS dst FROM firsts f JOIN n ON n.p = (f.p + f.off) % f.n""")
 def random_edges(spark: SparkSession, d: str) -> DataFrame:
-    ids = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"))
+    ids = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
     return groups.neighbor_edges(ids, "random", degree=2, seed=3)

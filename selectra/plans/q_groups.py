@@ -206,7 +206,7 @@ def call_log_metrics(spark: SparkSession, d: str) -> DataFrame:
 PROMPTS = "SELECT conv_id, count(*) AS n, avg(len(text) / 1000) AS quality, count(DISTINCT text) / count(*) AS diversity, CASE WHEN count(*) < 2 THEN 0.5 ELSE least(greatest(1 - var_pop((len(text) % 2)::DOUBLE) / 0.25, 0), 1) END AS consistency FROM conversations GROUP BY conv_id"
 
 
-@query(f"SELECT conv_id, n, round(quality, 6) AS quality, round(diversity, 6) AS diversity, round(consistency, 6)::DOUBLE AS consistency, round(0.5 * quality + 0.3 * diversity + 0.2 * consistency, 8) AS fitness FROM ({PROMPTS}) p")
+@query(f"SELECT conv_id, n, round(quality, 6) AS quality, round(diversity, 6) AS diversity, round(consistency, 6)::DOUBLE AS consistency, round(0.5 * quality + 0.3 * diversity + 0.2 * consistency, 8) AS fitness, row_number() OVER w - 1 AS place, row_number() OVER w <= greatest(1, count(*) OVER () // 2) AS kept FROM ({PROMPTS}) p WINDOW w AS (ORDER BY round(0.5 * quality + 0.3 * diversity + 0.2 * consistency, 9) DESC, conv_id)")
 def prompt_fitness(spark: SparkSession, d: str) -> DataFrame:
     length = F.char_length("text")
     rows = table(spark, d, "conversations").withColumns({"ok": length % 2, "q": length / 1000})
@@ -244,10 +244,18 @@ def convergent_boost(spark: SparkSession, d: str) -> DataFrame:
 RING = "ids AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS p, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents) s), ring AS (SELECT a.source AS src, b.source AS dst FROM ids a JOIN ids b ON a.p <> b.p AND ((a.p + 1) % a.n = b.p OR (a.p + a.n - 1) % a.n = b.p))"
 
 
-@query("WITH n AS (SELECT n_nationkey AS id, row_number() OVER (ORDER BY n_nationkey) - 1 AS p FROM nation), c AS (SELECT floor(sqrt(count(*)))::INT AS mesh, ceil(sqrt(count(*)))::INT AS grid FROM nation) SELECT 'mesh' AS topology, a.id AS src, b.id AS dst FROM n a, n b, c WHERE abs(a.p // mesh - b.p // mesh) + abs(a.p % mesh - b.p % mesh) = 1 UNION ALL SELECT 'moore', a.id, b.id FROM n a, n b, c WHERE greatest(abs(a.p // grid - b.p // grid), abs(a.p % grid - b.p % grid)) = 1 UNION ALL SELECT 'fully_connected', a.id, b.id FROM n a, n b WHERE a.id <> b.id")
+GRID = """WITH n AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS p FROM customer), c AS (SELECT floor(sqrt(count(*)))::INT AS mesh, ceil(sqrt(count(*)))::INT AS grid FROM customer),
+steps AS (SELECT r.range AS dr, c.range AS dc FROM range(-1, 2) r, range(-1, 2) c),
+wanted AS (SELECT 'mesh' AS topology, id, (p // mesh + dr) * mesh + p % mesh + dc AS q FROM n, c, steps WHERE abs(dr) + abs(dc) = 1 AND p // mesh + dr >= 0 AND p % mesh + dc BETWEEN 0 AND mesh - 1
+ UNION ALL SELECT 'moore', id, (p // grid + dr) * grid + p % grid + dc FROM n, c, steps WHERE (dr <> 0 OR dc <> 0) AND p // grid + dr >= 0 AND p % grid + dc BETWEEN 0 AND grid - 1)
+SELECT topology, w.id AS src, n.id AS dst FROM wanted w JOIN n ON n.p = w.q UNION ALL SELECT 'fully_connected', a.n_nationkey, b.n_nationkey FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey"""
+
+
+@query(GRID)
 def neighbor_edges(spark: SparkSession, d: str) -> DataFrame:
-    ids = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"))
-    out = [groups.neighbor_edges(ids, t).select(F.lit(t).alias("topology"), "src", "dst") for t in ("mesh", "moore", "fully_connected")]
+    """Grids of all customers; all pairs of the nations, since that result is quadratic."""
+    ids, few = table(spark, d, "customer").select(F.col("c_custkey").alias("id")), table(spark, d, "nation").select(F.col("n_nationkey").alias("id"))
+    out = [groups.neighbor_edges(rows, t).select(F.lit(t).alias("topology"), "src", "dst") for rows, t in ((ids, "mesh"), (ids, "moore"), (few, "fully_connected"))]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
@@ -307,7 +315,7 @@ def capped_archive(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def embed_text(spark: SparkSession, d: str) -> DataFrame:
     out = archive.embed_text(table(spark, d, "documents"), "text")
-    return out.select("doc_id", F.size("vector").alias("dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+    return out.select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
 @query(with_views("v_embed", f"WITH k AS (SELECT a.vec_id AS id, {DOT} AS dot FROM v_embed a, v_embed b WHERE a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({DOT}, 12) DESC, b.vec_id) <= 10), n AS (SELECT id, avg(sqrt(greatest(0, 2 - 2 * round(dot, 12)))) AS novelty FROM k GROUP BY id) SELECT id, round(0.85 * (id % 1000) + 0.15 * novelty * 100, 4) AS blended FROM n"))

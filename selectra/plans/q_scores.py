@@ -10,7 +10,7 @@ from selectra.operators import corpus, registry, stats
 from selectra.plans.catalog import query, rounded
 from selectra.plans.fixtures import table, view, with_views
 from selectra.sources import io
-from selectra.sources.scratch import scratch_path
+from selectra.sources.scratch import cut, scratch_path
 
 C = "v_candidates"
 SCORE = "CASE WHEN correctness < 1 THEN correctness - 1 ELSE 1.0::DOUBLE * correctness - 0.15::DOUBLE * latency_p50 - 0.1::DOUBLE * memory_peak_mb END"
@@ -50,19 +50,24 @@ def explode_history(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views("v_lineage", "SELECT parent_id, child_id FROM v_lineage"))
 def explode_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """One graph for every thousand ids of a user."""
     nodes = view(spark, d, "v_nodes")
     node = F.struct("generation", "score", F.array_distinct(F.array_compact(F.array("parent1", "parent2"))).alias("parent_ids"))
-    graphs = nodes.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("id", node))).alias("nodes"))
+    graphs = nodes.groupBy("user_id", F.floor(F.col("id") / 1000)).agg(F.map_from_entries(F.collect_list(F.struct("id", node))).alias("nodes"))
     return io.explode_lineage(graphs)[1]
 
 
-@query(with_views("v_series", "SELECT run_id, count(*) AS n, round(sum(v), 2) AS total FROM v_series GROUP BY run_id"))
+@query(with_views("v_series", "SELECT run_id, count(*) AS n, round(sum(v), 2) AS total, round(max(v), 2) AS best FROM v_series GROUP BY run_id"))
 def write_run_bundle(spark: SparkSession, d: str) -> DataFrame:
-    path, series = scratch_path(spark, "bundle"), view(spark, d, "v_series")
-    best = series.groupBy("run_id").agg(F.max_by("i", "v").alias("i"), F.max("v").alias("v"))
-    series.write.partitionBy("run_id").parquet(f"{path}/history")
-    best.write.partitionBy("run_id").parquet(f"{path}/best")
-    return rounded(spark.read.parquet(f"{path}/history").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total")), "total", digits=2)
+    """A bundle for each run (there are five); the first is written twice and counts once."""
+    path, rows = scratch_path(spark, "bundle"), cut(view(spark, d, "v_series"), "series")
+    runs = [r["run_id"] for r in rows.select("run_id").distinct().orderBy("run_id").collect()]  # one row a run
+    for run in [*runs[:1], *runs]:
+        own = rows.filter(F.col("run_id") == run).drop("run_id")
+        io.write_run_bundle({"history": own, "best": own.agg(F.max_by("i", "v").alias("i"), F.max("v").alias("v"))}, path, run)
+    history = spark.read.parquet(f"{path}/history").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+    best = spark.read.parquet(f"{path}/best").select("run_id", F.col("v").alias("best"))
+    return rounded(history.join(best, "run_id"), "total", "best", digits=2)
 
 
 @query(with_views(C, "SELECT id, latency_p50 FROM v_candidates"))
@@ -114,10 +119,13 @@ def profile_table(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.select("column", "n", "n_set", "min", "max", "mean"), "min", "max", "mean", digits=4)
 
 
-@query("SELECT source, sha256(string_agg('[' || doc_id || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS h, count(*) AS n_sources FROM documents GROUP BY source")
+@query("""SELECT source, doc_id, coalesce(sum(len(piece)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, sha256(piece) AS h, n_sources FROM (
+  SELECT source, doc_id, CASE WHEN row_number() OVER w = 1 THEN '' ELSE chr(10) || chr(10) || '---' || chr(10) || chr(10) END || '[' || doc_id || ']' || chr(10) || coalesce(text, '') AS piece, count(*) OVER (PARTITION BY source) AS n_sources
+  FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)) p""")
 def merge_sources(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return io.merge_sources(docs.withColumn("ord", F.col("doc_id")), ["source"], "doc_id").select("source", F.sha2("text", 256).alias("h"), "n_sources")
+    """The pieces of each source's merged text."""
+    out = io.merge_sources(table(spark, d, "documents"), ["source"], "doc_id", order="doc_id")
+    return out.select("source", "doc_id", "start", F.sha2("piece", 256).alias("h"), "n_sources")
 
 
 @query(with_views("v_baseline v_current", "SELECT k, metric, round(coalesce(c.value, b.value), 5) AS value FROM v_baseline b FULL JOIN v_current c USING (k, metric)"))
@@ -127,6 +135,14 @@ def baseline_register(spark: SparkSession, d: str) -> DataFrame:
     return rounded(registry.baseline_register(old, new, ("k", "metric")).select("k", "metric", "value"), "value", digits=5)
 
 
+@query(with_views("v_baseline", "SELECT k, metric, round(value, 5) AS value FROM v_baseline WHERE k = (SELECT min(k) FROM v_baseline) AND metric = 'price'"))
+def baseline_get(spark: SparkSession, d: str) -> DataFrame:
+    """The price of the first key."""
+    rows = view(spark, d, "v_baseline").withColumn("recorded_at", F.lit(1))
+    first = rows.agg(F.min("k")).first()[0]
+    return rounded(registry.baseline_get(rows, k=first, metric="price").select("k", "metric", "value"), "value", digits=5)
+
+
 @query(with_views("v_baseline", "SELECT k, round(value, 5) AS value FROM v_baseline WHERE metric LIKE '%pri%'"))
 def baseline_list(spark: SparkSession, d: str) -> DataFrame:
     return rounded(registry.baseline_list(view(spark, d, "v_baseline"), "pri", "metric").select("k", "value"), "value", digits=5)

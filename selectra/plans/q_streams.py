@@ -66,10 +66,23 @@ def stream_control_state(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", "event_id", "state")
 
 
-@query("WITH c AS (SELECT event_type AS backend, event_id AS call_id, value >= 5 AS ok, ts FROM events), r AS (SELECT *, sum(ok::INT) OVER (PARTITION BY backend ORDER BY ts, call_id) AS g FROM c) SELECT backend, call_id, CASE WHEN ok THEN 0 ELSE count_if(NOT ok) OVER (PARTITION BY backend, g ORDER BY ts, call_id) END::BIGINT AS streak FROM r")
+BREAKER = """WITH RECURSIVE calls AS MATERIALIZED (
+  SELECT event_type AS backend, event_id AS call_id, value >= 5 AS ok, epoch_us(ts) / 1000000 AS tick, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
+fold AS (
+  SELECT backend, 0::BIGINT AS k, NULL::BIGINT AS call_id, 0::BIGINT AS streak, 0::DOUBLE AS opened, 'closed' AS state FROM (SELECT DISTINCT backend FROM calls) b
+  UNION ALL
+  SELECT backend, k, call_id, streak, CASE WHEN NOT ok AND now <> 'open' AND (now = 'half_open' OR streak >= 5) THEN tick ELSE opened END,
+         CASE WHEN ok THEN 'closed' WHEN now = 'half_open' OR streak >= 5 THEN 'open' ELSE now END
+  FROM (SELECT c.backend, c.k, c.call_id, c.ok, c.tick, CASE WHEN c.ok THEN 0 ELSE f.streak + 1 END::BIGINT AS streak, f.opened,
+               CASE WHEN f.state = 'open' AND c.tick - f.opened >= 30 THEN 'half_open' ELSE f.state END AS now
+        FROM fold f JOIN calls c ON c.backend = f.backend AND c.k = f.k + 1) s)
+SELECT backend, call_id, streak, state FROM fold WHERE k > 0"""
+
+
+@query(BREAKER)
 def stream_circuit(spark: SparkSession, d: str) -> DataFrame:
     calls = _events(spark, d).select(F.col("name").alias("backend"), F.col("event_id").alias("call_id"), (F.col("value") >= 5).alias("ok"), "ts")
-    return st.run_once(st.stream_circuit(calls)).select("backend", "call_id", "streak")
+    return st.run_once(st.stream_circuit(calls)).select("backend", "call_id", "streak", "state")
 
 
 @query("SELECT user_id, event_id AS call_id, count(*) OVER (PARTITION BY user_id, date_trunc('month', ts) ORDER BY ts, event_id) AS used, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS total, count(*) OVER (PARTITION BY user_id, date_trunc('month', ts) ORDER BY ts, event_id) > 2 OR count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 10 AS over FROM events")
@@ -84,7 +97,7 @@ def stream_plateau(spark: SparkSession, d: str) -> DataFrame:
     """The series is written first and then read as a stream."""
     path = scratch_path(spark, "series")
     rows = view(spark, d, "v_series").select("run_id", F.col("i").cast("long").alias("i"), "v")
-    rows.coalesce(1).write.parquet(path)
+    rows.write.parquet(path)
     return st.run_once(st.stream_plateau(spark.readStream.schema(rows.schema).parquet(path)))
 
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from selectra.sources.scratch import prefix_sums
+
 EVENT_SCHEMA = "name string, payload map<string,string>, timestamp double, run_id string, generation int"
 MANIFEST_SCHEMA = "run_id string, started string, finished string, config map<string,string>, metrics map<string,double>, event_counts map<string,long>, fitness_history array<double>"
 
@@ -101,8 +103,26 @@ def read_corpus(spark: SparkSession, root: str, extensions: Sequence[str] = ("tx
     return rows if max_files is None else rows.orderBy("path").limit(max_files)
 
 
+#: What stands between two sources of a merged text.
+RULE = "\n\n---\n\n"
+
+
 def merge_sources(parts: Sequence[DataFrame] | DataFrame, by: Sequence[str] = (), name: str = "name", text: str = "text", order: str = "ord") -> DataFrame:
-    """One text per group: the sources with [name] headers, in order, divided by rules."""
+    """The merged text of each group as pieces: name, order, piece, its start in the merged text, and the sources of the group.
+
+    A piece is a source with its [name] header, behind a rule unless it is the first; a group's pieces in order of start are
+    its text. A group may be larger than a string can be: pieces are placed by the lengths before them, and no task gathers them.
+    """
     rows = parts if isinstance(parts, DataFrame) else reduce(DataFrame.unionByName, parts)
-    piece = F.struct(F.col(order).alias("o"), F.concat(F.lit("["), F.col(name).cast("string"), F.lit("]\n"), F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    return rows.groupBy(*by).agg(F.concat_ws("\n\n---\n\n", F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["t"])).alias("text"), F.count(F.lit(1)).alias("n_sources"))
+    body = F.concat(F.lit(RULE + "["), F.col(name).cast("string"), F.lit("]\n"), F.coalesce(F.col(text), F.lit("")))
+    sized = rows.select(*by, *dict.fromkeys([name, order]), F.char_length(body).cast("long").alias("_len"), body.alias("_body"))
+    placed = prefix_sums(sized, by, [F.col(order), F.col(name)], {"_start": F.col("_len")}, {"n_sources": F.lit(1).cast("long")})
+    head = F.col("_start") == 0
+    piece = F.when(head, F.substring("_body", len(RULE) + 1, 2**31 - 1)).otherwise(F.col("_body"))
+    start = F.when(head, F.lit(0)).otherwise(F.col("_start") - len(RULE))
+    return placed.select(*by, *dict.fromkeys([name, order]), piece.alias("piece"), start.cast("long").alias("start"), "n_sources")
+
+
+def merged_texts(pieces: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One string a group from ``merge_sources``: for groups that fit one string."""
+    return pieces.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda p: p["piece"]), "").alias("text"), F.max("n_sources").alias("n_sources"))

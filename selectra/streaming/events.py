@@ -1,8 +1,12 @@
 """Structured Streaming operators over event and call logs.
 
 Time is event time. Streams carry a watermark (10 minutes by default); rows later
-than that are dropped by windowed and de-duplicating operators. Keyed state expires
-after ``STATE_TTL`` of event time without rows of its key.
+than that are dropped by windowed, de-duplicating and folding operators, and
+``late_rows`` counts them. Keyed state expires after ``STATE_TTL`` of event time
+without rows of its key; ``stream_plateau``, whose rows have no time, keeps three
+numbers a run for good.
+A fold takes the rows of a key in order within each batch; between batches it relies
+on the watermark: a row older than what was folded before is late.
 """
 
 from __future__ import annotations
@@ -17,6 +21,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from selectra.sources.scratch import scratch_path
 
 WATERMARK = "10 minutes"
+#: Milliseconds without rows after which the state of a key is dropped.
+STATE_TTL = 400 * 24 * 3600 * 1000
+
+
+def late_rows(query) -> int:
+    """Rows that the stateful operators of a query have dropped as later than the watermark."""
+    return sum(op.numRowsDroppedByWatermark for progress in query.recentProgress for op in progress.stateOperators)
+
+
+def _timed(held: GroupState, newest: pd.Timestamp) -> None:
+    """Set when the state of a key expires."""
+    held.setTimeoutTimestamp(max(int(newest.timestamp() * 1000), held.getCurrentWatermarkMs()) + STATE_TTL)
 
 
 def stream_event_counts(stream: DataFrame, window: str | None = None, name: str = "name", ts: str = "ts", watermark: str = WATERMARK) -> DataFrame:
@@ -53,8 +69,11 @@ def stream_fanout(stream: DataFrame, handlers: dict[str, Callable[[DataFrame, in
     return stream.writeStream.foreachBatch(each)
 
 
-def _fold(stream: DataFrame, by: str, order: list[str], output: str, state: str, start: tuple, step: Callable) -> DataFrame:
-    """Keyed ordered fold: ``step(state, row) -> (state, output values or None)`` for each row in order within a batch."""
+def _fold(stream: DataFrame, by: str, order: list[str], output: str, state: str, start: tuple, step: Callable, ts: str | None = None, watermark: str = WATERMARK) -> DataFrame:
+    """Keyed ordered fold: ``step(state, row) -> (state, output values or None)`` for each row in order within a batch.
+
+    With ``ts`` the stream gets a watermark and state expires; without, it is kept.
+    """
     out_names = [c.strip().split()[0] for c in output.split(",")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterable[pd.DataFrame]:
@@ -69,8 +88,12 @@ def _fold(stream: DataFrame, by: str, order: list[str], output: str, state: str,
             if out is not None:
                 found.append((key[0], *out))
         held.update(value)
+        if ts:
+            _timed(held, rows[ts].max())
         yield pd.DataFrame(found, columns=out_names)
 
+    if ts:
+        return stream.withWatermark(ts, watermark).groupBy(by).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.EventTimeTimeout)
     return stream.groupBy(by).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -84,7 +107,7 @@ def stream_control_state(stream: DataFrame, by: str = "run_id", command: str = "
         return (now,), (int(row[seq]), row[command], now)
 
     kind = stream.schema[by].dataType.simpleString()
-    return _fold(stream.select(by, command, ts, seq), by, [ts, seq], f"{by} {kind}, {seq} long, {command} string, state string", "state string", ("running",), step)
+    return _fold(stream.select(by, command, ts, seq), by, [ts, seq], f"{by} {kind}, {seq} long, {command} string, state string", "state string", ("running",), step, ts)
 
 
 def stream_circuit(stream: DataFrame, by: str = "backend", ok: str = "ok", ts: str = "ts", seq: str = "call_id", fails: int = 5, cooldown: float = 30.0) -> DataFrame:
@@ -104,7 +127,7 @@ def stream_circuit(stream: DataFrame, by: str = "backend", ok: str = "ok", ts: s
         return (streak, opened, state), (int(row[seq]), streak, state)
 
     kind = stream.schema[by].dataType.simpleString()
-    return _fold(stream.select(by, ok, ts, seq), by, [ts, seq], f"{by} {kind}, {seq} long, streak long, state string", "streak long, opened double, state string", (0, 0.0, "closed"), step)
+    return _fold(stream.select(by, ok, ts, seq), by, [ts, seq], f"{by} {kind}, {seq} long, streak long, state string", "streak long, opened double, state string", (0, 0.0, "closed"), step, ts)
 
 
 def stream_budget(stream: DataFrame, per_generation: int, total: int, by: str = "run_id", generation: str = "generation", ts: str = "ts", seq: str = "call_id") -> DataFrame:
@@ -118,7 +141,7 @@ def stream_budget(stream: DataFrame, per_generation: int, total: int, by: str =
         return (int(row[generation]), used, everything), (int(row[seq]), used, everything, over)
 
     kind = stream.schema[by].dataType.simpleString()
-    return _fold(stream.select(by, generation, ts, seq), by, [generation, ts, seq], f"{by} {kind}, {seq} long, used long, total long, over boolean", "generation long, used long, total long", (-(2**62), 0, 0), step)
+    return _fold(stream.select(by, generation, ts, seq), by, [generation, ts, seq], f"{by} {kind}, {seq} long, used long, total long, over boolean", "generation long, used long, total long", (-(2**62), 0, 0), step, ts)
 
 
 def stream_plateau(stream: DataFrame, by: str = "run_id", i: str = "i", v: str = "v", patience: int = 15, delta: float = 0.001) -> DataFrame:
@@ -137,22 +160,27 @@ def stream_plateau(stream: DataFrame, by: str = "run_id", i: str = "i", v: str =
     return _fold(stream.select(by, i, v), by, [i], f"{by} {kind}, {i} long, accepted double, waited long, converged boolean", "best double, waited long, some boolean", (0.0, 0, False), step)
 
 
-def stream_last_n(stream: DataFrame, n: int, by: str = "name", ts: str = "ts", seq: str = "event_id") -> DataFrame:
+def stream_last_n(stream: DataFrame, n: int, by: str = "name", ts: str = "ts", seq: str = "event_id", watermark: str = WATERMARK) -> DataFrame:
     """After each batch the newest n event ids of every key it touched, newest first; the state holds no more than n."""
     kind = stream.schema[by].dataType.simpleString()
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterable[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         ids, times = held.get if held.exists else ([], [])
         old = pd.DataFrame({seq: list(ids), "_t": list(times)})
-        new = pd.concat(list(batches))
-        new = pd.DataFrame({seq: new[seq], "_t": new[ts].astype("int64")})
-        rows = pd.concat([old, new]) if len(old) else new
-        rows = rows.sort_values(["_t", seq], ascending=False).head(n)
+        rows, newest = old, None
+        for batch in batches:  # never more than n rows and one batch
+            newest = batch[ts].max() if newest is None else max(newest, batch[ts].max())
+            new = pd.DataFrame({seq: batch[seq], "_t": batch[ts].astype("int64")})
+            rows = (pd.concat([rows, new]) if len(rows) else new).sort_values(["_t", seq], ascending=False).head(n)
+        _timed(held, newest)
         held.update(([int(x) for x in rows[seq]], [int(x) for x in rows["_t"]]))
         yield pd.DataFrame({by: [key[0]], "newest": [[int(x) for x in rows[seq]]]})
 
     out, state = f"{by} {kind}, newest array<long>", "ids array<long>, times array<long>"
-    return stream.select(by, ts, seq).groupBy(by).applyInPandasWithState(run, out, state, "update", GroupStateTimeout.NoTimeout)
+    return stream.select(by, ts, seq).withWatermark(ts, watermark).groupBy(by).applyInPandasWithState(run, out, state, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_dedupe(stream: DataFrame, key: str, ts: str = "ts", watermark: str = WATERMARK) -> DataFrame:
