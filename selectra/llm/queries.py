@@ -153,7 +153,7 @@ FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id
 
 
 def op6_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = wrappers.extract(table(spark, sf_dir, "pages"), columns=["page_id", "url"])
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 

@@ -32,7 +32,7 @@ import html as entities
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from selectra.llm.common import joined_by_size, written
 
@@ -64,8 +65,10 @@ BESIDE_NAME = re.compile(
 #: Blocks of running text: no region lies inside one.
 LEAF = frozenset("p li td th dt dd tr blockquote pre h1 h2 h3 h4 h5 h6".split())
 MAX_HOSTS = 400
-#: Pages of one host that a task reads with one copy of its wrapper, as expected.
-PAGES = 5000
+#: Bytes of wrappers that are sent to every task; more are met by a shuffle of the pages.
+MOST_BYTES = 64 << 20
+#: Pages of one host that are then read with one copy of its wrapper, as expected.
+PAGES = 500
 #: A slot is constant if so many different pages have the same text in it; copies of a page count once.
 DISTINCT = 3
 
@@ -461,13 +464,15 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     return _merged(_merged(parts.withColumn("salt", F.floor(F.col("part") / 64)), ["host", "salt"]), ["host"])
 
 
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Input columns plus text: the main text of every page.
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", columns: Sequence[str] | None = None) -> DataFrame:
+    """The input's columns (or those named) plus text: the main text of every page.
 
-    Pages meet their host's wrapper in (host, salt) groups of about ``PAGES`` pages, each sorted behind one copy of the
-    wrapper, so a task holds one wrapper at a time whatever their number, and a hot host is split.
+    Wrappers of up to ``MOST_BYTES`` in all are sent to every task, and pages are read where they lie. Beyond, pages meet
+    their host's wrapper in (host, salt) groups of about ``PAGES`` pages, each sorted behind one copy of the wrapper, so a
+    task holds one wrapper at a time whatever their number, and a hot host is split.
     """
-    names = [c for c in pages.columns if c.lower() != "text"]
+    names = [c for c in columns or pages.columns if c.lower() != "text"]
+    schema = StructType([*(pages.schema[c] for c in names), StructField("text", StringType())])
 
     def to_rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -475,11 +480,24 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([n.as_py()]), pa.array([rules(unpacked(wrapper.as_py()))])], ["_host", "_pages", "_body"])
 
     known = written(infer(pages, url_col, html_col).mapInArrow(to_rules, "_host string, _pages long, _body string"), "rules")
+    n_hosts, n_bytes = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_body") + F.octet_length("_host")), F.lit(0))).first()
+    row, body = F.struct(*names).alias("_row"), F.col(html_col).cast("string").alias("_body")
+    if n_bytes <= MOST_BYTES:
+        sent = pages.sparkSession.sparkContext.broadcast({r["_host"]: r["_body"] for r in known.select("_host", "_body").collect()})
+
+        def read_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wrapper_of = lru_cache(MAX_HOSTS)(lambda name: unpacked(sent.value[name]))
+            for batch in batches:
+                found = [page_text(html.as_py(), wrapper_of(name)) for name, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.column(2).flatten(), pa.array(found, pa.string())], [*names, "text"])
+
+        return pages.select(host(F.col(url_col)).alias("_host"), body, row).mapInArrow(read_here, schema)
+
     known = known.withColumn("_salts", F.ceil(F.col("_pages") / PAGES).cast("int"))
     salts = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")
     hashed = [c for c in pages.columns if not any(k in pages.schema[c].dataType.simpleString() for k in ("map<", "variant"))]
-    rows = pages.select(F.struct(*names).alias("_row"), host(F.col(url_col)).alias("_host"), F.col(html_col).cast("string").alias("_body"), F.xxhash64(*hashed).alias("_spread"))
-    rows = joined_by_size(rows, known.select("_host", "_salts"), ["_host"], known.count())
+    rows = pages.select(row, host(F.col(url_col)).alias("_host"), body, F.xxhash64(*hashed).alias("_spread"))
+    rows = joined_by_size(rows, known.select("_host", "_salts"), ["_host"], n_hosts)
     rows = rows.select("_host", F.pmod("_spread", "_salts").cast("int").alias("_salt"), F.lit(True).alias("_page"), "_body", "_row")
     heads = known.select("_host", salts, F.lit(False).alias("_page"), "_body", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
     dealt = heads.unionByName(rows).repartition("_host", "_salt").sortWithinPartitions("_host", "_salt", "_page")
@@ -488,12 +506,12 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
         wrapper: list = []
         for batch in batches:
             found = []
-            for is_page, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for is_page, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if is_page:
-                    found.append(page_text(body.as_py(), wrapper))
+                    found.append(page_text(text.as_py(), wrapper))
                 else:
-                    wrapper = unpacked(body.as_py())
+                    wrapper = unpacked(text.as_py())
             out = batch.filter(batch.column(0)).column(2)
             yield pa.RecordBatch.from_arrays([*out.flatten(), pa.array(found, pa.string())], [*names, "text"])
 
-    return dealt.select("_page", "_body", "_row").mapInArrow(read, pages.select(*names).schema.add("text", "string"))
+    return dealt.select("_page", "_body", "_row").mapInArrow(read, schema)

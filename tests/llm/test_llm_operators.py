@@ -439,7 +439,7 @@ def page(k, body, extra=""):
     return f"<!DOCTYPE html><html><head><title>T{k}</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/x>News {k}</a></li></ul></nav><div class='ad b{k}'>Buy {k}</div>{extra}<article class=post><h1>Title {k}</h1>{body}</article><section id=comments><p>I disagree {k}</p></section><footer>&copy; all</footer></body></html>"
 
 
-def test_wrappers(spark, empty):
+def test_wrappers(spark, monkeypatch):
     rows, want = [], {}
     for k in range(8):
         body = "".join(f"<p>Para {j} of {k} &amp;  more<br>text" + ("</p>" if j % 2 else "") for j in range(1 + k % 3))
@@ -451,8 +451,11 @@ def test_wrappers(spark, empty):
     rows += [(90, None, None), (91, "odd", ""), (92, "https://one.example/", "<p>Only <b>page</b>")]
     want |= {90: "", 91: "", 92: "Only page"}
     df = spark.createDataFrame([(*r, "t", "h") for r in rows], "page_id long, url string, html string, TEXT string, _host string").repartition(3)
-    got = {r["page_id"]: r["text"] for r in wrappers.extract(df.select("page_id", "url", "html")).collect()}
-    assert got == want
+    for bound in (0, 1 << 20):  # pages shuffled to their wrappers, and read where they lie
+        monkeypatch.setattr(wrappers, "MOST_BYTES", bound)
+        got = {r["page_id"]: r["text"] for r in wrappers.extract(df.select("page_id", "url", "html")).collect()}
+        assert got == want
+    assert wrappers.extract(df, columns=["page_id"]).columns == ["page_id", "text"]
     wrapper = wrappers.infer(df).filter("host = 'h.example'").first()["wrapper"]
     shape = wrappers.expression(wrappers.unpacked(wrapper))
     assert "( <aside>" in shape and ")?" in shape and "( <p> #text </p> )+" in shape
