@@ -1,8 +1,8 @@
 """Structured Streaming operators over event and call logs.
 
 Time is event time. Streams carry a watermark (10 minutes by default); rows later
-than that are dropped by windowed, de-duplicating and folding operators, and
-``late_rows`` counts them. Keyed state expires after ``STATE_TTL`` of event time
+than that are dropped by windowed, de-duplicating and folding operators; folds count
+them (``late_rows``), for the others Spark's progress does. Keyed state expires after ``STATE_TTL`` of event time
 without rows of its key; ``stream_plateau``, whose rows have no time, keeps three
 numbers a run for good.
 A fold takes the rows of a key in order within each batch; between batches it relies
@@ -25,9 +25,9 @@ WATERMARK = "10 minutes"
 STATE_TTL = 400 * 24 * 3600 * 1000
 
 
-def late_rows(query) -> int:
-    """Rows that the stateful operators of a query have dropped as later than the watermark."""
-    return sum(op.numRowsDroppedByWatermark for progress in query.recentProgress for op in progress.stateOperators)
+def late_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Per key of a fold the rows dropped as later than the watermark, from the state in the query's checkpoint."""
+    return spark.read.format("statestore").load(checkpoint).select("key.*", F.col("value.groupState.late").alias("late"))
 
 
 def _timed(held: GroupState, newest: pd.Timestamp) -> None:
@@ -72,24 +72,28 @@ def stream_fanout(stream: DataFrame, handlers: dict[str, Callable[[DataFrame, in
 def _fold(stream: DataFrame, by: str, order: list[str], output: str, state: str, start: tuple, step: Callable, ts: str | None = None, watermark: str = WATERMARK) -> DataFrame:
     """Keyed ordered fold: ``step(state, row) -> (state, output values or None)`` for each row in order within a batch.
 
-    With ``ts`` the stream gets a watermark and state expires; without, it is kept.
+    With ``ts`` the stream gets a watermark: later rows are dropped and counted in the state, and state expires. Without, it is kept.
     """
+    state += ", late long"
     out_names = [c.strip().split()[0] for c in output.split(",")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterable[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
             return
-        value = held.get if held.exists else start
-        rows = pd.concat(list(batches)).sort_values(order)
-        found = []
+        *value, late = held.get if held.exists else (*start, 0)
+        value, found, rows = tuple(value), [], pd.concat(list(batches)).sort_values(order)
+        newest = rows[ts].max() if ts else None
+        if ts:
+            in_time = rows[ts] >= pd.Timestamp(held.getCurrentWatermarkMs(), unit="ms", tz=rows[ts].dt.tz)
+            rows, late = rows[in_time], late + int((~in_time).sum())
         for row in rows.to_dict("records"):
             value, out = step(value, row)
             if out is not None:
                 found.append((key[0], *out))
-        held.update(value)
+        held.update((*value, late))
         if ts:
-            _timed(held, rows[ts].max())
+            _timed(held, newest)
         yield pd.DataFrame(found, columns=out_names)
 
     if ts:

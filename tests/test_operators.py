@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from selectra.functions import scores, texts
 from selectra.operators import archive, corpus, groups, lineage, pareto, quality, registry, series, stats
 from selectra.sources import io
-from selectra.sources.scratch import numbered, scratch_path
+from selectra.sources.scratch import numbered, prefix_sums, scratch_path
 from selectra.streaming import events as streams
 
 INF = float("inf")
@@ -94,6 +94,44 @@ def test_fronts_rank_every_row(spark, monkeypatch, most):
     assert rows(picked, "id") == [(200 + i,) for i in range(12)] + [(300,)]
 
 
+def test_large_frontiers_are_held_against_each_other(spark, monkeypatch):
+    """Fronts too large for one task, in several groups: tree merges and block pairs give what brute force gives."""
+    monkeypatch.setattr(pareto, "MERGE", 40)
+    rng = random.Random(3)
+    data = [(i, f"g{i % 2}", *(rng.randrange(30) for _ in range(3))) for i in range(900)]
+    data += [(900 + i, "g2", x, 200 - x, 0) for i, x in enumerate(range(150))]  # nothing here is dominated
+    df = spark.createDataFrame(data, "id long, g string, a int, b int, c int")
+    want = sorted(i for i, g, *v in data if not any(h == g and all(x <= y for x, y in zip(w, v)) and w != v for _, h, *w in data))
+    assert [i for (i,) in rows(pareto.pareto_frontier(df, {"a": "min", "b": "min", "c": "min"}, ["g"]), "id")] == want
+
+
+def test_crowding_over_partitions(spark):
+    rng = random.Random(4)
+    data = [(i, i % 3, float(rng.randrange(40)), rng.random()) for i in range(200)] + [(500, 7, 1.0, 2.0), (501, 7, 1.0, 3.0), (502, None, 1.0, 1.0)]
+    want = {}
+    for f in {d[1] for d in data}:
+        group = [d for d in data if d[1] == f]
+        for k in (2, 3):
+            order = sorted(group, key=lambda d: (d[k], d[0]))
+            span = order[-1][k] - order[0][k]
+            for j, d in enumerate(order):
+                end = len(order) <= 2 or j in (0, len(order) - 1) and span >= 1e-9
+                want[d[0]] = want.get(d[0], 0) + (INF if end else 0 if span < 1e-9 else (order[j + 1][k] - order[j - 1][k]) / span)
+    df = spark.createDataFrame(data, "id long, front_rank int, x double, y double").repartition(5)
+    got = {r["id"]: r["crowding"] for r in pareto.crowding_distance(df, ["x", "y"]).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_tiers_with_an_elite_before(spark):
+    df = spark.createDataFrame([(i, 0.9 if i < 8 else 0.1, float(i), 1.0, float(i % 5), f"c{i % 4}") for i in range(10)], VECTOR + ", score double, code string")
+    df = df.withColumns({c: F.lit(1.0) for c in ("latency_p99", "throughput", "parsimony")})
+    prior = df.filter("id IN (4, 5, 6)").select("id", "score", "code")  # 4 has the code of the first row, so 5 is the weakest of the others
+    out = pareto.assign_tiers(df, [F.col("id")], F.col("correctness") >= 0.5, caps={"elite": 3, "factory": 50, "laboratory": 1}, prior=prior)
+    got = {r["id"]: (r["tier"], r["moved"]) for r in out.collect()}
+    assert got[5] == ("factory", "demoted") and {i for i, (t, _) in got.items() if t == "elite"} == {0, 1, 2} and sum(t == "laboratory" for t, _ in got.values()) == 1
+    assert rows(pareto.tier_report(out), "tier", "n", "promoted", "demoted") == [("elite", 3, 3, 0), ("factory", 5, 0, 1), ("laboratory", 1, 0, 0)]
+
+
 def test_crowding(spark):
     df = spark.createDataFrame([(i, 1.0, float(i), 10.0 - i * i) for i in range(4)], VECTOR).withColumn("front_rank", F.lit(0))
     got = dict(rows(pareto.crowding_distance(df, ["correctness", "latency_p50", "memory_peak_mb"]), "id", "crowding"))
@@ -166,6 +204,64 @@ def test_dedupe_keeps_what_only_a_gone_row_resembles(spark):
     assert rows(archive.semantic_dedupe(emb, pairs), "vec_id", "kept") == [(1, True), (2, False), (3, True)]
 
 
+def vectors(spark, n=300, seed=8):
+    """Clusters of near vectors, and copies."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        base = random.Random(i % 40)
+        v = [base.gauss(0, 1) + rng.gauss(0, 0.05) for _ in range(8)]
+        out.append(out[rng.randrange(len(out))] if i % 9 == 8 else v)
+    df = spark.createDataFrame(list(enumerate(out)), "vec_id long, e array<double>")
+    return df.select("vec_id", F.col("vec_id").alias("ord"), archive.normalised(F.col("e")).alias("vector")).cache()
+
+
+def test_near_duplicates_by_brute_force(spark, monkeypatch):
+    emb = vectors(spark)
+    monkeypatch.setattr(archive, "BLOCK", 16)
+    at = {r["vec_id"]: tuple(r["vector"]) for r in emb.collect()}
+    first = {}
+    for i in sorted(at):
+        first.setdefault(at[i], i)
+    dot = lambda a, b: sum(x * y for x, y in zip(at[a], at[b]))
+    reps = sorted(first.values())
+    want = {(a, b) for a in reps for b in reps if a < b and dot(a, b) >= 0.98} | {(first[at[i]], i) for i in at if first[at[i]] != i}
+    pairs = archive.near_duplicates(emb).cache()
+    assert set(rows(pairs, "a", "b")) == want and pairs.count() == len(want) and len(want) > 200
+    # In arrival order a row goes into the earliest kept row that is near.
+    kept, into = [], {}
+    for i in sorted(at):
+        near = [k for k in kept if dot(k, i) >= 0.98 or at[k] == at[i]]
+        into[i] = near[0] if near else None
+        kept += [] if near else [i]
+    got = {r["vec_id"]: r["merged_into"] for r in archive.semantic_dedupe(emb, pairs).collect()}
+    assert got == into
+    found = set(rows(archive.near_duplicates_lsh(emb.filter("vec_id < 150")), "a", "b"))
+    exact = {(a, b) for a in range(150) for b in range(a + 1, 150) if dot(a, b) >= 0.98}
+    assert found <= exact | {(a, b) for a, b in found if dot(a, b) > 0.98 - 1e-6} and len(found & exact) >= 0.9 * len(exact)
+
+
+def test_dedupe_merges_metrics_and_text(spark):
+    emb = spark.createDataFrame([(1, 1, [1.0, 0.0], {"a": 1, "b": 1}, "one", 5.0), (2, 2, [1.0, 0.0], {"b": 2}, "two", 5.0), (3, 3, [0.0, 1.0], {"c": 3}, "three", 1.0)], "vec_id long, ord long, vector array<double>, m map<string,int>, t string, s double")
+    got = {r["vec_id"]: r for r in archive.semantic_dedupe(emb, archive.near_duplicates(emb), metrics="m", text="t", score="s").collect()}
+    assert got[1]["merged_metrics"] == {"a": 1, "b": 2} and got[1]["merged_text"] == "two" and got[2]["merged_into"] == 1
+    assert got[3]["merged_metrics"] == {"c": 3} and got[2]["merged_metrics"] is None
+
+
+def test_embedded_texts_are_token_counts(spark):
+    from pyspark.ml.feature import HashingTF
+
+    texts_ = ["a b a", "", None, "c"]
+    df = spark.createDataFrame(list(enumerate(texts_)), "i long, t string")
+    place = HashingTF(numFeatures=64).indexOf
+    for r in archive.embed_text(df, "t", 64).collect():
+        counts = [0.0] * 64
+        for token in (texts_[r["i"]] or "").split():
+            counts[place(token)] += 1
+        length = math.sqrt(sum(x * x for x in counts)) or 1.0
+        assert r["vector"] == pytest.approx([x / length for x in counts])
+
+
 def test_series(spark):
     df = spark.createDataFrame([("r", i, v) for i, v in enumerate([1.0] * 10 + [9.0] * 10)], "run_id string, i long, v double")
     assert series.tipping_points(df.filter("i < 4")).count() == 0
@@ -200,6 +296,34 @@ def test_numbered_is_gapless(spark):
     assert sorted((r["id"], r["row_no"]) for r in numbered(df, [F.col("id")]).collect()) == [(i, i) for i in range(1000)]
 
 
+def test_prefix_sums_and_merged_texts(spark):
+    df = spark.createDataFrame([(i, f"g{i % 2}" if i % 5 else None, i % 7) for i in range(300)], "id long, g string, v int").repartition(6)
+    got = {r["id"]: (r["s"], r["t"]) for r in prefix_sums(df, ["g"], [F.desc("id")], {"s": F.col("v")}, {"t": F.lit(1)}).collect()}
+    data = [(i, f"g{i % 2}" if i % 5 else None, i % 7) for i in range(300)]
+    assert got == {i: (sum(w for j, h, w in data if h == g and j > i), sum(h == g for _, h, _ in data)) for i, g, _ in data}
+    parts = spark.createDataFrame([("a", i, f"text {i}") for i in (3, 1, 2)] + [("b", 9, None)], "g string, ord long, text string").withColumn("name", F.col("ord"))
+    assert rows(io.merged_texts(io.merge_sources(parts, ["g"]), ["g"]), "g", "text", "n_sources") == [("a", "[1]\ntext 1\n\n---\n\n[2]\ntext 2\n\n---\n\n[3]\ntext 3", 3), ("b", "[9]\n", 1)]
+
+
+def test_late_rows_are_dropped_and_counted(spark):
+    """The second file is two hours older than the first."""
+    import os
+
+    path = scratch_path(spark, "late").removeprefix("file://")
+    day = "SELECT id AS event_id, 'k' AS user_id, 'pause' AS command, timestamp'2024-01-01 12:00:00' - make_interval(0, 0, 0, 0, {hours}) AS ts FROM range({n})"
+    for k, (hours, n) in enumerate(((0, 3), (2, 4), (0, 1))):
+        spark.sql(day.format(hours=hours, n=n)).coalesce(1).write.parquet(f"{path}/f{k}")
+        for name in os.listdir(f"{path}/f{k}"):
+            if name.endswith(".parquet"):
+                os.utime(f"{path}/f{k}/{name}", (1_000_000 + k * 1000,) * 2)
+    schema = spark.read.parquet(f"{path}/f0").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+    out, state = scratch_path(spark, "out"), scratch_path(spark, "checkpoint")
+    query = streams.stream_control_state(stream, "user_id").writeStream.foreachBatch(lambda b, k: b.write.mode("append").parquet(out)).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.read.parquet(out).count() == 4 and rows(streams.late_rows(spark, state), "user_id", "late") == [("k", 4)]
+
+
 def test_manifests_and_snapshots(spark):
     path = scratch_path(spark, "snap")
     one = spark.createDataFrame([(1, 2.0)], "id long, score double")
