@@ -12,7 +12,7 @@ from selectra.plans.fixtures import table, view, with_views
 N, L = "v_nodes", "v_lineage"
 
 UP = """up AS (SELECT child_id AS seed, parent_id AS node, 1 AS level FROM v_lineage
- UNION SELECT u.seed, e.parent_id, u.level + 1 FROM up u JOIN v_lineage e ON e.child_id = u.node WHERE u.level < 60),
+ UNION SELECT u.seed, e.parent_id, u.level + 1 FROM up u JOIN v_lineage e ON e.child_id = u.node),
 ups AS (SELECT seed, node, min(level) AS level FROM up GROUP BY ALL)"""
 
 
@@ -26,15 +26,9 @@ def ancestors(spark: SparkSession, d: str) -> DataFrame:
     return lineage.ancestors(edges, edges.select("child_id"))
 
 
-@query(with_views(L, f"WITH {UP} SELECT node AS seed, seed AS node, level FROM ups WHERE level <= 3"))
+@query(with_views(L, f"WITH {UP} SELECT node AS seed, seed AS node, level FROM ups"))
 def descendants(spark: SparkSession, d: str) -> DataFrame:
-    edges = _edges(spark, d)
-    return lineage.descendants(edges, edges.select("parent_id"), 3)
-
-
-@query()
-def all_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """At every level; the SQL of descendants has three."""
+    """At every level."""
     edges = _edges(spark, d)
     return lineage.descendants(edges, edges.select("parent_id"))
 
@@ -44,17 +38,16 @@ def lineage_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lineage.lineage_stats(view(spark, d, N), _edges(spark, d)), "avg_ancestors")
 
 
-@query(with_views(f"{N} {L}", "WITH pairs AS (SELECT a.id AS a, b.id AS b FROM v_nodes a JOIN v_nodes b ON a.user_id = b.user_id AND a.grp = 'purchase' AND b.grp = 'click' AND abs(a.id - b.id) < 4000), sym AS (SELECT parent_id AS s, child_id AS t FROM v_lineage UNION SELECT child_id, parent_id FROM v_lineage), walk AS (SELECT DISTINCT a AS s, a AS t, 0 AS l FROM pairs UNION SELECT w.s, e.t, w.l + 1 FROM walk w JOIN sym e ON e.s = w.t WHERE w.l < 6) SELECT p.a, p.b, min(l) AS distance FROM pairs p LEFT JOIN walk w ON w.s = p.a AND w.t = p.b GROUP BY p.a, p.b"))
-def genealogical_distance(spark: SparkSession, d: str) -> DataFrame:
-    nodes = view(spark, d, N)
-    a, b = nodes.filter("grp = 'purchase'").select(F.col("id").alias("a"), "user_id"), nodes.filter("grp = 'click'").select(F.col("id").alias("b"), "user_id")
-    pairs = a.join(b, "user_id").filter(F.abs(F.col("a") - F.col("b")) < 4000).select("a", "b")
-    return lineage.genealogical_distance(_edges(spark, d), pairs, 6)
+DISTANCES = """WITH pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM v_nodes a JOIN v_nodes b ON a.user_id = b.user_id AND a.grp = 'purchase' AND b.grp = 'click'),
+sym AS MATERIALIZED (SELECT parent_id AS s, child_id AS t FROM v_lineage UNION SELECT child_id, parent_id FROM v_lineage),
+walk(s, t, l) USING KEY (s, t) AS (SELECT DISTINCT a, a, 0 FROM pairs
+ UNION (SELECT w.s, e.t, min(w.l + 1) FROM walk w JOIN sym e ON e.s = w.t LEFT JOIN recurring.walk r ON r.s = w.s AND r.t = e.t WHERE r.s IS NULL GROUP BY w.s, e.t))
+SELECT p.a, p.b, l AS distance FROM pairs p LEFT JOIN walk w ON w.s = p.a AND w.t = p.b"""
 
 
-@query()
-def all_genealogical_distance(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of a user at any distance; the SQL of genealogical_distance has ids less than 4,000 apart and six steps."""
+@query(with_views(f"{N} {L}", DISTANCES))
+def genealogical_distance(spark: SparkSession, d: str) -> DataFrame:
+    """From every purchase to every click of its user, at any distance."""
     nodes = view(spark, d, N)
     a, b = nodes.filter("grp = 'purchase'").select(F.col("id").alias("a"), "user_id"), nodes.filter("grp = 'click'").select(F.col("id").alias("b"), "user_id")
     return lineage.genealogical_distance(_edges(spark, d), a.join(b, "user_id").select("a", "b"))

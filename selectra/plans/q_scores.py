@@ -242,7 +242,11 @@ def screen_text(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.array_join("issues", "; ").alias("issues"), "blocked", "severity")
 
 
-@query()
+_CODE = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(html, '{p.replace('(?i)', '').replace(chr(39), chr(39) * 2)}', '{'i' if '(?i)' in p else 'c'}') THEN '{level}: {label}' END" for level, p, label in texts.CODE_RULES) + "], lambda x: x IS NOT NULL)"
+_ANY = "len(list_filter(issues, lambda x: x LIKE '{}:%')) > 0"
+
+
+@query(f"SELECT page_id, array_to_string(issues, '; ') AS issues, {_ANY.format('critical')} AS blocked, CASE WHEN {_ANY.format('critical')} THEN 'critical' WHEN {_ANY.format('warning')} THEN 'low' ELSE 'none' END AS severity FROM (SELECT page_id, {_CODE} AS issues FROM pages) s")
 def screen_code(spark: SparkSession, d: str) -> DataFrame:
     """The rules for program text, over the pages' scripts and text."""
     out = texts.screen_text(table(spark, d, "pages"), "html", "balanced")
