@@ -26,6 +26,8 @@ INF = float("inf")
 BLOCK = 1024
 #: Vectors of a group that one task reduces to their skyline.
 MERGE = 20_000
+#: Winners of dominance that are broadcast.
+MOST_WINNERS = 10_000
 #: Distinct vectors of a group that one task sorts into fronts; of larger groups fronts are peeled until so many are left.
 SORTED = 1_000_000
 
@@ -69,9 +71,17 @@ def _survivors(values: list[str], by: list[str]):
     return one, run
 
 
-def dominance_pairs(df: DataFrame, objectives: Mapping[str, str] = OBJECTIVES, by: Sequence[str] = (), id_col: str = "id") -> DataFrame:
-    """(winner, loser) of every dominating pair, within ``by`` if given. A theta join: for small inputs."""
-    a = df.select(*[F.col(c).alias(f"a_{c}") for c in by], F.col(id_col).alias("winner"), *[_signed(c, s).alias(f"a{i}") for i, (c, s) in enumerate(objectives.items())])
+def dominance_pairs(df: DataFrame, objectives: Mapping[str, str] = OBJECTIVES, by: Sequence[str] = (), id_col: str = "id", winners: DataFrame | None = None) -> DataFrame:
+    """(winner, loser) of every dominating pair, within ``by`` if given.
+
+    A theta join, whose result may be quadratic: for small inputs, or few ``winners`` (ids), which up to MOST_WINNERS are
+    sent to the rows where they lie.
+    """
+    top = df
+    if winners is not None:
+        top = cut(df.join(winners.select(F.col(winners.columns[0]).alias(id_col)), id_col, "left_semi"), "winners")
+        top = F.broadcast(top) if top.count() <= MOST_WINNERS else top
+    a = top.select(*[F.col(c).alias(f"a_{c}") for c in by], F.col(id_col).alias("winner"), *[_signed(c, s).alias(f"a{i}") for i, (c, s) in enumerate(objectives.items())])
     b = df.select(*[F.col(c).alias(f"b_{c}") for c in by], F.col(id_col).alias("loser"), *[_signed(c, s).alias(f"b{i}") for i, (c, s) in enumerate(objectives.items())])
     n = range(len(objectives))
     test = reduce(lambda x, y: x & y, [F.col(f"a{i}") <= F.col(f"b{i}") for i in n]) & reduce(lambda x, y: x | y, [F.col(f"a{i}") < F.col(f"b{i}") for i in n])

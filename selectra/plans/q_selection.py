@@ -72,7 +72,7 @@ def dominance_pairs(spark: SparkSession, d: str) -> DataFrame:
     """How many rows of its group each frontier row dominates."""
     rows = candidates(spark, d)
     best = pareto.pareto_frontier(rows, by=["grp"]).select("id")
-    beaten = pareto.dominance_pairs(rows, by=["grp"]).join(F.broadcast(best.withColumnRenamed("id", "winner")) if best.count() <= 10_000 else best.withColumnRenamed("id", "winner"), "winner", "left_semi")
+    beaten = pareto.dominance_pairs(rows, by=["grp"], winners=best)
     return beaten.groupBy("winner").agg(F.count(F.lit(1)).alias("beaten"))
 
 
