@@ -305,6 +305,26 @@ def test_prefix_sums_and_merged_texts(spark):
     assert rows(io.merged_texts(io.merge_sources(parts, ["g"]), ["g"]), "g", "text", "n_sources") == [("a", "[1]\ntext 1\n\n---\n\n[2]\ntext 2\n\n---\n\n[3]\ntext 3", 3), ("b", "[9]\n", 1)]
 
 
+def test_listed_snapshots_are_the_files(spark):
+    import os
+
+    path = scratch_path(spark, "listed").removeprefix("file://")
+    for k in range(3):
+        spark.range(10 ** (k + 1)).coalesce(1).write.parquet(f"{path}/gen{k}")
+    want = {(name, os.stat(f"{root}/{name}").st_size, os.stat(f"{root}/{name}").st_mtime) for root, _, names in os.walk(path) for name in names if name.endswith(".parquet")}
+    got = io.list_snapshots(spark, path, "*.parquet", "size").collect()
+    assert {(r["file"], r["size"]) for r in got} == {w[:2] for w in want}
+    assert [r["size"] for r in got] == sorted((w[1] for w in want), reverse=True) and len(want) == 3
+    assert all(any(f == r["file"] and abs(t - r["mtime"].timestamp()) <= 1 for f, _, t in want) for r in got)
+
+
+def test_diverse_sample_takes_the_first_of_each_cluster(spark):
+    rng = random.Random(1)
+    df = spark.createDataFrame([(i, i, [10.0 * (i % 4) + rng.random() * 0.1, -5.0 * (i % 4)]) for i in range(80)], "vec_id long, ord long, vector array<double>")
+    assert rows(archive.diverse_sample(df, 4), "vec_id") == [(0,), (1,), (2,), (3,)]
+    assert archive.diverse_sample(df.limit(3), 4).count() == 3
+
+
 def test_late_rows_are_dropped_and_counted(spark):
     """The second file is two hours older than the first."""
     import os
