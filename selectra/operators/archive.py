@@ -76,9 +76,10 @@ def copies(emb: DataFrame, id_col: str = "vec_id", vector: str = "vector", order
 
 
 def _dealt(emb: DataFrame, id_col: str, vector: str, theta: float) -> tuple[DataFrame, DataFrame]:
-    """Blocks (block, rows) of vectors around one of PIVOTS pivots each, and the pairs (l, r) of blocks that can hold vectors within the angle theta."""
+    """Blocks (block, rows) of vectors around one of at most PIVOTS pivots each, and the pairs (l, r) of blocks that can hold vectors within the angle theta."""
     rows = emb.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()  # PIVOTS vectors at most
+    # No more pivots than there are full blocks; PIVOTS vectors at most.
+    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, rows.count() // BLOCK))).collect()
     m = np.array([r["v"] for r in drawn], float) if drawn else np.zeros((1, 1))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
