@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selectra.llm import content_sort, interleave, line_crf, mixture, nb_hinge, odd_sketch, packing, repeats, warc_zip, wrappers
+from selectra.llm import content_sort, interleave, line_crf, mixture, nb_hinge, odd_sketch, packing, repeats, suffix_arrays, warc_zip, wrappers
 from selectra.llm.common import n_words
 
 SHARDS = 24
 SEED = 17
 CAPACITY = 4096
 WINDOW = 50
+BENCHMARK_WINDOW = 10
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -176,6 +178,32 @@ def op10_large_item_packing(spark: SparkSession, sf_dir: str, tokenizer: str | N
     return packing.pack(cut, CAPACITY, seed=SEED)
 
 
+def op11_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_arrays.contamination(docs, table(spark, sf_dir, "benchmark"), BENCHMARK_WINDOW, keep_text=False)
+    digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP11_SQL = rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+tw AS MATERIALIZED (
+  SELECT DISTINCT item, least(len(ws), {BENCHMARK_WINDOW}) AS size, array_to_string(ws[i:i + least(len(ws), {BENCHMARK_WINDOW}) - 1], ' ') AS k
+  FROM t, unnest(range(1, len(ws) - least(len(ws), {BENCHMARK_WINDOW}) + 2)) AS u(i) WHERE len(ws) > 0),
+dw AS (
+  SELECT doc_id, size, i, array_to_string(ws[i:i + size - 1], ' ') AS k
+  FROM d, (SELECT DISTINCT size FROM tw) AS s, unnest(range(1, len(ws) - size + 2)) AS u(i)),
+hit AS MATERIALIZED (SELECT doc_id, item, i, dw.size FROM dw JOIN tw ON dw.k = tw.k AND dw.size = tw.size),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(m.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named m ON m.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_interleave_shards,
@@ -188,9 +216,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_line_crf_rules,
         op10_large_item_packing,
         op8_content_sort_dedup,
+        op11_suffix_array_decontamination,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_interleave_shards": OP1_SQL, "op2_odd_sketch_near_dedup": OP2_SQL, "op3_zip_warc_round_trip": OP3_SQL, "op4_doubling_repeats": OP4_SQL, "op5_hash_threshold_mix": OP5_SQL, "op8_content_sort_dedup": OP8_SQL}
+    return {"op1_interleave_shards": OP1_SQL, "op2_odd_sketch_near_dedup": OP2_SQL, "op3_zip_warc_round_trip": OP3_SQL, "op4_doubling_repeats": OP4_SQL, "op5_hash_threshold_mix": OP5_SQL, "op8_content_sort_dedup": OP8_SQL, "op11_suffix_array_decontamination": OP11_SQL}
