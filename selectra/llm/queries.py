@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selectra.llm import content_sort, interleave, line_crf, mixture, nb_hinge, odd_sketch, packing, repeats, suffix_arrays, warc_zip, wrappers
+from selectra.llm import collocations, content_sort, interleave, line_crf, mixture, nb_hinge, odd_sketch, packing, repeats, suffix_arrays, warc_zip, wrappers
 from selectra.llm.common import n_words
 
 SHARDS = 24
@@ -204,6 +204,31 @@ FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named m ON m.doc_id
 """
 
 
+def op12_stream_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, contained=80, top=2000)
+
+
+OP12_SQL = rf"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+ws AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+gram AS (SELECT lang, s, w[i:i + s - 1] AS g FROM ws, unnest([1, 2, 3, 4]) AS t(s), unnest(range(1, len(w) - s + 2)) AS u(i)),
+f AS MATERIALIZED (SELECT lang, g, len(g) AS s, count(*) AS a FROM gram GROUP BY lang, g),
+total AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE s = 1 GROUP BY lang),
+cand AS MATERIALIZED (SELECT * FROM f WHERE s >= 2 AND a >= 30),
+part AS (SELECT lang, g[i:i + z - 1] AS p, a FROM cand, unnest([2, 3]) AS t(z), unnest(range(1, s - z + 2)) AS u(i) WHERE z < s),
+inside AS (SELECT lang, p, max(a) AS most FROM part GROUP BY lang, p),
+cut AS (
+  SELECT c.lang, c.g, c.s, c.a, k, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a + y.a))::BIGINT AS score
+  FROM cand c, unnest(range(1, c.s)) AS t(k) JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:c.s]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.p = b.g WHERE 100::HUGEINT * coalesce(most, 0) < 80::HUGEINT * b.a),
+ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank FROM kept)
+SELECT ranked.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_interleave_shards,
@@ -217,9 +242,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_large_item_packing,
         op8_content_sort_dedup,
         op11_suffix_array_decontamination,
+        op12_stream_collocations,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_interleave_shards": OP1_SQL, "op2_odd_sketch_near_dedup": OP2_SQL, "op3_zip_warc_round_trip": OP3_SQL, "op4_doubling_repeats": OP4_SQL, "op5_hash_threshold_mix": OP5_SQL, "op8_content_sort_dedup": OP8_SQL, "op11_suffix_array_decontamination": OP11_SQL}
+    return {"op1_interleave_shards": OP1_SQL, "op2_odd_sketch_near_dedup": OP2_SQL, "op3_zip_warc_round_trip": OP3_SQL, "op4_doubling_repeats": OP4_SQL, "op5_hash_threshold_mix": OP5_SQL, "op8_content_sort_dedup": OP8_SQL, "op11_suffix_array_decontamination": OP11_SQL, "op12_stream_collocations": OP12_SQL}
