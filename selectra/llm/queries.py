@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selectra.llm import collocations, content_sort, interleave, line_crf, mixture, nb_hinge, odd_sketch, packing, repeats, suffix_arrays, warc_zip, wrappers
+from selectra.llm import collocations, content_sort, interleave, line_crf, mixture, nb_hinge, odd_sketch, packing, repeats, spellings, suffix_arrays, warc_zip, wrappers
 from selectra.llm.common import n_words
 
 SHARDS = 24
@@ -229,6 +229,39 @@ SELECT ranked.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l
 """
 
 
+def op13_pivotal_gram_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE bits(v, c, k) AS (
+  SELECT i, i, 0 FROM range(256) t(i)
+  UNION ALL SELECT v, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY v) AS t FROM bits WHERE k = 8),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents),
+own AS MATERIALIZED (SELECT id, w, count(*) AS n FROM runs WHERE length(w) >= 6 GROUP BY id, w),
+hashed AS (
+  SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(id || ':' || w)), '..'), lambda x: ('0x' || x)::BIGINT)),
+                               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM own, crc),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS w, n FROM hashed),
+words AS MATERIALIZED (SELECT w, sum(n)::BIGINT AS n FROM cut WHERE length(w) >= 6 GROUP BY w HAVING sum(n) >= 5),
+del AS MATERIALIZED (SELECT w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) AS d FROM words, unnest(range(1, length(w) + 1)) AS t(i)),
+near AS MATERIALIZED (
+  SELECT a.w, b.w AS v, b.n FROM del a JOIN del b ON a.d = b.d AND a.i = b.i AND a.w <> b.w
+  UNION SELECT a.w, b.w, b.n FROM del a JOIN words b ON a.d = b.w
+  UNION SELECT b.w, a.w, a.n FROM del a JOIN words b ON a.d = b.w),
+best AS (SELECT w, count(*) AS n_near, max(n) AS top FROM near GROUP BY w),
+form AS MATERIALIZED (
+  SELECT words.w, words.n, coalesce(n_near, 0) AS n_near, (SELECT min(v) FROM near WHERE near.w = words.w AND near.n = top AND top >= 5 * words.n) AS form,
+         CASE WHEN top >= 5 * words.n THEN top END AS form_n
+  FROM words LEFT JOIN best ON best.w = words.w),
+chain(w, root) AS (SELECT w, w FROM form UNION ALL SELECT chain.w, form.form FROM chain JOIN form ON form.w = chain.root WHERE form.form IS NOT NULL)
+SELECT form.w AS word, form.form, chain.root, form.n, form.n_near::BIGINT AS n_near, form.form_n::BIGINT AS form_n
+FROM form JOIN chain ON chain.w = form.w JOIN form e ON e.w = chain.root AND e.form IS NULL
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_interleave_shards,
@@ -243,9 +276,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_content_sort_dedup,
         op11_suffix_array_decontamination,
         op12_stream_collocations,
+        op13_pivotal_gram_spellings,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_interleave_shards": OP1_SQL, "op2_odd_sketch_near_dedup": OP2_SQL, "op3_zip_warc_round_trip": OP3_SQL, "op4_doubling_repeats": OP4_SQL, "op5_hash_threshold_mix": OP5_SQL, "op8_content_sort_dedup": OP8_SQL, "op11_suffix_array_decontamination": OP11_SQL, "op12_stream_collocations": OP12_SQL}
+    return {"op1_interleave_shards": OP1_SQL, "op2_odd_sketch_near_dedup": OP2_SQL, "op3_zip_warc_round_trip": OP3_SQL, "op4_doubling_repeats": OP4_SQL, "op5_hash_threshold_mix": OP5_SQL, "op8_content_sort_dedup": OP8_SQL, "op11_suffix_array_decontamination": OP11_SQL, "op12_stream_collocations": OP12_SQL, "op13_pivotal_gram_spellings": OP13_SQL}
