@@ -43,11 +43,12 @@ from selectra.llm.common import written
 
 LONGEST = 4
 #: Words that a task gathers before it sorts them.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: Grams of the sample that splitters are drawn from, and those aimed at for one range.
 SAMPLE = 200_000
-RANGE = 2_000_000
-MEMORY = 500_000
+RANGE = 1_000_000
+#: Different words that a task keeps.
+MEMORY = 250_000
 #: A-Z in lower case; separators of words a blank; those of pieces a full stop, which no word holds.
 BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if c in b" \t" else 46 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 KEYS = [f"w{k}" for k in range(1, LONGEST + 1)]
@@ -66,9 +67,6 @@ class WordHashes(dict):
         self[b"."] = 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMORY:
-            self.clear()
-            self[b"."] = 0
         self[word] = number = word_hash(self.prefix + word)
         return number
 
@@ -82,25 +80,26 @@ def grams(words: np.ndarray) -> np.ndarray:
     """LONGEST columns: every word with the next ones of its piece, 0 beyond its end. ``words`` ends with a 0."""
     columns, last = [words], words
     for k in range(1, LONGEST):
-        last = np.where(last[:len(words) - k] == 0, np.uint64(0), words[k:])
-        columns.append(np.concatenate([last, np.zeros(k, np.uint64)]))
+        last = np.where(last[:len(words) - k] == 0, words.dtype.type(0), words[k:])
+        columns.append(np.concatenate([last, np.zeros(k, words.dtype)]))
     places = np.flatnonzero(words)
     return np.array([c[places] for c in columns])
 
 
-def prefix_order(columns: np.ndarray) -> np.ndarray:
-    """Order by the first column, then the second and so on."""
-    known, codes = np.unique(columns, return_inverse=True)
-    codes = codes.reshape(columns.shape).astype(np.int64)
-    bits = max(1, int(len(known)).bit_length())
-    per = min(len(codes), 63 // bits)
-    keys = []
-    for k in range(0, len(codes), per):
-        key = np.zeros(codes.shape[1], np.int64)
-        for row in codes[k:k + per]:
-            key = (key << bits) | row
-        keys.append(key)
-    return np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+def block_grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams of a block and their counts. Words are sorted as places in the block's own vocabulary, two in one number."""
+    known, codes = np.unique(words, return_inverse=True)
+    if known[0] != 0:
+        known, codes = np.concatenate([np.zeros(1, np.uint64), known]), codes + 1
+    columns = grams(codes)
+    keys = [columns[k] << 32 | columns[k + 1] if k + 1 < LONGEST else columns[k] << 32 for k in range(0, LONGEST, 2)]
+    del columns
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    starts = np.flatnonzero(changes(np.array(keys))[-1]) if len(order) else order
+    counts = np.diff(np.concatenate([starts, [len(order)]]))
+    keys = [k[starts] for k in keys]
+    return np.array([known[keys[k // 2] >> 32 if k % 2 == 0 else keys[k // 2] & 0xFFFFFFFF] for k in range(LONGEST)]), counts
 
 
 def changes(columns: np.ndarray) -> np.ndarray:
@@ -114,7 +113,7 @@ def summed(columns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Sorted distinct grams with their counts."""
     if not columns.shape[1]:
         return columns, counts
-    order = prefix_order(columns)
+    order = np.lexsort(columns[::-1])
     columns, counts = columns[:, order], counts[order]
     starts = np.flatnonzero(changes(columns)[-1])
     return columns[:, starts], np.add.reduceat(counts, starts)
@@ -134,15 +133,15 @@ def places_in(columns: np.ndarray, splitters: np.ndarray) -> np.ndarray:
     return low
 
 
-def hashed_batch(batch: pa.RecordBatch, known: dict[str, WordHashes]) -> list[np.ndarray]:
+def hashed_batch(batch: pa.RecordBatch, known: dict[str, WordHashes]) -> Iterator[np.ndarray]:
     """Of (lang, text) rows the words of each text as hashes, a 0 behind each piece and text."""
-    found = []
+    if sum(map(len, known.values())) > MEMORY:
+        known.clear()
     for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
         split = tokens(text.as_py() or b"")
         hashes = known.get(lang) or known.setdefault(lang, WordHashes(lang))
-        found.append(np.fromiter(map(hashes.__getitem__, split), np.uint64, len(split)))
-        found.append(np.zeros(1, np.uint64))
-    return found
+        split.append(b".")
+        yield np.fromiter(map(hashes.__getitem__, split), np.uint64, len(split))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +161,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts[word] = get(word, 0) + 1
             counts.pop(b".", None)
             size += len(counts) - before
-        if size > MEMORY:
-            yield from out()
-            found, size = {}, 0
+            if size > MEMORY:
+                yield from out()
+                found.clear()
+                size = 0
     yield from out()
 
 
@@ -189,7 +189,7 @@ def splitters(docs: DataFrame, n_ranges: int, n_words: int, seed: int = 17) -> n
     every = max(1, round(n_words * part / SAMPLE))
     rows = docs.sample(part, seed=seed).mapInArrow(_sampled(every), ", ".join(f"{k} long" for k in KEYS)).toArrow()
     columns = np.array([rows.column(k).to_numpy().view(np.uint64) for k in KEYS]).reshape(LONGEST, -1)
-    columns = columns[:, prefix_order(columns)] if columns.shape[1] else columns
+    columns = columns[:, np.lexsort(columns[::-1])]
     at = np.linspace(0, columns.shape[1], n_ranges + 1)[1:-1].astype(np.int64)
     return columns[:, at] if columns.shape[1] else np.zeros((LONGEST, 0), np.uint64)
 
@@ -198,8 +198,7 @@ def _runs(cuts):
     """Arrow function: (lang, text) -> (range, run): the sorted grams of a block with their counts, cut at the splitters."""
 
     def out(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        columns = grams(np.concatenate([*found, np.zeros(1, np.uint64)]))
-        columns, counts = summed(columns, np.ones(columns.shape[1], np.int64))
+        columns, counts = block_grams(np.concatenate(found))
         edges = np.concatenate([[0], places_in(columns, cuts.value), [columns.shape[1]]])
         full = np.flatnonzero(np.diff(edges))
         runs = [np.concatenate([columns[:, a:b].reshape(-1), counts[a:b].view(np.uint64)]) for a, b in zip(edges[full].tolist(), edges[full + 1].tolist(), strict=True)]
@@ -212,11 +211,12 @@ def _runs(cuts):
         known: dict[str, WordHashes] = {}
         found, n = [], 0
         for batch in batches:
-            found += hashed_batch(batch, known)
-            n += sum(map(len, found[-2 * batch.num_rows:]))
-            if n >= BLOCK:
-                yield from out(found)
-                found, n = [], 0
+            for words in hashed_batch(batch, known):
+                found.append(words)
+                n += len(words)
+                if n >= BLOCK:
+                    yield from out(found)
+                    found, n = [], 0
         if found:
             yield from out(found)
 
@@ -296,11 +296,9 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (*words, size, counts, *sides, longer)], [*[f"k{k}" for k in range(1, LONGEST + 1)], "size", "a", *[f"s{k}" for k in range(1, LONGEST)], "longer"])
 
 
-def scanned(counts: DataFrame, keys: list[str]) -> DataFrame:
+def scanned(counts: DataFrame, keys: list, n_parts: int) -> DataFrame:
     """The stream laid out by ``keys`` and read once. Phrases of the same first two words stay in one task."""
-    spark = counts.sparkSession
     named = counts.select(*[F.col(c).alias(f"k{k}") if isinstance(c, str) else c.alias(f"k{k}") for k, c in enumerate(keys, 1)], "size", "a")
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stream = named.repartitionByRange(n_parts, "k1", "k2").sortWithinPartitions(*[f"k{k}" for k in range(1, LONGEST + 1)])
     schema = ", ".join([*[f"k{k} long" for k in range(1, LONGEST + 1)], "size int, a long", *[f"s{k} long" for k in range(1, LONGEST)], "longer long"])
     out = written(stream.mapInArrow(_scanned, schema), "stream")
@@ -321,11 +319,12 @@ def collocations(df: DataFrame, least: int = 30, contained: int = 80, top: int |
     names = written(counted.filter(F.col("n") >= least).mapInArrow(_named, "w long, lang string, word string"), "names")
     n_words = counted.agg(F.sum("n")).first()[0] or 0
     counts = phrase_counts(docs, n_words, least)
+    n_parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // RANGE))
 
-    left = scanned(counts, KEYS).withColumnsRenamed({f"k{k}": f"w{k}" for k in range(1, LONGEST + 1)} | {f"s{k}": f"l{k}" for k in range(1, LONGEST)} | {"longer": "_right"})
+    left = scanned(counts, KEYS, n_parts).withColumnsRenamed({f"k{k}": f"w{k}" for k in range(1, LONGEST + 1)} | {f"s{k}": f"l{k}" for k in range(1, LONGEST)} | {"longer": "_right"})
     # From the right: the last word first, and 0 beyond the end.
     turned = [F.coalesce(F.get(F.array(*KEYS), F.col("size") - k), F.lit(0)) for k in range(1, LONGEST + 1)]
-    back = scanned(counts, turned).withColumnsRenamed({f"s{k}": f"r{k}" for k in range(1, LONGEST)} | {"longer": "_left"})
+    back = scanned(counts, turned, n_parts).withColumnsRenamed({f"s{k}": f"r{k}" for k in range(1, LONGEST)} | {"longer": "_left"})
     own = [F.coalesce(F.get(F.array(*[f"k{k}" for k in range(1, LONGEST + 1)]), F.col("size") - k), F.lit(0)).alias(f"w{k}") for k in range(1, LONGEST + 1)]
     back = back.select(*own, *[f"r{k}" for k in range(1, LONGEST)], "_left")
     rows = left.join(back.hint("merge"), KEYS)
