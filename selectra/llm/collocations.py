@@ -276,9 +276,10 @@ def phrase_counts(docs: DataFrame, n_words: int, least: int) -> DataFrame:
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One pass over a sorted stream (k1, ..., size, a): for each phrase the counts of its beginnings and the greatest of its extensions by a word."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    whole = [b for b in batches if b.num_rows]
+    if not whole:
         return
+    table = pa.Table.from_batches(whole)
     words = np.array([table.column(k).to_numpy() for k in range(LONGEST)])
     size, counts = (table.column(LONGEST + k).to_numpy() for k in range(2))
     n = len(size)

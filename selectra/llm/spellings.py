@@ -138,9 +138,10 @@ def common_ends(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, salt, pivot, word, n, last) of whole keys -> (word, near, n): both directions of every near pair once a task."""
-    table = pa.Table.from_batches(list(batches)).combine_chunks()
-    if not table.num_rows:
+    whole = [b for b in batches if b.num_rows]
+    if not whole:
         return
+    table = pa.Table.from_batches(whole).combine_chunks()
     _, key = np.unique(np.array([f"{s}:{k}" for s, k in zip(table.column("salt").to_pylist(), table.column("key").to_pylist(), strict=True)]), return_inverse=True)
     coded = table.column("word").combine_chunks().dictionary_encode()
     texts, word = coded.dictionary.to_pylist(), coded.indices.to_numpy()
