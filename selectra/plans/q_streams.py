@@ -17,6 +17,11 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need an instant
 
 
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a table, which ``run_fold`` hands to a stream in slices."""
+    return spark.read.parquet(f"{d}/events.parquet").withColumnRenamed("event_type", "name").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @query("SELECT event_type AS name, count(*) AS n FROM events GROUP BY event_type")
 def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     return st.run_once(st.stream_event_counts(_events(spark, d)), "complete")
@@ -62,7 +67,7 @@ def stream_last_n(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, event_id, CASE WHEN max((event_type = 'purchase')::INT) OVER w = 1 THEN 'stopped' WHEN coalesce(arg_max(event_type, (ts, event_id)) FILTER (event_type IN ('click', 'signup')) OVER w, 'click') = 'click' AND count_if(event_type = 'click') OVER w > 0 THEN 'paused' ELSE 'running' END AS state FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def stream_control_state(spark: SparkSession, d: str) -> DataFrame:
     command = F.when(F.col("name") == "click", "pause").when(F.col("name") == "signup", "resume").when(F.col("name") == "purchase", "stop").otherwise("none")
-    out = st.run_once(st.stream_control_state(_events(spark, d).withColumn("command", command), "user_id"))
+    out = st.run_fold(st.control_fold("user_id"), _rows(spark, d).withColumn("command", command))
     return out.select("user_id", "event_id", "state")
 
 
@@ -81,24 +86,21 @@ SELECT backend, call_id, streak, state FROM fold WHERE k > 0"""
 
 @query(BREAKER)
 def stream_circuit(spark: SparkSession, d: str) -> DataFrame:
-    calls = _events(spark, d).select(F.col("name").alias("backend"), F.col("event_id").alias("call_id"), (F.col("value") >= 5).alias("ok"), "ts")
-    return st.run_once(st.stream_circuit(calls)).select("backend", "call_id", "streak", "state")
+    calls = _rows(spark, d).select(F.col("name").alias("backend"), F.col("event_id").alias("call_id"), (F.col("value") >= 5).alias("ok"), "ts")
+    return st.run_fold(st.circuit_fold(), calls).select("backend", "call_id", "streak", "state")
 
 
 @query("SELECT user_id, event_id AS call_id, count(*) OVER (PARTITION BY user_id, date_trunc('month', ts) ORDER BY ts, event_id) AS used, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS total, count(*) OVER (PARTITION BY user_id, date_trunc('month', ts) ORDER BY ts, event_id) > 2 OR count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 10 AS over FROM events")
 def stream_budget(spark: SparkSession, d: str) -> DataFrame:
     month = (F.year("ts") * 12 + F.month("ts")).cast("long")
-    calls = _events(spark, d).select("user_id", F.col("event_id").alias("call_id"), "ts", month.alias("generation"))
-    return st.run_once(st.stream_budget(calls, 2, 10, "user_id"))
+    calls = _rows(spark, d).select("user_id", F.col("event_id").alias("call_id"), "ts", month.alias("generation"))
+    return st.run_fold(st.budget_fold(2, 10, "user_id"), calls)
 
 
 @query(with_views("v_series", f"WITH {PLATEAU} SELECT run_id, i, accepted, waited, waited >= 15 AS converged FROM fold"))
 def stream_plateau(spark: SparkSession, d: str) -> DataFrame:
-    """The series is written first and then read as a stream."""
-    path = scratch_path(spark, "series")
     rows = view(spark, d, "v_series").select("run_id", F.col("i").cast("long").alias("i"), "v")
-    rows.write.parquet(path)
-    return st.run_once(st.stream_plateau(spark.readStream.schema(rows.schema).parquet(path)))
+    return st.run_fold(st.plateau_fold(), rows)
 
 
 @query("SELECT DISTINCT user_id FROM events")

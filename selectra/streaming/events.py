@@ -3,18 +3,22 @@
 Time is event time. Streams carry a watermark (10 minutes by default); rows later
 than that are dropped by windowed, de-duplicating and folding operators; folds count
 them (``late_rows``), for the others Spark's progress does. Keyed state expires after ``STATE_TTL`` of event time
-without rows of its key; ``stream_plateau``, whose rows have no time, keeps three
-numbers a run for good.
-A fold takes the rows of a key in order within each batch; between batches it relies
-on the watermark: a row older than what was folded before is late.
+without rows of its key.
+
+A ``Fold`` takes the rows of a key in the order of their times, however the input is cut
+into batches: rows wait in the key's state until the watermark has passed them, so that
+none can come in between any more. Rows without a time count as late. When a bounded
+input ends, ``Fold.rest`` folds what still waits in the checkpoint. A fold over numbered steps
+without times lets a row wait for the step before it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -30,11 +34,6 @@ def late_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
     return spark.read.format("statestore").load(checkpoint).select("key.*", F.col("value.groupState.late").alias("late"))
 
 
-def _timed(held: GroupState, newest: pd.Timestamp) -> None:
-    """Set when the state of a key expires."""
-    held.setTimeoutTimestamp(max(int(newest.timestamp() * 1000), held.getCurrentWatermarkMs()) + STATE_TTL)
-
-
 def stream_event_counts(stream: DataFrame, window: str | None = None, name: str = "name", ts: str = "ts", watermark: str = WATERMARK) -> DataFrame:
     """Live counts per name, in event-time windows if given."""
     if window is None:
@@ -69,103 +68,197 @@ def stream_fanout(stream: DataFrame, handlers: dict[str, Callable[[DataFrame, in
     return stream.writeStream.foreachBatch(each)
 
 
-def _fold(stream: DataFrame, by: str, order: list[str], output: str, state: str, start: tuple, step: Callable, ts: str | None = None, watermark: str = WATERMARK) -> DataFrame:
-    """Keyed ordered fold: ``step(state, row) -> (state, output values or None)`` for each row in order within a batch.
+def _folded(step: Callable, names: list[str], key: object, value: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+    found = []
+    for row in rows:
+        value, out = step(value, dict(zip(names, row, strict=True)))
+        found.append((key, *out))
+    return value, found
 
-    With ``ts`` the stream gets a watermark: later rows are dropped and counted in the state, and state expires. Without, it is kept.
-    """
-    state += ", late long"
-    out_names = [c.strip().split()[0] for c in output.split(",")]
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterable[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        *value, late = held.get if held.exists else (*start, 0)
-        value, found, rows = tuple(value), [], pd.concat(list(batches)).sort_values(order)
-        newest = rows[ts].max() if ts else None
-        if ts:
-            in_time = rows[ts] >= pd.Timestamp(held.getCurrentWatermarkMs(), unit="ms", tz=rows[ts].dt.tz)
-            rows, late = rows[in_time], late + int((~in_time).sum())
-        for row in rows.to_dict("records"):
-            value, out = step(value, row)
-            if out is not None:
-                found.append((key[0], *out))
-        held.update((*value, late))
-        if ts:
-            _timed(held, newest)
-        yield pd.DataFrame(found, columns=out_names)
-
-    if ts:
-        return stream.withWatermark(ts, watermark).groupBy(by).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.EventTimeTimeout)
-    return stream.groupBy(by).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
+def _listed(names: list[str], rows: pd.DataFrame) -> list[tuple]:
+    columns = [[None if x is None or x != x else x for x in rows[n].tolist()] for n in names]
+    return list(zip(*columns, strict=True))
 
 
-def stream_control_state(stream: DataFrame, by: str = "run_id", command: str = "command", ts: str = "ts", seq: str = "event_id") -> DataFrame:
+def _heads(ddl: str) -> list[str]:
+    return [c.strip().split()[0] for c in ddl.split(",")]
+
+
+@dataclass(frozen=True)
+class Fold:
+    """Keyed ordered fold: ``step(state, row) -> (state, output values)`` for each row in the order of (time, ``seq``).
+
+    ``columns`` maps the names that ``step`` reads to (type, expression); ``time`` is the event time as microseconds there.
+    Without ``ts`` the order is ``seq`` alone, whose numbers follow on each other from ``first``.
+    """
+
+    by: str
+    seq: str
+    columns: Mapping[str, tuple[str, Column]]
+    output: str
+    state: str
+    start: tuple
+    step: Callable[[tuple, dict], tuple[tuple, tuple]]
+    ts: str | None = None
+    first: int = 0
+
+    @property
+    def names(self) -> list[str]:
+        return ["time", "seq", *self.columns]
+
+    def _rows(self, df: DataFrame) -> DataFrame:
+        """The key, the time in microseconds, the sequence number (null: -1) and what the step reads."""
+        time = F.unix_micros(self.ts) if self.ts else F.lit(0)
+        return df.select(self.by, *([F.col(self.ts).alias("_at")] if self.ts else []), time.cast("long").alias("time"), F.coalesce(F.col(self.seq).cast("long"), F.lit(-1)).alias("seq"), *[c.cast(kind).alias(n) for n, (kind, c) in self.columns.items()])
+
+    def _schema(self, df: DataFrame) -> str:
+        return f"`{self.by}` {df.schema[self.by].dataType.simpleString()}, {self.output}"
+
+    def batch(self, df: DataFrame) -> DataFrame:
+        """The fold of a whole table; rows without a time stay out."""
+        step, start, names, out = self.step, self.start, self.names, [self.by, *_heads(self.output)]
+
+        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows[rows["time"].notna()]
+            return pd.DataFrame(_folded(step, names, key[0], start, sorted(_listed(names, rows), key=lambda r: r[:2]))[1], columns=out)
+
+        return self._rows(df).groupBy(self.by).applyInPandas(run, self._schema(df))
+
+    def stream(self, df: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+        """Rows leave in order, once the watermark has passed them or, without times, once the step before is there."""
+        step, start, timed, first, names, out = self.step, self.start, self.ts is not None, self.first, self.names, [self.by, *_heads(self.output)]
+        kinds = {"time": "long", "seq": "long"} | {n: kind for n, (kind, _) in self.columns.items()}
+        state = ", ".join([self.state, "late long", "newest long", "due long", *[f"wait_{n} array<{kind}>" for n, kind in kinds.items()]])
+        n_value = len(start)
+
+        def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterable[pd.DataFrame]:
+            got = held.get if held.exists else (*start, 0, 0, first, *[[] for _ in kinds])
+            value, (late, newest, due), waiting = tuple(got[:n_value]), got[n_value:n_value + 3], list(zip(*got[n_value + 3:], strict=True))
+            passed = held.getCurrentWatermarkMs() * 1000 if timed else None
+            if not held.hasTimedOut:
+                for rows in batches:
+                    fresh = rows["time"].notna() & (rows["time"] >= passed) if timed else rows["seq"] >= due
+                    late += int((~fresh).sum())
+                    waiting += _listed(names, rows[fresh])
+                    newest = max([newest, *(int(t) for t in rows["time"].dropna())])
+            waiting.sort(key=lambda r: r[:2])
+            if timed:
+                ready = sum(r[0] < passed for r in waiting)
+            else:
+                ready = 0
+                while ready < len(waiting) and waiting[ready][1] in (due, due - 1):
+                    due, ready = waiting[ready][1] + 1, ready + 1
+            value, found = _folded(step, names, key[0], value, waiting[:ready])
+            waiting = waiting[ready:]
+            if timed and not waiting and held.hasTimedOut and passed >= newest + STATE_TTL * 1000:
+                held.remove()
+            else:
+                # Times and numbers come as floats where a column has nulls.
+                columns = zip(*waiting, strict=True) if waiting else [() for _ in kinds]
+                held.update((*value, late, newest, due, *[[x if x is None or kind != "long" else int(x) for x in c] for c, kind in zip(columns, kinds.values(), strict=True)]))
+                if timed:
+                    # The watermark must pass the first row that waits; a timeout must lie ahead of it.
+                    held.setTimeoutTimestamp(max(passed // 1000, int(waiting[0][0]) // 1000 if waiting else newest // 1000 + STATE_TTL) + 1)
+            yield pd.DataFrame(found, columns=out)
+
+        rows = self._rows(df.withWatermark(self.ts, watermark) if self.ts else df)
+        return rows.groupBy(self.by).applyInPandasWithState(run, self._schema(df), state, "append", GroupStateTimeout.EventTimeTimeout if self.ts else GroupStateTimeout.NoTimeout)
+
+    def rest(self, spark: SparkSession, checkpoint: str) -> DataFrame:
+        """The output of the rows that still wait in the state of a query that has ended."""
+        held = spark.read.format("statestore").load(checkpoint).select("key.*", "value.groupState.*")
+        step, by, names, out, value = self.step, self.by, self.names, [self.by, *_heads(self.output)], _heads(self.state)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                found = []
+                for row in rows.to_dict("records"):
+                    waiting = sorted(zip(*[row[f"wait_{n}"] for n in names], strict=True), key=lambda r: r[:2])
+                    found += _folded(step, names, row[by], tuple(row[n] for n in value), waiting)[1]
+                yield pd.DataFrame(found, columns=out)
+
+        return held.mapInPandas(run, self._schema(held))
+
+
+def control_fold(by: str = "run_id", command: str = "command", ts: str = "ts", seq: str = "event_id") -> Fold:
     """State after each command: pause and resume switch, stop is final."""
 
     def step(value: tuple, row: dict):
         now = value[0]
         if now != "stopped":
-            now = {"pause": "paused", "resume": "running", "stop": "stopped"}.get(row[command], now)
-        return (now,), (int(row[seq]), row[command], now)
+            now = {"pause": "paused", "resume": "running", "stop": "stopped"}.get(row["command"], now)
+        return (now,), (int(row["seq"]), row["command"], now)
 
-    kind = stream.schema[by].dataType.simpleString()
-    return _fold(stream.select(by, command, ts, seq), by, [ts, seq], f"{by} {kind}, {seq} long, {command} string, state string", "state string", ("running",), step, ts)
+    return Fold(by, seq, {"command": ("string", F.col(command))}, f"{seq} long, {command} string, state string", "state string", ("running",), step, ts)
 
 
-def stream_circuit(stream: DataFrame, by: str = "backend", ok: str = "ok", ts: str = "ts", seq: str = "call_id", fails: int = 5, cooldown: float = 30.0) -> DataFrame:
-    """Breaker state after each call: open after consecutive failures, half-open after the cooldown of event time, closed by a success."""
+def stream_control_state(stream: DataFrame, by: str = "run_id", command: str = "command", ts: str = "ts", seq: str = "event_id") -> DataFrame:
+    return control_fold(by, command, ts, seq).stream(stream)
+
+
+def circuit_fold(by: str = "backend", ok: str = "ok", ts: str = "ts", seq: str = "call_id", fails: int = 5, cooldown: float = 30.0) -> Fold:
+    """Breaker state after each call: open after consecutive failures, half-open after the cooldown of event time, closed by a success. A null ``ok`` is a failure."""
 
     def step(value: tuple, row: dict):
         streak, opened, state = value
-        at = row[ts].timestamp()
+        at = row["time"] / 1e6
         if state == "open" and at - opened >= cooldown:
             state = "half_open"
-        if row[ok]:
+        if row["ok"]:
             streak, state = 0, "closed"
         else:
             streak += 1
             if state == "half_open" or streak >= fails:
                 opened, state = (at if state != "open" else opened), "open"
-        return (streak, opened, state), (int(row[seq]), streak, state)
+        return (streak, opened, state), (int(row["seq"]), streak, state)
 
-    kind = stream.schema[by].dataType.simpleString()
-    return _fold(stream.select(by, ok, ts, seq), by, [ts, seq], f"{by} {kind}, {seq} long, streak long, state string", "streak long, opened double, state string", (0, 0.0, "closed"), step, ts)
+    return Fold(by, seq, {"ok": ("boolean", F.coalesce(F.col(ok), F.lit(False)))}, f"{seq} long, streak long, state string", "streak long, opened double, state string", (0, 0.0, "closed"), step, ts)
 
 
-def stream_budget(stream: DataFrame, per_generation: int, total: int, by: str = "run_id", generation: str = "generation", ts: str = "ts", seq: str = "call_id") -> DataFrame:
-    """Calls so far in the generation and in all, and whether one exceeds its budget (0: none). Generations come in order in each run."""
+def stream_circuit(stream: DataFrame, by: str = "backend", ok: str = "ok", ts: str = "ts", seq: str = "call_id", fails: int = 5, cooldown: float = 30.0) -> DataFrame:
+    return circuit_fold(by, ok, ts, seq, fails, cooldown).stream(stream)
+
+
+def budget_fold(per_generation: int, total: int, by: str = "run_id", generation: str = "generation", ts: str = "ts", seq: str = "call_id") -> Fold:
+    """Calls so far in the generation and in all, and whether one exceeds its budget (0: none). Generations come in order in each run; a null one is -1."""
 
     def step(value: tuple, row: dict):
         now, used, everything = value
-        used = used + 1 if row[generation] == now else 1
+        used = used + 1 if row["generation"] == now else 1
         everything += 1
         over = bool(per_generation and used > per_generation or total and everything > total)
-        return (int(row[generation]), used, everything), (int(row[seq]), used, everything, over)
+        return (int(row["generation"]), used, everything), (int(row["seq"]), used, everything, over)
 
-    kind = stream.schema[by].dataType.simpleString()
-    return _fold(stream.select(by, generation, ts, seq), by, [generation, ts, seq], f"{by} {kind}, {seq} long, used long, total long, over boolean", "generation long, used long, total long", (-(2**62), 0, 0), step, ts)
+    columns = {"generation": ("long", F.coalesce(F.col(generation).cast("long"), F.lit(-1)))}
+    return Fold(by, seq, columns, f"{seq} long, used long, total long, over boolean", "generation long, used long, total long", (-(2**62), 0, 0), step, ts)
 
 
-def stream_plateau(stream: DataFrame, by: str = "run_id", i: str = "i", v: str = "v", patience: int = 15, delta: float = 0.001) -> DataFrame:
-    """The plateau monitor with its state kept over batches."""
+def stream_budget(stream: DataFrame, per_generation: int, total: int, by: str = "run_id", generation: str = "generation", ts: str = "ts", seq: str = "call_id") -> DataFrame:
+    return budget_fold(per_generation, total, by, generation, ts, seq).stream(stream)
+
+
+def plateau_fold(by: str = "run_id", i: str = "i", v: str = "v", patience: int = 15, delta: float = 0.001, first: int = 0) -> Fold:
+    """The plateau monitor over steps numbered from ``first``; a null value is no gain."""
 
     def step(value: tuple, row: dict):
         best, waited, some = value
-        x = float(row[v])
-        if not some or (x - best) / max(abs(best), 1e-12) > delta:
-            best, waited = x, 0
+        x = row["v"]
+        if x is not None and (not some or (x - best) / max(abs(best), 1e-12) > delta):
+            best, waited, some = float(x), 0, True
         else:
             waited += 1
-        return (best, waited, True), (int(row[i]), best, waited, waited >= patience)
+        return (best, waited, some), (int(row["seq"]), best, waited, waited >= patience)
 
-    kind = stream.schema[by].dataType.simpleString()
-    return _fold(stream.select(by, i, v), by, [i], f"{by} {kind}, {i} long, accepted double, waited long, converged boolean", "best double, waited long, some boolean", (0.0, 0, False), step)
+    return Fold(by, i, {"v": ("double", F.col(v))}, f"{i} long, accepted double, waited long, converged boolean", "best double, waited long, some boolean", (0.0, 0, False), step, first=first)
+
+
+def stream_plateau(stream: DataFrame, by: str = "run_id", i: str = "i", v: str = "v", patience: int = 15, delta: float = 0.001, first: int = 0) -> DataFrame:
+    return plateau_fold(by, i, v, patience, delta, first).stream(stream)
 
 
 def stream_last_n(stream: DataFrame, n: int, by: str = "name", ts: str = "ts", seq: str = "event_id", watermark: str = WATERMARK) -> DataFrame:
-    """After each batch the newest n event ids of every key it touched, newest first; the state holds no more than n."""
+    """After each batch the newest n event ids of every key it touched, newest first; the state holds no more than n. Rows without a time stay out."""
     kind = stream.schema[by].dataType.simpleString()
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterable[pd.DataFrame]:
@@ -173,18 +266,17 @@ def stream_last_n(stream: DataFrame, n: int, by: str = "name", ts: str = "ts", s
             held.remove()
             return
         ids, times = held.get if held.exists else ([], [])
-        old = pd.DataFrame({seq: list(ids), "_t": list(times)})
-        rows, newest = old, None
+        rows = list(zip(times, ids, strict=True))
         for batch in batches:  # never more than n rows and one batch
-            newest = batch[ts].max() if newest is None else max(newest, batch[ts].max())
-            new = pd.DataFrame({seq: batch[seq], "_t": batch[ts].astype("int64")})
-            rows = (pd.concat([rows, new]) if len(rows) else new).sort_values(["_t", seq], ascending=False).head(n)
-        _timed(held, newest)
-        held.update(([int(x) for x in rows[seq]], [int(x) for x in rows["_t"]]))
-        yield pd.DataFrame({by: [key[0]], "newest": [[int(x) for x in rows[seq]]]})
+            batch = batch[batch["time"].notna()]
+            rows = sorted([*rows, *((int(t), int(k)) for t, k in zip(batch["time"], batch[seq], strict=True))], reverse=True)[:n]
+        held.update(([k for _, k in rows], [t for t, _ in rows]))
+        held.setTimeoutTimestamp(max(rows[0][0] // 1000 if rows else 0, held.getCurrentWatermarkMs()) + STATE_TTL)
+        yield pd.DataFrame({by: [key[0]], "newest": [[k for _, k in rows]]})
 
-    out, state = f"{by} {kind}, newest array<long>", "ids array<long>, times array<long>"
-    return stream.select(by, ts, seq).withWatermark(ts, watermark).groupBy(by).applyInPandasWithState(run, out, state, "update", GroupStateTimeout.EventTimeTimeout)
+    out, state = f"`{by}` {kind}, newest array<long>", "ids array<long>, times array<long>"
+    rows = stream.withWatermark(ts, watermark).select(by, ts, F.unix_micros(ts).alias("time"), F.coalesce(F.col(seq).cast("long"), F.lit(-1)).alias(seq))
+    return rows.groupBy(by).applyInPandasWithState(run, out, state, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_dedupe(stream: DataFrame, key: str, ts: str = "ts", watermark: str = WATERMARK) -> DataFrame:
@@ -200,6 +292,26 @@ def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return reader.parquet(f"{sf_dir}/{table}.parquet") if folder else reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
+def run_fold(fold: Fold, df: DataFrame, slices: int = 3, skew: int = 300) -> DataFrame:
+    """A fold over a table that arrives slice by slice in files, each a run of the stream with one checkpoint, and the rest at the end.
+
+    Slices follow the times, but rows come up to ``skew`` seconds late, over the borders of slices too (without times: in the order of a digest).
+    """
+    spark = df.sparkSession
+    source, out, state = (scratch_path(spark, name) for name in ("source", "stream", "checkpoint"))
+    digest = F.pmod(F.xxhash64(fold.by, fold.seq), F.lit(max(1, skew)))
+    late = F.unix_seconds(fold.ts) + digest if fold.ts else digest
+    edges = df.select(late.alias("at")).agg(F.min("at"), F.max("at")).first()
+    low, span = edges[0] or 0, max(1, (edges[1] or 0) - (edges[0] or 0) + 1)
+    for k in range(slices):
+        mine = F.floor((late - low) * slices / span) == k
+        df.filter(F.coalesce(mine, F.lit(k == 0))).write.parquet(f"{source}/slice{k}")
+        stream = fold.stream(spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(source))
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).unionByName(fold.rest(spark, state))
+
+
 def run_once(stream: DataFrame, mode: str = "append", partitions: int | None = None) -> DataFrame:
     """Run a stream over what is there and read its output table: all rows, or those of the last batch in complete mode."""
     spark = stream.sparkSession
