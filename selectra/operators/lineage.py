@@ -1,7 +1,8 @@
 """Lineage and call graphs: nodes and edges (parent, child) as two tables.
 
-Reachability runs level by level; each level is a written table, so the plan stays
-short and a lost executor costs one level at most.
+Reachability runs in a logarithmic number of rounds over shortcut edges of 1, 2, 4, ...
+steps; each round is a written table, so the plan stays short and a lost executor costs
+one round at most.
 """
 
 from __future__ import annotations
@@ -17,27 +18,63 @@ from selectra.functions.scores import clamp
 from selectra.sources.scratch import cut
 
 
-#: So many levels are kept as tables of their own before they are written as one.
-LEVELS = 16
+#: So many rounds are kept as tables of their own before they are written as one.
+ROUNDS = 16
+#: Shortcuts are doubled while they stay below this many, or below MOST_TIMES the edges or the rows found so far.
+MOST_SHORTCUTS = 1_000_000
+MOST_TIMES = 4
+
+
+def _doubled(jump: DataFrame, most: int, name: str) -> DataFrame | None:
+    """Walks of twice the length, or None if there would be more than ``most`` of them, counted before they are made."""
+    ends = jump.groupBy(F.col("_to").alias("_at")).agg(F.count(F.lit(1)).alias("_in")).join(jump.groupBy(F.col("_from").alias("_at")).agg(F.count(F.lit(1)).alias("_out")), "_at")
+    if (ends.agg(F.sum(F.col("_in") * F.col("_out"))).first()[0] or 0) > most:
+        return None
+    ahead = jump.select(F.col("_from").alias("_via"), F.col("_to").alias("_end"))
+    return cut(jump.join(ahead, F.col("_to") == F.col("_via")).select("_from", F.col("_end").alias("_to")).distinct(), name)
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
     """(seed, node, level): first level at which each node is reached from each seed along src -> dst; seeds not included.
 
-    Runs until nothing new is reached, or for ``max_depth`` levels if that is given.
+    Runs until nothing new is reached, or for ``max_depth`` levels if that is given. With all levels below ``stride`` known and
+    shortcuts of exactly ``stride`` steps, a join finds the levels from ``stride`` to 2 * ``stride``; then shortcuts are doubled. Where
+    that would make too many of them the stride stays, and each round adds as many levels.
     """
-    links = cut(edges.select(F.col(src).alias("_from"), F.col(dst).alias("_to")).filter("_from IS NOT NULL AND _to IS NOT NULL").distinct(), "links")
-    frontier = cut(seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct().withColumn("node", F.col("seed")), "seeds")
-    visited = [frontier.withColumn("level", F.lit(0))]
-    for level in count(1) if max_depth is None else range(1, max_depth + 1):
-        ahead = frontier.join(links, frontier["node"] == links["_from"]).select("seed", F.col("_to").alias("node")).distinct()
-        seen = reduce(DataFrame.unionByName, visited).select("seed", "node")
-        frontier = cut(ahead.join(seen, ["seed", "node"], "left_anti"), f"level{level}")
-        if frontier.isEmpty():
+    jump, stride, doubling = cut(edges.select(F.col(src).alias("_from"), F.col(dst).alias("_to")).filter("_from IS NOT NULL AND _to IS NOT NULL").distinct(), "links"), 1, True
+    n_links, known = jump.count(), 1
+    block = cut(seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct().withColumn("node", F.col("seed")).withColumn("level", F.lit(0)), "seeds")
+    visited, n_visited = [block], block.count()
+    for turn in count(1):
+        if max_depth is not None and known > max_depth:
+            break
+        ahead = block.join(jump, block["node"] == jump["_from"]).select("seed", F.col("_to").alias("node"), (F.col("level") + stride).cast("int").alias("level"))
+        if max_depth is not None:
+            ahead = ahead.filter(F.col("level") <= max_depth)
+        if doubling:
+            # One shuffle: what was known is the least anyway.
+            visited = [cut(reduce(DataFrame.unionByName, [*visited, ahead]).groupBy("seed", "node").agg(F.min("level").alias("level")), f"round{turn}")]
+            block = visited[0]
+            n_fresh = block.count() - n_visited
+        else:
+            seen = reduce(DataFrame.unionByName, visited).select("seed", "node")
+            block = cut(ahead.groupBy("seed", "node").agg(F.min("level").alias("level")).join(seen, ["seed", "node"], "left_anti"), f"round{turn}")
+            n_fresh = block.count()
+            visited.append(block)
+            if len(visited) > ROUNDS:
+                visited = [cut(reduce(DataFrame.unionByName, visited), f"visited{turn}")]
+        if not n_fresh:
             break
-        visited.append(frontier.withColumn("level", F.lit(level)))
-        if len(visited) > LEVELS:
-            visited = [cut(reduce(DataFrame.unionByName, visited), f"visited{level}")]
+        known, n_visited = known + stride, n_visited + n_fresh
+        if doubling and (max_depth is None or known <= max_depth):
+            longer = _doubled(jump, max(MOST_SHORTCUTS, MOST_TIMES * n_links, MOST_TIMES * n_visited), f"jump{turn}")
+            if longer is not None and not longer.count():
+                break  # no walk is as long as the next level
+            if longer is None:
+                # From here on a round adds the levels of one stride.
+                doubling, block = False, block.filter(F.col("level") >= known - stride)
+            else:
+                jump, stride = longer, 2 * stride
     return reduce(DataFrame.unionByName, visited).filter("level > 0")
 
 
