@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from selectra.sources.scratch import cut, numbered
+from selectra.sources.scratch import cut, numbered, whole_row
 
 # Objectives of dominance, and dimensions of the crowding distance.
 OBJECTIVES = {"correctness": "max", "latency_p50": "min", "memory_peak_mb": "min"}
@@ -326,7 +326,7 @@ def assign_tiers(
     moved = F.when(F.col("_down"), "demoted").when(F.col("_ok") & F.col("_elite"), "promoted")
     placed = ok.join(elite, id_col, "left").withColumns({"tier": tier, "moved": moved}).drop("_ok", "_elite", "_down")
     if score in df.columns:
-        placed = top_k(placed, 1, [F.col(score).desc_nulls_last()], ["tier", id_col])
+        placed = top_k(placed, 1, [F.col(score).desc_nulls_last(), whole_row()], ["tier", id_col])
     placed, kept = cut(placed, "tiers"), []
     for name, cap in caps.items():
         rows = placed.filter(F.col("tier") == name)

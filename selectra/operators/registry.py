@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from selectra.functions.scores import label
+from selectra.sources.scratch import whole_row
 
 
 def detect_regression(base: DataFrame, cur: DataFrame, keys: Sequence[str], metric: str = "metric", value: str = "value", threshold: float = 0.1, critical: float = 0.5, direction: Mapping[str, str] | None = None) -> DataFrame:
@@ -32,9 +33,9 @@ def regression_summary(analysed: DataFrame, regressions: DataFrame, keys: Sequen
 
 
 def baseline_register(registry: DataFrame | None, new: DataFrame, keys: Sequence[str] = ("file_path", "function_name"), order: str = "recorded_at") -> DataFrame:
-    """Upsert: the latest record of each key."""
+    """Upsert: the latest record of each key; of equal times the least row as JSON."""
     rows = new if registry is None else registry.unionByName(new)
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter("_k = 1").drop("_k")
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order), whole_row()))).filter("_k = 1").drop("_k")
 
 
 def baseline_get(registry: DataFrame, **key: object) -> DataFrame:
@@ -56,7 +57,7 @@ def cache_split(requests: DataFrame, cache: DataFrame, key: str) -> tuple[DataFr
 def cache_merge(cache: DataFrame, new: DataFrame, key: str, order: str, newest: int | None = None) -> DataFrame:
     """Add new results (the newest entry of a key wins), keep the newest entries."""
     rows = cache.unionByName(new)
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("_k = 1").drop("_k")
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), whole_row()))).filter("_k = 1").drop("_k")
     return rows if newest is None else rows.orderBy(F.desc(order), key).limit(newest)
 
 

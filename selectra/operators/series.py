@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from selectra.functions.scores import label
 from selectra.operators.stats import score_entropy, score_spread
-from selectra.sources.scratch import cut, prefix_sums
+from selectra.sources.scratch import cut, matched, prefix_sums, whole_row
 
 
 def _median(sorted_array: Column) -> Column:
@@ -82,7 +82,7 @@ def evolution_report(series: DataFrame, by: str = "run_id", i: str = "i", v: str
     parts = [score_spread(series, v, [by]), score_entropy(series, v, [by]), lyapunov(series, by, i, v), last_range(series, 5, by, i, v)]
     out = parts[0]
     for part in parts[1:]:
-        out = out.join(part, by)
+        out = matched(out, part, [by])
     return stability_class(out).drop("last_range", "last_max", "last_n")
 
 
@@ -144,7 +144,7 @@ def failure_streaks(calls: DataFrame, by: str, order: str, ok: str) -> DataFrame
 def fragment_pool(frags: DataFrame, by: str, order: Sequence[Column], score: str, min_score: float, generation: str) -> DataFrame:
     """The last writer of each name above the donor score, and how many generations the name has lived."""
     ok = frags.filter(F.col(score) >= min_score)
-    last = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    last = F.row_number().over(Window.partitionBy(by).orderBy(*order, whole_row()))
     lived = F.max(generation).over(Window.partitionBy(by)) - F.min(generation).over(Window.partitionBy(by))
     return ok.withColumn("survival", lived).withColumn("_last", last).filter(F.col("_last") == 1).drop("_last")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from selectra.functions.scores import clamp, ratio
-from selectra.sources.scratch import prefix_sums
+from selectra.sources.scratch import matched, prefix_sums
 
 INF = float("inf")
 
@@ -69,9 +69,9 @@ def mad(df: DataFrame, value: str, by: Sequence[str], out: str = "mad") -> DataF
     """Median of absolute deviations from the median; 0 below two values."""
     counts = df.groupBy(*by).agg(F.count(value).alias("_n"))
     centre = exact_percentiles(df, value, by, {"_m": 0.5})
-    away = df.join(centre, list(by)).withColumn("_away", F.abs(F.col(value) - F.col("_m")))
+    away = matched(df, centre, by).withColumn("_away", F.abs(F.col(value) - F.col("_m")))
     spread = exact_percentiles(away, "_away", by, {"_mad": 0.5})
-    return counts.join(spread, list(by), "left").select(*by, F.when(F.col("_n") < 2, 0.0).otherwise(F.col("_mad")).alias(out))
+    return matched(counts, spread, by, "left").select(*by, F.when(F.col("_n") < 2, 0.0).otherwise(F.col("_mad")).alias(out))
 
 
 def correctness_rate(cases: DataFrame, passed: str, elapsed: str, by: Sequence[str]) -> DataFrame:
@@ -114,7 +114,7 @@ def score_entropy(df: DataFrame, score: str, by: Sequence[str]) -> DataFrame:
     low = rows.groupBy(*by).agg(F.min(score).alias("_low"), F.count(F.lit(1)).alias("_n"))
     # -sum(p ln p) with p = v / V equals ln V - sum(v ln v) / V.
     v = F.col(score) - F.col("_low") + 1e-9
-    sums = rows.join(low, list(by)).groupBy(*by).agg(F.max("_n").alias("_n"), F.sum(v).alias("_v"), F.sum(v * F.log(v)).alias("_vlogv"))
+    sums = matched(rows, low, by).groupBy(*by).agg(F.max("_n").alias("_n"), F.sum(v).alias("_v"), F.sum(v * F.log(v)).alias("_vlogv"))
     return sums.select(*by, F.when(F.col("_n") < 2, 0.0).otherwise((F.log("_v") - F.col("_vlogv") / F.col("_v")) / F.log(F.lit(2.0))).alias("score_entropy"))
 
 

@@ -33,6 +33,19 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def matched(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``by`` where null equals null; the columns of ``right`` but for ``by`` are added."""
+    keys = {c: f"_by{i}" for i, c in enumerate(by)}
+    other = right.withColumnsRenamed(keys)
+    same = reduce(lambda x, y: x & y, [left[c].eqNullSafe(other[k]) for c, k in keys.items()], F.lit(True))
+    return left.join(other, same, how).drop(*keys.values())
+
+
+def whole_row() -> Column:
+    """A last key for orders whose columns leave ties open."""
+    return F.to_json(F.struct("*"))
+
+
 def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column], totals: Mapping[str, Column] | None = None) -> DataFrame:
     """Adds to every row, for each of ``sums``, the sum over the rows before it in its group, and each of ``totals`` over its whole group.
 

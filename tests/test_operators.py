@@ -339,9 +339,10 @@ def test_late_rows_are_dropped_and_counted(spark):
     schema = spark.read.parquet(f"{path}/f0").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
     out, state = scratch_path(spark, "out"), scratch_path(spark, "checkpoint")
-    query = streams.stream_control_state(stream, "user_id").writeStream.foreachBatch(lambda b, k: b.write.mode("append").parquet(out)).option("checkpointLocation", state).trigger(availableNow=True).start()
+    fold = streams.control_fold("user_id")
+    query = fold.stream(stream).writeStream.foreachBatch(lambda b, k: b.write.mode("append").parquet(out)).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    assert spark.read.parquet(out).count() == 4 and rows(streams.late_rows(spark, state), "user_id", "late") == [("k", 4)]
+    assert spark.read.parquet(out).count() + fold.rest(spark, state).count() == 4 and rows(streams.late_rows(spark, state), "user_id", "late") == [("k", 4)]
 
 
 def test_manifests_and_snapshots(spark):
@@ -358,10 +359,8 @@ def test_circuit_opens_and_closes(spark):
 
     start = datetime.datetime(2024, 1, 1)
     calls = [(1, k, ok, start + datetime.timedelta(seconds=s)) for k, (ok, s) in enumerate([(False, 0), (False, 1), (False, 2), (False, 40), (True, 80)])]
-    path = scratch_path(spark, "calls")
     df = spark.createDataFrame(calls, "backend long, call_id long, ok boolean, ts timestamp")
-    df.coalesce(1).write.parquet(path)
-    out = streams.run_once(streams.stream_circuit(spark.readStream.schema(df.schema).parquet(path), fails=3))
+    out = streams.run_fold(streams.circuit_fold(fails=3), df)
     assert [r["state"] for r in out.orderBy("call_id").collect()] == ["closed", "closed", "open", "open", "closed"]
 
 
@@ -389,3 +388,115 @@ def test_semantic_dedupe_raises_if_rows_stay_open(spark):
     assert rows(archive.semantic_dedupe(emb, pairs), "vec_id", "kept") == [(i, i % 2 == 0) for i in range(8)]
     with pytest.raises(RuntimeError):
         archive.semantic_dedupe(emb, pairs, max_rounds=1)
+
+
+def test_reach_by_doubling_and_by_strides(spark, monkeypatch):
+    """Levels of random graphs with cycles against breadth-first search, also where shortcuts may not be doubled."""
+    from collections import defaultdict, deque
+
+    rng = random.Random(4)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(80)] + [(k, k + 1) for k in range(100, 140)] + [(None, 1), (2, None)]
+    after = defaultdict(set)
+    for a, b in edges:
+        if a is not None and b is not None:
+            after[a].add(b)
+    seeds = [0, 5, 7, 100, 120, 999]
+    want = set()
+    for s in seeds:
+        level, queue = {s: 0}, deque([s])
+        while queue:
+            at = queue.popleft()
+            for n in after[at] - level.keys():
+                level[n] = level[at] + 1
+                queue.append(n)
+        want |= {(s, n, k) for n, k in level.items() if k}
+    df, start = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(s,) for s in seeds], "id long")
+    assert set(rows(lineage.reach(df, start), "seed", "node", "level")) == want
+    assert set(rows(lineage.reach(df, start, 5), "seed", "node", "level")) == {w for w in want if w[2] <= 5}
+    monkeypatch.setattr(lineage, "MOST_SHORTCUTS", 130)
+    monkeypatch.setattr(lineage, "MOST_TIMES", 0)
+    monkeypatch.setattr(lineage, "ROUNDS", 3)
+    assert set(rows(lineage.reach(df, start), "seed", "node", "level")) == want
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(lineage, "cut", lambda df, name="x", cut=lineage.cut: tables.append(name) or cut(df, name))
+    edges = spark.range(2000).selectExpr("id AS parent_id", "id + 1 AS child_id")
+    found = lineage.descendants(edges, spark.createDataFrame([(0,)], "id long"))
+    assert found.count() == 2000 == found.agg(F.max("level")).first()[0]
+    assert sum(name.startswith("round") for name in tables) <= 12
+
+
+def cut_stream(spark, fold, data, schema, cuts):
+    """The fold's output over files that come one by one, with the rest at the end, and its late rows."""
+    import os
+
+    path, out, state = scratch_path(spark, "cut").removeprefix("file://"), scratch_path(spark, "out"), scratch_path(spark, "checkpoint")
+    for k, part in enumerate(cuts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{path}/f{k}")
+        for name in os.listdir(f"{path}/f{k}"):
+            os.utime(f"{path}/f{k}/{name}", (1_000_000 + k * 1000,) * 2)
+    stream = fold.stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    both = spark.read.schema(stream.schema).parquet(out).unionByName(fold.rest(spark, state))
+    return sorted(map(tuple, both.collect()), key=repr), sum(r["late"] for r in streams.late_rows(spark, state).collect())
+
+
+COMMANDS = "run_id string, event_id long, command string, ts timestamp"
+
+
+def test_a_stop_that_comes_late_is_folded_in_order(spark):
+    import datetime
+
+    at = lambda minute: datetime.datetime(2024, 1, 1, 0, minute)
+    resume, stop, timeless = ("r", 1, "resume", at(5)), ("r", 2, "stop", at(1)), ("r", 3, "pause", None)
+    fold = streams.control_fold()
+    want = [("r", 1, "resume", "stopped"), ("r", 2, "stop", "stopped")]
+    assert cut_stream(spark, fold, None, COMMANDS, [[resume], [stop]]) == (want, 0)
+    assert cut_stream(spark, fold, None, COMMANDS, [[resume, stop, timeless]]) == (want, 1)
+    assert sorted(map(tuple, fold.batch(spark.createDataFrame([resume, stop, timeless], COMMANDS)).collect())) == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_folds_do_not_depend_on_how_the_input_is_cut(spark, seed):
+    import datetime
+
+    rng = random.Random(seed)
+    start, data = datetime.datetime(2024, 1, 1), []
+    for k in range(240):
+        data.append((rng.choice(["a", "b", None]), k, rng.choice(["pause", "resume", "none", None, "stop"][: 4 + (k > 150)]), start + datetime.timedelta(seconds=k * 60 + rng.choice([0, 0, 60]))))
+    # Arrival is up to four minutes out of order, below the watermark's ten.
+    data.sort(key=lambda r: r[3] + datetime.timedelta(seconds=rng.randrange(240)))
+    at = sorted(rng.sample(range(1, 240), 3))
+    cuts = [data[i:j] for i, j in zip([0, *at], [*at, 240])]
+    fold = streams.control_fold()
+    want = sorted(map(tuple, fold.batch(spark.createDataFrame(data, COMMANDS)).collect()), key=repr)
+    got, late = cut_stream(spark, fold, None, COMMANDS, cuts) if seed == 1 else (sorted(map(tuple, streams.run_fold(fold, spark.createDataFrame(data, COMMANDS), 3, 240).collect()), key=repr), 0)
+    assert late == 0 and sorted(got, key=repr) == want and len(got) == 240
+
+
+def test_steps_of_a_plateau_wait_for_the_one_before(spark):
+    values = [("r", k, v) for k, v in enumerate([1.0, 2.0, 2.0, None, 2.0, 9.0, 9.0])]
+    fold = streams.plateau_fold(patience=2)
+    want = [("r", 0, 1.0, 0, False), ("r", 1, 2.0, 0, False), ("r", 2, 2.0, 1, False), ("r", 3, 2.0, 2, True), ("r", 4, 2.0, 3, True), ("r", 5, 9.0, 0, False), ("r", 6, 9.0, 1, False)]
+    cuts = [[values[k] for k in some] for some in ((2, 4), (1, 0, 6), (5,), (3,))]
+    assert cut_stream(spark, fold, None, "run_id string, i long, v double", cuts) == (want, 0)
+
+
+def test_a_null_group_is_a_group(spark):
+    df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 3.0), (None, 3, 9.0), ("g", 1, 1.0), ("g", 2, 1.0)], "run_id string, i long, v double")
+    assert dict(rows(stats.mad(df, "v", ["run_id"]).na.fill({"run_id": "-"}), "run_id", "mad")) == {"-": 2.0, "g": 0.0}
+    entropy = dict(rows(stats.score_entropy(df, "v", ["run_id"]).na.fill({"run_id": "-"}), "run_id", "score_entropy"))
+    assert set(entropy) == {"-", "g"} and 0 < entropy["-"] < 1.6
+    assert {r["run_id"] for r in series.evolution_report(df).collect()} == {None, "g"}
+    assert {r["run_id"] for r in stats.sample_stats(df, "v", ["run_id"]).collect()} == {None, "g"} == {r["run_id"] for r in stats.rank_percentiles(df, "v", ["run_id"]).collect()}
+
+
+def test_ties_are_settled_by_the_whole_row(spark):
+    same = [("f", "g", "2024-01-01", float(k)) for k in range(6)]
+    for part in (same, same[::-1]):
+        df = spark.createDataFrame(part, "file_path string, function_name string, recorded_at string, v double").repartition(3)
+        assert rows(registry.baseline_register(None, df), "v") == [(0.0,)]
+        assert rows(registry.cache_merge(df.limit(0), df, "file_path", "recorded_at"), "v") == [(0.0,)]
+        assert rows(series.fragment_pool(df, "file_path", [F.desc("recorded_at")], "v", -1.0, "v"), "v", "survival") == [(0.0, 5.0)]
