@@ -5,6 +5,7 @@ Objectives are given as {column: "max" or "min"}. Null objectives count as worst
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
@@ -12,9 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from selectra.sources.scratch import cut, numbered, whole_row
+from selectra.sources.scratch import cut, matched, numbered, prefix_sums, whole_row
 
 # Objectives of dominance, and dimensions of the crowding distance.
 OBJECTIVES = {"correctness": "max", "latency_p50": "min", "memory_peak_mb": "min"}
@@ -28,8 +29,8 @@ BLOCK = 1024
 MERGE = 20_000
 #: Winners of dominance that are broadcast.
 MOST_WINNERS = 10_000
-#: Distinct vectors of a group that one task sorts into fronts; of larger groups fronts are peeled until so many are left.
-SORTED = 1_000_000
+#: Distinct vectors of a group that one task ranks at a time.
+BLOCK_ROWS = 250_000
 
 
 def _signed(name: str, sense: str) -> Column:
@@ -153,70 +154,161 @@ def pareto_frontier(df: DataFrame, objectives: Mapping[str, str] = OBJECTIVES, b
     return signed.join(front, same, "left_semi").drop(*values)
 
 
+class Fronts:
+    """The fronts of vectors given in lexicographic order (less is better, vectors distinct), as far as later vectors can tell.
+
+    Of a front only the other objectives matter: the first is no greater than that of any later vector. For up to three
+    objectives a front is a staircase of the other two, where a bisection finds a dominating vector; for more a table.
+    """
+
+    def __init__(self, n_objectives: int):
+        self.flat = n_objectives <= 3
+        self.fronts: list = []
+
+    def _dominated(self, k: int, rest: tuple | np.ndarray) -> bool:
+        if self.flat:
+            xs, ys = self.fronts[k]
+            at = bisect_right(xs, rest[0]) - 1
+            return at >= 0 and ys[at] <= rest[1]
+        table, n = self.fronts[k]
+        return bool((table[:n] <= rest).all(1).any())
+
+    def _add(self, k: int, rest: tuple | np.ndarray) -> None:
+        if self.flat:
+            xs, ys = self.fronts[k]
+            at = to = bisect_left(xs, rest[0])
+            while to < len(ys) and ys[to] >= rest[1]:
+                to += 1
+            xs[at:to], ys[at:to] = [rest[0]], [rest[1]]
+            return
+        table, n = self.fronts[k]
+        if n == len(table):
+            table = np.concatenate([table, np.empty_like(table)])
+        table[n] = rest
+        self.fronts[k] = (table, n + 1)
+
+    def rank(self, points: np.ndarray) -> np.ndarray:
+        """Front of every row; rows come after all those ranked before.
+
+        A row goes into the first front none of whose rows dominates it; a row that front k doesn't dominate isn't
+        dominated by a later one, so the front is found by bisection.
+        """
+        ranks = np.zeros(len(points), np.int64)
+        order = np.lexsort(points.T[::-1])
+        rest = points[order, 1:]
+        if self.flat:
+            rest = np.concatenate([rest, np.zeros((len(rest), 2 - rest.shape[1]))], axis=1).tolist()
+        for at, row in zip(order.tolist(), rest, strict=True):
+            low, high = 0, len(self.fronts)
+            while low < high:
+                k = (low + high) // 2
+                low, high = (k + 1, high) if self._dominated(k, row) else (low, k)
+            if low == len(self.fronts):
+                self.fronts.append(([], []) if self.flat else (np.empty((4, points.shape[1] - 1)), 0))
+            self._add(low, row)
+            ranks[at] = low
+        return ranks
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Front numbers and the other objectives of what must be kept."""
+        parts = [np.array(f).T if self.flat else f[0][:f[1]] for f in self.fronts]
+        return np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts) if parts else np.empty((0, 2))
+
+    def load(self, numbers: np.ndarray, rest: np.ndarray) -> None:
+        """What ``rows`` has given."""
+        for k in range(int(numbers.max(initial=-1)) + 1):
+            part = rest[numbers == k]
+            part = part[np.argsort(part[:, 0], kind="stable")] if self.flat else part
+            self.fronts.append((part[:, 0].tolist(), part[:, 1].tolist()) if self.flat else (part, len(part)))
+
+
 def front_ranks(points: np.ndarray) -> np.ndarray:
-    """Front of every row (less is better, rows distinct).
+    """Front of every row (less is better, rows distinct)."""
+    return Fronts(points.shape[1]).rank(points)
+
 
-    In lexicographic order a row goes into the first front none of whose rows dominates it; a row that
-    front k doesn't dominate isn't dominated by a later one, so the front is found by bisection.
+def _sorted_fronts(vectors: DataFrame, values: list[str], by: list[str]) -> DataFrame:
+    """Distinct vectors with front_rank. Groups of more than BLOCK_ROWS are cut into blocks in lexicographic order, which are ranked in turn.
+
+    A block's task gets the block and the staircases of the fronts before it, so none holds a group; a turn takes a block of every group.
+    """
+    ranked = StructType([*vectors.schema.fields, StructField("front_rank", IntegerType())])
+    if (vectors.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= BLOCK_ROWS:
+        def whole(rows: pd.DataFrame) -> pd.DataFrame:
+            return rows.assign(front_rank=front_ranks(rows[values].to_numpy(float)).astype("int32"))
+
+        return vectors.groupBy(*by).applyInPandas(whole, ranked)
+    dealt = prefix_sums(vectors, by, [F.col(v) for v in values], {"_at": F.lit(1).cast("long")})
+    dealt = cut(dealt.withColumn("_block", F.floor(F.col("_at") / BLOCK_ROWS).cast("int")).drop("_at").withColumn("_all", F.lit(0)), "blocks")
+    keys, n_rest = [*by, "_all"], 2 if len(values) <= 3 else len(values) - 1
+    rest = [f"_r{i}" for i in range(n_rest)]
+    schema = StructType([*dealt.select(*keys, *values).schema.fields, StructField("front_rank", IntegerType()), *[StructField(c, DoubleType()) for c in rest]])
+    seen = dealt.sparkSession.createDataFrame([], schema)
+    found = []
+
+    def turn(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        fronts = Fronts(len(values))
+        fronts.load(before["front_rank"].to_numpy(int), before[rest].to_numpy(float))
+        key = (rows if len(rows) else before).iloc[0]
+        out = rows[[*keys, *values]].assign(front_rank=fronts.rank(rows[values].to_numpy(float)).astype("int32"), **dict.fromkeys(rest, np.nan))
+        numbers, kept = fronts.rows()
+        state = pd.DataFrame(kept, columns=rest).assign(front_rank=numbers.astype("int32"), **{c: key[c] for c in keys}, **dict.fromkeys(values, np.nan))
+        return pd.concat([out, state])[[*keys, *values, "front_rank", *rest]]
+
+    for block in range((dealt.agg(F.max("_block")).first()[0] or 0) + 1):
+        rows = dealt.filter(F.col("_block") == block).drop("_block")
+        both = cut(rows.groupBy(*keys).cogroup(seen.groupBy(*keys)).applyInPandas(turn, schema), f"block{block}")
+        found.append(both.filter(F.col(rest[0]).isNull()).select(*by, *values, "front_rank"))
+        seen = both.filter(F.col(rest[0]).isNotNull())
+    return reduce(DataFrame.unionByName, found)
+
+
+def _skyband(df: DataFrame, values: list[str], by: list[str], need: int) -> DataFrame:
+    """Rows that fewer than ``need`` rows of their batch dominate, counted against the batch's best few.
+
+    A row with as many dominators lies behind fronts of as many rows, so no selection of ``need`` rows by fronts takes it. Dominators
+    of rows that stay have fewer dominators still, so they stay too, and fronts keep their numbers.
     """
-    ranks = np.zeros(len(points), int)
-    fronts: list[np.ndarray] = []
-    sizes: list[int] = []
-    for at in np.lexsort(points.T[::-1]):
-        point, low, high = points[at], 0, len(fronts)
-        while low < high:
-            k = (low + high) // 2
-            if (fronts[k][:sizes[k]] <= point).all(1).any():
-                low = k + 1
-            else:
-                high = k
-        if low == len(fronts):
-            fronts.append(np.empty((4, points.shape[1])))
-            sizes.append(0)
-        elif sizes[low] == len(fronts[low]):
-            fronts[low] = np.concatenate([fronts[low], np.empty_like(fronts[low])])
-        fronts[low][sizes[low]] = point
-        sizes[low] += 1
-        ranks[at] = low
-    return ranks
-
-
-def _sorted_fronts(vectors: DataFrame, values: list[str], by: list[str], first: int) -> DataFrame:
-    """Distinct vectors with front_rank, counted from ``first``; a group is one task."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.assign(front_rank=(front_ranks(rows[values].to_numpy(float)) + first).astype("int32"))
-
-    return vectors.groupBy(*by).applyInPandas(run, vectors.select("*").schema.add("front_rank", "integer"))
+    def thin(rows: pd.DataFrame) -> pd.DataFrame:
+        points = rows[values].to_numpy(float)
+        if len(points) <= 2 * need:
+            return rows
+        best = points[np.argsort(points.argsort(0).argsort(0).sum(1), kind="stable")[:4 * need]]
+        beaten = np.zeros(len(points), np.int64)
+        for k in range(0, len(points), BLOCK):
+            some = points[None, k:k + BLOCK]
+            beaten[k:k + BLOCK] = ((best[:, None] <= some).all(2) & (best[:, None] < some).any(2)).sum(0)
+        return rows[beaten < need]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [thin(g) for _, g in batch.groupby(by, dropna=False)] if by else [thin(batch)]
+            yield pd.concat(parts) if parts else batch
+
+    return df.mapInPandas(run, df.schema)
 
 
 def pareto_fronts(df: DataFrame, objectives: Mapping[str, str] = OBJECTIVES, by: Sequence[str] = (), max_fronts: int | None = None, id_col: str = "id", need: int | None = None) -> DataFrame:
     """Adds front_rank to every row. Ids must be unique.
 
-    Only if ``max_fronts`` is given, the peeling ends there and rows beyond get null; with ``need`` it may end
-    once so many rows are ranked (for ungrouped selections).
+    With ``max_fronts`` fronts are peeled that far and rows beyond get null; with ``need`` only rows are ranked that the
+    first ``need`` of their group by fronts can hold (all of those fronts), and the others get null.
     """
     by, values = list(by), [f"_o{i}" for i in range(len(objectives))]
-    rest, found, ranked, rank = df.select(id_col, *by, *objectives), [], 0, 0
-    while max_fronts is None or rank < max_fronts:
-        if max_fronts is None:
-            signed = rest.select(id_col, *by, *[_signed(c, s).alias(v) for v, (c, s) in zip(values, objectives.items(), strict=True)])
-            vectors = cut(signed.select(*by, *values).distinct(), f"vectors{rank}")
-            if (vectors.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= SORTED:
-                sort = cut(_sorted_fronts(vectors, values, by, rank), "sorted")
-                sort = sort.select(*[F.col(c).alias(f"_s_{c}") for c in [*by, *values]], "front_rank")
-                same = reduce(lambda x, y: x & y, [signed[c].eqNullSafe(sort[f"_s_{c}"]) for c in [*by, *values]])
-                found.append(signed.join(sort, same).select(id_col, "front_rank"))
-                break
+    if max_fronts is None:
+        signed = df.select(id_col, *by, *[_signed(c, s).alias(v) for v, (c, s) in zip(values, objectives.items(), strict=True)])
+        if need is not None:
+            signed = cut(_skyband(signed, values, by, need), "skyband")
+        vectors = cut(signed.select(*by, *values).distinct(), "vectors")
+        sort = cut(_sorted_fronts(vectors, values, by), "sorted")
+        return df.join(matched(signed, sort, [*by, *values]).select(id_col, "front_rank"), id_col, "left")
+    rest, found = df.select(id_col, *by, *objectives), []
+    for rank in range(max_fronts):
         front = cut(pareto_frontier(rest, objectives, by).select(id_col).withColumn("front_rank", F.lit(rank)), f"front{rank}")
         found.append(front)
-        if need is not None:
-            ranked += front.count()
-            if ranked >= need:
-                break
         rest = cut(rest.join(front, id_col, "left_anti"), f"rest{rank}")
         if rest.isEmpty():
             break
-        rank += 1
     ranks = reduce(DataFrame.unionByName, found)
     return df.join(ranks, id_col, "left")
 
@@ -255,7 +347,10 @@ def crowding_distance(df: DataFrame, dims: Sequence[str] = CROWDING_DIMS, rank_c
 
 def nsga2_select(df: DataFrame, k: int, objectives: Mapping[str, str] = OBJECTIVES, dims: Sequence[str] = CROWDING_DIMS, by: Sequence[str] = (), max_fronts: int | None = None, id_col: str = "id") -> DataFrame:
     """The best k rows (of each group) by front, then crowding, then id."""
-    ranked = crowding_distance(pareto_fronts(df, objectives, by, max_fronts, id_col, None if by else k), dims, "front_rank", by, id_col=id_col)
+    ranked = pareto_fronts(df, objectives, by, max_fronts, id_col, k)
+    if max_fronts is None:
+        ranked = ranked.filter("front_rank IS NOT NULL")
+    ranked = crowding_distance(ranked, dims, "front_rank", by, id_col=id_col)
     # Crowding is a sum whose last digits depend on the order of its terms.
     order = [F.col("front_rank").asc_nulls_last(), F.round("crowding", 9).desc(), F.col(id_col)]
     if not by:

@@ -73,9 +73,10 @@ def test_frontier_and_fronts(spark):
     assert pareto.pareto_frontier(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("most", [1_000_000, 40])
+@pytest.mark.parametrize("most", [1_000_000, 17])
 def test_fronts_rank_every_row(spark, monkeypatch, most):
-    monkeypatch.setattr(pareto, "SORTED", most)
+    """Groups of one block, and of several that are ranked in turn."""
+    monkeypatch.setattr(pareto, "BLOCK_ROWS", most)
     rng = random.Random(6)
     data = [(i, "ab"[i % 2], *(float(rng.randrange(30)) for _ in range(2)), 1.0) for i in range(120)] + [(200 + i, "c", 0.0, float(i), 1.0) for i in range(14)] + [(300, "c", None, 1.0, 1.0)]
     df = spark.createDataFrame(data, "id long, grp string, correctness double, latency_p50 double, memory_peak_mb double").repartition(3)
@@ -500,3 +501,39 @@ def test_ties_are_settled_by_the_whole_row(spark):
         assert rows(registry.baseline_register(None, df), "v") == [(0.0,)]
         assert rows(registry.cache_merge(df.limit(0), df, "file_path", "recorded_at"), "v") == [(0.0,)]
         assert rows(series.fragment_pool(df, "file_path", [F.desc("recorded_at")], "v", -1.0, "v"), "v", "survival") == [(0.0, 5.0)]
+
+
+@pytest.mark.parametrize("n_objectives", [1, 2, 3, 4])
+def test_fronts_of_blocks_in_turn(n_objectives):
+    """Ranks over blocks whose fronts go on as kept rows only, against peeling."""
+    import numpy as np
+
+    rng = np.random.default_rng(n_objectives)
+    points = np.unique(rng.integers(0, 6 if n_objectives > 2 else 40, (150, n_objectives)).astype(float), axis=0)
+    left, want = dict(enumerate(map(tuple, points))), {}
+    while left:
+        front = brute_front(left)
+        want |= dict.fromkeys(front, max(want.values(), default=-1) + 1)
+        left = {i: p for i, p in left.items() if i not in front}
+    assert dict(enumerate(pareto.front_ranks(points))) == want
+    got, state = [], pareto.Fronts(n_objectives)
+    for k in range(0, len(points), 20):
+        fronts = pareto.Fronts(n_objectives)
+        fronts.load(*state.rows())
+        got += fronts.rank(points[k:k + 20]).tolist()
+        state = fronts
+    assert dict(enumerate(got)) == want
+
+
+def test_selection_ranks_only_what_it_may_take(spark):
+    """The best rows are those of a full ranking; rows with too many dominators are left out before."""
+    rng = random.Random(8)
+    data = [(i, "ab"[i % 2], round(rng.random(), 2), round(rng.random(), 2), round(rng.random(), 1)) for i in range(1200)]
+    df = spark.createDataFrame(data, "id long, g string, correctness double, latency_p50 double, memory_peak_mb double").repartition(3)
+    dims = ["correctness", "latency_p50"]
+    full = pareto.crowding_distance(pareto.pareto_fronts(df, by=["g"]), dims, by=["g"])
+    for k in (1, 7, 60):
+        want = {g: [r["id"] for r in sorted((r for r in full.collect() if r["g"] == g), key=lambda r: (r["front_rank"], -round(r["crowding"], 9), r["id"]))[:k]] for g in "ab"}
+        got = pareto.nsga2_select(df, k, dims=dims, by=["g"]).collect()
+        assert {g: sorted(r["id"] for r in got if r["g"] == g) for g in "ab"} == {g: sorted(x) for g, x in want.items()}
+    assert pareto.pareto_fronts(df, by=["g"], need=7).filter("front_rank IS NULL").count() > 600
