@@ -17,10 +17,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from selectra.operators.lineage import components
 from selectra.sources.scratch import cut
 
 BLOCK = 2048
 PIVOTS = 64
+#: Pairs of a connected component that one task decides.
+FOLD = 500_000
 #: So many query vectors are broadcast as blocks; more are shuffled.
 MOST_QUERIES = 50_000
 
@@ -101,15 +104,21 @@ def _dealt(emb: DataFrame, id_col: str, vector: str, theta: float) -> tuple[Data
     return blocks.select("block", "rows"), pairs.select("l", "r")
 
 
+def _members(emb: DataFrame, threshold: float, id_col: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """The first rows of all different vectors, and (first, copy, dot) for every further copy of one."""
+    member = cut(copies(emb, id_col, vector).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), "members")
+    norm = F.aggregate(vector, F.lit(0.0), lambda x, y: x + y * y).alias("dot")
+    linked = member.join(emb.select(F.col(id_col).alias("b"), norm), "b").filter(F.col("dot") >= threshold).select("a", "b", "dot")
+    return emb.join(member.select(F.col("b").alias(id_col)), id_col, "left_anti"), linked
+
+
 def near_duplicates(emb: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector: str = "vector") -> DataFrame:
     """(a, b, dot) with a < b and dot >= threshold between the first rows of all different vectors, and (first, copy, dot) for every further copy of one.
 
     Exact. Vectors are dealt to blocks around pivots; block pairs too far apart for the threshold, by the triangle inequality
     of angles, are left out, and copies are not expanded into pairs.
     """
-    classes = copies(emb, id_col, vector)
-    member = cut(classes.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), "members")
-    distinct = emb.join(member.select(F.col("b").alias(id_col)), id_col, "left_anti")
+    distinct, member = _members(emb, threshold, id_col, vector)
     blocks, pairs = _dealt(distinct, id_col, vector, math.acos(max(-1.0, min(1.0, threshold))))
     blocks = cut(blocks, "rows")
     pairs = pairs.join(blocks.select(F.col("block").alias("l"), F.col("rows").alias("a")), "l").join(blocks.select(F.col("block").alias("r"), F.col("rows").alias("b")), "r")
@@ -126,26 +135,56 @@ def near_duplicates(emb: DataFrame, threshold: float = 0.98, id_col: str = "vec_
                 yield frame[frame["a"] < frame["b"]].drop_duplicates(["a", "b"])
 
     found = pairs.select("a", "b").mapInPandas(over, "a long, b long, dot double")
-    norm = F.aggregate(vector, F.lit(0.0), lambda x, y: x + y * y).alias("dot")
-    return found.unionByName(member.join(emb.select(F.col(id_col).alias("b"), norm), "b").filter(F.col("dot") >= threshold).select("a", "b", "dot"))
+    return found.unionByName(member)
 
 
 def near_duplicates_lsh(emb: DataFrame, threshold: float = 0.98, tables: int = 8, bucket: float = 0.5, seed: int = 7, id_col: str = "vec_id", vector: str = "vector") -> DataFrame:
-    """All pairs by random-projection hashing: for archives too large for block products; may miss pairs (a test measures how many)."""
+    """The pairs of ``near_duplicates`` by random-projection hashing: for archives too large for block products; may miss pairs (a test measures how many).
+
+    Only the first row of each vector is hashed; further copies are linked to it, so the result stays linear in copies.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    rows = emb.select(F.col(id_col).alias("id"), array_to_vector(vector).alias("features"))
+    distinct, member = _members(emb, threshold, id_col, vector)
+    rows = distinct.select(F.col(id_col).alias("id"), array_to_vector(vector).alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
     radius = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
     found = model.approxSimilarityJoin(rows, rows, radius, distCol="d").filter("datasetA.id < datasetB.id")
-    return found.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), (1 - F.col("d") * F.col("d") / 2).alias("dot"))
+    return found.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), (1 - F.col("d") * F.col("d") / 2).alias("dot")).unionByName(member)
+
+
+def _folded_components(earlier: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, into) of the rows that go, from (id, before, o, oid) with the orders of both; and the pairs of components too large for a task."""
+    kind = earlier.schema["id"].dataType.simpleString()
+    rest = earlier.limit(0)
+    if earlier.count() <= FOLD:
+        dealt = earlier.withColumn("component", F.lit(0))
+    else:
+        found = cut(components(earlier, "id", "before"), "components")
+        sized = cut(earlier.join(found, "id"), "sized")
+        large = cut(sized.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FOLD).select("component"), "large")
+        rest, dealt = sized.join(large, "component", "left_semi").drop("component"), sized.join(large, "component", "left_anti")
+    flat = dealt.select("component", "id", "before", F.col("oid").getField("col1").alias("t"), F.col("o").getField("col1").alias("t_before"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([b for b in batches if len(b)] or [pd.DataFrame(columns=["id", "before", "t", "t_before"])])
+        rows = rows.sort_values(["t", "id", "t_before", "before"], na_position="first")
+        into: dict = {}
+        for row, before in zip(rows["id"].tolist(), rows["before"].tolist(), strict=True):
+            # The rows before are settled: those that come first go into none or an earlier one.
+            if row not in into and before not in into:
+                into[row] = before
+        yield pd.DataFrame({"id": list(into), "into": list(into.values())})
+
+    return cut(flat.repartition("component").mapInPandas(run, f"id {kind}, into {kind}"), "folded"), rest
 
 
 def semantic_dedupe(emb: DataFrame, pairs: DataFrame, order: str = "ord", id_col: str = "vec_id", max_rounds: int | None = None, vector: str = "vector", text: str | None = None, score: str | None = None, metrics: str | None = None) -> DataFrame:
     """Adds kept and merged_into, in arrival order: a row with a kept earlier neighbour goes into the earliest such row.
 
-    Rounds: a row is kept once all its earlier neighbours are settled as gone; it is gone once one of them is kept.
+    Rows are decided in order within each connected component of the pairs, by tasks that hold whole components of at most
+    FOLD pairs. Larger components are settled in rounds: a row is kept once all its earlier neighbours are settled as gone; it is gone once one of them is kept.
     Every round settles the earliest open row at least. With ``max_rounds`` rows still open then are an error. Copies of a
     vector share the fate of the first of them: their neighbours are its neighbours. With ``metrics`` (a map), ``text`` and
     ``score``, kept rows get merged_metrics (later rows win), and merged_text and merged_score of the best row that went into them.
@@ -155,29 +194,30 @@ def semantic_dedupe(emb: DataFrame, pairs: DataFrame, order: str = "ord", id_col
     everything, emb = emb, emb.join(classes.filter("id <> rep").select(F.col("id").alias(id_col)), id_col, "left_anti")
     to_first = classes.select(F.col("id").alias("a"), F.col("rep").alias("ra")), classes.select(F.col("id").alias("b"), F.col("rep").alias("rb"))
     pairs = pairs.join(to_first[0], "a").join(to_first[1], "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-    place = emb.select(F.col(id_col).alias("id"), F.struct(F.col(order), F.col(id_col)).alias("o"))
+    place = emb.select(F.col(id_col).alias("id"), F.struct(F.col(order).alias("col1"), F.col(id_col).alias("col2")).alias("o"))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = both.join(place.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(place.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b")
-    earlier = cut(edges.filter("ob < oa").select(F.col("a").alias("id"), F.col("b").alias("before"), F.col("ob").alias("o")), "earlier")
+    earlier = cut(edges.filter("ob < oa").select(F.col("a").alias("id"), F.col("b").alias("before"), F.col("ob").alias("o"), F.col("oa").alias("oid")), "earlier")
+    folded, earlier = _folded_components(earlier)
     open_ids = cut(earlier.select("id").distinct(), "open")
-    kept = [emb.select(F.col(id_col).alias("id")).join(open_ids, "id", "left_anti")]
-    gone = []
+    kept = [emb.select(F.col(id_col).alias("id")).join(open_ids, "id", "left_anti").join(folded, "id", "left_anti")]
     for k in count():
         if open_ids.isEmpty():
             break
         if k == max_rounds:
             raise RuntimeError(f"semantic_dedupe: rows are still open after {max_rounds} rounds")
         all_kept = reduce(DataFrame.unionByName, kept).select(F.col("id").alias("before"))
-        out = cut(earlier.join(open_ids, "id", "left_semi").join(all_kept, "before", "left_semi").groupBy("id").agg(F.min_by("before", "o").alias("into")), f"gone{k}")
-        gone.append(out)
-        rest = open_ids.join(out.select("id"), "id", "left_anti")
+        out = earlier.join(open_ids, "id", "left_semi").join(all_kept, "before", "left_semi").select("id").distinct()
+        rest = cut(open_ids.join(out, "id", "left_anti"), f"rest{k}")
         waiting = earlier.join(rest, "id", "left_semi").join(rest.select(F.col("id").alias("before")), "before", "left_semi").select("id").distinct()
         new = cut(rest.join(waiting, "id", "left_anti"), f"kept{k}")
         kept.append(new)
         open_ids = cut(rest.join(new, "id", "left_anti"), f"open{k}")
         if k % 16 == 15:
-            kept, gone = ([cut(reduce(DataFrame.unionByName, part), f"settled{k}")] for part in (kept, gone))
-    merged = reduce(DataFrame.unionByName, gone) if gone else open_ids.withColumn("into", F.col("id")).limit(0)
+            kept = [cut(reduce(DataFrame.unionByName, kept), f"settled{k}")]
+    # Only when all are settled the earliest kept neighbour is known.
+    all_kept = reduce(DataFrame.unionByName, kept).select(F.col("id").alias("before"))
+    merged = folded.unionByName(earlier.join(all_kept, "before", "left_semi").groupBy("id").agg(F.min_by("before", "o").alias("into")))
     merged = classes.join(merged.select(F.col("id").alias("rep"), "into"), "rep", "left")
     merged = merged.select(F.col("id").alias(id_col), F.coalesce("into", F.when(F.col("id") != F.col("rep"), F.col("rep"))).alias("merged_into"))
     rows = everything.join(merged, id_col).withColumn("kept", F.col("merged_into").isNull())

@@ -23,6 +23,27 @@ def mention_counts(docs: DataFrame, terms: DataFrame, n_docs: int, key: str = "d
     return rows.withColumn("hotness", F.col("mentions") / max(1, n_docs))
 
 
+def phrase_mentions(docs: DataFrame, phrases: DataFrame, n_docs: int, key: str = "doc_id", text: str = "text", longest: int = 5) -> DataFrame:
+    """(key, phrase, defined_in, mentions, hotness) for phrases (phrase, defined_in) of 1 to ``longest`` tokens found in other documents, overlaps too.
+
+    Phrases are compared token by token, whatever stands between; longer ones are an error. Runs of the lengths that occur are counted where they lie and then hashed to phrases.
+    """
+    wanted = phrases.select("phrase", "defined_in", tokens(F.col("phrase")).alias("_run")).filter(F.size("_run") > 0)
+    sizes = sorted(r[0] for r in wanted.select(F.size("_run")).distinct().limit(longest + 1).collect())
+    if sizes and sizes[-1] > longest:
+        raise ValueError(f"a phrase has more than {longest} tokens")
+    body = docs.select(key, tokens(F.col(text)).alias("_t"))
+
+    def runs(k: int) -> Column:
+        return F.when(F.size("_t") >= k, F.transform(F.sequence(F.lit(1), F.size("_t") - (k - 1)), lambda i: F.slice("_t", i, k))).otherwise(nothing)
+
+    nothing = F.array().cast("array<array<string>>")
+    found = F.flatten(F.array(*map(runs, sizes))) if sizes else nothing
+    counts = body.select(key, F.explode(found).alias("_run")).groupBy(key, "_run").agg(F.count(F.lit(1)).alias("mentions"))
+    rows = counts.join(wanted, "_run").filter(F.col(key) != F.col("defined_in"))
+    return rows.select(key, "phrase", "defined_in", "mentions", (F.col("mentions") / max(1, n_docs)).alias("hotness"))
+
+
 def frequent_small_units(rows: DataFrame, mentions: DataFrame, key: str, length: str, most_lines: int = 20, least_mentions: int = 5) -> DataFrame:
     """Units shorter than most_lines that are mentioned more than least_mentions times, with the estimate 2 * length."""
     out = rows.filter(F.col(length) < most_lines).join(mentions.filter(F.col("mentions") > least_mentions), key)

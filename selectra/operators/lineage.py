@@ -78,6 +78,31 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, src:
     return reduce(DataFrame.unionByName, visited).filter("level > 0")
 
 
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, component): the least id reachable over the undirected edges, for every id that has one. Runs in a logarithmic number of rounds.
+
+    Large and small stars in turn: every id's greater neighbours, then its smaller ones, are linked to the least it knows.
+    """
+    pairs = cut(edges.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).filter("low < high").distinct(), "pairs")
+    before = None
+    for turn in count(1):
+        both = pairs.select(F.col("low").alias("at"), F.col("high").alias("other")).unionByName(pairs.select(F.col("high").alias("at"), F.col("low").alias("other")))
+        least = both.groupBy("at").agg(F.least("at", F.min("other")).alias("least"))
+        large = both.filter("other > at").join(least, "at").select(F.col("least").alias("low"), F.col("other").alias("high")).distinct()
+        large = cut(large, f"large{turn}")
+        least = large.groupBy("high").agg(F.min("low").alias("least"))
+        small = large.join(least, "high").select(F.col("least"), "low", "high")
+        small = small.select(F.col("least").alias("low"), F.col("low").alias("high")).unionByName(small.select(F.col("least").alias("low"), "high")).filter("low < high").distinct()
+        pairs = cut(small, f"small{turn}")
+        # Nothing moves any more once both stars give the pairs they got.
+        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    ids = pairs.select(F.col("high").alias("id"), F.col("low").alias("component"))
+    return ids.unionByName(pairs.select(F.col("low").alias("id"), F.col("low").alias("component"))).distinct()
+
+
 def ancestors(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, parent: str = "parent_id", child: str = "child_id") -> DataFrame:
     return reach(edges, seeds, max_depth, child, parent)
 
@@ -112,10 +137,10 @@ def abandoned_branches(nodes: DataFrame, edges: DataFrame, best: DataFrame, thre
     return rest.orderBy(F.desc(score), id_col).limit(k)
 
 
-def revival_due(series: DataFrame, by: str, waited: str, patience: int = 8, most: int = 3) -> DataFrame:
-    """Steps at which abandoned branches are looked up: every ``patience`` steps without a gain, at most ``most`` times a run."""
+def revival_due(series: DataFrame, by: str, waited: str, i: str = "i", patience: int = 8, most: int = 3) -> DataFrame:
+    """Steps at which abandoned branches are looked up: every ``patience`` steps without a gain, the first ``most`` of a run."""
     due = series.filter((F.col(waited) > 0) & (F.col(waited) % patience == 0))
-    return due.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(waited))).filter(F.col("_k") <= most).drop("_k")
+    return due.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(i))).filter(F.col("_k") <= most).drop("_k")
 
 
 def discovery_score(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None, id_col: str = "id", score: str = "score") -> DataFrame:

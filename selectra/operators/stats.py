@@ -99,6 +99,19 @@ def ucb1_rank(stats: DataFrame, name: str = "operator") -> DataFrame:
     return stats.withColumn("ucb", ucb).withColumn("place", F.row_number().over(everything.orderBy(F.col("ucb").desc_nulls_first(), name)))
 
 
+def epsilon_greedy(stats: DataFrame, n: int, epsilon: float = 0.1, seed: int = 0, name: str = "operator") -> DataFrame:
+    """(draw, operator, explored) of n choices: the first untried operator if there is one, a random one with chance ``epsilon``, else the best by UCB1.
+
+    Draws are digests of seed and draw, so reruns agree. One row an operator is sent to the draws.
+    """
+    placed = ucb1_rank(stats, name).select(name, "attempts", "place", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(name)) - 1).alias("_at"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("_n"), F.count_if(F.col("attempts") == 0).over(Window.partitionBy(F.lit(0))).alias("_new"))
+    digest = lambda what: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(what), F.col("draw").cast("string"))), 1, 12), 16, 10).cast("long")
+    draws = stats.sparkSession.range(n).withColumnRenamed("id", "draw").withColumns({"_u": digest("explore") / float(2**48), "_pick": digest("pick")})
+    explored = (F.col("_new") == 0) & (F.col("_u") < epsilon)
+    mine = F.when(explored, F.col("_at") == F.pmod(F.col("_pick"), F.col("_n"))).otherwise(F.col("place") == 1)
+    return draws.join(F.broadcast(placed), mine).select("draw", name, explored.alias("explored"))
+
+
 def pattern_memory(obs: DataFrame, best: int | None = None) -> DataFrame:
     """Per (type, signature): observations, success rate, distinct contexts and references; the best by (rate, observations)."""
     out = obs.groupBy("type", "signature").agg(

@@ -62,6 +62,18 @@ def ucb1_rank(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.ucb1_rank(_ops(spark, d)).select("operator", "ucb", "place"), "ucb")
 
 
+DRAW = "('0x' || substr(md5('7:{what}:' || draw), 1, 12))::BIGINT"
+
+
+@query(with_views("v_trials", f"""WITH o AS (SELECT operator, row_number() OVER (ORDER BY operator) - 1 AS at, count(*) OVER () AS n, row_number() OVER (ORDER BY mean_reward + sqrt(2 * ln(total) / attempts) DESC, operator) AS place
+ FROM (SELECT *, sum(attempts) OVER () AS total FROM ({OPS}) o) t),
+d AS (SELECT k AS draw, {DRAW.format(what="explore").replace("draw", "k")} / 281474976710656 < 0.2 AS explored, {DRAW.format(what="pick").replace("draw", "k")} AS pick FROM range((SELECT count(*) FROM v_trials)) t(k))
+SELECT draw, operator, explored FROM d JOIN o ON CASE WHEN explored THEN o.at = pick % o.n ELSE place = 1 END"""))
+def epsilon_greedy(spark: SparkSession, d: str) -> DataFrame:
+    """A choice for each trial."""
+    return stats.epsilon_greedy(_ops(spark, d), view(spark, d, "v_trials").count(), 0.2, 7)
+
+
 @query("SELECT event_type AS type, (user_id % 50)::VARCHAR AS signature, count(*) AS observations, round(avg((value >= 5)::INT), 6) AS success_rate, count(DISTINCT date_trunc('month', ts)) AS n_contexts, count(DISTINCT user_id) AS n_refs FROM events GROUP BY ALL")
 def pattern_memory(spark: SparkSession, d: str) -> DataFrame:
     obs = table(spark, d, "events").select(F.col("event_type").alias("type"), (F.col("user_id") % 50).cast("string").alias("signature"), (F.col("value") >= 5).alias("success"), F.date_trunc("month", "ts").alias("context"), F.col("user_id").alias("lineage_ref"))

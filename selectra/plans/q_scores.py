@@ -404,6 +404,18 @@ def mention_counts(spark: SparkSession, d: str) -> DataFrame:
     return rounded(corpus.mention_counts(docs, terms, docs.count()), "hotness")
 
 
+@query(f"""WITH tok AS MATERIALIZED (SELECT doc_id, {TOK} AS t FROM documents),
+phrases AS (SELECT array_to_string(t[1:1 + doc_id % 5], ' ') AS phrase, min(doc_id) AS defined_in, any_value(least(len(t), 1 + doc_id % 5)) AS k FROM tok WHERE len(t) > 0 GROUP BY 1),
+cnt AS (SELECT doc_id, array_to_string(t[i:i + k - 1], ' ') AS phrase, count(*) AS mentions FROM tok, (SELECT DISTINCT k FROM phrases) s, unnest(range(1, len(t) - k + 2)) u(i) GROUP BY ALL)
+SELECT doc_id, phrase, defined_in, mentions, round(mentions / (SELECT count(*) FROM documents), 6) AS hotness FROM cnt JOIN phrases USING (phrase) WHERE doc_id <> defined_in""")
+def phrase_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """The first one to five tokens of every document, wherever they come in others."""
+    docs = table(spark, d, "documents")
+    first = F.array_join(F.slice(texts.tokens(F.col("text")), F.lit(1), (1 + F.col("doc_id") % 5).cast("int")), " ")
+    phrases = docs.select(first.alias("phrase"), "doc_id").filter("phrase <> ''").groupBy("phrase").agg(F.min("doc_id").alias("defined_in"))
+    return rounded(corpus.phrase_mentions(docs, phrases, docs.count()), "hotness")
+
+
 @query(f"""WITH own AS (SELECT doc_id, {TOK}[1] AS term, len(string_split(text, chr(10))) AS n_lines FROM documents), m AS (SELECT term, count(*) AS mentions FROM (SELECT unnest({TOK}) AS term FROM documents) t GROUP BY term)
 SELECT doc_id, term, n_lines, mentions, 2 * n_lines AS estimate FROM own JOIN m USING (term) WHERE n_lines < 20 AND mentions > 5""")
 def frequent_small_units(spark: SparkSession, d: str) -> DataFrame:

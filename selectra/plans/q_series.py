@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from selectra.operators import lineage
 from selectra.operators import series as ops
 from selectra.plans.catalog import query, rounded
 from selectra.plans.fixtures import table, view, with_views
@@ -62,6 +63,11 @@ def plateau_monitor(spark: SparkSession, d: str) -> DataFrame:
     return ops.plateau_monitor(view(spark, d, S))
 
 
+@query(with_views(S, f"WITH {PLATEAU} SELECT run_id, i, waited FROM fold WHERE waited > 0 AND waited % 8 = 0 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY i) <= 3"))
+def revival_due(spark: SparkSession, d: str) -> DataFrame:
+    return lineage.revival_due(ops.plateau_monitor(view(spark, d, S)), "run_id", "waited").select("run_id", "i", "waited")
+
+
 @query(with_views(S, "SELECT run_id, i, max(v) OVER (PARTITION BY run_id ORDER BY i) AS best, coalesce(v > max(v) OVER (PARTITION BY run_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_new_best FROM v_series"))
 def running_best(spark: SparkSession, d: str) -> DataFrame:
     return ops.running_best(view(spark, d, S), ["run_id"], "i", "v").select("run_id", "i", "best", "is_new_best")

@@ -383,7 +383,9 @@ def test_lineage_has_no_depth_limit(spark):
     assert rows(lineage.ancestors(edges, seed), "node", "level") == [(i, 54 - i) for i in range(54)]
 
 
-def test_semantic_dedupe_raises_if_rows_stay_open(spark):
+def test_semantic_dedupe_raises_if_rows_stay_open(spark, monkeypatch):
+    """Components too large for a task are settled in rounds."""
+    monkeypatch.setattr(archive, "FOLD", 0)
     emb = spark.createDataFrame([(i, i) for i in range(8)], "vec_id long, ord long")
     pairs = spark.createDataFrame([(i, i + 1) for i in range(7)], "a long, b long")
     assert rows(archive.semantic_dedupe(emb, pairs), "vec_id", "kept") == [(i, i % 2 == 0) for i in range(8)]
@@ -537,3 +539,58 @@ def test_selection_ranks_only_what_it_may_take(spark):
         got = pareto.nsga2_select(df, k, dims=dims, by=["g"]).collect()
         assert {g: sorted(r["id"] for r in got if r["g"] == g) for g in "ab"} == {g: sorted(x) for g, x in want.items()}
     assert pareto.pareto_fronts(df, by=["g"], need=7).filter("front_rank IS NULL").count() > 600
+
+
+def test_semantic_dedupe_of_a_long_chain(spark, monkeypatch):
+    """Every second row of a chain goes, in one fold."""
+    tables = []
+    monkeypatch.setattr(archive, "cut", lambda df, name="x", cut=archive.cut: tables.append(name) or cut(df, name))
+    emb, pairs = spark.range(1000).selectExpr("id AS vec_id", "id AS ord"), spark.range(999).selectExpr("id AS a", "id + 1 AS b")
+    got = archive.semantic_dedupe(emb, pairs)
+    assert rows(got, "vec_id", "kept") == [(i, i % 2 == 0) for i in range(1000)] and len(tables) < 8
+
+
+@pytest.mark.parametrize("fold", [500_000, 30, 3])
+def test_semantic_dedupe_by_components(spark, monkeypatch, fold):
+    """One fold, components in tasks of their own, and rounds for those too large: the same rows go into the same ones."""
+    monkeypatch.setattr(archive, "FOLD", fold)
+    rng = random.Random(fold)
+    arrival = list(range(70))
+    rng.shuffle(arrival)
+    pairs = sorted({tuple(sorted(rng.sample(range(k, k + 10), 2))) for k in (0, 10, 20, 30, 40, 50, 60) for _ in range(rng.randrange(2, 14))} | {(9, 10), (19, 20)})
+    near, into = {k: {b if a == k else a for a, b in pairs if k in (a, b)} for k in range(70)}, {}
+    for k in sorted(range(70), key=lambda k: arrival[k]):
+        before = [n for n in near[k] if arrival[n] < arrival[k] and into.get(n) is None]
+        into[k] = min(before, key=lambda n: arrival[n], default=None)
+    emb = spark.createDataFrame(list(enumerate(arrival)), "vec_id long, ord long")
+    got = archive.semantic_dedupe(emb, spark.createDataFrame(pairs, "a long, b long"))
+    assert dict(rows(got, "vec_id", "merged_into")) == into
+
+
+def test_components_of_a_graph(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 7), (50, 51), (51, 50), (60, 60), (70, 75), (75, 72), (200, 201)]
+    got = dict(rows(lineage.components(spark.createDataFrame(edges, "a long, b long")), "id", "component"))
+    assert got == dict.fromkeys([*range(41), 100], 0) | {50: 50, 51: 50, 70: 70, 75: 70, 72: 70, 200: 200, 201: 200}
+
+
+def test_lsh_leaves_copies_unexpanded(spark):
+    emb = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(60)] + [(60, [0.0, 1.0])], "vec_id long, vector array<double>")
+    assert rows(archive.near_duplicates_lsh(emb), "a", "b") == [(0, k) for k in range(1, 60)]
+
+
+def test_phrases_of_several_tokens(spark):
+    docs = spark.createDataFrame([(1, "a b a b a"), (2, "A  b\na"), (3, "b"), (4, ""), (5, None)], "doc_id long, text string")
+    phrases = spark.createDataFrame([("a b a", 9), ("b", 3), ("a b", 1), ("x y", 1), ("", 1)], "phrase string, defined_in long")
+    assert rows(corpus.phrase_mentions(docs, phrases, 5), "doc_id", "phrase", "mentions") == [(1, "a b a", 2), (1, "b", 2), (2, "a b", 1), (2, "a b a", 1), (2, "b", 1)]
+    with pytest.raises(ValueError):
+        corpus.phrase_mentions(docs, spark.createDataFrame([("a b c d e f", 1)], "phrase string, defined_in long"), 5)
+
+
+def test_epsilon_greedy_draws(spark):
+    tried = spark.createDataFrame([("a", 10, 0.1), ("b", 10, 0.9), ("c", 10, 0.2)], "operator string, attempts long, mean_reward double")
+    got = stats.epsilon_greedy(tried, 400, 0.25, seed=3).collect()
+    explored = [r["operator"] for r in got if r["explored"]]
+    assert len(got) == 400 and 60 < len(explored) < 140 and set(explored) == {"a", "b", "c"}
+    assert {r["operator"] for r in got if not r["explored"]} == {"b"}
+    fresh = tried.unionByName(spark.createDataFrame([("z", 0, None)], tried.schema))
+    assert {r["operator"] for r in stats.epsilon_greedy(fresh, 20).collect()} == {"z"}
