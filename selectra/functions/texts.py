@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Severities in rising order.
 SEVERITY = ["none", "low", "medium", "high", "critical"]
@@ -120,6 +122,71 @@ def line_diff_stats(pairs: DataFrame, before: str, after: str) -> DataFrame:
     return out.withColumn("net", F.col("added") - F.col("removed"))
 
 
+def _middle(a: Sequence[int], b: Sequence[int]) -> tuple[int, int, int, int]:
+    """The middle run of equal lines (from x, y to u, v) of a shortest edit script, searched from both ends at once."""
+    n, m = len(a), len(b)
+    skew, ahead, back = n - m, {1: 0}, {1: 0}
+    for d in range((n + m + 1) // 2 + 1):
+        for far, near, turned in ((ahead, back, False), (back, ahead, True)):
+            for k in range(-d, d + 1, 2):
+                x = far[k + 1] if k == -d or k != d and far[k - 1] < far[k + 1] else far[k - 1] + 1
+                start = x
+                while x < n and x - k < m and (a[-1 - x] == b[-1 - x + k] if turned else a[x] == b[x - k]):
+                    x += 1
+                far[k] = x
+                meets = near.get(skew - k) if abs(skew - k) <= (d if turned else d - 1) else None
+                if meets is not None and (skew % 2 == 0) == turned and x + meets >= n:
+                    return (n - x, m - x + k, n - start, m - start + k) if turned else (start, start - k, x, x - k)
+    raise AssertionError("two sequences always have a script")
+
+
+def edit_script(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int, int, int]]:
+    """A shortest edit script in memory that follows the lengths: a[i:j] gives way to b[k:l], in order."""
+    same, todo = [(len(a), len(b))], [(0, len(a), 0, len(b))]
+    while todo:
+        i, j, k, l = todo.pop()
+        while i < j and k < l and a[i] == b[k]:
+            same.append((i, k))
+            i, k = i + 1, k + 1
+        while i < j and k < l and a[j - 1] == b[l - 1]:
+            j, l = j - 1, l - 1
+            same.append((j, l))
+        if i < j and k < l:
+            x, y, u, v = _middle(a[i:j], b[k:l])
+            same += zip(range(i + x, i + u), range(k + y, k + v), strict=True)
+            todo += [(i, i + x, k, k + y), (i + u, j, k + v, l)]
+    hunks, i, k = [], 0, 0
+    for x, y in sorted(same):
+        if (i, k) != (x, y):
+            hunks.append((i, x, k, y))
+        i, k = x + 1, y + 1
+    return hunks
+
+
+def line_diff(pairs: DataFrame, before: str, after: str) -> DataFrame:
+    """Adds the shortest edit script over lines: hunks (at, removed, added), where ``at`` counts lines of the first text from 0, and the lines added and removed.
+
+    Null texts have no lines; an empty text is one empty line.
+    """
+    names = [c for c in pairs.columns if c not in ("hunks", "n_added", "n_removed")]
+    rows = pairs.select(*names)
+    schema = StructType(rows.schema.fields + StructType.fromDDL("hunks array<struct<at:int,removed:array<string>,added:array<string>>>, n_added int, n_removed int").fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("removed", pa.list_(pa.string())), ("added", pa.list_(pa.string()))]))
+        for batch in batches:
+            found = []
+            for one, two in zip(batch.column(names.index(before)).to_pylist(), batch.column(names.index(after)).to_pylist(), strict=True):
+                a, b = ([] if t is None else t.split("\n") for t in (one, two))
+                number: dict[str, int] = {}
+                coded = [[number.setdefault(x, len(number)) for x in side] for side in (a, b)]
+                found.append([{"at": i, "removed": a[i:j], "added": b[k:l]} for i, j, k, l in edit_script(*coded)])
+            counts = [pa.array([sum(len(h[side]) for h in hunks) for hunks in found], pa.int32()) for side in ("added", "removed")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind), *counts], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def change_notes(pairs: DataFrame, before: str, after: str, keyword: str = "cache", token: str = "return") -> DataFrame:
     """Notes on a fifth fewer lines, a new keyword and more of a token; a fallback note without any."""
     a, b = F.col(before), F.col(after)

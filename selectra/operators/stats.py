@@ -55,6 +55,22 @@ def sample_stats(df: DataFrame, value: str, by: Sequence[str] = (), ops: int = 1
     return rows.withColumns({"ci_low": F.col("mean") - half, "ci_high": F.col("mean") + half, "throughput": F.when(F.col("p50") > 0, ops / F.col("p50")).otherwise(0.0)})
 
 
+def quantile_sketches(df: DataFrame, value: str, by: Sequence[str], k: int = 200) -> DataFrame:
+    """(by..., n, sketch): a KLL sketch of each group's values, to be stored and merged later. Nulls don't count.
+
+    Ranks of its quantiles err by about 2.3 / k ** 0.9 of the values (1.7 % for 200) with 99 % certainty.
+    """
+    return df.groupBy(*by).agg(F.count(value).alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, by: Sequence[str], wanted: Mapping[str, float], k: int = 200) -> DataFrame:
+    """(by..., n, a column for each of ``wanted``): quantiles over all stored sketches of a group, null for one without values."""
+    merged = sketches.filter("n > 0").groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", k).alias("sketch"))
+    found = merged.select(*by, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))).alias(c) for c, q in wanted.items()])
+    groups = sketches.select(*by).distinct()
+    return matched(groups, found, by, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def rank_percentiles(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Percentiles by index into the sorted values: n // 2, int(.9 n), and int(.99 n) from 100 values on (else the maximum)."""
     at = lambda place: F.max(F.when((F.col("_i") <= place) & (place < F.col("_i") + F.col("_c")), F.col(value)))

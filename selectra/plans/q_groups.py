@@ -10,6 +10,7 @@ from selectra.operators import archive, groups, quality, registry, stats
 from selectra.plans.catalog import query, rounded
 from selectra.plans.fixtures import table, view, with_views
 from selectra.plans.q_scores import REWARD, SCORE, TOK
+from selectra.sources.scratch import cut
 
 C = "v_candidates"
 
@@ -28,6 +29,13 @@ def sample_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, "p50", "p95", "p99", "mean", "stdev", "ci_low", "ci_high", "throughput")
 
 
+@query()
+def merged_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches of each type and month, stored and then merged over the months."""
+    monthly = stats.quantile_sketches(table(spark, d, "events").withColumn("month", F.date_trunc("month", "ts")), "value", ["event_type", "month"])
+    return stats.merged_quantiles(cut(monthly, "sketches"), ["event_type"], {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
 @query("""SELECT event_type, s[len(s) // 2 + 1] AS p50, s[floor(0.9 * len(s))::INT + 1] AS p90, CASE WHEN len(s) >= 100 THEN s[floor(0.99 * len(s))::INT + 1] ELSE s[-1] END AS p99, s[1] AS min, s[-1] AS max, round(std, 6) AS std
 FROM (SELECT event_type, list_sort(list(value)) AS s, stddev_pop(value) AS std FROM events GROUP BY event_type) t""")
 def rank_percentiles(spark: SparkSession, d: str) -> DataFrame:

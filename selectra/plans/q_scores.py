@@ -78,6 +78,17 @@ def snapshot_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return io.snapshot_read(spark, path, "run-1").select("id", "latency_p50")
 
 
+@query(with_views(C, "SELECT id, latency_p50 FROM v_candidates"))
+def snapshot_restore(spark: SparkSession, d: str) -> DataFrame:
+    """The first generation is columnar, the second JSON, the third both with other values in JSON."""
+    path, other, rows = scratch_path(spark, "snapshots"), scratch_path(spark, "json_snapshots"), view(spark, d, C).select("id", "latency_p50")
+    io.snapshot_write(rows.withColumn("latency_p50", F.lit(0.0)), path, "run-1", 1)
+    for generation in (2, 3):
+        rows.withColumn("latency_p50", F.lit(1.0)).write.json(f"{other}/run_id=run-1/generation={generation}")
+    io.snapshot_write(rows, path, "run-1", 3)
+    return io.snapshot_restore(spark, path, other, "id long, latency_p50 double", "run-1").select("id", "latency_p50")
+
+
 @query(with_views(C, "SELECT id, throughput FROM v_candidates"))
 def convert_snapshots(spark: SparkSession, d: str) -> DataFrame:
     src, dst = scratch_path(spark, "json"), scratch_path(spark, "parquet")
@@ -284,6 +295,12 @@ def line_diff_stats(spark: SparkSession, d: str) -> DataFrame:
     return texts.line_diff_stats(view(spark, d, "v_pairs"), "before_text", "after_text").select("id", "added", "removed")
 
 
+@query()
+def line_diff(spark: SparkSession, d: str) -> DataFrame:
+    out = texts.line_diff(view(spark, d, "v_pairs"), "before_text", "after_text")
+    return out.select("id", "n_added", "n_removed", F.size("hunks").alias("n_hunks"))
+
+
 _N = "len(string_split({0}, chr(10)))"
 _COUNT = "(len({0}) - len(replace({0}, 'tion', ''))) / 4"
 

@@ -74,6 +74,24 @@ def snapshot_read(spark: SparkSession, path: str, run_id: str, generation: int |
     return rows.filter(F.col("generation") == generation)
 
 
+def snapshot_restore(spark: SparkSession, path: str, json_path: str, schema: str, run_id: str, generation: int | None = None) -> DataFrame:
+    """A generation of a run from the columnar snapshots at ``path`` or the JSON ones at ``json_path``, whichever has the newest; columnar ones win a tie.
+
+    Either may be missing. ``schema`` is that of the rows, without run_id and generation.
+    """
+    hadoop, found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, []
+    full = f"{schema}, run_id string, generation int"
+    for place, reader in ((path, spark.read.schema(full).parquet), (json_path, spark.read.schema(full).json)):
+        if hadoop(place).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop(place)):
+            rows = reader(place).filter(F.col("run_id") == run_id)
+            newest = (rows if generation is None else rows.filter(F.col("generation") == generation)).agg(F.max("generation")).first()[0]
+            if newest is not None:
+                found.append((newest, rows.filter(F.col("generation") == newest)))
+    if not found:
+        raise FileNotFoundError(f"no snapshot of {run_id} in {path} or {json_path}")
+    return max(found, key=lambda x: x[0])[1]
+
+
 def convert_snapshots(spark: SparkSession, src: str, dst: str, schema: str, overwrite: bool = False) -> None:
     """JSON to compressed parquet; an existing target stays unless overwrite is set."""
     spark.read.schema(schema).json(src).write.mode("overwrite" if overwrite else "ignore").option("compression", "zstd").parquet(dst)

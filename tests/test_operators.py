@@ -594,3 +594,56 @@ def test_epsilon_greedy_draws(spark):
     assert {r["operator"] for r in got if not r["explored"]} == {"b"}
     fresh = tried.unionByName(spark.createDataFrame([("z", 0, None)], tried.schema))
     assert {r["operator"] for r in stats.epsilon_greedy(fresh, 20).collect()} == {"z"}
+
+
+def test_edit_scripts_are_shortest():
+    """Against the longest common subsequence, and applied they give the second sequence."""
+    rng = random.Random(2)
+    for _ in range(400):
+        a, b = ([rng.randrange(rng.choice([1, 2, 4, 9])) for _ in range(rng.randrange(0, 14))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for k, y in enumerate(b):
+                best[i + 1][k + 1] = best[i][k] + 1 if x == y else max(best[i][k + 1], best[i + 1][k])
+        hunks, out, at = texts.edit_script(a, b), [], 0
+        for i, j, k, l in hunks:
+            out += a[at:i] + b[k:l]
+            at = j
+        assert out + a[at:] == b
+        assert sum(j - i for i, j, _, _ in hunks) == len(a) - best[-1][-1] and sum(l - k for *_, k, l in hunks) == len(b) - best[-1][-1]
+
+
+def test_line_diff_of_odd_texts(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc", "a\nx\nc\nd"), (2, None, "a"), (3, "a", None), (4, None, None), (5, "same", "same")], "id long, one string, two string")
+    got = {r["id"]: ([(h["at"], h["removed"], h["added"]) for h in r["hunks"]], r["n_added"], r["n_removed"]) for r in texts.line_diff(df, "one", "two").collect()}
+    assert got == {1: ([(1, ["b"], ["x"]), (3, [], ["d"])], 2, 1), 2: ([(0, [], ["a"])], 1, 0), 3: ([(0, ["a"], [])], 0, 1), 4: ([], 0, 0), 5: ([], 0, 0)}
+
+
+def test_merged_sketches_keep_their_rank_error(spark):
+    values = spark.range(60_000).select((F.col("id") % 12).alias("part"), F.when(F.col("id") % 3 > 0, "g").alias("g"), F.pow(F.rand(3), 3).alias("v"))
+    stored = stats.quantile_sketches(values, "v", ["part", "g"]).cache()
+    wanted = {"p10": 0.1, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+    got = {r["g"]: r for r in stats.merged_quantiles(stored, ["g"], wanted).collect()}
+    exact = values.cache()
+    assert set(got) == {None, "g"} and sum(r["n"] for r in got.values()) == 60_000
+    for g, r in got.items():
+        own = exact.filter(F.col("g").eqNullSafe(g))
+        n = own.count()
+        for c, q in wanted.items():
+            assert abs(own.filter(F.col("v") <= r[c]).count() / n - q) < 0.03
+    empty = stats.merged_quantiles(stats.quantile_sketches(spark.createDataFrame([("a", None)], "g string, v double"), "v", ["g"]), ["g"], {"p50": 0.5}).collect()
+    assert [(r["g"], r["n"], r["p50"]) for r in empty] == [("a", 0, None)]
+
+
+def test_the_newest_snapshot_of_two_formats(spark):
+    path, other = scratch_path(spark, "columnar"), scratch_path(spark, "json")
+    one = spark.createDataFrame([(1, 2.0)], "id long, score double")
+    with pytest.raises(FileNotFoundError):
+        io.snapshot_restore(spark, path, other, "id long, score double", "r")
+    value = lambda **k: io.snapshot_restore(spark, path, other, "id long, score double", "r", **k).first()["score"]
+    one.withColumn("score", F.lit(7.0)).write.json(f"{other}/run_id=r/generation=2")
+    assert value() == 7.0
+    io.snapshot_write(one, path, "r", 1)
+    assert value() == 7.0 and value(generation=1) == 2.0
+    io.snapshot_write(one.withColumn("score", F.lit(5.0)), path, "r", 2)
+    assert value() == 5.0
