@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +13,10 @@ from selectra.operators.stats import score_entropy, score_spread
 from selectra.sources.scratch import cut, matched, prefix_sums, whole_row
 
 
+#: Rows of a run that one task folds.
+LONG_RUN = 250_000
+
+
 def _median(sorted_array: Column) -> Column:
     """Averaged median of a sorted array."""
     n = F.size(sorted_array)
@@ -86,26 +90,57 @@ def evolution_report(series: DataFrame, by: str = "run_id", i: str = "i", v: str
     return stability_class(out).drop("last_range", "last_max", "last_n")
 
 
+def _gains(best: float | None, x: float | None, delta: float) -> bool:
+    return x is not None and x == x and (best is None or (x - best) / max(abs(best), 1e-12) > delta)
+
+
 def plateau_monitor(series: DataFrame, patience: int = 15, delta: float = 0.001, by: str = "run_id", i: str = "i", v: str = "v") -> DataFrame:
-    """Per step the last accepted best, the steps since, and whether the run has converged.
+    """Per step the last accepted best, the steps since, and whether the run has converged. A null value is no gain.
 
-    The best is replaced only by a relative gain above ``delta``, so this is an ordered fold per run.
+    The best is replaced only by a relative gain above ``delta`` (not negative), so this is an ordered fold per run. Runs of up to LONG_RUN rows
+    are folded by one task each. If there are longer ones, prefix maxima over range partitions find the new highs, which alone can be accepted;
+    only they are folded, as a sorted stream, and a second scan hands the last accepted one on to all steps.
     """
     kind = series.schema[by].dataType.simpleString()
+    rows = series.select(by, F.col(i).cast("long").alias(i), F.col(v).cast("double").alias(v))
+    if (rows.groupBy(by).count().agg(F.max("count")).first()[0] or 0) > LONG_RUN:
+        return _scanned_plateau(rows, patience, delta, by, i, v)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(i)
         best, waited, out = None, 0, []
         for x in rows[v]:
-            if best is None or (x - best) / max(abs(best), 1e-12) > delta:
-                best, waited = x, 0
-            else:
-                waited += 1
+            best, waited = (x, 0) if _gains(best, x, delta) else (best, waited + 1)
             out.append((best, waited, waited >= patience))
         accepted, counter, done = zip(*out, strict=True)
-        return pd.DataFrame({by: rows[by], i: rows[i].astype("int64"), "accepted": accepted, "waited": counter, "converged": done})
-
-    return series.select(by, i, F.col(v).cast("double").alias(v)).groupBy(by).applyInPandas(fold, f"{by} {kind}, {i} long, accepted double, waited long, converged boolean")
+        return pd.DataFrame({by: rows[by], i: rows[i], "accepted": pd.Series(accepted, index=rows.index, dtype=float), "waited": counter, "converged": done})
+
+    return rows.groupBy(by).applyInPandas(fold, f"{by} {kind}, {i} long, accepted double, waited long, converged boolean")
+
+
+def _scanned_plateau(rows: DataFrame, patience: int, delta: float, by: str, i: str, v: str) -> DataFrame:
+    placed = cut(prefix_sums(rows, [by], [F.col(i)], {"_step": F.lit(1).cast("long")}, maxima={"_high": F.nanvl(F.col(v), F.lit(None))}), "placed")
+    highs = placed.filter(F.col(v).isNotNull() & ~F.isnan(v) & (F.col("_high").isNull() | (F.col(v) > F.col("_high"))))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, best = object(), None
+        for batch in batches:
+            taken = []
+            for name, x in zip(batch[by].tolist(), batch[v].tolist(), strict=True):
+                name = None if name is None or name != name else name
+                if name != run:
+                    run, best = name, None
+                taken.append(_gains(best, x, delta))
+                best = x if taken[-1] else best
+            yield batch[taken]
+
+    accepted = highs.select(by, "_step", v).repartition(by).sortWithinPartitions(by, "_step")
+    accepted = cut(accepted.mapInPandas(fold, accepted.schema), "accepted").withColumn("_own", F.struct("_step", v)).drop(v)
+    marked = matched(placed.drop("_high"), accepted, [by, "_step"], "left")
+    last = prefix_sums(marked, [by], [F.col(i)], {}, maxima={"_last": F.col("_own")})
+    best = F.coalesce("_own", "_last")
+    waited = (F.col("_step") - F.coalesce(best["_step"], F.lit(-1))).cast("long")
+    return last.select(by, i, best[v].alias("accepted"), waited.alias("waited"), (waited >= patience).alias("converged"))
 
 
 def running_best(series: DataFrame, by: Sequence[str], i: str, v: str) -> DataFrame:

@@ -46,28 +46,30 @@ def whole_row() -> Column:
     return F.to_json(F.struct("*"))
 
 
-def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column], totals: Mapping[str, Column] | None = None) -> DataFrame:
-    """Adds to every row, for each of ``sums``, the sum over the rows before it in its group, and each of ``totals`` over its whole group.
+def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column], totals: Mapping[str, Column] | None = None, maxima: Mapping[str, Column] | None = None) -> DataFrame:
+    """Adds to every row, for each of ``sums``, the sum over the rows before it in its group, for each of ``maxima`` the greatest value
+    before it (null if there is none), and each of ``totals`` over its whole group.
 
-    Rows are dealt by range of (group, order), summed up inside each partition and shifted by the sums of the partitions
-    before, so no group is one task. The order should be total, or ties may change places between runs.
+    Rows are dealt by range of (group, order), scanned inside each partition and combined with what the partitions
+    before give, so no group is one task. The order should be total, or ties may change places between runs.
     """
-    by, totals = list(by), totals or {}
-    parts = df.withColumns({f"_s{i}": c for i, c in enumerate(sums.values())} | {f"_t{i}": c for i, c in enumerate(totals.values())})
+    by, totals, maxima = list(by), totals or {}, maxima or {}
+    kinds = [("s", sums, F.sum), ("m", maxima, F.max), ("t", totals, F.sum)]
+    parts = df.withColumns({f"_{k}{i}": c for k, columns, _ in kinds for i, c in enumerate(columns.values())})
     parts = cut(parts.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "parts")
     group, before = Window.partitionBy(*[f"_g{i}" for i in range(len(by))], "_one"), (Window.unboundedPreceding, -1)
     # One row a partition and group in it.
-    runs = parts.groupBy(*by, "_part").agg(F.lit(1).alias("_one"), *[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(sums))], *[F.sum(f"_t{i}").alias(f"_t{i}") for i in range(len(totals))])
-    runs = runs.select("_one", F.col("_part").alias("_at"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], *[c for c in runs.columns if c[:2] in ("_s", "_t")])
+    runs = parts.groupBy(*by, "_part").agg(F.lit(1).alias("_one"), *[f(f"_{k}{i}").alias(f"_{k}{i}") for k, columns, f in kinds for i in range(len(columns))])
+    runs = runs.select("_one", F.col("_part").alias("_at"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], *[f"_{k}{i}" for k, columns, _ in kinds for i in range(len(columns))])
+    earlier, inside = group.orderBy("_at").rowsBetween(*before), Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(*before)
     shift = runs.select(
-        "_at", *[f"_g{i}" for i in range(len(by))], *[F.coalesce(F.sum(f"_s{i}").over(group.orderBy("_at").rowsBetween(*before)), F.lit(0)).alias(f"_shift{i}") for i in range(len(sums))],
-        *[F.sum(f"_t{i}").over(group).alias(f"_total{i}") for i in range(len(totals))],
+        "_at", *[f"_g{i}" for i in range(len(by))], *[F.coalesce(F.sum(f"_s{i}").over(earlier), F.lit(0)).alias(f"_shift{i}") for i in range(len(sums))],
+        *[F.max(f"_m{i}").over(earlier).alias(f"_most{i}") for i in range(len(maxima))], *[F.sum(f"_t{i}").over(group).alias(f"_total{i}") for i in range(len(totals))],
     )
-    inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(*before)
-    rows = parts.withColumns({f"_in{i}": F.coalesce(F.sum(f"_s{i}").over(inside), F.lit(0)) for i in range(len(sums))})
+    rows = parts.withColumns({f"_in{i}": F.coalesce(F.sum(f"_s{i}").over(inside), F.lit(0)) for i in range(len(sums))} | {f"_top{i}": F.max(f"_m{i}").over(inside) for i in range(len(maxima))})
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)], F.col("_part") == F.col("_at"))
-    rows = rows.join(shift, same).withColumns({n: F.col(f"_in{i}") + F.col(f"_shift{i}") for i, n in enumerate(sums)} | {n: F.col(f"_total{i}") for i, n in enumerate(totals)})
-    return rows.select(*[c for c in df.columns if c not in sums and c not in totals], *sums, *totals)
+    combined = {n: F.col(f"_in{i}") + F.col(f"_shift{i}") for i, n in enumerate(sums)} | {n: F.greatest(f"_top{i}", f"_most{i}") for i, n in enumerate(maxima)} | {n: F.col(f"_total{i}") for i, n in enumerate(totals)}
+    return rows.join(shift, same).withColumns(combined).select(*[c for c in df.columns if c not in combined], *combined)
 
 
 def numbered(df: DataFrame, order: list[Column], out: str = "row_no") -> DataFrame:

@@ -647,3 +647,32 @@ def test_the_newest_snapshot_of_two_formats(spark):
     assert value() == 7.0 and value(generation=1) == 2.0
     io.snapshot_write(one.withColumn("score", F.lit(5.0)), path, "r", 2)
     assert value() == 5.0
+
+
+@pytest.mark.parametrize("long_run", [250_000, 5])
+def test_plateau_of_long_runs(spark, monkeypatch, long_run):
+    """The scan over range partitions gives what the fold of each run gives; a null value is no gain."""
+    monkeypatch.setattr(series, "LONG_RUN", long_run)
+    rng, data, want = random.Random(11), [], set()
+    for run in ("a", "b", None):
+        best, waited = None, 0
+        for k in range(60):
+            x = None if rng.random() < 0.1 or k == 0 and run == "b" else round(rng.random() * 10 + k / 6, 2) * (-1 if run == "a" and k < 20 else 1)
+            data.append((run, k, x))
+            if x is not None and (best is None or (x - best) / max(abs(best), 1e-12) > 0.05):
+                best, waited = x, 0
+            else:
+                waited += 1
+            want.add((run, k, best, waited, waited >= 4))
+    df = spark.createDataFrame(data, "run_id string, i long, v double").repartition(4)
+    got = series.plateau_monitor(df, 4, 0.05).select("run_id", "i", "accepted", "waited", "converged").collect()
+    assert len(got) == 180 and {tuple(r) for r in got} == want
+
+
+def test_prefix_maxima(spark):
+    data = [(k % 2, k, (k * 37) % 50 if k % 5 else None) for k in range(200)]
+    df = spark.createDataFrame(data, "g int, i int, v int").repartition(6)
+    got = {r["i"]: (r["n"], r["m"]) for r in prefix_sums(df, ["g"], [F.col("i")], {"n": F.lit(1)}, maxima={"m": F.col("v")}).collect()}
+    for g, i, _ in data:
+        before = [x for h, k, x in data if h == g and k < i]
+        assert got[i] == (len(before), max((x for x in before if x is not None), default=None))
