@@ -12,16 +12,20 @@ associative, so a wrapper doesn't depend on how pages are dealt to tasks: partia
 wrappers are folded inside each task and merged per host in two steps, and a host
 with a third of all pages needs no task that sees all of them.
 
-Every page is then matched with its host's wrapper, which gives each of its texts a
-slot. Slots that are constant over different pages, and slots that are mostly links
-over all pages, are marked. A page's text is what lies inside its main region, not in
-a slot of links, and not below menus, headers, footers, sidebars, notices, adverts,
-forms or reader comments; constant slots are left out outside the region only. The
-region is chosen page by page, so it doesn't depend on the host's other templates.
-The text is read in page order from the whole html.
+The wrapper then says where the record, the main text, lies: in the subtree whose
+varying slots hold most of the running text over the host. From the root on, the child
+is followed that holds three fifths of what its pages have there; optional groups that
+exclude each other are ranked, so every template of a host keeps its own record. Slots
+of links and slots that are constant over different pages weigh nothing, nor do parts
+beside the text (menus, headers, footers, sidebars, notices, adverts, forms, reader
+comments; known by tags and names). Tags and names of main text weigh more and end the
+search. Every page is matched with its host's wrapper and read by its slots, in page
+order from the whole html; nothing on the single page decides but which of the ranked
+groups it has. Inside the record all text stays but slots of links, parts known by
+their tags, and adverts, comments, sidebars and the like by a short list of names.
 
 Defined cases: null and empty pages have an empty text; a null or odd url makes a
-host of its own (""); a host with one page has only slots; text outside any tag is a
+host of its own (""); a host with one page, or copies of one, has only slots that may vary; text outside any tag is a
 block of the page's root; depth and number of elements have no bound; ids may be null
 or repeat; other columns pass through unless they are named like an output.
 """
@@ -34,7 +38,6 @@ import re
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -62,15 +65,23 @@ BESIDE_NAME = re.compile(
     r"([-_]?(bar|box|block|area|list|items?|wrap|wrapper|container|inner|section|slot|unit|banner|links?|buttons?|icons?|form|menu|body|content|text|title|notice|thread|posts|articles|widget))*"
     r"|((site|page|main|top|global|mobile|blog)[-_]?)?header([-_]?(bar|inner|wrap|wrapper|container|menu|nav))?|side|skip([-_]\w+)*"
 )
+#: Names of parts that are no text inside a region either: adverts, reader comments, sidebars, menus, offers to share or subscribe.
+INSIDE_NAME = re.compile(
+    r"((site|page|main|user|reader|post|entry|article|cookie|google|text)[-_]?)?"
+    r"(ads?|adverts?|advertis\w+|adsense|adslot|sponsor(s|ed)?|promos?|promotions?|cookies?|comments?|respond|responses?|disqus|sidebars?|menus?|navbar|navigation|breadcrumbs?|share|sharing|subscribe|newsletter|pagination|pager)"
+    r"([-_]?(bar|box|block|area|list|items?|wrap|wrapper|container|inner|section|slot|unit|banner|links?|buttons?|icons?|form|menu|body|notice|thread))*"
+)
 #: Blocks of running text: no region lies inside one.
 LEAF = frozenset("p li td th dt dd tr blockquote pre h1 h2 h3 h4 h5 h6".split())
 MAX_HOSTS = 400
+#: Bytes of text of the wrappers that a task keeps unpacked.
+UNPACKED = 4 << 20
 #: Bytes of wrappers that are sent to every task; more are met by a shuffle of the pages.
 MOST_BYTES = 64 << 20
 #: Pages of one host that are then read with one copy of its wrapper, as expected.
 PAGES = 500
 #: A slot is constant if so many different pages have the same text in it; copies of a page count once.
-DISTINCT = 3
+DISTINCT = 2
 
 
 def key_of(name: str, attributes: str) -> str:
@@ -87,7 +98,7 @@ def key_of(name: str, attributes: str) -> str:
 # A wrapper node is [key, parents that have it, times, slot, children, orders]. Children are aligned by place while orders
 # is None; then they are one a key, and orders are the pairs of keys seen next to each other. Text nodes have the key "#"
 # and the slot [characters, characters in links, least text hash, greatest text hash, the least DISTINCT hashes of whole
-# pages that have it]; in a page's own tree the slot is the number of the text.
+# pages that have it]; in a page's own tree the slot is the number of the text or element.
 KEY, PRESENT, TIMES, SLOT, CHILDREN, ORDERS = range(6)
 
 
@@ -137,9 +148,9 @@ def parsed(html: str) -> tuple[list, list[tuple[tuple[str, ...], tuple[int, ...]
         ends = ENDED_BY.get(name, "").split()
         while names and (names[-1] in ends or names[-1] == "p" and name in AFTER_P):
             close()
-        node = [key_of(name, match[4]), 1, 1, None, [], None]
-        nodes[-1][CHILDREN].append(node)
         opened += 1
+        node = [key_of(name, match[4]), 1, 1, opened, [], None]
+        nodes[-1][CHILDREN].append(node)
         for stack, value in ((nodes, node), (keys, node[KEY]), (numbers, opened), (names, name)):
             stack.append(value)
     flush()
@@ -164,6 +175,8 @@ def tree(html: str) -> list:
             _, _, text, linked = texts[node[SLOT]]
             h = zlib.crc32(text.encode())
             node[SLOT] = [len(text), linked, h, h, [page]]
+        else:
+            node[SLOT] = None
     return root
 
 
@@ -297,115 +310,173 @@ def tag(key: str) -> str:
     return re.split(r"[.#@]", key, maxsplit=1)[0]
 
 
-CONSTANT, LINKS = 1, 2
+#: Marks of a slot: constant over different pages, mostly links, below a tag beside the text, below a name beside the text
+#: outside a marked region, inside a marked region, and below a name beside the text in there.
+CONSTANT, LINKS, DROPPED, AROUND, IN_MAIN, INSIDE = 1, 2, 4, 8, 16, 32
+BARRED = LINKS | DROPPED | AROUND | INSIDE
+#: Text below a tag or name of main text weighs so much more where the record's subtree is chosen.
+MARKED = 5
 
 
-def rules(wrapper: list) -> str:
-    """What pages are read with, as text: [key, marks of the slot, children, whether they are aligned by place] of each node."""
-    rows = []
-    for node in each_node(wrapper):
-        slot, marks = node[SLOT], 0
+@lru_cache(maxsize=100_000)
+def key_traits(key: str) -> tuple[str, bool, bool, bool]:
+    """The tag of a key, whether a main region begins there, and whether it is named like a part beside the text, or like one that isn't text even inside a region. Names of html and body say nothing."""
+    name = tag(key)
+    if name in ("html", "body"):
+        return name, False, False, False
+    names = re.split(r"[.#@ ]", key)[1:]
+    return name, bool(MAIN.search(key)), any(map(BESIDE_NAME.fullmatch, names)), any(map(INSIDE_NAME.fullmatch, names))
+
+
+def _marked(wrapper: list) -> list[tuple[list, int, int]]:
+    """(node, marks, depth of the deepest element around it with a name that isn't text inside a region) of all nodes, parents first."""
+    out, todo = [], [(wrapper, 0, 0, 0)]
+    while todo:
+        node, depth, marks, within = todo.pop()
+        slot = node[SLOT]
         if slot:
-            marks = CONSTANT * (slot[2] == slot[3] and len(slot[4]) == DISTINCT) + LINKS * (2 * slot[1] > slot[0])
-        rows.append([node[KEY], 1, 1, marks, len(node[CHILDREN]), None if node[ORDERS] is None else []])
+            marks |= CONSTANT * (slot[2] == slot[3] and len(slot[4]) == DISTINCT) | LINKS * (2 * slot[1] > slot[0])
+        elif node[KEY]:
+            name, begins, beside, inside = key_traits(node[KEY])
+            if name in BESIDE_TAG or name == "header" and not (begins or marks & IN_MAIN):
+                marks |= DROPPED
+            if marks & IN_MAIN:
+                marks |= INSIDE * inside
+            else:
+                marks |= AROUND * beside | IN_MAIN * begins
+            within = depth if inside else within
+        out.append((node, marks, within))
+        todo.extend((c, depth + 1, marks, within) for c in reversed(node[CHILDREN]))
+    chars = {True: 0, False: 0}  # in a marked region below a name beside the text; clear of such names
+    plain = True
+    for node, marks, _ in out:
+        if node[SLOT] and not marks & (BARRED & ~AROUND) and (not marks & AROUND or marks & IN_MAIN):
+            chars[bool(marks & AROUND)] += node[SLOT][0] - node[SLOT][1]
+            plain &= not marks & IN_MAIN or bool(marks & AROUND)
+    if plain and chars[True] > chars[False]:
+        out = [(n, m & ~AROUND if m & IN_MAIN else m, w) for n, m, w in out]
+    return out
+
+
+def _entered(node: list, weight: dict[int, int]) -> list[list]:
+    """The children that hold the record where a page has them, best first.
+
+    Text a page with the child is weighed against what such a page has beside it at least: optional groups that exclude
+    each other are templates of their own, each of which may hold the record of its pages.
+    """
+    held = [(c, weight[id(c)] / c[PRESENT]) for c in node[CHILDREN] if weight[id(c)]]
+    rates: dict[int, float] = {}
+    for c, rate in held:
+        rates[c[PRESENT]] = rates.get(c[PRESENT], 0.0) + rate
+
+    def beside(c: list, rate: float) -> float:
+        n = c[PRESENT]
+        return sum(r * max(0, p + n - node[TIMES]) / n for p, r in rates.items()) - rate * max(0, 2 * n - node[TIMES]) / n
+
+    found = [(c, rate) for c, rate in held if c[KEY] != "#" and tag(c[KEY]) not in LEAF and 2 * rate >= 3 * beside(c, rate)]
+    return [c for c, _ in sorted(found, key=lambda x: -x[1])]
+
+
+def rules(wrapper: list) -> str:
+    """What pages are read with, as text: [key, rank, 1, marks, children, whether they are aligned by place] of each node.
+
+    An element's rank (from 1) says that the record is looked for below it, in a page that has none of its siblings of a
+    lower rank; 0: never. A text's rank is the depth of the last name around it that isn't text inside a region. Only
+    slots that vary (or came once), are not mostly links and not below parts beside the text have a weight, by their
+    characters over all pages; constant ones have where nothing else does.
+    """
+    nodes = _marked(wrapper)
+    rank: dict[int, int] = {}
+    for barred in (BARRED | CONSTANT, BARRED):
+        weight: dict[int, int] = {}
+        for node, marks, _ in reversed(nodes):
+            if node[SLOT]:
+                weight[id(node)] = 0 if marks & barred else (node[SLOT][0] - node[SLOT][1]) * (MARKED if marks & IN_MAIN else 1)
+            else:
+                weight[id(node)] = sum(weight[id(c)] for c in node[CHILDREN])
+        if weight[id(wrapper)]:
+            break
+    for node, marks, _ in nodes:
+        if not marks & IN_MAIN:
+            rank.update((id(c), k) for k, c in enumerate(_entered(node, weight), 1))
+    rows = [[n[KEY], w if n[SLOT] else rank.get(id(n), 0), 1, m if n[SLOT] else 0, len(n[CHILDREN]), None if n[ORDERS] is None else []] for n, m, w in nodes]
     return json.dumps(rows, separators=(",", ":"))
 
 
-def marks_of(page: list, wrapper: list, n: int) -> list[int]:
-    """The marks of the slots of a page's texts, found by matching its tree with the wrapper (from ``rules``)."""
-    found, todo = [0] * n, [(page, wrapper)]
+def matched(page: list, slots: list) -> list[tuple[list, list]]:
+    """The children of a page's element with what the wrapper has for them."""
+    if slots[ORDERS] is None and keys_of(page) == keys_of(slots):
+        return list(zip(page[CHILDREN], slots[CHILDREN], strict=True))
+    own = {c[KEY]: c for c in slots[CHILDREN]}
+    return [(c, own[c[KEY]]) for c in page[CHILDREN] if c[KEY] in own]
+
+
+def slots_of(page: list, wrapper: list, n: int) -> list[list | None]:
+    """The slots of a page's texts, found by matching its tree with the wrapper (from ``rules``); None where it has none."""
+    found, todo = [None] * n, [(page, wrapper)]
     while todo:
         one, slots = todo.pop()
         if one[KEY] == "#":
-            found[one[SLOT]] = slots[SLOT]
-        elif slots[ORDERS] is None and keys_of(one) == keys_of(slots):
-            todo.extend(zip(one[CHILDREN], slots[CHILDREN], strict=True))
+            found[one[SLOT]] = slots
         else:
-            own = {c[KEY]: c for c in slots[CHILDREN]}
-            todo.extend((c, own[c[KEY]]) for c in one[CHILDREN] if c[KEY] in own)
+            todo.extend(matched(one, slots))
     return found
 
 
-@lru_cache(maxsize=100_000)
-def key_traits(key: str) -> tuple[str, bool, bool]:
-    """The tag of a key, whether a main region begins there, and whether it is named like a part beside the text. Names of html and body say nothing."""
-    name = tag(key)
-    if name in ("html", "body"):
-        return name, False, False
-    return name, bool(MAIN.search(key)), any(map(BESIDE_NAME.fullmatch, re.split(r"[.#@ ]", key)[1:]))
-
-
-class Text(NamedTuple):
-    """A text of a page: characters outside links, where its main region begins (-1: nowhere), whether it is beside the text
-    by a name of the region or around it (without a region: by any name), or by one inside it, and the marks of its slot."""
-
-    path: tuple[str, ...]
-    elements: tuple[int, ...]
-    text: str
-    chars: int
-    main: int
-    around: bool
-    inside: bool
-    marks: int
-
-
-def placed(path: tuple[str, ...], elements: tuple[int, ...], text: str, linked: int, marks: int) -> Text | None:
-    """None if a tag says that the text is beside the main text."""
-    found = [key_traits(k) for k in path]
-    main = next((k for k, (_, begins, _) in enumerate(found) if begins), -1)
-    if any(name in BESIDE_TAG or name == "header" and (main < 0 or k < main) for k, (name, _, _) in enumerate(found)):
-        return None
-    named = [k for k, (_, _, beside) in enumerate(found) if beside]
-    return Text(path, elements, text, len(text) - linked, main, any(main < 0 or k <= main for k in named), any(0 <= main < k for k in named), marks)
-
-
-def regions(texts: list[Text]) -> list[tuple[str, ...]]:
-    """Main regions of one page."""
-    weight: dict[tuple[str, ...], int] = {}
-    for t in texts:
-        if t.main >= 0:
-            region = t.path[:t.main + 1]
-            weight[region] = weight.get(region, 0) + t.chars
-    total, most = sum(t.chars for t in texts), max(weight.values(), default=0)
-    if weight and most * 4 >= total:
-        return [p for p, w in weight.items() if w * 4 >= most]
-    depth, rest = 0, texts  # the deepest element that still holds most of the running text
-    while True:
-        inner: dict[str, int] = {}
-        for t in rest:
-            if len(t.path) > depth:
-                inner[t.path[depth]] = inner.get(t.path[depth], 0) + t.chars
-        top = max(inner, key=inner.get, default=None)
-        if top is None or inner[top] * 10 < total * 6 or tag(top) in LEAF:
-            return [rest[0].path[:depth]]
-        rest = [t for t in rest if len(t.path) > depth and t.path[depth] == top]
-        depth += 1
-
-
 def page_text(html: str | None, wrapper: list) -> str:
-    """Main text of a page, by its own regions and its host's wrapper (from ``rules``). Rules that would leave none of it are not applied.
+    """Main text of a page, read by its host's wrapper (from ``rules``); text that the wrapper has no slot for is none.
 
-    A main region with a beside name on it or around it counts if no other is there and it holds more than the rest.
-    Constant slots don't help to find a region that no name marks, and such a region keeps only those that share an element
-    of it with other text; inside a marked region they are text like any other.
+    From the root on, the elements of the lowest rank that hold text are followed. Where that ends lies the record. All its
+    slots are text but those of links, those below tags beside the text and those below the few names that say so inside.
+    Constant slots stay, but for a record that is the whole page. A page with nothing but constant slots is read with them,
+    one with nothing else than barred slots of a marked region with those.
     """
     root, texts = parsed(html or "")
-    found = [t for t in map(placed, *zip(*texts, strict=True), marks_of(root, wrapper, len(texts))) if t] if texts else []
-    kept = [t for t in found if not t.inside and not t.marks & LINKS]
-    for some in (kept, [t for t in found if t.main >= 0]):
-        clear, named = [t for t in some if not t.around], [t for t in some if t.around and t.main >= 0]
-        if not any(t.main >= 0 for t in clear) and sum(t.chars for t in named) > sum(t.chars for t in clear):
-            clear = named
-        varied = [t for t in clear if t.main >= 0 or not t.marks & CONSTANT] or clear
-        if clear:
-            out, chosen = set(), set(varied)
-            for region in regions(varied):
-                n = len(region)
-                top = not region or tag(region[-1]) in ("html", "body")
-                own = {t.elements[:n] for t in varied if t.path[:n] == region}
-                out |= {k for k, t in enumerate(clear) if t.path[:n] == region and (t in chosen if top else t.elements[:n] in own)}
-            return "\n".join(t.text for k, t in enumerate(clear) if k in out)
-    return ""
+    slots = slots_of(root, wrapper, len(texts))
+    for barred, needed in ((BARRED | CONSTANT, 0), (BARRED, 0), (DROPPED, IN_MAIN)):
+        usable = {k for k, s in enumerate(slots) if s and not s[SLOT] & barred and s[SLOT] & needed == needed}
+        if usable:
+            break
+    else:
+        return ""
+    holds = {e for k in usable for e in texts[k][1]}
+    here, depth = [(root, wrapper)], 0
+    while True:
+        inner = [(c, s) for pair in here for c, s in matched(*pair) if c[KEY] != "#" and s[PRESENT] and c[SLOT] in holds]
+        if not inner:
+            break
+        best = min(s[PRESENT] for _, s in inner)
+        here, depth = [pair for pair in inner if pair[1][PRESENT] == best], depth + 1
+    record = {one[SLOT] for one, _ in here}
+    top = not depth or tag(here[0][0][KEY]) in ("html", "body")
+    out = []
+    for k, (_, elements, text, _) in enumerate(texts):
+        if not depth or len(elements) >= depth and elements[depth - 1] in record:
+            s = slots[k]
+            if k in usable or not top and s and not s[SLOT] & (DROPPED | LINKS) and s[PRESENT] <= depth:
+                out.append(text)
+    return "\n".join(out)
+
+
+def rules_at_hand(known: dict[str, str]):
+    """Wrappers unpacked as they are asked for; the last ones stay, of up to ``UNPACKED`` bytes of text in all."""
+    kept: dict[str, list] = {}
+    size = 0
+
+    def get(name: str) -> list:
+        nonlocal size
+        found = kept.pop(name, None)
+        if found is None:
+            found = unpacked(known[name])
+            size += len(known[name])
+        kept[name] = found
+        while size > UNPACKED and len(kept) > 1:
+            oldest = next(iter(kept))
+            del kept[oldest]
+            size -= len(known[oldest])
+        return found
+
+    return get
 
 
 def host(url: F.Column) -> F.Column:
@@ -486,7 +557,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", colu
         sent = pages.sparkSession.sparkContext.broadcast({r["_host"]: r["_body"] for r in known.select("_host", "_body").collect()})
 
         def read_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            wrapper_of = lru_cache(MAX_HOSTS)(lambda name: unpacked(sent.value[name]))
+            wrapper_of = rules_at_hand(sent.value)
             for batch in batches:
                 found = [page_text(html.as_py(), wrapper_of(name)) for name, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.column(2).flatten(), pa.array(found, pa.string())], [*names, "text"])

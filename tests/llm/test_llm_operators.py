@@ -494,6 +494,21 @@ def test_wrappers_test_whole_names_inside_the_main_region(html, want):
     assert read([html.format(k=1), html.format(k=2)])[0] == want.format(k=1)
 
 
+def test_the_record_is_read_from_the_wrapper():
+    """Emptied wrappers leave no text; names don't drop what the record holds; two pages show a constant; templates keep their records."""
+    pages = [page(k, f"<p>Text {k}</p>") for k in range(3)]
+    empty = wrappers.unpacked(wrappers.rules(wrapper_of(["", ""])))
+    assert [wrappers.page_text(html, empty) for html in pages] == [""] * 3
+    assert read([f"<article><p>Text {k}</p><div class=toc>Part {k}</div><p class=notice>Mind {k}</p></article>" for k in range(2)])[1] == "Text 1\nPart 1\nMind 1"
+    assert read([f"<div><div>One and the same line, a long one, over all pages of the host</div><section><p>Text {k}</p></section></div>" for k in range(2)]) == ["Text 0", "Text 1"]
+    # The single page's text lies mostly in the box beside; over the host it doesn't.
+    long = [f"<div class=x><p>{f'Long {k} ' * 50}</p></div><div class=y>Box {k}</div>" for k in range(5)]
+    short = ["<div class=x><p>Short</p></div><div class=y>This box is longer than the text of its page</div>"]
+    assert read(long + short)[5] == "Short" and read(short) != ["Short"]
+    other = [f"<div class=z>Of another template, {k}</div><div class=y>Box {k}</div>" for k in range(2)]
+    assert read(long + other)[5:] == ["Of another template, 0", "Of another template, 1"]
+
+
 def wrapper_of(pages):
     found = wrappers.tree(pages[0])
     for other in pages[1:]:
