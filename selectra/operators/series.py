@@ -1,16 +1,21 @@
-"""Ordered series: one row per (run, step). Every window is partitioned by the run."""
+"""Ordered series: one row per (run, step).
+
+Windows are partitioned by the run while no run has more than LONG_RUN rows. Beyond, runs are spread over range partitions:
+bounded windows get the rows next to each partition lent, unbounded ones are scans. Both forms give the same columns.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from selectra.functions.scores import label
 from selectra.operators.stats import score_entropy, score_spread
-from selectra.sources.scratch import cut, matched, prefix_sums, whole_row
+from selectra.sources.scratch import bounded_windows, cut, matched, prefix_sums, whole_row
 
 
 #: Rows of a run that one task folds.
@@ -30,30 +35,59 @@ def _mad(values: Column) -> Column:
     return F.when(F.size(values) < 2, 0.0).otherwise(_median(F.array_sort(F.transform(values, lambda x: F.abs(x - middle)))))
 
 
+def _long(series: DataFrame, by: Sequence[str]) -> bool:
+    """Whether a run is too long for a window in one task."""
+    return (series.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) > LONG_RUN
+
+
+def _surroundings(series: DataFrame, by: str, window: int) -> DataFrame:
+    """Adds to every step: near, its neighbourhood; local, from ``window`` steps before it to ``window`` - 1 after; before, the mean
+    of all steps ahead of it (0 if there are none); after, the mean from it on; n, the steps of its run."""
+    order = Window.partitionBy(by).orderBy("i")
+    return series.withColumns({
+        "near": F.collect_list("v").over(order.rowsBetween(-(window // 2), window // 2)),
+        "local": F.collect_list("v").over(order.rowsBetween(-window, window - 1)),
+        "before": F.coalesce(F.avg("v").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
+        "after": F.avg("v").over(order.rowsBetween(0, Window.unboundedFollowing)),
+        "n": F.count(F.lit(1)).over(Window.partitionBy(by)),
+    })
+
+
+def _spread_surroundings(series: DataFrame, by: str, window: int) -> DataFrame:
+    """``_surroundings`` of runs that are spread over tasks."""
+    given, one = F.col("v").isNotNull().cast("long"), F.lit(1).cast("long")
+    rows = prefix_sums(series, [by], [F.col("i")], {"_s": F.col("v"), "_k": given}, {"n": one})
+    rows = prefix_sums(rows, [by], [F.desc("i")], {"_rest": F.col("v"), "_left": given})
+    rows = rows.withColumn("before", F.when(F.col("_k") > 0, F.col("_s") / F.nullif(F.col("_k"), F.lit(0))).otherwise(0.0))
+    total, left = F.col("_rest") + F.coalesce("v", F.lit(0.0)), F.col("_left") + given
+    rows = rows.withColumn("after", total / F.nullif(left, F.lit(0))).drop("_s", "_k", "_rest", "_left")
+    half = window // 2
+    near, local = (lambda w: F.collect_list("v").over(w.rowsBetween(-half, half))), (lambda w: F.collect_list("v").over(w.rowsBetween(-window, window - 1)))
+    return cut(bounded_windows(rows, [by], [F.col("i")], window, max(half, window - 1), {"near": near, "local": local}), "surroundings")
+
+
 def tipping_points(series: DataFrame, by: str = "run_id", i: str = "i", v: str = "v", window: int = 5, n_dev: float = 3.0, min_magnitude: float = 0.5) -> DataFrame:
     """Events (by, generation, before, after, magnitude, severity): steps far off their neighbourhood, neighbours grouped.
 
     ``i`` must count 0, 1, 2, ... in each run.
     """
-    half = window // 2
-    series = cut(series.select(by, i, v), "series")  # read twice
-    order = Window.partitionBy(by).orderBy(i)
-    near = F.collect_list(F.col(v)).over(order.rowsBetween(-half, half))
-    rows = series.select(by, F.col(i).alias("i"), F.col(v).cast("double").alias("v"), near.alias("near"), F.count(F.lit(1)).over(Window.partitionBy(by)).alias("n"))
-    rows = rows.withColumn("med", F.element_at(F.array_sort("near"), F.floor(F.size("near") / 2).cast("int") + 1)).withColumn("mad", _mad(F.col("near")))
+    series = cut(series.select(by, F.col(i).alias("i"), F.col(v).cast("double").alias("v")), "series")  # read more than once
+    spread_out = _long(series, [by])
+    near = _spread_surroundings(series, by, window) if spread_out else _surroundings(series, by, window)
+    rows = near.withColumn("med", F.element_at(F.array_sort("near"), F.floor(F.size("near") / 2).cast("int") + 1)).withColumn("mad", _mad(F.col("near")))
     off = F.abs(F.col("v") - F.col("med"))
     odd = F.when(F.col("mad") == 0, (F.abs("med") > 1e-9) & (off > 0.2 * F.abs("med"))).otherwise(off > n_dev * F.col("mad"))
     flagged = rows.filter((F.col("n") >= window) & (F.size("near") >= 3) & odd)
     # Gaps and islands: consecutive steps differ from their place in the run by one number.
-    island = F.col("i") - F.row_number().over(Window.partitionBy(by).orderBy("i"))
-    events = flagged.withColumn("island", island).groupBy(by, "island").agg(F.min("i").alias("from"), F.count(F.lit(1)).alias("len"))
+    if spread_out:
+        flagged = prefix_sums(flagged.select(by, "i"), [by], [F.col("i")], {"place": F.lit(1).cast("long")})
+    else:
+        flagged = flagged.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("i")))
+    events = flagged.withColumn("island", F.col("i") - F.col("place")).groupBy(by, "island").agg(F.min("i").alias("from"), F.count(F.lit(1)).alias("len"))
     events = events.select(by, (F.col("from") + F.floor(F.col("len") / 2)).cast("long").alias("generation"))
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    onward = order.rowsBetween(0, Window.unboundedFollowing)
-    # Before is all steps ahead of the event, after is the event and all that follow; the local spread takes g - window to g + window - 1.
-    around = series.select(by, F.col(i).cast("long").alias("generation"), F.coalesce(F.avg(v).over(upto), F.lit(0.0)).alias("before"), F.avg(v).over(onward).alias("after"), F.collect_list(F.col(v).cast("double")).over(order.rowsBetween(-window, window - 1)).alias("local"))
+    around = near.select(by, F.col("i").cast("long").alias("generation"), "before", "after", "local")
     spread = _mad(F.col("local"))
-    out = events.join(around, [by, "generation"]).withColumn("magnitude", F.when(spread == 0, 0.0).otherwise(F.abs(F.col("after") - F.col("before")) / spread))
+    out = matched(events, around, [by, "generation"]).withColumn("magnitude", F.when(spread == 0, 0.0).otherwise(F.abs(F.col("after") - F.col("before")) / spread))
     return out.filter(F.col("magnitude") >= min_magnitude).drop("local").withColumn("severity", label(F.col("magnitude"), "tipping"))
 
 
@@ -103,7 +137,7 @@ def plateau_monitor(series: DataFrame, patience: int = 15, delta: float = 0.001,
     """
     kind = series.schema[by].dataType.simpleString()
     rows = series.select(by, F.col(i).cast("long").alias(i), F.col(v).cast("double").alias(v))
-    if (rows.groupBy(by).count().agg(F.max("count")).first()[0] or 0) > LONG_RUN:
+    if _long(rows, [by]):
         return _scanned_plateau(rows, patience, delta, by, i, v)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -144,19 +178,30 @@ def _scanned_plateau(rows: DataFrame, patience: int, delta: float, by: str, i: s
 
 
 def running_best(series: DataFrame, by: Sequence[str], i: str, v: str) -> DataFrame:
-    """Best so far in each group and whether the step set it."""
+    """Best so far in each group and whether the step set it. Groups of more than LONG_RUN rows are scanned over range partitions."""
+    if _long(series, by):
+        rows, before = prefix_sums(series, by, [F.col(i)], {}, maxima={"_before": F.col(v)}), F.col("_before")
+        return rows.withColumn("best", F.greatest(before, v)).withColumn("is_new_best", before.isNull() | (F.col(v) > before)).drop("_before")
     order = Window.partitionBy(*by).orderBy(i)
     before = F.max(v).over(order.rowsBetween(Window.unboundedPreceding, -1))
     return series.withColumn("best", F.max(v).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("is_new_best", before.isNull() | (F.col(v) > before))
 
 
+def _near(series: DataFrame, by: str, i: str, back: int, columns: Mapping[str, Callable[[WindowSpec], Column]]) -> DataFrame:
+    """Columns over windows of at most ``back`` steps before each."""
+    if _long(series, [by]):
+        return bounded_windows(series, [by], [F.col(i)], back, 0, columns)
+    return series.withColumns({n: f(Window.partitionBy(by).orderBy(i)) for n, f in columns.items()})
+
+
 def rolling_mean(series: DataFrame, n: int = 5, by: str = "run_id", i: str = "i", v: str = "v") -> DataFrame:
-    return series.withColumn("rolling_mean", F.avg(v).over(Window.partitionBy(by).orderBy(i).rowsBetween(-(n - 1), 0)))
+    """Mean of the last n values, the step's own among them."""
+    return _near(series, by, i, n - 1, {"rolling_mean": lambda w: F.avg(v).over(w.rowsBetween(-(n - 1), 0))})
 
 
 def entropy_gain(series: DataFrame, by: str = "run_id", i: str = "i", v: str = "v") -> DataFrame:
     """Difference to the step before, 0 for the first."""
-    return series.withColumn("gain", F.coalesce(F.col(v) - F.lag(v).over(Window.partitionBy(by).orderBy(i)), F.lit(0.0)))
+    return _near(series, by, i, 1, {"gain": lambda w: F.coalesce(F.col(v) - F.lag(v).over(w), F.lit(0.0))})
 
 
 def last_n_history(events: DataFrame, n: int = 100, name: str | None = None, by: Sequence[str] = (), ts: str = "ts", key: str = "event_id", name_col: str = "name") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from selectra.functions.scores import clamp, ratio
-from selectra.sources.scratch import matched, prefix_sums
+from selectra.sources.scratch import matched, prefix_sums, whole_row
 
 INF = float("inf")
 
@@ -252,7 +252,10 @@ def invariant_score(df: DataFrame, invariants: Sequence[Invariant], penalty: flo
 
 
 def profile_table(df: DataFrame) -> DataFrame:
-    """One row per column: type, counts, minimum, maximum, mean and deviation; one pass."""
+    """One row per column: type, counts, minimum, maximum, mean, deviation and quartiles; one pass.
+
+    Quartiles are values of the column whose rank is off by at most a ten-thousandth of the rows; sketches of them are merged.
+    """
     numeric = {f.name for f in df.schema if f.dataType.typeName() in ("integer", "long", "double", "float", "short", "byte", "decimal")}
     one = []
     for f in df.schema:
@@ -261,8 +264,14 @@ def profile_table(df: DataFrame) -> DataFrame:
         one.append(F.struct(
             F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.count(F.lit(1)).alias("n"), F.count(c).alias("n_set"),
             F.min(number).alias("min"), F.max(number).alias("max"), F.avg(number).alias("mean"), F.stddev_samp(number).alias("std"),
+            F.percentile_approx(number, [0.25, 0.5, 0.75], 10_000).alias("quartiles"),
         ))
-    return df.agg(F.array(*one).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    return df.agg(F.array(*one).alias("p")).select(F.explode("p").alias("p")).select("p.*").withColumns({f"p{25 * k}": F.get("quartiles", k - 1) for k in (1, 2, 3)}).drop("quartiles")
+
+
+def table_sample(df: DataFrame, order: Sequence[Column], n: int = 5) -> DataFrame:
+    """The first ``n`` rows in the order given, for a profile; ties are settled by the whole row."""
+    return df.withColumn("_row", whole_row()).orderBy(*order, "_row").limit(n).drop("_row")
 
 
 #: Extension hooks (start, row, end): functions DataFrame -> DataFrame.

@@ -39,6 +39,15 @@ def stream_generation_metrics(spark: SparkSession, d: str) -> DataFrame:
     return st.run_once(st.stream_generation_metrics(rows, "purchase"))
 
 
+@query("SELECT event_id, g::INT AS \"group\", round(CASE g WHEN 0 THEN value ELSE -value END, 4) AS best FROM events, (VALUES (0), (7)) t(g) WHERE event_type = 'purchase' AND value IS NOT NULL")
+def stream_group_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Each event's value as the score of group 0 and negated as that of group 7; a third group's doesn't parse."""
+    scores = F.to_json(F.create_map(F.lit("0"), F.col("value").cast("string"), F.lit("7"), (-F.col("value")).cast("string"), F.lit("8"), F.lit("n/a")))
+    rows = _events(spark, d).select("event_id", "name", F.create_map(F.lit("island_scores"), scores).alias("payload"))
+    out = st.run_once(st.stream_group_scores(rows, "purchase"))
+    return out.select("event_id", "group", F.round("best", 4).alias("best"))
+
+
 @query("SELECT 'all' AS handler, count(*) AS n FROM events UNION ALL SELECT 'large', count(*) FROM events WHERE value >= 20 UNION ALL SELECT 'failed:broken', 1")
 def stream_fanout(spark: SparkSession, d: str) -> DataFrame:
     one, two, errors = (scratch_path(spark, name) for name in ("all", "large", "errors"))
@@ -71,6 +80,17 @@ def stream_control_state(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", "event_id", "state")
 
 
+@query("""SELECT user_id, event_id, coalesce(drained, '') AS drained FROM (
+  SELECT user_id, max(event_id) FILTER (event_type = 'purchase') AS event_id, string_agg(event_type, ',' ORDER BY ts, event_id) FILTER (event_type <> 'purchase') AS drained
+  FROM (SELECT *, count_if(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM events) e
+  GROUP BY user_id, coalesce(g, 0)) t WHERE event_id IS NOT NULL""")
+def stream_drain(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases drain what the user did since the last one."""
+    command = F.when(F.col("name") == "purchase", "drain").otherwise(F.col("name"))
+    out = st.run_fold(st.drain_fold("user_id"), _rows(spark, d).withColumn("command", command))
+    return out.filter("drained IS NOT NULL").select("user_id", "event_id", F.array_join("drained", ",").alias("drained"))
+
+
 BREAKER = """WITH RECURSIVE calls AS MATERIALIZED (
   SELECT event_type AS backend, event_id AS call_id, value >= 5 AS ok, epoch_us(ts) / 1000000 AS tick, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
 fold AS (

@@ -61,6 +61,12 @@ def write_run_bundle(tables: Mapping[str, DataFrame], path: str, run_id: str) ->
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path}/{name}")
 
 
+def write_run_bundles(tables: Mapping[str, DataFrame], path: str, run: str = "run_id") -> None:
+    """Each table below path/<name>/<run>=...: the bundles of all runs in its rows, in one job a table. Runs written again are replaced."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).parquet(f"{path}/{name}")
+
+
 def snapshot_write(df: DataFrame, path: str, run_id: str, generation: int) -> None:
     rows = df.withColumn("run_id", F.lit(run_id)).withColumn("generation", F.lit(generation))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("run_id", "generation").parquet(path)
@@ -114,13 +120,21 @@ def retention_plan(files: DataFrame, keep_last: int, oldest: Column, ts: str = "
 
 
 def read_corpus(spark: SparkSession, root: str, extensions: Sequence[str] = ("txt",), max_files: int | None = None) -> DataFrame:
-    """(path, text) of all files below ``root`` with one of the extensions, in path order; unreadable files are left out."""
+    """(path, text) of all files below ``root`` with one of the extensions, in path order; unreadable files are left out (``unreadable_files`` tells which)."""
     glob = "*.{" + ",".join(extensions) + "}" if len(extensions) > 1 else f"*.{extensions[0]}"
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(root, wholetext=True)
     rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return rows if max_files is None else rows.orderBy("path").limit(max_files)
 
 
+def unreadable_files(spark: SparkSession, root: str, extensions: Sequence[str] = ("txt",)) -> DataFrame:
+    """(path, length) of the files that ``read_corpus`` leaves out since they can't be read or decompressed. Listing reads no contents."""
+    glob = "*.{" + ",".join(extensions) + "}" if len(extensions) > 1 else f"*.{extensions[0]}"
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    listed = listed.select(F.col("_metadata.file_path").alias("path"), "length").filter("length > 0")
+    return listed.join(read_corpus(spark, root, extensions).select("path"), "path", "left_anti")
+
+
 #: What stands between two sources of a merged text.
 RULE = "\n\n---\n\n"
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,3 +76,28 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums:
 def numbered(df: DataFrame, order: list[Column], out: str = "row_no") -> DataFrame:
     """0-based row numbers in the order given."""
     return prefix_sums(df, [], order, {out: F.lit(1).cast("long")})
+
+
+def bounded_windows(df: DataFrame, by: Sequence[str], order: Sequence[Column], before: int, after: int, columns: Mapping[str, Callable[[WindowSpec], Column]]) -> DataFrame:
+    """Adds columns computed over windows that reach at most ``before`` rows back and ``after`` rows on in their group.
+
+    Rows are dealt by range of (group, order). A group that lies in several partitions lends each of them the rows next to
+    its own, so no group is one task; other groups move nothing more. The order should be total. Each of ``columns``
+    gets the group's ordered window and sets its own frame within the bounds.
+    """
+    by = list(by)
+    parts = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
+    parts = cut(parts.withColumn("_place", F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)).cast("long")), "parts")
+    # One row for each partition of a group that is in more than one: at most two a partition.
+    runs = parts.groupBy(*by, "_part").agg(F.max("_place").alias("_rows"))
+    group = Window.partitionBy(*by)
+    runs = runs.withColumn("_ahead", F.coalesce(F.sum("_rows").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    runs = runs.withColumn("_in", F.count(F.lit(1)).over(group)).filter(F.col("_in") > 1).drop("_in")
+    borders = matched(parts.filter((F.col("_place") <= after) | F.lit(before > 0)), runs, [*by, "_part"])
+    borders = borders.filter((F.col("_place") <= after) | (F.col("_place") > F.col("_rows") - before)).withColumn("_row", F.col("_place") + F.col("_ahead"))
+    other = runs.select(*by, F.col("_part").alias("_to"), F.col("_ahead").alias("_first"), (F.col("_ahead") + F.col("_rows")).alias("_last"))
+    row, first, last = F.col("_row"), F.col("_first"), F.col("_last")
+    lent = matched(borders, other, by).filter((row <= first) & (row > first - before) | (row > last) & (row <= last + after))
+    rows = parts.select("_part", *df.columns, F.lit(True).alias("_own")).unionByName(lent.select(F.col("_to").alias("_part"), *df.columns, F.lit(False).alias("_own")))
+    window = Window.partitionBy("_part", *by).orderBy(*order)
+    return rows.withColumns({n: f(window) for n, f in columns.items()}).filter("_own").drop("_own", "_part")

@@ -50,6 +50,19 @@ def stream_generation_metrics(stream: DataFrame, event: str = "GenerationComplet
     return rows.select(*keep, field("best_score", "double", 0.0), field("diversity", "double", 0.0), field("pareto_size", "int", 0))
 
 
+def stream_group_scores(stream: DataFrame, event: str = "GenerationCompleted", name: str = "name", payload: str = "payload", key: str = "island_scores") -> DataFrame:
+    """Dashboard rows of the groups in one kind of event: a row (group, best) for each entry of the payload's JSON object ``key``.
+
+    Group numbers or scores that do not parse leave no row; neither do events without the object.
+    """
+    rows = stream.filter(F.col(name) == event)
+    keep = [c for c in rows.columns if c not in (payload, name)]
+    scores = F.from_json(F.try_element_at(F.col(payload), F.lit(key)), "map<string,string>")
+    rows = rows.select(*keep, F.explode(scores).alias("_group", "_best"))
+    rows = rows.select(*keep, F.col("_group").try_cast("int").alias("group"), F.col("_best").try_cast("double").alias("best"))
+    return rows.filter(F.col("group").isNotNull() & F.col("best").isNotNull())
+
+
 def stream_fanout(stream: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], errors: str):
     """A foreachBatch writer that gives every handler each batch; a failing handler leaves a row in ``errors`` and stops no other."""
 
@@ -197,6 +210,23 @@ def stream_control_state(stream: DataFrame, by: str = "run_id", command: str = "
     return control_fold(by, command, ts, seq).stream(stream)
 
 
+def drain_fold(by: str = "run_id", command: str = "command", ts: str = "ts", seq: str = "event_id", drain: str = "drain") -> Fold:
+    """The queue of commands of each key: a ``drain`` row takes all commands since the one before, in order; ``drained`` is null for
+    other rows and empty where nothing waits. Commands that no drain takes stay in the key's state."""
+
+    def step(value: tuple, row: dict):
+        queue = list(value[0])
+        if row["command"] == drain:
+            return ([],), (int(row["seq"]), queue)
+        return ([*queue, row["command"]],), (int(row["seq"]), None)
+
+    return Fold(by, seq, {"command": ("string", F.col(command))}, f"{seq} long, drained array<string>", "queue array<string>", ([],), step, ts)
+
+
+def stream_drain(stream: DataFrame, by: str = "run_id", command: str = "command", ts: str = "ts", seq: str = "event_id", drain: str = "drain") -> DataFrame:
+    return drain_fold(by, command, ts, seq, drain).stream(stream)
+
+
 def circuit_fold(by: str = "backend", ok: str = "ok", ts: str = "ts", seq: str = "call_id", fails: int = 5, cooldown: float = 30.0) -> Fold:
     """Breaker state after each call: open after consecutive failures, half-open after the cooldown of event time, closed by a success. A null ``ok`` is a failure."""
 

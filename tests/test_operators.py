@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from selectra.functions import scores, texts
 from selectra.operators import archive, corpus, groups, lineage, pareto, quality, registry, series, stats
 from selectra.sources import io
-from selectra.sources.scratch import numbered, prefix_sums, scratch_path
+from selectra.sources.scratch import bounded_windows, numbered, prefix_sums, scratch_path
 from selectra.streaming import events as streams
 
 INF = float("inf")
@@ -677,3 +677,74 @@ def test_prefix_maxima(spark):
     for g, i, _ in data:
         before = [x for h, k, x in data if h == g and k < i]
         assert got[i] == (len(before), max((x for x in before if x is not None), default=None))
+
+
+def plain_row(row):
+    return tuple(None if x is None or x != x else round(x, 9) if isinstance(x, float) else x for x in row)
+
+
+def test_windows_of_long_runs(spark, monkeypatch):
+    """Runs spread over tasks give what windows in one task give; null runs and values too."""
+    rng = random.Random(5)
+    data = [(run, k, None if rng.random() < 0.1 else round(rng.random() + (50 if k % 40 in (20, 21) else 0), 3)) for run, n in (("a", 130), ("b", 3), (None, 60), ("c", 1)) for k in range(n)]
+    df = spark.createDataFrame(data, "run_id string, i long, v double").repartition(5)
+    forms = [series.tipping_points, lambda d: series.running_best(d, ["run_id"], "i", "v"), lambda d: series.rolling_mean(d, 7), series.entropy_gain]
+    want = [sorted(map(plain_row, f(df).collect()), key=repr) for f in forms]
+    assert len(want[0]) > 3 and all(len(w) == len(data) for w in want[1:])
+    monkeypatch.setattr(series, "LONG_RUN", 2)
+    for f, expected in zip(forms, want, strict=True):
+        assert sorted(map(plain_row, f(df).collect()), key=repr) == expected
+    assert series.rolling_mean(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("before", "after"), [(0, 0), (2, 0), (0, 3), (25, 40)])
+def test_bounded_windows_reach_over_partitions(spark, before, after):
+    """Windows wider than a partition's share of a group, too: partitions of few rows lend to several others."""
+    data = [(k % 2 or None, k) for k in range(160)]
+    df = spark.createDataFrame(data, "g int, i int").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = bounded_windows(df, ["g"], [F.col("i")], before, after, {"near": lambda w: F.collect_list("i").over(w.rowsBetween(-before, after))}).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found) == 160
+    for r in found:
+        assert r["near"] == [i for g, i in data if g == r["g"] and r["i"] - 2 * before <= i <= r["i"] + 2 * after]
+
+
+def test_drains_take_what_came_since_the_last(spark):
+    data = [("r", k, None, c) for k, c in enumerate(["pause", "stop", "drain", "drain", "resume", "drain", "pause"])]
+    data = [(r, k, f"2024-01-01 00:{k:02d}:00", c) for r, k, _, c in data]
+    df = spark.createDataFrame(data, "run_id string, event_id long, ts string, command string").withColumn("ts", F.col("ts").cast("timestamp"))
+    want = [(2, ["pause", "stop"]), (3, []), (5, ["resume"])]
+    fold = streams.drain_fold()
+    assert [(r["event_id"], r["drained"]) for r in fold.batch(df).filter("drained IS NOT NULL").orderBy("event_id").collect()] == want
+    got = streams.run_fold(fold, df, 3).filter("drained IS NOT NULL").orderBy("event_id").collect()
+    assert [(r["event_id"], r["drained"]) for r in got] == want
+
+
+def test_group_scores_that_do_not_parse_leave_no_row(spark):
+    data = [(1, "GenerationCompleted", {"island_scores": '{"0": 1.5, "x": 2, "3": "n/a", "4": null}'}), (2, "GenerationCompleted", {"island_scores": "[1"}), (3, "GenerationCompleted", {}), (4, "Other", {"island_scores": '{"0": 1}'}), (5, "GenerationCompleted", None)]
+    df = spark.createDataFrame(data, "event_id long, name string, payload map<string,string>")
+    assert rows(streams.stream_group_scores(df), "event_id", "group", "best") == [(1, 0, 1.5)]
+
+
+def test_profile_quartiles(spark):
+    df = spark.range(1, 1002).withColumn("s", F.lit("x"))
+    got = {r["column"]: (r["p25"], r["p50"], r["p75"]) for r in stats.profile_table(df).collect()}
+    assert got["id"] == (251.0, 501.0, 751.0) and got["s"] == (None, None, None)
+
+
+def test_unreadable_files_are_told(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "good.txt").write_text("one\ntwo")
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "packed.txt.gz").write_bytes(gzip.compress(b"three"))
+    (tmp_path / "broken.txt.gz").write_bytes(gzip.compress(b"four" * 1000)[:-20] + b"broken")
+    got = [r["path"].rsplit("/", 1)[1] for r in io.unreadable_files(spark, str(tmp_path), ("txt", "gz")).collect()]
+    assert got == ["broken.txt.gz"]
+    assert "three" in {r["text"] for r in io.read_corpus(spark, str(tmp_path), ("txt", "gz")).collect()}
