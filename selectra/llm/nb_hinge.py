@@ -9,7 +9,7 @@ training rows drawn by digest (a documented bound), and its margins are turned i
 probabilities on a fifth of that sample that the fit does not see.
 
 Defined cases: null texts are empty; an empty text has no indicators and gets the
-intercept's score; with fewer than two classes every score is the share of label 1
+intercept's score; a null id is in no fold (the query's held_out is null); with fewer than two classes every score is the share of label 1
 (0.5 without labels); ids may be null or repeat; other columns pass through.
 """
 
