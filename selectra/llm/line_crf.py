@@ -4,8 +4,9 @@ Each line of a text is content or boilerplate. A linear-chain conditional random
 field over simple line features is decoded with Viterbi; the share of a text's words
 that lie in content lines decides whether it stays. The field is trained here, on a
 sample of at most ``SAMPLE_DOCS`` labelled documents drawn by digest and at most
-``SAMPLE_LINES`` lines in a row of each (documented bounds; everything else reads
-every whole text). Only documents are labelled, so the lines' labels are found by hard
+``SAMPLE_LINES`` lines in a row of each (documented bounds, met in expectation by the
+draw; where ids repeat, at most twice as many rows; everything else reads every whole
+text). Only documents are labelled, so the lines' labels are found by hard
 expectation-maximisation: lines first take their document's label and are told apart
 by their features alone; then, in turn, every sampled document is decoded under the
 condition that content holds at least ``SHARE`` of its words if it is labelled 1 and
