@@ -317,9 +317,10 @@ def crowding_distance(df: DataFrame, dims: Sequence[str] = CROWDING_DIMS, rank_c
     """Adds crowding: infinite at the ends of a dimension, else the sum of neighbour gaps over ranges.
 
     With ``skip_flat`` a dimension of range below 1e-9 adds nothing; without it its ends are infinite too.
+    A null has no place in its dimension: it is no end there, no neighbour, and adds nothing.
     """
     keys = [*by, rank_col]
-    long = df.select(id_col, *keys, *[F.col(c).cast("double").alias(c) for c in dims]).unpivot([id_col, *keys], list(dims), "dim", "value")
+    long = df.select(id_col, *keys, *[F.col(c).cast("double").alias(c) for c in dims]).unpivot([id_col, *keys], list(dims), "dim", "value").filter("value IS NOT NULL")
     keys.append("dim")
     # Range partitions in the order wanted: neighbours are next to each other but for the borders, which a row a partition and group tells.
     dealt = long.repartitionByRange(*keys, "value", id_col).withColumn("_part", F.spark_partition_id())
@@ -342,7 +343,7 @@ def crowding_distance(df: DataFrame, dims: Sequence[str] = CROWDING_DIMS, rank_c
     gap = F.when(before.isNull() | after.isNull(), F.when(flat, 0.0).otherwise(end) if skip_flat else end).otherwise(inner)
     gap = F.when(F.col("_all") <= 2, end).otherwise(gap)
     distances = long.withColumn("gap", gap).groupBy(id_col).agg(F.sum("gap").alias("crowding"))
-    return df.join(distances, id_col)
+    return df.join(distances, id_col, "left").withColumn("crowding", F.coalesce("crowding", F.lit(0.0)))
 
 
 def nsga2_select(df: DataFrame, k: int, objectives: Mapping[str, str] = OBJECTIVES, dims: Sequence[str] = CROWDING_DIMS, by: Sequence[str] = (), max_fronts: int | None = None, id_col: str = "id") -> DataFrame:

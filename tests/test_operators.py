@@ -748,3 +748,10 @@ def test_unreadable_files_are_told(spark, tmp_path):
     got = [r["path"].rsplit("/", 1)[1] for r in io.unreadable_files(spark, str(tmp_path), ("txt", "gz")).collect()]
     assert got == ["broken.txt.gz"]
     assert "three" in {r["text"] for r in io.read_corpus(spark, str(tmp_path), ("txt", "gz")).collect()}
+
+
+def test_crowding_leaves_nulls_out(spark):
+    data = [(k, 0, float(k), None if k in (0, 4) else float(k)) for k in range(5)] + [(9, 0, None, None)]
+    df = spark.createDataFrame(data, "id long, front_rank int, x double, y double")
+    got = {r["id"]: r["crowding"] for r in pareto.crowding_distance(df, ["x", "y"]).collect()}
+    assert got == {0: INF, 1: INF, 2: 0.5 + 1.0, 3: INF, 4: INF, 9: 0.0}
