@@ -23,6 +23,8 @@ ROUNDS = 16
 #: Shortcuts are doubled while they stay below this many, or below MOST_TIMES the edges or the rows found so far.
 MOST_SHORTCUTS = 1_000_000
 MOST_TIMES = 4
+#: Steps that neighbourhoods grow around the nodes of a pair before shortcuts are made for the pairs that haven't met.
+NEAR = 8
 
 
 def _doubled(jump: DataFrame, most: int, name: str) -> DataFrame | None:
@@ -122,11 +124,46 @@ def lineage_stats(nodes: DataFrame, edges: DataFrame, id_col: str = "id", max_de
 
 
 def genealogical_distance(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None, parent: str = "parent_id", child: str = "child_id") -> DataFrame:
-    """pairs (a, b) with their undirected distance; 0 for themselves, null if not connected (within max_hops, if given)."""
-    both = edges.select(F.col(parent).alias("src"), F.col(child).alias("dst"))
-    both = both.unionByName(edges.select(F.col(child).alias("src"), F.col(parent).alias("dst")))
-    found = reach(both, pairs.select("a"), max_hops)
-    out = pairs.join(found.select(F.col("seed").alias("a"), F.col("node").alias("b"), "level"), ["a", "b"], "left")
+    """pairs (a, b) with their undirected distance; 0 for themselves, null if not connected (within max_hops, if given) or one is null.
+
+    Neighbourhoods grow around both nodes until they meet, a step a round, so a pair sees half of the way from either side.
+    A step from a sphere leads into itself, the one before or the next, hence only the last two are kept. A pair that has met
+    leaves, as does one with a side that has no node left. Pairs that are farther apart than 2 * NEAR and lie in one component
+    take the shortcuts of ``reach``.
+    """
+    ends = [F.col(parent).alias("src"), F.col(child).alias("dst")]
+    one_way = edges.select(*ends).filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
+    links = cut(one_way.unionByName(one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
+    unmet = cut(pairs.select("a", "b").filter("a <> b").distinct(), "unmet")
+    sides = lambda rows: rows.select(F.col("a").alias("seed")).unionByName(rows.select(F.col("b").alias("seed"))).distinct()
+    sphere = sides(unmet).withColumn("node", F.col("seed"))
+    before, found = sphere.limit(0), []
+    for turn in range(1, NEAR + 1):
+        if max_hops is not None and 2 * turn - 1 > max_hops or unmet.isEmpty():
+            break
+        ahead = sphere.join(links, sphere["node"] == links["src"]).select("seed", F.col("dst").alias("node")).distinct()
+        ahead = cut(ahead.join(before.unionByName(sphere), ["seed", "node"], "left_anti"), f"sphere{turn}")
+        around_b = sphere.withColumn("level", F.lit(2 * turn - 1)).unionByName(ahead.withColumn("level", F.lit(2 * turn)))
+        around_a = unmet.join(ahead.withColumnRenamed("seed", "a"), "a")
+        met = around_a.join(around_b.withColumnRenamed("seed", "b"), ["b", "node"]).groupBy("a", "b").agg(F.min("level").alias("level"))
+        met = cut(met if max_hops is None else met.filter(F.col("level") <= max_hops), f"met{turn}")
+        found.append(met)
+        going = ahead.select("seed").distinct()
+        unmet = unmet.join(met, ["a", "b"], "left_anti").join(going.withColumnRenamed("seed", "a"), "a", "left_semi").join(going.withColumnRenamed("seed", "b"), "b", "left_semi")
+        unmet = cut(unmet.select("a", "b"), f"unmet{turn}")
+        # Only what the pairs left need goes on.
+        before, sphere = sphere, ahead.join(sides(unmet), "seed", "left_semi")
+    else:
+        if (max_hops is None or max_hops > 2 * NEAR) and not unmet.isEmpty():
+            part = cut(components(links, "src", "dst"), "components")
+            rest = unmet.join(part.select(F.col("id").alias("a"), F.col("component").alias("_of_a")), "a").join(part.select(F.col("id").alias("b"), F.col("component").alias("_of_b")), "b")
+            rest = cut(rest.filter("_of_a = _of_b").select("a", "b"), "far")
+            if not rest.isEmpty():
+                far = reach(links, rest.select("a"), max_hops).withColumnsRenamed({"seed": "a", "node": "b"})
+                found.append(far.join(rest, ["a", "b"], "left_semi").select("a", "b", "level"))
+    if not found:
+        return pairs.withColumn("distance", F.when(F.col("a") == F.col("b"), 0))
+    out = pairs.join(reduce(DataFrame.unionByName, found), ["a", "b"], "left")
     return out.withColumn("distance", F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("level"))).drop("level")
 
 

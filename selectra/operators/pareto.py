@@ -1,6 +1,6 @@
 """Multi-objective selection: dominance, Pareto fronts, crowding, tournaments, tiers.
 
-Objectives are given as {column: "max" or "min"}. Null objectives count as worst.
+Objectives are given as {column: "max" or "min"}. Null objectives and those that are not a number count as worst.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ INF = float("inf")
 BLOCK = 1024
 #: Vectors of a group that one task reduces to their skyline.
 MERGE = 20_000
+#: Cells of a group's grid at most.
+MOST_CELLS = 4_096
+#: Cut points of all groups' grids that are broadcast (doubles).
+MOST_CUTS = 1_000_000
 #: Winners of dominance that are broadcast.
 MOST_WINNERS = 10_000
 #: Distinct vectors of a group that one task ranks at a time.
@@ -36,7 +40,7 @@ BLOCK_ROWS = 250_000
 def _signed(name: str, sense: str) -> Column:
     """The objective so that less is better."""
     value = F.col(name).cast("double")
-    return F.coalesce(-value if sense == "max" else value, F.lit(INF))
+    return F.coalesce(F.nanvl(-value if sense == "max" else value, F.lit(INF)), F.lit(INF))
 
 
 def skyline(points: np.ndarray) -> np.ndarray:
@@ -114,32 +118,84 @@ def _reduced(vectors: DataFrame, values: list[str], by: list[str]) -> DataFrame:
     return _held_against(front, values, by, left, one)
 
 
+def _cell_pairs(cells: pd.DataFrame, steps: int, n_axes: int, whole: bool) -> pd.DataFrame:
+    """(_group, _cell, _other) of a group's cells that stay and the cells, itself among them, with no greater coordinate.
+
+    A bitmap of the grid marks the cells with rows; or-ed up along every axis it tells which cells have one below them in
+    every coordinate. Those are dominated as a whole, if the grid has ``whole`` vectors.
+    """
+    codes = cells["_cell"].to_numpy()
+    at = np.stack(np.unravel_index(codes, (steps,) * n_axes))
+    if whole and len(codes) > 1:
+        below = np.zeros((steps,) * n_axes, bool)
+        below[tuple(at)] = True
+        for axis in range(n_axes):
+            np.logical_or.accumulate(below, axis=axis, out=below)
+        stays = (at == 0).any(0) | ~below[tuple(np.maximum(at - 1, 0))]
+        codes, at = codes[stays], at[:, stays]
+    own, other = [], []
+    for k in range(0, len(codes), BLOCK):
+        able = np.ones((len(codes[k:k + BLOCK]), len(codes)), bool)
+        for axis in at:
+            able &= axis[None, :] <= axis[k:k + BLOCK, None]
+        i, j = np.nonzero(able)
+        own.append(codes[k + i])
+        other.append(codes[j])
+    return pd.DataFrame({"_group": cells["_group"].iloc[0], "_cell": np.concatenate(own), "_other": np.concatenate(other)})
+
+
 def _held_against(front: DataFrame, values: list[str], by: list[str], largest: int, one: Callable) -> DataFrame:
-    """Skyline of large groups without a task that sees a whole group: a vector goes if another block holds one that dominates it."""
-    salt = F.pmod(F.xxhash64(*values), F.lit(-(-largest // MERGE)))
-    front = cut(front.withColumn("_salt", salt).groupBy(*by, "_salt").applyInPandas(one, _with(front.schema, "_salt")), "blocked")
-    blocks = front.groupBy(*by, "_salt").agg(F.collect_list(F.struct(*values)).alias("_rows"), *[F.min(v).alias(f"_min{i}") for i, v in enumerate(values)], *[F.max(v).alias(f"_max{i}") for i, v in enumerate(values)])
-    blocks = cut(blocks, "blocks")
-    names = [f"_g{i}" for i in range(len(by))]
-    others = blocks.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col("_salt").alias("_other"), F.col("_rows").alias("_rivals"), *[F.col(f"_min{i}").alias(f"_low{i}") for i in range(len(values))])
-    # Only blocks whose least corner dominates another's greatest can hold rivals.
-    able = reduce(lambda x, y: x & y, [blocks[c].eqNullSafe(others[n]) for c, n in zip(by, names, strict=True)] + [F.col(f"_low{i}") <= F.col(f"_max{i}") for i in range(len(values))])
-    pairs = blocks.join(others, able & (F.col("_salt") != F.col("_other")))
-
-    def beaten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, row in batch.iterrows():
-                mine, rivals = (np.array([[r[v] for v in values] for r in row[c]]) for c in ("_rows", "_rivals"))
-                gone = np.zeros(len(mine), bool)
-                for k in range(0, len(rivals), BLOCK):
-                    block = rivals[k:k + BLOCK, None, :]
-                    for j in range(0, len(mine), BLOCK):
-                        gone[j:j + BLOCK] |= (block <= mine[None, j:j + BLOCK]).all(2).any(0)
-                yield pd.DataFrame(mine[gone], columns=values).assign(**{c: row[c] for c in by})[[*by, *values]]
-
-    lost = pairs.select(*by, "_rows", "_rivals").mapInPandas(beaten, front.select(*by, *values).schema).distinct()
-    same = reduce(lambda x, y: x & y, [front[c].eqNullSafe(lost[c]) for c in [*by, *values]])
-    return front.drop("_salt").join(lost, same, "left_anti")
+    """Skyline of large groups without a task that sees a whole group.
+
+    Quantiles of every objective cut a group into a grid. Cells dominated by another as a whole go before rows are compared. A
+    cell meets only the cells with no greater coordinate, and of their rows only those below its own greatest corner; they
+    are dealt in portions of about MERGE rows. Cells of more than MERGE rows are parted by hash, and their parts meet too.
+    """
+    axes = values[:int(np.log2(MOST_CELLS))]
+    steps = min(int(MOST_CELLS ** (1 / len(axes)) + 1e-9), 1 + int((16 * largest / MERGE) ** (1 / max(1, len(axes) - 1))))
+    shares = F.array(*[F.lit(k / steps) for k in range(1, steps)])
+    cuts = [F.when(F.count(F.lit(1)) > MERGE, F.array_distinct(F.percentile_approx(v, shares, 1000))).otherwise(F.array().cast("array<double>")).alias(f"_cuts{i}") for i, v in enumerate(axes)]
+    groups = cut(front.groupBy(*by).agg(*cuts).withColumn("_group", F.monotonically_increasing_id()), "grids")
+    few = groups.count() * len(axes) * steps <= MOST_CUTS
+    # Equal values never part: the coordinate is the number of cuts below the value.
+    code = F.lit(0).cast("long")
+    for i, v in enumerate(axes):
+        code = code * steps + F.size(F.expr(f"filter(_cuts{i}, c -> c < {v})"))
+    rows = cut(matched(front, F.broadcast(groups) if few else groups, by).withColumn("_cell", code).drop(*[f"_cuts{i}" for i in range(len(axes))]), "cells")
+    sizes = cut(rows.groupBy("_group", "_cell").agg(F.count(F.lit(1)).alias("_size")), "sizes")
+    whole, n_axes = len(axes) == len(values), len(axes)
+    pairs = cut(sizes.groupBy("_group").applyInPandas(lambda cells: _cell_pairs(cells, steps, n_axes, whole), "_group long, _cell long, _other long"), "pairs")
+
+    live = sizes.join(pairs.filter("_cell = _other").select("_group", "_cell"), ["_group", "_cell"], "left_semi")
+    parts = rows.join(live, ["_group", "_cell"]).withColumn("_part", F.pmod(F.xxhash64(*values), F.ceil(F.col("_size") / MERGE))).drop("_size")
+    parts = cut(parts.groupBy("_group", "_cell", "_part").applyInPandas(one, parts.schema), "parts")
+    n = range(len(values))
+    units = cut(parts.groupBy("_group", "_cell", "_part").agg(F.count(F.lit(1)).alias("_size"), *[F.min(v).alias(f"_low{i}") for i, v in enumerate(values)], *[F.max(v).alias(f"_top{i}") for i, v in enumerate(values)]), "units")
+    others = units.select("_group", F.col("_cell").alias("_other"), F.col("_part").alias("_at"), "_size", *[f"_low{i}" for i in n])
+    # Numbers and corners only: the rows follow once it is known who meets whom.
+    able = reduce(lambda x, y: x & y, [F.col(f"_low{i}") <= F.col(f"_top{i}") for i in n])
+    meets = pairs.join(units.select("_group", "_cell", "_part", *[f"_top{i}" for i in n]), ["_group", "_cell"]).join(others, ["_group", "_other"])
+    meets = meets.filter(able & ((F.col("_cell") != F.col("_other")) | (F.col("_part") != F.col("_at"))))
+    so_far = F.sum("_size").over(Window.partitionBy("_group", "_cell", "_part").orderBy("_other", "_at").rowsBetween(Window.unboundedPreceding, 0))
+    meets = cut(meets.withColumn("_portion", F.floor((so_far - 1) / MERGE)), "meets")
+    meeting = ["_group", "_cell", "_part", "_portion"]
+    rivals = parts.select("_group", F.col("_cell").alias("_other"), F.col("_part").alias("_at"), *values).join(meets, ["_group", "_other", "_at"])
+    rivals = rivals.filter(reduce(lambda x, y: x & y, [F.col(v) <= F.col(f"_top{i}") for i, v in enumerate(values)])).select(*meeting, *values, F.lit(False).alias("_mine"))
+    held = parts.select("_group", "_cell", "_part", *values).join(meets.select(*meeting).distinct(), ["_group", "_cell", "_part"]).select(*meeting, *values, F.lit(True).alias("_mine"))
+
+    def beaten(met: pd.DataFrame) -> pd.DataFrame:
+        mine = met[met["_mine"]]
+        points, rivals = mine[values].to_numpy(float), met.loc[~met["_mine"], values].to_numpy(float)
+        gone = np.zeros(len(points), bool)
+        for j in range(0, len(points), BLOCK):
+            block = points[j:j + BLOCK]
+            able = rivals[(rivals <= block.max(0)).all(1)]
+            for k in range(0, len(able), BLOCK):
+                gone[j:j + BLOCK] |= (able[k:k + BLOCK, None, :] <= block[None]).all(2).any(0)
+        return mine.loc[gone, ["_group", *values]]
+
+    lost = rivals.unionByName(held).groupBy(*meeting).applyInPandas(beaten, rivals.select("_group", *values).schema).distinct()
+    return parts.join(lost, ["_group", *values], "left_anti").select(*by, *values)
 
 
 def pareto_frontier(df: DataFrame, objectives: Mapping[str, str] = OBJECTIVES, by: Sequence[str] = ()) -> DataFrame:

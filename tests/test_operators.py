@@ -3,6 +3,7 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,39 @@ def test_large_frontiers_are_held_against_each_other(spark, monkeypatch):
     assert [i for (i,) in rows(pareto.pareto_frontier(df, {"a": "min", "b": "min", "c": "min"}, ["g"]), "id")] == want
 
 
+@pytest.mark.parametrize("n_objectives", [2, 5])
+def test_frontiers_on_a_grid(spark, monkeypatch, n_objectives):
+    """Anti-correlated vectors of a hot, a null and a small group; one objective with two values, so that cells are parted."""
+    monkeypatch.setattr(pareto, "MERGE", 50)
+    monkeypatch.setattr(pareto, "MOST_CELLS", 64)
+    rng = random.Random(n_objectives)
+    data = []
+    for i in range(1200):
+        v = [rng.randrange(300) for _ in range(n_objectives - 1)]
+        v = [i % 2, *v[:-1], 600 - sum(v) + rng.randrange(3)] if n_objectives == 5 else [*v, 600 - sum(v) + rng.randrange(3)]
+        data.append((i, "hot" if i % 3 else None if i % 2 else f"g{i % 4}", *map(float, v)))
+    data += [(2000 + i, "hot", *d[2:]) for i, d in enumerate(data[:100])]
+    names = [f"o{i}" for i in range(n_objectives)]
+    df = spark.createDataFrame(data, "id long, g string, " + ", ".join(f"{n} double" for n in names)).repartition(7)
+    want = sorted(i for i, g, *v in data if not any(h == g and all(x <= y for x, y in zip(w, v)) and w != v for _, h, *w in data))
+    objectives = dict.fromkeys(names, "min")
+    assert [i for (i,) in rows(pareto.pareto_frontier(df, objectives, ["g"]), "id")] == want
+    alone = sorted(i for i, _, *v in data if not any(all(x <= y for x, y in zip(w, v)) and w != v for _, _, *w in data))
+    assert [i for (i,) in rows(pareto.pareto_frontier(df, objectives), "id")] == alone
+
+
+def test_cells_below_others_are_dropped():
+    cells = pd.DataFrame({"_group": 7, "_cell": [1, 4, 5, 10, 3]})  # (0, 1), (1, 0), (1, 1), (2, 2) and (0, 3) of 4 x 4
+    got = pareto._cell_pairs(cells, 4, 2, True)
+    assert set(zip(got["_cell"], got["_other"])) == {(1, 1), (4, 4), (5, 5), (5, 1), (5, 4), (3, 3), (3, 1)}  # only (2, 2) has a cell below in both
+    assert 10 in set(pareto._cell_pairs(cells, 4, 2, False)["_cell"])
+
+
+def test_objectives_that_are_no_number_count_as_worst(spark):
+    df = spark.createDataFrame([(1, float("nan"), 1.0), (2, 1.0, 1.0), (3, None, 0.5), (4, float("nan"), 0.5)], "id long, x double, y double")
+    assert rows(pareto.pareto_frontier(df, {"x": "max", "y": "min"}), "id") == [(2,), (3,), (4,)]
+
+
 def test_crowding_over_partitions(spark):
     rng = random.Random(4)
     data = [(i, i % 3, float(rng.randrange(40)), rng.random()) for i in range(200)] + [(500, 7, 1.0, 2.0), (501, 7, 1.0, 3.0), (502, None, 1.0, 1.0)]
@@ -156,6 +190,33 @@ def test_lineage_chain(spark):
     assert {(r["a"], r["b"]): r["distance"] for r in lineage.genealogical_distance(edges, pairs).collect()} == {(1, 9): 2, (4, 4): 0, (4, 77): None}
 
 
+@pytest.mark.parametrize("max_hops", [None, 1, 4, 5])
+def test_distances_that_meet_in_the_middle(spark, monkeypatch, max_hops):
+    """Near pairs meet, far ones take shortcuts, others are unconnected; against a breadth-first search."""
+    monkeypatch.setattr(lineage, "NEAR", 2)
+    rng = random.Random(6)
+    links = [(i, i + 1) for i in range(12)] + [(rng.randrange(13, 40), rng.randrange(13, 40)) for _ in range(30)] + [(5, 5), (None, 3), (50, 51), (0, 20), (0, 20)]
+    around = {}
+    for u, v in links:
+        if u is not None:
+            around.setdefault(u, set()).add(v)
+            around.setdefault(v, set()).add(u)
+
+    def hops(a, b):
+        level, seen, at = 0, {a}, {a}
+        while at and b not in at:
+            at = {v for u in at for v in around.get(u, ())} - seen
+            seen |= at
+            level += 1
+        return level if at and (max_hops is None or level <= max_hops) else None
+
+    pairs = [(rng.randrange(52), rng.randrange(52)) for _ in range(120)] + [(0, 12), (12, 0), (12, 0), (50, 51), (99, 99), (None, 1), (1, None), (None, None)]
+    want = sorted(((a, b, None if a is None or b is None else 0 if a == b else hops(a, b)) for a, b in pairs), key=repr)
+    edges, asked = spark.createDataFrame(links, "parent_id long, child_id long"), spark.createDataFrame(pairs, "a long, b long")
+    got = lineage.genealogical_distance(edges, asked, max_hops)
+    assert sorted(((r["a"], r["b"], r["distance"]) for r in got.collect()), key=repr) == want
+
+
 def test_component_coupling(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "c")], "src string, dst string")
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
