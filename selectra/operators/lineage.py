@@ -24,7 +24,9 @@ ROUNDS = 16
 MOST_SHORTCUTS = 1_000_000
 MOST_TIMES = 4
 #: Steps that neighbourhoods grow around the nodes of a pair before shortcuts are made for the pairs that haven't met.
-NEAR = 8
+NEAR = 4
+#: Links times first nodes of pairs that haven't met, up to which unconnected pairs aren't sought out by components first.
+MOST_FLOODED = 100_000_000
 
 
 def _doubled(jump: DataFrame, most: int, name: str) -> DataFrame | None:
@@ -128,8 +130,8 @@ def genealogical_distance(edges: DataFrame, pairs: DataFrame, max_hops: int | No
 
     Neighbourhoods grow around both nodes until they meet, a step a round, so a pair sees half of the way from either side.
     A step from a sphere leads into itself, the one before or the next, hence only the last two are kept. A pair that has met
-    leaves, as does one with a side that has no node left. Pairs that are farther apart than 2 * NEAR and lie in one component
-    take the shortcuts of ``reach``.
+    leaves, as does one with a side that has no node left. Pairs that are farther apart than 2 * NEAR take the shortcuts of
+    ``reach``; where that could find more than MOST_FLOODED rows, only those whose nodes lie in one component.
     """
     ends = [F.col(parent).alias("src"), F.col(child).alias("dst")]
     one_way = edges.select(*ends).filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
@@ -146,21 +148,24 @@ def genealogical_distance(edges: DataFrame, pairs: DataFrame, max_hops: int | No
         around_b = sphere.withColumn("level", F.lit(2 * turn - 1)).unionByName(ahead.withColumn("level", F.lit(2 * turn)))
         around_a = unmet.join(ahead.withColumnRenamed("seed", "a"), "a")
         met = around_a.join(around_b.withColumnRenamed("seed", "b"), ["b", "node"]).groupBy("a", "b").agg(F.min("level").alias("level"))
-        met = cut(met if max_hops is None else met.filter(F.col("level") <= max_hops), f"met{turn}")
-        found.append(met)
         going = ahead.select("seed").distinct()
-        unmet = unmet.join(met, ["a", "b"], "left_anti").join(going.withColumnRenamed("seed", "a"), "a", "left_semi").join(going.withColumnRenamed("seed", "b"), "b", "left_semi")
-        unmet = cut(unmet.select("a", "b"), f"unmet{turn}")
+        turned = unmet.join(met if max_hops is None else met.filter(F.col("level") <= max_hops), ["a", "b"], "left")
+        for side in ("a", "b"):
+            turned = turned.join(going.select(F.col("seed").alias(side), F.lit(True).alias(f"_{side}")), side, "left")
+        turned = cut(turned, f"turn{turn}")
+        found.append(turned.filter("level IS NOT NULL").select("a", "b", "level"))
+        unmet = turned.filter("level IS NULL AND _a AND _b").select("a", "b")
         # Only what the pairs left need goes on.
         before, sphere = sphere, ahead.join(sides(unmet), "seed", "left_semi")
     else:
         if (max_hops is None or max_hops > 2 * NEAR) and not unmet.isEmpty():
-            part = cut(components(links, "src", "dst"), "components")
-            rest = unmet.join(part.select(F.col("id").alias("a"), F.col("component").alias("_of_a")), "a").join(part.select(F.col("id").alias("b"), F.col("component").alias("_of_b")), "b")
-            rest = cut(rest.filter("_of_a = _of_b").select("a", "b"), "far")
-            if not rest.isEmpty():
-                far = reach(links, rest.select("a"), max_hops).withColumnsRenamed({"seed": "a", "node": "b"})
-                found.append(far.join(rest, ["a", "b"], "left_semi").select("a", "b", "level"))
+            if links.count() * unmet.select("a").distinct().count() > MOST_FLOODED:
+                part = cut(components(links, "src", "dst"), "components")
+                for side in ("a", "b"):
+                    unmet = unmet.join(part.select(F.col("id").alias(side), F.col("component").alias(f"_of_{side}")), side)
+                unmet = cut(unmet.filter("_of_a = _of_b").select("a", "b"), "far")
+            far = reach(links, unmet.select("a"), max_hops).withColumnsRenamed({"seed": "a", "node": "b"})
+            found.append(far.join(unmet, ["a", "b"], "left_semi").select("a", "b", "level"))
     if not found:
         return pairs.withColumn("distance", F.when(F.col("a") == F.col("b"), 0))
     out = pairs.join(reduce(DataFrame.unionByName, found), ["a", "b"], "left")

@@ -194,6 +194,7 @@ def test_lineage_chain(spark):
 def test_distances_that_meet_in_the_middle(spark, monkeypatch, max_hops):
     """Near pairs meet, far ones take shortcuts, others are unconnected; against a breadth-first search."""
     monkeypatch.setattr(lineage, "NEAR", 2)
+    monkeypatch.setattr(lineage, "MOST_FLOODED", 10**8 if max_hops else 0)
     rng = random.Random(6)
     links = [(i, i + 1) for i in range(12)] + [(rng.randrange(13, 40), rng.randrange(13, 40)) for _ in range(30)] + [(5, 5), (None, 3), (50, 51), (0, 20), (0, 20)]
     around = {}
