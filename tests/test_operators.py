@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -641,6 +642,32 @@ def test_lsh_leaves_copies_unexpanded(spark):
     assert rows(archive.near_duplicates_lsh(emb), "a", "b") == [(0, k) for k in range(1, 60)]
 
 
+def test_lsh_keys_part_unrelated_vectors(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((3000, 64))
+    near = base[:1000] + 0.02 * rng.standard_normal((1000, 64))
+    both = np.concatenate([base, near])
+    both /= np.linalg.norm(both, axis=1, keepdims=True)
+    emb = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(both)], "vec_id long, vector array<double>")
+    # With a bit for each doubling unrelated vectors seldom share a key; the one bucket of all before held 8 million pairs.
+    signed = archive._signed(emb.select(F.col("vec_id").alias("id"), F.col("vector").alias("v")), 12, 2, 7)
+    sizes = [r["n"] for r in signed.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 8000 and sum(n * (n - 1) // 2 for n in sizes) < 20_000
+    exact, found = rows(archive.near_duplicates(emb), "a", "b"), rows(archive.near_duplicates_lsh(emb), "a", "b")
+    assert len(found) == len(set(found)) and set(found) <= set(exact) and len(found) >= 0.95 * len(exact) == 950
+    # Keys of several blocks.
+    some, block = rng.standard_normal(64), archive.BLOCK
+    close = some + 0.01 * rng.standard_normal((90, 64))
+    close /= np.linalg.norm(close, axis=1, keepdims=True)
+    emb = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(close)], "vec_id long, vector array<double>")
+    try:
+        archive.BLOCK = 16
+        found = rows(archive.near_duplicates_lsh(emb), "a", "b")
+    finally:
+        archive.BLOCK = block
+    assert sorted(found) == [(a, b) for a in range(90) for b in range(a + 1, 90)]
+
+
 def test_phrases_of_several_tokens(spark):
     docs = spark.createDataFrame([(1, "a b a b a"), (2, "A  b\na"), (3, "b"), (4, ""), (5, None)], "doc_id long, text string")
     phrases = spark.createDataFrame([("a b a", 9), ("b", 3), ("a b", 1), ("x y", 1), ("", 1)], "phrase string, defined_in long")
