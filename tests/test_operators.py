@@ -676,6 +676,37 @@ def test_phrases_of_several_tokens(spark):
         corpus.phrase_mentions(docs, spark.createDataFrame([("a b c d e f", 1)], "phrase string, defined_in long"), 5)
 
 
+def test_mentions_are_screened_before_the_shuffle(spark):
+    rng = random.Random(3)
+    texts_ = {k: " ".join(rng.choice("abcdefghij") + str(rng.randrange(40)) for _ in range(rng.randrange(1, 300))) for k in range(60)}
+    docs = spark.createDataFrame([*texts_.items(), (7, "a1 a1 b2"), (None, "a1 b2"), (90, None)], "doc_id long, text string")
+    texts_[7] += "  a1 a1 b2"
+    wanted = [("a1", 3), ("b2", 5), ("a1 a1", 1), (" ".join(texts_[4].split()[:3]), 9), ("zz", 1)]
+    phrases = spark.createDataFrame(wanted, "phrase string, defined_in long")
+    want = {}
+    for k, text in texts_.items():
+        words = text.split()
+        # The repeated key is two texts: no run crosses them.
+        parts = [words[:-3], words[-3:]] if k == 7 else [words]
+        for phrase, home in wanted:
+            run = phrase.split()
+            n = sum(p[i : i + len(run)] == run for p in parts for i in range(len(p)))
+            if n and k != home:
+                want[k, phrase] = n
+    assert rows(corpus.phrase_mentions(docs, phrases, 5), "doc_id", "phrase", "mentions") == sorted((*k, n) for k, n in want.items())
+    piece = corpus.PIECE
+    try:
+        corpus.PIECE = 500  # a batch in many pieces
+        assert rows(corpus.phrase_mentions(docs, phrases, 5), "doc_id", "phrase", "mentions") == sorted((*k, n) for k, n in want.items())
+    finally:
+        corpus.PIECE = piece
+    terms = phrases.withColumnRenamed("phrase", "term")
+    assert rows(corpus.mention_counts(docs, terms, 5), "doc_id", "term", "mentions") == sorted((*k, n) for k, n in want.items() if " " not in k[1])
+    # Beside the wanted runs few others leave the texts; before, every run was shuffled.
+    some = phrases.select("phrase", "defined_in", F.split("phrase", " ").alias("_tokens"), F.col("phrase").alias("_run"))
+    assert corpus._run_counts(docs, some, "doc_id", "text", 5).count() <= len(want) + 10
+
+
 def test_epsilon_greedy_draws(spark):
     tried = spark.createDataFrame([("a", 10, 0.1), ("b", 10, 0.9), ("c", 10, 0.2)], "operator string, attempts long, mean_reward double")
     got = stats.epsilon_greedy(tried, 400, 0.25, seed=3).collect()
