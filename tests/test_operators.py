@@ -668,6 +668,19 @@ def test_lsh_keys_part_unrelated_vectors(spark):
     assert sorted(found) == [(a, b) for a in range(90) for b in range(a + 1, 90)]
 
 
+def test_few_large_blocks_are_moved(spark):
+    rng = np.random.default_rng(2)
+    vectors = rng.standard_normal((5000, 8))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    emb = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, vector array<double>")
+    blocks, pairs = archive._dealt(emb, "vec_id", "vector", math.acos(0.98))
+    # Blocks are cut at STRIP vectors: two pivots give two blocks; of 2,048 vectors there were three or more.
+    assert blocks.count() == 2 and pairs.count() <= 3
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(vectors @ vectors.T >= 0.98), strict=True) if a < b}
+    found = rows(archive.near_duplicates(emb), "a", "b")
+    assert len(found) == len(want) and set(found) == want
+
+
 def test_phrases_of_several_tokens(spark):
     docs = spark.createDataFrame([(1, "a b a b a"), (2, "A  b\na"), (3, "b"), (4, ""), (5, None)], "doc_id long, text string")
     phrases = spark.createDataFrame([("a b a", 9), ("b", 3), ("a b", 1), ("x y", 1), ("", 1)], "phrase string, defined_in long")
