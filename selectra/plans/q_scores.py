@@ -115,10 +115,11 @@ def retention_plan(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, text FROM documents")
 def read_corpus(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "corpus")
-    named = table(spark, d, "documents").select("doc_id", F.col("text").alias("value"))
-    named.select("value", F.col("doc_id").alias("doc")).repartition("doc").write.option("maxRecordsPerFile", 1).partitionBy("doc").text(path)
+    io.write_corpus(table(spark, d, "documents"), path)
     found = io.read_corpus(spark, path)
-    return found.select(F.regexp_extract("path", r"doc=([0-9]+)", 1).cast("long").alias("doc_id"), F.expr("left(text, length(text) - 1)").alias("text"))  # the writer ends each record with a line feed
+    doc = F.nullif(F.regexp_extract("path", r"doc_id=(-?[0-9]+)", 1), F.lit("")).cast("long")
+    text = F.when(~F.col("path").contains("-null-"), F.expr("left(text, length(text) - 1)"))  # the writer ends each text with a line feed
+    return found.select(doc.alias("doc_id"), text.alias("text"))
 
 
 PROFILE = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count({c}) AS n_set, round(min({c})::DOUBLE, 4) AS min, round(max({c})::DOUBLE, 4) AS max, round(avg({c}), 4) AS mean FROM lineitem" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,6 +122,28 @@ def retention_plan(files: DataFrame, keep_last: int, oldest: Column, ts: str = "
     return rows.filter(F.col("_new").isNull() | (F.col(ts) < oldest)).drop("_new")
 
 
+def write_corpus(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
+    """A file below ``path`` for each row, named after its key, with the text and a line feed; a null text is marked in the name.
+
+    Tasks write the files by pyarrow's file systems: Spark's writer opens a task's file for each row and starts a process for its permissions.
+    A task that is run again writes the same names.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+        home, n = f"{root}/{TaskContext.get().partitionId()}", 0
+        store.create_dir(home, recursive=True)
+        for batch in batches:
+            for name, value in zip(batch.column(0), batch.column(1), strict=True):
+                value = value.as_py()
+                with store.open_output_stream(f"{home}/{n}-{'null' if value is None else 'text'}-{key}={name.as_py()}.txt") as out:
+                    out.write(((value or "") + "\n").encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    docs.select(key, text).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def read_corpus(spark: SparkSession, root: str, extensions: Sequence[str] = ("txt",), max_files: int | None = None) -> DataFrame:
     """(path, text) of all files below ``root`` with one of the extensions, in path order; unreadable files are left out (``unreadable_files`` tells which)."""
     glob = "*.{" + ",".join(extensions) + "}" if len(extensions) > 1 else f"*.{extensions[0]}"

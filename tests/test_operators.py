@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from selectra.functions import scores, texts
 from selectra.operators import archive, corpus, groups, lineage, pareto, quality, registry, series, stats
+from selectra.plans import catalog
 from selectra.sources import io
 from selectra.sources.scratch import bounded_windows, numbered, prefix_sums, scratch_path
 from selectra.streaming import events as streams
@@ -720,6 +721,14 @@ def test_mentions_are_screened_before_the_shuffle(spark):
     assert corpus._run_counts(docs, some, "doc_id", "text", 5).count() <= len(want) + 10
 
 
+def test_corpus_is_written_by_tasks(spark, tmp_path):
+    docs = [(1, "a\nb\n"), (2, ""), (3, None), (1, "\u00e9"), (-4, "x")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    # A null text came back as an empty one, and a negative id was an error.
+    got = catalog.queries()["read_corpus"](spark, str(tmp_path))
+    assert sorted(map(repr, rows(got, "doc_id", "text"))) == sorted(map(repr, docs))
+
+
 def test_epsilon_greedy_draws(spark):
     tried = spark.createDataFrame([("a", 10, 0.1), ("b", 10, 0.9), ("c", 10, 0.2)], "operator string, attempts long, mean_reward double")
     got = stats.epsilon_greedy(tried, 400, 0.25, seed=3).collect()
