@@ -14,8 +14,10 @@ without times lets a row wait for the step before it.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,11 +29,18 @@ from selectra.sources.scratch import scratch_path
 WATERMARK = "10 minutes"
 #: Milliseconds without rows after which the state of a key is dropped.
 STATE_TTL = 400 * 24 * 3600 * 1000
+#: A fold keeps the state of its keys in so many buckets, each handled by one call a batch.
+BUCKETS = 256
+#: Rows of a slice in which ``run_fold`` hands a table to a stream: so many wait in the state at a time.
+SLICE_ROWS = 2_000_000
+NAN = float("nan")
 
 
 def late_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
     """Per key of a fold the rows dropped as later than the watermark, from the state in the query's checkpoint."""
-    return spark.read.format("statestore").load(checkpoint).select("key.*", F.col("value.groupState.late").alias("late"))
+    held = spark.read.format("statestore").load(checkpoint).select("value.groupState.*")
+    by = held.columns[0]
+    return held.select(F.explode(F.arrays_zip(F.col(by).alias("by"), F.col("_late").alias("late"))).alias("_row")).select(F.col("_row.by").alias(by), "_row.late")
 
 
 def stream_event_counts(stream: DataFrame, window: str | None = None, name: str = "name", ts: str = "ts", watermark: str = WATERMARK) -> DataFrame:
@@ -81,12 +90,14 @@ def stream_fanout(stream: DataFrame, handlers: dict[str, Callable[[DataFrame, in
     return stream.writeStream.foreachBatch(each)
 
 
-def _folded(step: Callable, names: list[str], key: object, value: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+def _folded(step: Callable, names: list[str], held: dict, start: tuple, rows: list[tuple]) -> list[tuple]:
+    """The output of rows (key, *names) in their order; the values of their keys in ``held`` are replaced."""
     found = []
-    for row in rows:
-        value, out = step(value, dict(zip(names, row, strict=True)))
+    for key, *row in rows:
+        value, out = step(held.get(key, start), dict(zip(names, row, strict=True)))
+        held[key] = value
         found.append((key, *out))
-    return value, found
+    return found
 
 
 def _listed(names: list[str], rows: pd.DataFrame) -> list[tuple]:
@@ -94,6 +105,11 @@ def _listed(names: list[str], rows: pd.DataFrame) -> list[tuple]:
     return list(zip(*columns, strict=True))
 
 
+def _keys(bucket: int, keys: Iterable) -> list:
+    """One object for all keys that are not a number, and none in the bucket of nulls."""
+    return [None if bucket < 0 else NAN if x != x else x for x in keys]
+
+
 def _heads(ddl: str) -> list[str]:
     return [c.strip().split()[0] for c in ddl.split(",")]
 
@@ -133,65 +149,95 @@ class Fold:
         step, start, names, out = self.step, self.start, self.names, [self.by, *_heads(self.output)]
 
         def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows[rows["time"].notna()]
-            return pd.DataFrame(_folded(step, names, key[0], start, sorted(_listed(names, rows), key=lambda r: r[:2]))[1], columns=out)
+            rows = sorted(_listed(names, rows[rows["time"].notna()]), key=lambda r: r[:2])
+            return pd.DataFrame(_folded(step, names, {}, start, [(key[0], *r) for r in rows]), columns=out)
 
         return self._rows(df).groupBy(self.by).applyInPandas(run, self._schema(df))
 
     def stream(self, df: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-        """Rows leave in order, once the watermark has passed them or, without times, once the step before is there."""
-        step, start, timed, first, names, out = self.step, self.start, self.ts is not None, self.first, self.names, [self.by, *_heads(self.output)]
+        """Rows leave in order, once the watermark has passed them or, without times, once the step before is there.
+
+        Keys are dealt to BUCKETS by their digests. A call handles the rows of a bucket in one order; its state has a list
+        entry for each key and for each row that waits.
+        """
+        by, step, start, timed, first, names, out = self.by, self.step, self.start, self.ts is not None, self.first, self.names, [self.by, *_heads(self.output)]
         kinds = {"time": "long", "seq": "long"} | {n: kind for n, (kind, _) in self.columns.items()}
-        state = ", ".join([self.state, "late long", "newest long", "due long", *[f"wait_{n} array<{kind}>" for n, kind in kinds.items()]])
+        values = [f"_value_{c.strip().replace(' ', ' array<', 1)}>" for c in self.state.split(",")]
+        state = ", ".join([f"`{by}` array<{df.schema[by].dataType.simpleString()}>", *values, "_late array<long>", "_newest array<long>", "_due array<long>", "_wait_key array<int>", *[f"_wait_{n} array<{kind}>" for n, kind in kinds.items()]])
         n_value = len(start)
 
         def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterable[pd.DataFrame]:
-            got = held.get if held.exists else (*start, 0, 0, first, *[[] for _ in kinds])
-            value, (late, newest, due), waiting = tuple(got[:n_value]), got[n_value:n_value + 3], list(zip(*got[n_value + 3:], strict=True))
-            passed = held.getCurrentWatermarkMs() * 1000 if timed else None
+            got = held.get if held.exists else [()] * (5 + n_value + len(kinds))
+            keys = _keys(key[0], got[0])
+            value = dict(zip(keys, zip(*got[1:1 + n_value], strict=True), strict=True))
+            about = {k: list(x) for k, x in zip(keys, zip(*got[1 + n_value:4 + n_value], strict=True), strict=True)}
+            waiting = [(keys[k], *row) for k, row in zip(got[4 + n_value], zip(*got[5 + n_value:], strict=True), strict=True)]
+            passed, touched = held.getCurrentWatermarkMs() * 1000 if timed else None, set()
             if not held.hasTimedOut:
                 for rows in batches:
-                    fresh = rows["time"].notna() & (rows["time"] >= passed) if timed else rows["seq"] >= due
-                    late += int((~fresh).sum())
-                    waiting += _listed(names, rows[fresh])
-                    newest = max([newest, *(int(t) for t in rows["time"].dropna())])
-            waiting.sort(key=lambda r: r[:2])
+                    for k, row in zip(_keys(key[0], rows[by].tolist()), _listed(names, rows), strict=True):
+                        mine = about.setdefault(k, [0, 0, first])
+                        if row[0] is not None and row[0] > mine[1]:
+                            mine[1] = int(row[0])
+                        if row[0] is not None and row[0] >= passed if timed else row[1] >= mine[2]:
+                            waiting.append((k, *row))
+                        else:
+                            mine[0] += 1
+                    touched.update(about if len(about) == 1 else _keys(key[0], rows[by].unique().tolist()))
+            waiting.sort(key=itemgetter(1, 2))
             if timed:
-                ready = sum(r[0] < passed for r in waiting)
+                n_ready = bisect_left(waiting, passed, key=itemgetter(1))
+                ready, waiting = waiting[:n_ready], waiting[n_ready:]
             else:
-                ready = 0
-                while ready < len(waiting) and waiting[ready][1] in (due, due - 1):
-                    due, ready = waiting[ready][1] + 1, ready + 1
-            value, found = _folded(step, names, key[0], value, waiting[:ready])
-            waiting = waiting[ready:]
-            if timed and not waiting and held.hasTimedOut and passed >= newest + STATE_TTL * 1000:
+                ready, rest = [], []
+                for row in waiting:
+                    mine = about[row[0]]
+                    if row[2] in (mine[2], mine[2] - 1):
+                        mine[2] = row[2] + 1
+                        ready.append(row)
+                    else:
+                        rest.append(row)
+                waiting = rest
+            found = _folded(step, names, value, start, ready)
+            idle = about.keys() - {r[0] for r in waiting}
+            if timed:
+                gone = {k for k in idle - touched if passed >= about[k][1] + STATE_TTL * 1000}
+                about, idle = {k: x for k, x in about.items() if k not in gone}, idle - gone
+            if not about:
                 held.remove()
             else:
+                at = {k: i for i, k in enumerate(about)}
                 # Times and numbers come as floats where a column has nulls.
-                columns = zip(*waiting, strict=True) if waiting else [() for _ in kinds]
-                held.update((*value, late, newest, due, *[[x if x is None or kind != "long" else int(x) for x in c] for c, kind in zip(columns, kinds.values(), strict=True)]))
+                owner, *columns = zip(*waiting, strict=True) if waiting else [()] * (1 + len(kinds))
+                columns = [[x if x is None or kind != "long" else int(x) for x in c] for c, kind in zip(columns, kinds.values(), strict=True)]
+                held.update((list(about), *map(list, zip(*[value.get(k, start) for k in about], strict=True)), *map(list, zip(*about.values(), strict=True)), [at[k] for k in owner], *columns))
                 if timed:
                     # The watermark must pass the first row that waits; a timeout must lie ahead of it.
-                    held.setTimeoutTimestamp(max(passed // 1000, int(waiting[0][0]) // 1000 if waiting else newest // 1000 + STATE_TTL) + 1)
+                    due = [int(waiting[0][1]) // 1000] if waiting else []
+                    due += [min(about[k][1] for k in idle) // 1000 + STATE_TTL] if idle else []
+                    held.setTimeoutTimestamp(max(passed // 1000, min(due)) + 1)
             yield pd.DataFrame(found, columns=out)
 
-        rows = self._rows(df.withWatermark(self.ts, watermark) if self.ts else df)
-        return rows.groupBy(self.by).applyInPandasWithState(run, self._schema(df), state, "append", GroupStateTimeout.EventTimeTimeout if self.ts else GroupStateTimeout.NoTimeout)
+        bucket = F.when(F.col(by).isNull(), -1).otherwise(F.pmod(F.xxhash64(by), F.lit(BUCKETS))).cast("int")
+        rows = self._rows(df.withWatermark(self.ts, watermark) if self.ts else df).withColumn("_bucket", bucket)
+        return rows.groupBy("_bucket").applyInPandasWithState(run, self._schema(df), state, "append", GroupStateTimeout.EventTimeTimeout if self.ts else GroupStateTimeout.NoTimeout)
 
     def rest(self, spark: SparkSession, checkpoint: str) -> DataFrame:
         """The output of the rows that still wait in the state of a query that has ended."""
-        held = spark.read.format("statestore").load(checkpoint).select("key.*", "value.groupState.*")
-        step, by, names, out, value = self.step, self.by, self.names, [self.by, *_heads(self.output)], _heads(self.state)
+        held = spark.read.format("statestore").load(checkpoint).select(F.col("key._bucket").alias("_bucket"), "value.groupState.*")
+        step, start, by, names, out, value = self.step, self.start, self.by, self.names, [self.by, *_heads(self.output)], [f"_value_{c}" for c in _heads(self.state)]
+        kind = held.schema[by].dataType.elementType.simpleString()
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for rows in batches:
-                found = []
                 for row in rows.to_dict("records"):
-                    waiting = sorted(zip(*[row[f"wait_{n}"] for n in names], strict=True), key=lambda r: r[:2])
-                    found += _folded(step, names, row[by], tuple(row[n] for n in value), waiting)[1]
-                yield pd.DataFrame(found, columns=out)
+                    keys = _keys(row["_bucket"], row[by].tolist())
+                    now = dict(zip(keys, zip(*[row[c] for c in value], strict=True), strict=True))
+                    waiting = _listed(names, pd.DataFrame({n: row[f"_wait_{n}"] for n in names}))
+                    waiting = sorted(((keys[k], *r) for k, r in zip(row["_wait_key"], waiting, strict=True)), key=itemgetter(1, 2))
+                    yield pd.DataFrame(_folded(step, names, now, start, waiting), columns=out)
 
-        return held.mapInPandas(run, self._schema(held))
+        return held.mapInPandas(run, f"`{by}` {kind}, {self.output}")
 
 
 def control_fold(by: str = "run_id", command: str = "command", ts: str = "ts", seq: str = "event_id") -> Fold:
@@ -326,16 +372,28 @@ def run_fold(fold: Fold, df: DataFrame, slices: int = 3, skew: int = 300) -> Dat
     """A fold over a table that arrives slice by slice in files, each a run of the stream with one checkpoint, and the rest at the end.
 
     Slices follow the times, but rows come up to ``skew`` seconds late, over the borders of slices too (without times: in the order of a digest).
+    There are ``slices`` of them, or as many as leave about SLICE_ROWS in each, so that what waits in the state doesn't grow with
+    the table. All are written at once; each is moved to the stream in its turn.
     """
     spark = df.sparkSession
-    source, out, state = (scratch_path(spark, name) for name in ("source", "stream", "checkpoint"))
+    staged, source, out, state = (scratch_path(spark, name) for name in ("staged", "source", "stream", "checkpoint"))
     digest = F.pmod(F.xxhash64(fold.by, fold.seq), F.lit(max(1, skew)))
     late = F.unix_seconds(fold.ts) + digest if fold.ts else digest
-    edges = df.select(late.alias("at")).agg(F.min("at"), F.max("at")).first()
-    low, span = edges[0] or 0, max(1, (edges[1] or 0) - (edges[0] or 0) + 1)
-    for k in range(slices):
-        mine = F.floor((late - low) * slices / span) == k
-        df.filter(F.coalesce(mine, F.lit(k == 0))).write.parquet(f"{source}/slice{k}")
+    share = max(slices, -(-df.count() // SLICE_ROWS))
+    borders = df.select(late.alias("at")).agg(F.percentile_approx("at", [k / share for k in range(1, share)], 10_000)).first()[0] if share > 1 else None
+    mine = F.size(F.filter(F.array(*map(F.lit, sorted(set(borders)))), lambda x: x < late)) if borders else F.lit(0)
+    df.withColumn("_slice", F.coalesce(mine, F.lit(0))).withColumn("_slice", F.greatest("_slice", F.lit(0))).write.partitionBy("_slice").parquet(staged)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for k in range(share):
+        if files.exists(path(f"{staged}/_slice={k}")):
+            files.mkdirs(path(source))
+            if not files.rename(path(f"{staged}/_slice={k}"), path(f"{source}/slice{k}")):
+                raise OSError(f"slice {k} could not be moved from {staged} to {source}")
+        elif k:
+            continue
+        else:
+            df.limit(0).write.parquet(f"{source}/slice0")
         stream = fold.stream(spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(source))
         query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()

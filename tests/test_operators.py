@@ -897,3 +897,19 @@ def test_crowding_leaves_nulls_out(spark):
     df = spark.createDataFrame(data, "id long, front_rank int, x double, y double")
     got = {r["id"]: r["crowding"] for r in pareto.crowding_distance(df, ["x", "y"]).collect()}
     assert got == {0: INF, 1: INF, 2: 0.5 + 1.0, 3: INF, 4: INF, 9: 0.0}
+
+
+def test_keys_of_a_fold_share_buckets_and_slices_follow_the_rows(spark, monkeypatch):
+    """300 keys keep at most BUCKETS state rows; a larger table makes more slices, so that no more rows wait."""
+    monkeypatch.setattr(streams, "BUCKETS", 8)
+    monkeypatch.setattr(streams, "SLICE_ROWS", 150)
+    paths = {}
+    monkeypatch.setattr(streams, "scratch_path", lambda s, name: paths.setdefault(name, scratch_path(s, name)))
+    df = spark.range(600).selectExpr("CASE WHEN id % 300 > 0 THEN id % 300 END AS run_id", "id AS event_id", "element_at(array('pause', 'resume', 'stop'), int(id * 7 % 3) + 1) AS command", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, int(id)) AS ts")
+    fold = streams.control_fold()
+    got = sorted(map(tuple, streams.run_fold(fold, df).collect()), key=repr)
+    assert got == sorted(map(tuple, fold.batch(df).collect()), key=repr) and len(got) == 600
+    assert spark.read.format("statestore").load(paths["checkpoint"]).count() <= 9
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths["source"])
+    assert len(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)) == 4
+    assert {r["run_id"] for r in streams.late_rows(spark, paths["checkpoint"]).collect()} == {None, *range(1, 300)}
