@@ -913,3 +913,18 @@ def test_keys_of_a_fold_share_buckets_and_slices_follow_the_rows(spark, monkeypa
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths["source"])
     assert len(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)) == 4
     assert {r["run_id"] for r in streams.late_rows(spark, paths["checkpoint"]).collect()} == {None, *range(1, 300)}
+
+
+def test_sets_are_made_distinct_before_they_meet(spark):
+    """Copies of a frequent row stay where they lie: both inputs of the join are sums, not rows."""
+    a, b = (spark.range(n).selectExpr("CASE WHEN id % 10 > 0 THEN 'often' WHEN id > 0 THEN concat('w', id % 100) END AS token") for n in (400, 40))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both, rest = corpus.set_intersect(a, b), corpus.set_except(a, b)
+        for df in (both, rest):
+            plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+            assert "Join Left" in plan[0] and sum("Aggregate" in line for line in plan) == 2
+        assert {r[0] for r in both.collect()} == {None, "often", "w10", "w20", "w30"} and both.count() == 5
+        assert {r[0] for r in rest.collect()} == {"w0", "w40", "w50", "w60", "w70", "w80", "w90"} and rest.count() == 7
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
