@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from selectra.functions import scores, texts
 from selectra.operators import archive, corpus, groups, lineage, pareto, quality, registry, series, stats
 from selectra.plans import catalog
-from selectra.sources import io
+from selectra.sources import io, scratch
 from selectra.sources.scratch import bounded_windows, numbered, prefix_sums, scratch_path
 from selectra.streaming import events as streams
 
@@ -928,3 +928,23 @@ def test_sets_are_made_distinct_before_they_meet(spark):
         assert {r[0] for r in rest.collect()} == {"w0", "w40", "w50", "w60", "w70", "w80", "w90"} and rest.count() == 7
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_shuffles_follow_the_rows_inside_a_spread(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "PARTITION_ROWS", 10)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with scratch.spread(spark, 1001):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "101"
+    with scratch.spread(spark, 5):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_a_hot_subgraph_takes_no_table_of_all_links(spark, monkeypatch):
+    """Two steps around a seed over a graph with a cycle, doubled edges and a null end: only the rings are written."""
+    tables = []
+    monkeypatch.setattr(lineage, "cut", lambda df, name="x", cut=lineage.cut: tables.append(name) or cut(df, name))
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "f"), ("a", None)], "caller string, callee string")
+    got = lineage.hot_subgraph(edges, spark.createDataFrame([("a",)], "caller string"), 2)
+    assert rows(got, "caller", "callee") == [("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")]
+    assert not {"links", "round1"} & set(tables)
