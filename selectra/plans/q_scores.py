@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from selectra.functions import scores, texts
 from selectra.operators import corpus, registry, stats
 from selectra.plans.catalog import query, rounded
-from selectra.plans.fixtures import table, view, with_views
+from selectra.plans.fixtures import table, view, with_views, written
 from selectra.sources import io
 from selectra.sources.scratch import cut, scratch_path
 
@@ -467,7 +467,7 @@ def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views(C, "SELECT id, grp FROM v_candidates WHERE status = 'F' UNION ALL SELECT id, grp FROM v_candidates WHERE correctness = 1"))
 def union_population(spark: SparkSession, d: str) -> DataFrame:
-    rows = view(spark, d, C).select("id", "grp", "status", "correctness")
+    rows = written(spark, d, C).select("id", "grp", "status", "correctness")
     return corpus.union_population([rows.filter("status = 'F'"), rows.filter("correctness = 1")]).select("id", "grp")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from selectra.functions import scores
 from selectra.operators import groups, pareto
 from selectra.plans.catalog import query, rounded
-from selectra.plans.fixtures import table, view, with_views
+from selectra.plans.fixtures import table, view, with_views, written
 from selectra.plans.q_scores import SCORE
 from selectra.sources.scratch import cut
 
@@ -47,7 +47,7 @@ def _views(sql: str, head: str = FRONTS) -> str:
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """The view written once: fronts read it several times."""
-    return cut(view(spark, d, C), "candidates")
+    return written(spark, d, C)
 
 
 @query(with_views(C, f"SELECT id, grp, round({SCORE}, 6) AS score FROM ({_front(C, 'b.grp = a.grp AND ')}) f QUALIFY row_number() OVER (PARTITION BY grp ORDER BY {SCORE} DESC, id) <= 5"))
