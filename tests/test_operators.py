@@ -948,3 +948,17 @@ def test_a_hot_subgraph_takes_no_table_of_all_links(spark, monkeypatch):
     got = lineage.hot_subgraph(edges, spark.createDataFrame([("a",)], "caller string"), 2)
     assert rows(got, "caller", "callee") == [("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")]
     assert not {"links", "round1"} & set(tables)
+
+
+def test_reached_nodes_are_those_of_all_pairs(spark, monkeypatch):
+    """A cycle, a chain and a seed that only another seed leads to; no round has more rows than nodes."""
+    sizes = []
+    monkeypatch.setattr(lineage, "cut", lambda df, name="x", cut=lineage.cut: sizes.append((name, (out := cut(df, name)).count())) or out)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 1), (None, 4), *[(k, k + 1) for k in range(20, 50)], (22, 40)], "src long, dst long")
+    seeds = spark.createDataFrame([(9,), *[(k,) for k in range(20, 45)], (None,)], "id long")
+    got = lineage.reached(edges, seeds)
+    assert got.count() == got.distinct().count()
+    assert {r[0] for r in got.collect()} == {1, 2, 3, *range(21, 51)} == {r["node"] for r in lineage.reach(edges, seeds).collect()}
+    sizes.clear()
+    lineage.reached(edges, seeds)
+    assert max(n for name, n in sizes if name.startswith("round")) <= 34
