@@ -962,3 +962,54 @@ def test_reached_nodes_are_those_of_all_pairs(spark, monkeypatch):
     sizes.clear()
     lineage.reached(edges, seeds)
     assert max(n for name, n in sizes if name.startswith("round")) <= 34
+
+
+def test_walks_in_groups(spark, monkeypatch):
+    """Small groups (cycles, loops, copies, a null group) in one task, the largest by rounds; against a breadth-first search."""
+    monkeypatch.setattr(lineage, "GROUP_LINKS", 12)
+    monkeypatch.setattr(lineage, "TASK_LINKS", 15)
+    rng = random.Random(5)
+    links = [(100 * g + rng.randrange(4 + g), 100 * g + rng.randrange(4 + g), g or None) for g in range(5) for _ in range(6 + 2 * g)]
+    links += [links[3], (None, 7, 0), (205, None, 2)]
+    ahead = {}
+    for u, v, _ in links:
+        if u is not None and v is not None:
+            ahead.setdefault(u, set()).add(v)
+
+    def levels(u):
+        found, at, level = {}, {u}, 0
+        while at:
+            at, level = {v for x in at for v in ahead.get(x, ())} - {u} - set(found), level + 1
+            found |= dict.fromkeys(at, level)
+        return found
+
+    edges = spark.createDataFrame(links, "parent_id long, child_id long, grp int")
+    seeds = [u for u in ahead if u % 4 != 1]
+    got = rows(lineage.descendants(edges, spark.createDataFrame([(u,) for u in seeds], "id long"), by=["grp"]), "seed", "node", "level")
+    assert got == sorted((u, v, level) for u in seeds for v, level in levels(u).items())
+
+    scores_of = {u: None if u % 11 == 0 else math.nan if u % 13 == 0 else float(u * 37 % 50) for u in {x for e in links for x in e[:2] if x is not None} - {201}}
+    nodes = spark.createDataFrame(list(scores_of.items()), "id long, score double")
+    pairs = lineage._descent_by(nodes, edges, None, "id", "score", ["grp"])
+    assert sorted(map(repr, map(tuple, pairs.collect()))) == sorted(repr((u, scores_of[u], scores_of[v])) for u in ahead if u in scores_of for v in levels(u) if v in scores_of)
+
+    for u, v in [(u, v) for u in ahead for v in ahead[u]]:
+        ahead.setdefault(v, set()).add(u)
+    asked = [(u, v) for u in ahead for v in ahead if (u + v) % 3 == 0] * 2 + [(None, 4), (4, None)]
+    got = lineage.genealogical_distance(edges, spark.createDataFrame(asked, "a long, b long"), by=["grp"])
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((u, v, None if None in (u, v) else 0 if u == v else levels(u).get(v))) for u, v in asked)
+
+
+def test_edges_that_lead_out_of_their_group(spark):
+    """Then ``by`` tells nothing, and the rounds find the walks."""
+    edges = spark.createDataFrame([(1, 2, 1), (2, 3, 2)], "parent_id long, child_id long, grp int")
+    assert rows(lineage.descendants(edges, edges.select("parent_id"), by=["grp"]), "seed", "node", "level") == [(1, 2, 1), (1, 3, 2), (2, 3, 1)]
+
+
+def test_a_group_is_followed_without_a_shuffle_of_its_walks(spark):
+    """Of small groups only the links are shuffled, not the pairs that the walks give."""
+    chain = spark.range(400).select(F.col("id").alias("parent_id"), (F.col("id") + 1).alias("child_id"), F.floor(F.col("id") / 50).alias("grp")).filter("parent_id % 50 <> 49")
+    walks = lineage.descendants(chain, chain.select("parent_id"), by=["grp"])
+    plan = walks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert walks.count() == 8 * 49 * 50 // 2
