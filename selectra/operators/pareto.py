@@ -11,6 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
@@ -221,13 +222,25 @@ class Fronts:
         self.flat = n_objectives <= 3
         self.fronts: list = []
 
-    def _dominated(self, k: int, rest: tuple | np.ndarray) -> bool:
+    def _first(self, rest: list | np.ndarray) -> int:
+        """The first front that doesn't dominate the row."""
+        low, high, fronts = 0, len(self.fronts), self.fronts
         if self.flat:
-            xs, ys = self.fronts[k]
-            at = bisect_right(xs, rest[0]) - 1
-            return at >= 0 and ys[at] <= rest[1]
-        table, n = self.fronts[k]
-        return bool((table[:n] <= rest).all(1).any())
+            x, y = rest
+            while low < high:
+                k = (low + high) // 2
+                xs, ys = fronts[k]
+                at = bisect_right(xs, x)
+                if at and ys[at - 1] <= y:
+                    low = k + 1
+                else:
+                    high = k
+            return low
+        while low < high:
+            k = (low + high) // 2
+            table, n = fronts[k]
+            low, high = (k + 1, high) if (table[:n] <= rest).all(1).any() else (low, k)
+        return low
 
     def _add(self, k: int, rest: tuple | np.ndarray) -> None:
         if self.flat:
@@ -251,18 +264,17 @@ class Fronts:
         """
         ranks = np.zeros(len(points), np.int64)
         order = np.lexsort(points.T[::-1])
-        rest = points[order, 1:]
-        if self.flat:
-            rest = np.concatenate([rest, np.zeros((len(rest), 2 - rest.shape[1]))], axis=1).tolist()
-        for at, row in zip(order.tolist(), rest, strict=True):
-            low, high = 0, len(self.fronts)
-            while low < high:
-                k = (low + high) // 2
-                low, high = (k + 1, high) if self._dominated(k, row) else (low, k)
-            if low == len(self.fronts):
-                self.fronts.append(([], []) if self.flat else (np.empty((4, points.shape[1] - 1)), 0))
-            self._add(low, row)
-            ranks[at] = low
+        for start in range(0, len(order), BLOCK):  # Python's own numbers take many times as much memory
+            some = order[start:start + BLOCK]
+            rest = points[some, 1:]
+            if self.flat:
+                rest = np.concatenate([rest, np.zeros((len(rest), 2 - rest.shape[1]))], axis=1).tolist()
+            for at, row in zip(some.tolist(), rest, strict=True):
+                front = self._first(row)
+                if front == len(self.fronts):
+                    self.fronts.append(([], []) if self.flat else (np.empty((4, points.shape[1] - 1)), 0))
+                self._add(front, row)
+                ranks[at] = front
         return ranks
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
@@ -272,9 +284,10 @@ class Fronts:
 
     def load(self, numbers: np.ndarray, rest: np.ndarray) -> None:
         """What ``rows`` has given."""
-        for k in range(int(numbers.max(initial=-1)) + 1):
-            part = rest[numbers == k]
-            part = part[np.argsort(part[:, 0], kind="stable")] if self.flat else part
+        order = np.lexsort((rest[:, 0], numbers)) if self.flat else np.argsort(numbers, kind="stable")
+        ends = np.searchsorted(numbers[order], np.arange(int(numbers.max(initial=-1)) + 1), side="right")
+        for start, end in zip([0, *ends[:-1]], ends, strict=False):
+            part = rest[order[start:end]]
             self.fronts.append((part[:, 0].tolist(), part[:, 1].tolist()) if self.flat else (part, len(part)))
 
 
@@ -283,6 +296,10 @@ def front_ranks(points: np.ndarray) -> np.ndarray:
     return Fronts(points.shape[1]).rank(points)
 
 
+def _points(rows: pa.Table, columns: list[str]) -> np.ndarray:
+    return np.stack([rows[c].to_numpy() for c in columns], axis=1).astype(float, copy=False)
+
+
 def _sorted_fronts(vectors: DataFrame, values: list[str], by: list[str]) -> DataFrame:
     """Distinct vectors with front_rank. Groups of more than BLOCK_ROWS are cut into blocks in lexicographic order, which are ranked in turn.
 
@@ -290,10 +307,10 @@ def _sorted_fronts(vectors: DataFrame, values: list[str], by: list[str]) -> Data
     """
     ranked = StructType([*vectors.schema.fields, StructField("front_rank", IntegerType())])
     if (vectors.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= BLOCK_ROWS:
-        def whole(rows: pd.DataFrame) -> pd.DataFrame:
-            return rows.assign(front_rank=front_ranks(rows[values].to_numpy(float)).astype("int32"))
+        def whole(rows: pa.Table) -> pa.Table:
+            return rows.append_column("front_rank", pa.array(front_ranks(_points(rows, values)), pa.int32()))
 
-        return vectors.groupBy(*by).applyInPandas(whole, ranked)
+        return vectors.groupBy(*by).applyInArrow(whole, ranked)
     dealt = prefix_sums(vectors, by, [F.col(v) for v in values], {"_at": F.lit(1).cast("long")})
     dealt = cut(dealt.withColumn("_block", F.floor(F.col("_at") / BLOCK_ROWS).cast("int")).drop("_at").withColumn("_all", F.lit(0)), "blocks")
     keys, n_rest = [*by, "_all"], 2 if len(values) <= 3 else len(values) - 1
@@ -302,18 +319,22 @@ def _sorted_fronts(vectors: DataFrame, values: list[str], by: list[str]) -> Data
     seen = dealt.sparkSession.createDataFrame([], schema)
     found = []
 
-    def turn(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+    def turn(rows: pa.Table, before: pa.Table) -> pa.Table:
         fronts = Fronts(len(values))
-        fronts.load(before["front_rank"].to_numpy(int), before[rest].to_numpy(float))
-        key = (rows if len(rows) else before).iloc[0]
-        out = rows[[*keys, *values]].assign(front_rank=fronts.rank(rows[values].to_numpy(float)).astype("int32"), **dict.fromkeys(rest, np.nan))
+        fronts.load(before["front_rank"].to_numpy().astype(int), _points(before, rest))
+        key = (rows if len(rows) else before).slice(0, 1)
+        ranks = fronts.rank(_points(rows, values))
         numbers, kept = fronts.rows()
-        state = pd.DataFrame(kept, columns=rest).assign(front_rank=numbers.astype("int32"), **{c: key[c] for c in keys}, **dict.fromkeys(values, np.nan))
-        return pd.concat([out, state])[[*keys, *values, "front_rank", *rest]]
+        own, state = pa.array(np.zeros(len(numbers), int)), pa.nulls(len(numbers), pa.float64())
+        columns = {c: pa.chunked_array([*rows[c].chunks, *key[c].take(own).chunks]) for c in keys}
+        columns |= {c: pa.chunked_array([*rows[c].chunks, state]) for c in values}
+        columns["front_rank"] = pa.array(np.concatenate([ranks, numbers]), pa.int32())
+        columns |= {c: pa.chunked_array([pa.nulls(len(rows), pa.float64()), pa.array(kept[:, i])]) for i, c in enumerate(rest)}
+        return pa.table(columns)
 
     for block in range((dealt.agg(F.max("_block")).first()[0] or 0) + 1):
         rows = dealt.filter(F.col("_block") == block).drop("_block")
-        both = cut(rows.groupBy(*keys).cogroup(seen.groupBy(*keys)).applyInPandas(turn, schema), f"block{block}")
+        both = cut(rows.groupBy(*keys).cogroup(seen.groupBy(*keys)).applyInArrow(turn, schema), f"block{block}")
         found.append(both.filter(F.col(rest[0]).isNull()).select(*by, *values, "front_rank"))
         seen = both.filter(F.col(rest[0]).isNotNull())
     return reduce(DataFrame.unionByName, found)

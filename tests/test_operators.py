@@ -1013,3 +1013,16 @@ def test_a_group_is_followed_without_a_shuffle_of_its_walks(spark):
     plan = walks._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
     assert walks.count() == 8 * 49 * 50 // 2
+
+
+def test_ranking_holds_few_python_numbers():
+    """Vectors stay in arrays; as lists they took some 180 bytes each."""
+    import tracemalloc
+
+    points = np.random.default_rng(1).permutation(np.stack(np.unravel_index(np.arange(40_000), (20, 40, 50)), axis=1)).astype(float)
+    tracemalloc.start()
+    ranks = pareto.front_ranks(points)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80 * len(points)
+    assert (ranks == points.sum(1)).all()
