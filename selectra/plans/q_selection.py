@@ -109,7 +109,11 @@ def tournament_select(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_views("SELECT grp, count(DISTINCT front_rank) AS n_fronts, count_if(front_rank = 0) AS frontier_size, round(avg(crowding) FILTER (front_rank = 0), 6) AS mean_crowding FROM crowded GROUP BY grp", CROWDED))
 def front_stats(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(pareto.front_stats(_crowded(spark, d), ["grp"]), "mean_crowding")
+    # Crowding counts in the first front only, and fronts don't crowd each other.
+    ranked = cut(pareto.pareto_fronts(candidates(spark, d), by=["grp"]), "fronts")
+    first = pareto.crowding_distance(ranked.filter("front_rank = 0"), by=["grp"]).select("grp", "front_rank", "crowding")
+    rest = ranked.filter("front_rank <> 0").select("grp", "front_rank", F.lit(None).cast("double").alias("crowding"))
+    return rounded(pareto.front_stats(first.unionByName(rest), ["grp"]), "mean_crowding")
 
 
 @query(with_views(C, f"SELECT grp, id, round({SCORE}, 6) AS score FROM v_candidates QUALIFY row_number() OVER (PARTITION BY grp ORDER BY {SCORE} DESC, id) <= 10"))
