@@ -36,6 +36,9 @@ MOST_CUTS = 1_000_000
 MOST_WINNERS = 10_000
 #: Distinct vectors of a group that one task ranks at a time.
 BLOCK_ROWS = 250_000
+#: Rows of a front up to which its crowding is computed in one task, and rows of whole fronts that are taken at a time.
+FRONT_ROWS = 250_000
+CROWD_ROWS = 100_000
 
 
 def _signed(name: str, sense: str) -> Column:
@@ -390,15 +393,60 @@ def pareto_fronts(df: DataFrame, objectives: Mapping[str, str] = OBJECTIVES, by:
     return df.join(ranks, id_col, "left")
 
 
-def crowding_distance(df: DataFrame, dims: Sequence[str] = CROWDING_DIMS, rank_col: str = "front_rank", by: Sequence[str] = (), skip_flat: bool = True, id_col: str = "id") -> DataFrame:
-    """Adds crowding: infinite at the ends of a dimension, else the sum of neighbour gaps over ranges.
-
-    With ``skip_flat`` a dimension of range below 1e-9 adds nothing; without it its ends are infinite too.
-    A null has no place in its dimension: it is no end there, no neighbour, and adds nothing.
-    """
-    keys = [*by, rank_col]
-    long = df.select(id_col, *keys, *[F.col(c).cast("double").alias(c) for c in dims]).unpivot([id_col, *keys], list(dims), "dim", "value").filter("value IS NOT NULL")
-    keys.append("dim")
+def _gaps(front: np.ndarray, values: np.ndarray, skip_flat: bool) -> np.ndarray:
+    """What one dimension adds to the crowding of each row. Rows of a front lie together, in the order of their ids, which parts ties."""
+    order = np.lexsort((values, front))
+    ordered, out = values[order], np.empty(len(order))
+    starts = np.flatnonzero(np.diff(front[order], prepend=-1))
+    sizes = np.diff(starts, append=len(order))
+    ends = starts + sizes - 1
+    with np.errstate(all="ignore"):
+        span = ordered[ends] - ordered[starts]
+        flat = np.repeat(span < 1e-9 if skip_flat else span == 0, sizes)
+        gap = np.zeros(len(order))
+        gap[1:-1] = (ordered[2:] - ordered[:-2]) / np.repeat(span, sizes)[1:-1]
+    gap[flat] = 0.0
+    if skip_flat:
+        edges = np.concatenate([starts, ends])
+        gap[edges[~flat[edges]]] = INF
+    else:
+        gap[starts] = gap[ends] = INF
+    gap[np.repeat(sizes <= 2, sizes)] = INF
+    out[order] = gap
+    return out
+
+
+def _crowded_by_fronts(slim: DataFrame, dims: Sequence[str], keys: list[str], id_col: str, skip_flat: bool, tasks: int) -> DataFrame:
+    """Crowding of fronts that a task can hold: each row is shuffled once, with all its dimensions, to where its front lies."""
+    dealt = slim.repartition(tasks, *keys).withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(id_col)))
+
+    def crowded(rows: pa.Table) -> pa.Table:
+        front, total = np.cumsum(rows["_at"].to_numpy() == 1), np.zeros(len(rows))
+        for c in dims:
+            there = rows[c].is_valid().to_numpy()
+            total[there] += _gaps(front[there], rows[c].to_numpy()[there], skip_flat)
+        return rows.drop_columns("_at").append_column("crowding", pa.array(total))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            starts = np.flatnonzero(batch["_at"].to_numpy() == 1)
+            if n + len(batch) > CROWD_ROWS and len(starts):  # fronts before the last start are whole
+                held.append(batch.slice(0, starts[-1]))
+                yield from crowded(pa.Table.from_batches(held)).to_batches()
+                batch, held, n = batch.slice(starts[-1]), [], 0
+            held.append(batch)
+            n += len(batch)
+        if held:
+            yield from crowded(pa.Table.from_batches(held)).to_batches()
+
+    return dealt.mapInArrow(run, StructType([*slim.schema.fields, StructField("crowding", DoubleType())]))
+
+
+def _crowded_by_ranges(slim: DataFrame, dims: Sequence[str], keys: list[str], id_col: str, skip_flat: bool) -> DataFrame:
+    """Crowding of fronts of any size: each dimension of a row is a row, dealt by ranges, so that no front is one task."""
+    long = slim.unpivot([id_col, *keys], list(dims), "dim", "value").filter("value IS NOT NULL")
+    keys = [*keys, "dim"]
     # Range partitions in the order wanted: neighbours are next to each other but for the borders, which a row a partition and group tells.
     dealt = long.repartitionByRange(*keys, "value", id_col).withColumn("_part", F.spark_partition_id())
     dealt = cut(dealt, "dealt")
@@ -420,7 +468,31 @@ def crowding_distance(df: DataFrame, dims: Sequence[str] = CROWDING_DIMS, rank_c
     gap = F.when(before.isNull() | after.isNull(), F.when(flat, 0.0).otherwise(end) if skip_flat else end).otherwise(inner)
     gap = F.when(F.col("_all") <= 2, end).otherwise(gap)
     distances = long.withColumn("gap", gap).groupBy(id_col).agg(F.sum("gap").alias("crowding"))
-    return df.join(distances, id_col, "left").withColumn("crowding", F.coalesce("crowding", F.lit(0.0)))
+    return slim.join(distances, id_col, "left").withColumn("crowding", F.coalesce("crowding", F.lit(0.0)))
+
+
+def crowding_distance(df: DataFrame, dims: Sequence[str] = CROWDING_DIMS, rank_col: str = "front_rank", by: Sequence[str] = (), skip_flat: bool = True, id_col: str = "id") -> DataFrame:
+    """Adds crowding: infinite at the ends of a dimension, else the sum of neighbour gaps over ranges.
+
+    With ``skip_flat`` a dimension of range below 1e-9 adds nothing; without it its ends are infinite too.
+    A null has no place in its dimension: it is no end there, no neighbour, and adds nothing.
+    Columns other than the id, the keys and dimensions of doubles are joined by id; without them nothing is joined.
+    """
+    keys = [*by, rank_col]
+    slim = df.select(id_col, *keys, *[F.col(c).cast("double").alias(c) for c in dims])
+    sizes = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total, most = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    tasks = -(-(total or 1) // CROWD_ROWS)
+    if (most or 0) <= FRONT_ROWS:
+        out = _crowded_by_fronts(slim, dims, keys, id_col, skip_flat, tasks)
+    else:
+        # At most a row for each FRONT_ROWS rows.
+        large = F.broadcast(cut(sizes.filter(F.col("_n") > FRONT_ROWS).select(*keys), "large"))
+        out = _crowded_by_fronts(matched(slim, large, keys, "left_anti"), dims, keys, id_col, skip_flat, tasks)
+        out = out.unionByName(_crowded_by_ranges(matched(slim, large, keys, "left_semi"), dims, keys, id_col, skip_flat))
+    if sorted(slim.dtypes) == sorted(df.dtypes):
+        return out.select(*df.columns, "crowding")
+    return df.join(out.select(id_col, "crowding"), id_col, "left")
 
 
 def nsga2_select(df: DataFrame, k: int, objectives: Mapping[str, str] = OBJECTIVES, dims: Sequence[str] = CROWDING_DIMS, by: Sequence[str] = (), max_fronts: int | None = None, id_col: str = "id") -> DataFrame:

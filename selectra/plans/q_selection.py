@@ -82,8 +82,13 @@ def pareto_fronts(spark: SparkSession, d: str) -> DataFrame:
     return pareto.pareto_fronts(candidates(spark, d), by=["grp"]).select("id", "front_rank")
 
 
+def _fronts(spark: SparkSession, d: str) -> DataFrame:
+    """The fronts with no other columns than crowding takes."""
+    return cut(pareto.pareto_fronts(candidates(spark, d), by=["grp"]).select("id", "grp", "front_rank", *pareto.CROWDING_DIMS), "fronts")
+
+
 def _crowded(spark: SparkSession, d: str) -> DataFrame:
-    return pareto.crowding_distance(cut(pareto.pareto_fronts(candidates(spark, d), by=["grp"]), "fronts"), by=["grp"])
+    return pareto.crowding_distance(_fronts(spark, d), by=["grp"])
 
 
 @query(_views("SELECT id, front_rank, round(crowding, 6) AS crowding FROM crowded", CROWDED))
@@ -110,7 +115,7 @@ def tournament_select(spark: SparkSession, d: str) -> DataFrame:
 @query(_views("SELECT grp, count(DISTINCT front_rank) AS n_fronts, count_if(front_rank = 0) AS frontier_size, round(avg(crowding) FILTER (front_rank = 0), 6) AS mean_crowding FROM crowded GROUP BY grp", CROWDED))
 def front_stats(spark: SparkSession, d: str) -> DataFrame:
     # Crowding counts in the first front only, and fronts don't crowd each other.
-    ranked = cut(pareto.pareto_fronts(candidates(spark, d), by=["grp"]), "fronts")
+    ranked = _fronts(spark, d)
     first = pareto.crowding_distance(ranked.filter("front_rank = 0"), by=["grp"]).select("grp", "front_rank", "crowding")
     rest = ranked.filter("front_rank <> 0").select("grp", "front_rank", F.lit(None).cast("double").alias("crowding"))
     return rounded(pareto.front_stats(first.unionByName(rest), ["grp"]), "mean_crowding")

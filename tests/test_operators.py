@@ -1026,3 +1026,39 @@ def test_ranking_holds_few_python_numbers():
     tracemalloc.stop()
     assert most < 80 * len(points)
     assert (ranks == points.sum(1)).all()
+
+
+@pytest.mark.parametrize("most", [250_000, 25])
+@pytest.mark.parametrize("skip_flat", [True, False])
+def test_crowding_by_whole_fronts(spark, monkeypatch, most, skip_flat):
+    """Fronts over several batches, and those of more than FRONT_ROWS by ranges: ties, nulls, flat dimensions, a null front and a null group."""
+    monkeypatch.setattr(pareto, "FRONT_ROWS", most)
+    monkeypatch.setattr(pareto, "CROWD_ROWS", 15)
+    rng = random.Random(12)
+    data = [(i, "ab"[i % 2] if i % 7 else None, None if i % 11 == 0 else i % 5, float(rng.randrange(9)), None if i % 4 == 0 else rng.random(), 3.0) for i in range(300)]
+    data += [(400, "c", 0, 1.0, None, 3.0), (401, "c", 1, 1.0, 1.0, 3.0), (402, "c", 1, 2.0, None, 4.0), (403, "c", 2, 1.0, None, 3.0), (404, "c", 2, 1.0, None, 3.0), (405, "c", 2, 1.0, None, 4.0)]
+    want = dict.fromkeys([d[0] for d in data], 0.0)
+    for key in {d[1:3] for d in data}:
+        for k in (3, 4, 5):
+            order = sorted((d for d in data if d[1:3] == key and d[k] is not None), key=lambda d: (d[k], d[0]))
+            span = order[-1][k] - order[0][k] if order else 0
+            flat = span < 1e-9
+            for j, d in enumerate(order):
+                end = len(order) <= 2 or j in (0, len(order) - 1) and not (flat and skip_flat)
+                want[d[0]] += INF if end else 0 if flat else (order[j + 1][k] - order[j - 1][k]) / span
+    df = spark.createDataFrame(data, "id long, grp string, front_rank int, x double, y double, z double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = pareto.crowding_distance(df, ["x", "y", "z"], by=["grp"], skip_flat=skip_flat)
+        assert got.columns == [*df.columns, "crowding"] and {r["id"]: r["crowding"] for r in got.collect()} == pytest.approx(want)
+        wide = pareto.crowding_distance(df.withColumn("note", F.lit("n")), ["x", "y", "z"], by=["grp"], skip_flat=skip_flat)
+        assert {r["id"]: r["crowding"] for r in wide.collect() if r["note"] == "n"} == pytest.approx(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_crowding_shuffles_a_row_once(spark):
+    """All dimensions of a row go to its front together and nothing is joined; each was a row of its own, shuffled twice."""
+    df = spark.range(250_000).selectExpr("id", "int(id % 9) AS front_rank", "double(id * 37 % 101) AS x", "double(id * 11 % 13) AS y")
+    plan = pareto.crowding_distance(df, ["x", "y"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") == 1 and "Join" not in plan
