@@ -376,11 +376,14 @@ def pareto_fronts(df: DataFrame, objectives: Mapping[str, str] = OBJECTIVES, by:
     """
     by, values = list(by), [f"_o{i}" for i in range(len(objectives))]
     if max_fronts is None:
-        signed = df.select(id_col, *by, *[_signed(c, s).alias(v) for v, (c, s) in zip(values, objectives.items(), strict=True)])
+        objective = {v: _signed(c, s) for v, (c, s) in zip(values, objectives.items(), strict=True)}
+        signed = df.select(id_col, *by, *[c.alias(v) for v, c in objective.items()])
         if need is not None:
             signed = cut(_skyband(signed, values, by, need), "skyband")
         vectors = cut(signed.select(*by, *values).distinct(), "vectors")
         sort = cut(_sorted_fronts(vectors, values, by), "sorted")
+        if need is None:  # every row has its vector there
+            return matched(df.withColumns(objective), sort, [*by, *values], "left").drop(*values)
         return df.join(matched(signed, sort, [*by, *values]).select(id_col, "front_rank"), id_col, "left")
     rest, found = df.select(id_col, *by, *objectives), []
     for rank in range(max_fronts):

@@ -1062,3 +1062,11 @@ def test_crowding_shuffles_a_row_once(spark):
     df = spark.range(250_000).selectExpr("id", "int(id % 9) AS front_rank", "double(id * 37 % 101) AS x", "double(id * 11 % 13) AS y")
     plan = pareto.crowding_distance(df, ["x", "y"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") == 1 and "Join" not in plan
+
+
+def test_fronts_are_joined_to_rows_once(spark):
+    """Rows meet the ranked vectors and keep all their columns; they were joined by id once more."""
+    df = spark.range(60).selectExpr("id", "int(id % 2) AS g", "double(id % 7) AS correctness", "double(id % 5) AS latency_p50", "CASE WHEN id % 9 > 0 THEN double(id % 3) END AS memory_peak_mb", "string(id) AS note")
+    ranked = pareto.pareto_fronts(df, by=["g"])
+    assert ranked.columns == [*df.columns, "front_rank"] and ranked._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert ranked.filter("front_rank IS NULL OR note <> string(id)").count() == 0 and ranked.count() == 60
