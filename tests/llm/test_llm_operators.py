@@ -235,6 +235,35 @@ def test_near_duplicates_in_narrowed_buckets(spark, monkeypatch):
     test_near_duplicates_of_a_crowd(spark, 100)
 
 
+def test_near_duplicates_move_sets_once(spark, monkeypatch):
+    """Many texts alike but unlinked share many buckets; in each of the three rounds a set is moved once, not once a bucket."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(100)]
+    rows = [(i, " ".join(f"r{rng.randrange(10**9)}" if rng.random() < 0.04 else w for w in base)) for i in range(100)]
+    tables, write = defaultdict(list), odd_sketch.written
+    monkeypatch.setattr(odd_sketch, "written", lambda df, name: tables[name].append(write(df, name)) or tables[name][-1])
+    assert odd_sketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).count() == 100
+    moved = sum(t.count() for t in tables["needs"]) + sum(t.select(F.sum(F.size("rows"))).first()[0] for t in tables["blocks"])
+    assert 0 < moved <= 300
+
+
+def test_near_duplicates_in_many_tiles(spark, monkeypatch):
+    """Homes of many nodes are parted and buckets are cut into blocks; links stay the same."""
+    for name, value in (("PART", 8), ("BLOCK", 16)):
+        monkeypatch.setattr(odd_sketch, name, value)
+    test_near_duplicates_of_a_crowd(spark, 120)
+
+
+def test_near_duplicates_of_more_classes_than_are_broadcast(spark, monkeypatch):
+    """Texts are picked by a bitmap of their hashes; their sets are joined exactly, equal rows give one."""
+    monkeypatch.setattr(odd_sketch, "MOST_IDS", 1)
+    moved = []
+    monkeypatch.setattr(odd_sketch, "_sets_of", lambda texts, places, size, f=odd_sketch._sets_of: moved.append(f(texts, places, size)) or moved[-1])
+    test_near_duplicates_of_repeated_ids(spark)
+    test_near_duplicates_of_a_crowd(spark, 60)
+    assert moved and all(t.count() == t.select("rep").distinct().count() for t in moved)
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(0)
     for share in (0.0, 0.1, 0.2):
